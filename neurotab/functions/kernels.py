@@ -130,9 +130,10 @@ def lfilter_zi(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     b = np.pad(b, (0, n - len(b)))
     a = np.pad(a, (0, n - len(a)))
     m = n - 1
-    comp = np.zeros((m, m))
-    comp[:, 0] = -a[1:]
-    comp[:-1, 1:] = np.eye(m - 1) if m > 1 else comp[:-1, 1:]
+    comp = np.zeros((m, m))          # companion matrix of a
+    comp[0, :] = -a[1:]
+    if m > 1:
+        comp[1:, :-1] += np.eye(m - 1)
     i_minus_a = np.eye(m) - comp.T
     rhs = b[1:] - a[1:] * b[0]
     return np.linalg.solve(i_minus_a, rhs)

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.session import cut_lineage
+
 _PID, _POS = "_nt_pid", "_nt_pos"
 
 
@@ -24,13 +26,18 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence, n_slices: int |
     n = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     key_cols = [F.col(k) for k in keys]
-    return (
+    sliced = (
         df.repartitionByRange(n, *key_cols, *order_cols)
         .sortWithinPartitions(*key_cols, *order_cols)
         .withColumn(_PID, F.spark_partition_id())
         # position of the row inside its range slice, in sorted order
         .withColumn(_POS, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     )
+    # Range bounds come from a sample seeded by the RDD id, so two evaluations
+    # of this plan may cut the slices differently.  Slice ids and positions
+    # are therefore written once to the shared checkpoint folder; both uses
+    # below read that copy, and a lost executor cannot change them.
+    return cut_lineage(sliced)
 
 
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "seq",
