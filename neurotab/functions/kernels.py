@@ -237,3 +237,31 @@ def sample_entropy_udf():
 
 def approx_entropy_udf():
     return _scalar_udf(approx_entropy_1d)
+
+
+# ---------------------------------------------------------------- chi-square tail
+
+def chi2_sf(x: float, k: int) -> float:
+    """Upper tail of chi-square with k degrees of freedom (closed forms)."""
+    import math
+    if x <= 0:
+        return 1.0
+    if k % 2 == 0:
+        term, total = 1.0, 1.0
+        for i in range(1, k // 2):
+            term *= (x / 2) / i
+            total += term
+        return math.exp(-x / 2) * total
+    total = math.erfc(math.sqrt(x / 2))
+    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for i in range(1, (k - 1) // 2 + 1):
+        total += term
+        term *= x / (2 * i + 1)
+    return total
+
+
+def chi2_sf_udf():
+    @F.pandas_udf(T.DoubleType())
+    def sf(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(float(a), int(b)) for a, b in zip(x, df)])
+    return sf
