@@ -114,7 +114,8 @@ _SUFFIX_VALUES = ", ".join(f"('{s}')" for s in SUFFIXES)
 
 def _names(spark, sf_dir):
     ch = fx.epochs64(spark, sf_dir).select("channel").distinct()
-    named = ch.select(F.concat_ws("_", "channel", F.explode(F.array(*[F.lit(x) for x in SUFFIXES]))).alias("name"))
+    named = ch.select("channel", F.explode(F.array(*[F.lit(x) for x in SUFFIXES])).alias("suffix")) \
+        .select(F.concat_ws("_", "channel", "suffix").alias("name"))
     pairs = fx.frontal_pairs(spark).select(F.concat_ws("_", F.lit("frontal_asymmetry"), "left_ch", "right_ch").alias("name"))
     return named.unionByName(pairs)
 
