@@ -265,3 +265,17 @@ def chi2_sf_udf():
     def sf(x: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([chi2_sf(float(a), int(b)) for a, b in zip(x, df)])
     return sf
+
+
+# ---------------------------------------------------------------- random Fourier features
+
+def rff_udf(w: np.ndarray, b: np.ndarray):
+    """z(x) = sqrt(2/D) cos(W x + b) for each row, computed per Arrow batch."""
+    w = np.asarray(w, dtype=np.float64)
+    b = np.asarray(b, dtype=np.float64)
+    scale = np.sqrt(2.0 / w.shape[0])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def rff(values: pd.Series) -> pd.Series:
+        return _by_length(values, lambda m: list(np.cos(m @ w.T + b) * scale))
+    return rff

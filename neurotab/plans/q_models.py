@@ -83,3 +83,141 @@ def q_smote_balance(spark, sf_dir):
     out = ba.smote(fx.feat_wide(spark, sf_dir).select("id", "label", "features"), block=32)
     return rounded(out.select("label", "is_synthetic", "src_id", "syn_idx",
                               F.posexplode("features").alias("position", "value")))
+
+
+# ---------------------------------------------------------------- Spark ML models ([R]: rows-only)
+
+from neurotab.learn import models as md  # noqa: E402
+from neurotab.learn import validation as va  # noqa: E402
+
+
+def _split(spark, sf_dir):
+    data = _feat_folds(spark, sf_dir).select("id", "label", "features", "fold")
+    return data.where("fold != 0"), data.where("fold = 0"), data
+
+
+def _scored(scorer, valid):
+    return rounded(scorer.score(valid))
+
+
+@register("ml_logreg")
+def q_ml_logreg(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    return _scored(md.fit_logreg(train), valid)
+
+
+@register("ml_random_forest")
+def q_ml_random_forest(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    return _scored(md.fit_random_forest(train), valid)
+
+
+@register("ml_gbt_ovr")
+def q_ml_gbt_ovr(spark, sf_dir):
+    """Three boosted configurations (the three boosting libraries of the
+    analysed code) 300 x depth 6 x 0.05, differing by row / feature sampling."""
+    train, valid, _ = _split(spark, sf_dir)
+    cfgs = [dict(subsample=1.0, feature_subset="all", name="gbt_a"),
+            dict(subsample=0.8, feature_subset="all", name="gbt_b"),
+            dict(subsample=1.0, feature_subset="sqrt", name="gbt_c")]
+    out = None
+    for c in cfgs:
+        s = md.fit_gbt_ovr(train, iters=300, depth=6, step=0.05, **c).score(valid)
+        out = s if out is None else out.unionByName(s)
+    return rounded(out)
+
+
+@register("ml_svm_rff")
+def q_ml_svm_rff(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    return _scored(md.fit_svm_rff(train), valid)
+
+
+@register("ml_discriminant")
+def q_ml_discriminant(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    return _scored(md.fit_discriminant(train), valid)
+
+
+@register("ml_mlp")
+def q_ml_mlp(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    return _scored(md.fit_mlp(train), valid)
+
+
+@register("base_model_scores")
+def q_base_model_scores(spark, sf_dir):
+    """All base models fitted on the training folds, scored on fold 0, long form."""
+    train, valid, _ = _split(spark, sf_dir)
+    out = None
+    for name, fit in md.BASE_MODELS.items():
+        s = fit(train).score(valid).withColumn("model", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return rounded(md.score_long(out))
+
+
+FAST_BASE = {"logreg": md.fit_logreg, "lda": md.fit_discriminant, "random_forest": md.fit_random_forest,
+             "knn": md.fit_knn}
+
+
+@register("oof_predictions")
+def q_oof_predictions(spark, sf_dir):
+    _, _, data = _split(spark, sf_dir)
+    return rounded(va.oof_predictions(data, FAST_BASE))
+
+
+@register("ml_stacking")
+def q_ml_stacking(spark, sf_dir):
+    train, valid, _ = _split(spark, sf_dir)
+    folds = stratified_folds(train.select("id", "label"), out="inner_fold").select("id", "inner_fold")
+    inner = train.join(folds, "id")
+    return _scored(va.fit_stacking(inner, FAST_BASE, fold_col="inner_fold"), valid)
+
+
+@register("cv_evaluate")
+def q_cv_evaluate(spark, sf_dir):
+    _, _, data = _split(spark, sf_dir)
+    return va.cross_validate(data, md.fit_logreg)
+
+
+TRIALS_CTES = [("trials", """SELECT x.model AS trial, 3 + x.model AS max_depth, 0.01 * (x.model + 1) AS learning_rate,
+       100 * (x.model + 1) AS n_trees, round(avg(CASE WHEN x.y_true = x.y_pred THEN 1.0 ELSE 0.0 END), 6) AS mean_accuracy
+FROM pred x JOIN folds f ON f.id = x.id GROUP BY 1, 2, 3, 4""")]
+
+
+@register("tuning_best", sql(["pred", "folds"], """SELECT trial, max_depth, learning_rate, n_trees, mean_accuracy FROM trials
+ORDER BY mean_accuracy DESC, trial LIMIT 1""", TRIALS_CTES))
+def q_tuning_best(spark, sf_dir):
+    """Best trial of a trial table (each scored model of ``pred`` is one trial
+    with parameters derived from its number)."""
+    p = fx.pred(spark, sf_dir)
+    res = p.groupBy(F.col("model").alias("trial")).agg(
+        F.round(F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)), 6).alias("mean_accuracy"))
+    res = res.select("trial", (F.col("trial") + 3).alias("max_depth"), (F.col("trial") + 1) * 0.01,
+                     ((F.col("trial") + 1) * 100).alias("n_trees"), "mean_accuracy") \
+        .withColumnRenamed("((trial + 1) * 0.01)", "learning_rate")
+    return va.best_trial(res)
+
+
+@register("tuning_search")
+def q_tuning_search(spark, sf_dir):
+    """15 sampled trials, 3-fold accuracy each (random forest with the trial's
+    depth and tree count), plus the best trial."""
+    data = fx.feat_wide(spark, sf_dir).select("id", "label", "features")
+    data = stratified_folds(data, k=3)
+    trials = va.trial_table(spark)
+    res = va.tune(data, lambda p: (lambda tr: md.fit_random_forest(tr, trees=p["n_trees"], depth=p["max_depth"])),
+                  trials, k=3)
+    return res
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    from neurotab.operators.explain import permutation_importance
+    train, valid, _ = _split(spark, sf_dir)
+    s = md.fit_logreg(train)
+
+    def acc(df):
+        sc = s.score(df).join(df.select("id", "label"), "id")
+        return sc.agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).first()[0]
+    return permutation_importance(acc, valid, [f"f{i}" for i in range(8)])
