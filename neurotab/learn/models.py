@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -60,9 +60,19 @@ def _vec(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn("fv", array_to_vector(col))
 
 
+TARGET_PARTITION_BYTES = 128 << 20
+
+
 def _fit_cached(estimator, data: DataFrame):
     """Iterative learners pass over the training set many times: keep it
-    persisted (memory, spilling to disk) for the duration of the fit."""
+    persisted (memory, spilling to disk) for the duration of the fit, in
+    partitions of about 128 MB of feature values (a per-iteration job over a
+    few rows should not pay for hundreds of near-empty tasks)."""
+    n = data.count()
+    width = len(data.select("features").first()[0]) if n else 1
+    parts = max(1, -(-n * width * 8 // TARGET_PARTITION_BYTES))
+    if parts < data.rdd.getNumPartitions():
+        data = data.coalesce(parts)
     data = data.persist()
     try:
         return estimator.fit(data)
@@ -92,32 +102,34 @@ def fit_random_forest(train: DataFrame, trees: int = 300, depth: int = 10, seed:
 
 def fit_gbt_ovr(train: DataFrame, iters: int = 200, depth: int = 6, step: float = 0.05, subsample: float = 1.0,
                 feature_subset: str = "all", seed: int = config.SEED, name: str = "gbt", k: int = K) -> Scorer:
-    """One binary boosted-tree model per class (Spark's GBT is binary);
-    class probabilities are the per-class positive probabilities normalised
-    to sum to one."""
-    models = []
-    base = _vec(train).persist()
-    for c in range(k):
-        g = GBTClassifier(featuresCol="fv", labelCol="_y", maxIter=iters, maxDepth=depth, stepSize=step,
-                          subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed)
-        models.append(g.fit(base.withColumn("_y", (F.col("label") == c).cast("double"))))
-    base.unpersist()
+    """One binary boosted-tree model per class (Spark's GBT is binary), fitted
+    in parallel by ``OneVsRest``; per-class positive probabilities
+    sigmoid(2 * margin) are normalised to sum to one."""
+    g = GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
+                      featureSubsetStrategy=feature_subset, seed=seed)
+    ovr = OneVsRest(classifier=g, featuresCol="fv", labelCol="label", parallelism=k)
+    model = _fit_cached(ovr, _vec(train))
 
     def score(df: DataFrame) -> DataFrame:
-        out = _vec(df).select("id", "fv")
-        for c, m in enumerate(models):
-            out = m.transform(out).withColumn(f"_q{c}", vector_to_array("probability")[1]) \
-                .drop("probability", "rawPrediction", "prediction")
-        tot = sum(F.col(f"_q{c}") for c in range(k))
-        return _out(out, name, F.array(*[F.col(f"_q{c}") / tot for c in range(k)]))
+        raw = model.transform(_vec(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
+        q = F.transform("_r", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        tot = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
+        return _out(raw, name, F.transform(q, lambda v: v / tot))
     return Scorer(name, score)
 
 
+def _softmax(arr: F.Column) -> F.Column:
+    mx = F.array_max(arr)
+    e = F.transform(arr, lambda v: F.exp(v - mx))
+    tot = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(e, lambda v: v / tot)
+
+
 def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed: int = config.SEED,
                 name: str = "svm", k: int = K) -> Scorer:
     """RBF-kernel SVM approximated with random Fourier features (Rahimi & Recht):
     z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), gamma = 1/(d var(X));
-    then one-vs-rest linear SVMs; scores turned into probabilities by softmax."""
+    one-vs-rest linear SVMs fitted in parallel; margins -> softmax probabilities."""
     sc = fit_scaler(train)
     scaled = apply_scaler(train, sc)
     d = len(sc[0])
@@ -126,30 +138,18 @@ def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
-
     rff = rff_udf(w, b)
 
     def project(df: DataFrame) -> DataFrame:
         return apply_scaler(df, sc).withColumn("fv", array_to_vector(rff(F.col("features"))))
 
     n = train.count()
-    z = project(train).cache()
-    models = []
-    for cl in range(k):
-        svc = LinearSVC(featuresCol="fv", labelCol="_y", regParam=1.0 / (c * n), maxIter=100)
-        models.append(svc.fit(z.withColumn("_y", (F.col("label") == cl).cast("double"))))
-    z.unpersist()
+    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=100)
+    model = _fit_cached(OneVsRest(classifier=svc, featuresCol="fv", labelCol="label", parallelism=k), project(train))
 
     def score(df: DataFrame) -> DataFrame:
-        out = project(df).select("id", "fv")
-        for cl, m in enumerate(models):
-            out = m.transform(out).withColumn(f"_s{cl}", vector_to_array("rawPrediction")[1]) \
-                .drop("rawPrediction", "prediction")
-        s = F.array(*[F.col(f"_s{cl}") for cl in range(k)])
-        mx = F.array_max(s)
-        e = F.transform(s, lambda v: F.exp(v - mx))
-        tot = F.aggregate(e, F.lit(0.0), lambda a, bb: a + bb)
-        return _out(out, name, F.transform(e, lambda v: v / tot))
+        raw = model.transform(project(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
+        return _out(raw, name, _softmax(F.col("_r")))
     return Scorer(name, score)
 
 
@@ -220,6 +220,28 @@ def fit_mlp(train: DataFrame, hidden: Sequence[int] = (32, 16), max_iter: int =
                                         vector_to_array("probability")))
 
 
+BOOSTING_CONFIGS = [dict(subsample=1.0, feature_subset="all", name="gbt_a"),
+                    dict(subsample=0.8, feature_subset="all", name="gbt_b"),
+                    dict(subsample=1.0, feature_subset="sqrt", name="gbt_c")]
+
+
+def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int = 6, step: float = 0.05,
+                          name: str = "boosting") -> Scorer:
+    """Three boosted configurations (row / feature sampling differ), 300 x 6 x
+    0.05, combined by soft voting (mean probability, argmax)."""
+    from neurotab.operators.ensemble import soft_vote
+    members = [fit_gbt_ovr(train, iters=iters, depth=depth, step=step, **c) for c in BOOSTING_CONFIGS]
+
+    def score(df: DataFrame) -> DataFrame:
+        allp = None
+        for m in members:
+            s = m.score(df)
+            allp = s if allp is None else allp.unionByName(s)
+        v = soft_vote(allp, "id", [f"p{c}" for c in range(K)])
+        return v.select("id", F.lit(name).alias("model"), "prediction", *[f"p{c}" for c in range(K)])
+    return Scorer(name, score)
+
+
 BASE_MODELS: dict[str, Callable[[DataFrame], Scorer]] = {
     "svm": fit_svm_rff,
     "random_forest": fit_random_forest,
