@@ -60,3 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, inside the shared checkpoint folder."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/neurotab-scratch/{name}-{uuid.uuid4().hex}"
