@@ -15,6 +15,7 @@ from neurotab.operators import wavelet as wv
 from neurotab.operators.assemble import merge_features
 from neurotab.operators.preprocess import to_arrays
 from neurotab.operators.time_features import TIME_FEATURES, time_features, to_feature_rows
+from neurotab.session import cut_lineage
 
 STAGE_TIME, STAGE_FREQ, STAGE_NONLINEAR = 0, 1, 2
 
@@ -25,20 +26,27 @@ def _rows(wide: DataFrame, epoch_keys, channel, names, stage):
 
 def epoch_features(long: DataFrame, epoch_keys: Sequence[str], channel: str = "channel", idx: str = "sample_idx",
                    value: str = "value", fs: float = config.SAMPLING_RATE, kernels: bool = True,
-                   wavelet: bool = True) -> DataFrame:
+                   wavelet: bool = True, materialize: bool = True) -> DataFrame:
     """Long feature rows (epoch_keys..., feature, value) with names ``{channel}_{name}``
     plus the cross-channel asymmetry features.  ``kernels`` adds sample and
-    approximate entropy (Arrow kernel)."""
+    approximate entropy (Arrow kernel).
+
+    The PSD is computed once and written to the checkpoint folder (every
+    spectral feature and the asymmetry read it); with ``materialize`` the
+    merged feature table is written too, so selection, training and scoring
+    reuse it instead of recomputing the whole feature plan."""
     sig = [*epoch_keys, channel]
     arrays = to_arrays(long, sig, idx, value)
-    psd = sp.welch_psd(arrays, sig, "values", fs=fs)
-    stages = [_rows(time_features(long, sig, idx, value), epoch_keys, channel, TIME_FEATURES, STAGE_TIME)]
+    psd = cut_lineage(sp.welch_psd(arrays, sig, "values", fs=fs))
+    tf = time_features(long, sig, idx, value)
+    stages = [_rows(tf, epoch_keys, channel, TIME_FEATURES, STAGE_TIME)]
     bands = sp.band_power(psd, sig)
     abs_rows = bands.select(*epoch_keys, F.concat_ws("_", channel, "band", F.lit("abs_power")).alias("feature"),
                             F.col("abs_power").alias("value"), F.lit(STAGE_FREQ).alias("stage"))
     rel_rows = bands.select(*epoch_keys, F.concat_ws("_", channel, "band", F.lit("rel_power")).alias("feature"),
                             F.col("rel_power").alias("value"), F.lit(STAGE_FREQ).alias("stage"))
-    summ = sp.spectral_summary(psd, sig).join(sp.band_ratios(psd, sig), sig).join(sp.median_frequency(psd, sig), sig)
+    spec = sp.spectral_summary(psd, sig)
+    summ = spec.join(sp.band_ratios(psd, sig), sig).join(sp.median_frequency(psd, sig), sig)
     stages += [abs_rows, rel_rows,
                _rows(summ, epoch_keys, channel, ["alpha_beta_ratio", "theta_alpha_ratio", "spectral_entropy",
                                                   "mean_frequency", "median_frequency"], STAGE_FREQ)]
@@ -53,11 +61,12 @@ def epoch_features(long: DataFrame, epoch_keys: Sequence[str], channel: str = "c
     nonlin = nl.permutation_entropy(long, sig, idx, value) \
         .join(nl.higuchi_fd(long, sig, idx, value), sig) \
         .join(nl.dfa_exponent(long, sig, idx, value), sig) \
-        .join(sp.spectral_summary(psd, sig).select(*sig, F.col("spectral_entropy_norm").alias("spectral_entropy")), sig) \
-        .join(time_features(long, sig, idx, value).select(*sig, "hjorth_fd"), sig)
+        .join(spec.select(*sig, F.col("spectral_entropy_norm").alias("spectral_entropy")), sig) \
+        .join(tf.select(*sig, "hjorth_fd"), sig)
     names = ["permutation_entropy", "higuchi_fd", "dfa", "spectral_entropy", "hjorth_fd"]
     if kernels:
         nonlin = nonlin.join(nl.sample_entropy(arrays, sig).join(nl.approx_entropy(arrays, sig), sig), sig)
         names += ["sample_entropy", "approx_entropy"]
     stages.append(_rows(nonlin, epoch_keys, channel, names, STAGE_NONLINEAR))
-    return merge_features(stages, epoch_keys)
+    merged = merge_features(stages, epoch_keys)
+    return cut_lineage(merged) if materialize else merged
