@@ -21,7 +21,12 @@ def tumbling_features(events: DataFrame, ts: str = "ts", keys=("recording_id", "
                       window: str = "4 seconds", watermark: str | None = None) -> DataFrame:
     """Fixed non-overlapping windows per signal with order-free aggregates:
     n, mean, variance, std (population), peak-to-peak, RMS."""
-    df = events.withWatermark(ts, watermark) if watermark else events
+    df = events
+    if watermark:
+        # event-time watermarks need an instant type; wall-clock (ntz) times are read as session-zone instants
+        if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+            df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+        df = df.withWatermark(ts, watermark)
     agg = df.groupBy(F.window(ts, window).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
         F.stddev_pop(value).alias("std"), (F.max(value) - F.min(value)).alias("peak_to_peak"),
