@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from neurotab import config
 from neurotab.functions import iir
 from neurotab.functions.kernels import filtfilt_udf, resample_udf
+from neurotab.session import cut_lineage
 
 
 def car_reference(df: DataFrame, rec_keys: Sequence[str], idx: str = "sample_idx", value: str = "value") -> DataFrame:
@@ -131,13 +132,18 @@ def notch(df: DataFrame, values: str, fs: float = config.SAMPLING_RATE, freq: fl
 
 def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel", sr_in: float = config.SAMPLING_RATE,
           filters: bool = True, baseline: int = config.BASELINE_SAMPLES, epoch_size: int = config.EPOCH_SAMPLES,
-          artifact_min_channels: int = config.ARTIFACT_MIN_CHANNELS) -> DataFrame:
+          artifact_min_channels: int = config.ARTIFACT_MIN_CHANNELS, eps: float = 1e-10) -> DataFrame:
     """Whole cleaning chain, in order: resample -> band-pass -> notch ->
     artifact flags -> CAR -> baseline -> z-score -> epochs.
 
-    Signals are taken to array layout only for the kernels (resample and the
-    IIR filters need the whole signal), then back to long layout.  Flagged
-    channels are dropped before the common average.
+    Signals go to array layout only for the kernels (resample and the IIR
+    filters need the whole signal); the filtered long table is written once
+    to the checkpoint folder, since the artifact flags and the main chain both
+    read it.  Baseline, z-score and epoch statistics of a signal come from ONE
+    aggregation over the CAR output (baseline mean, mean, population std,
+    length) and ONE join; chaining the steps as separate aggregate-and-join
+    pairs would re-evaluate the upstream plan at every step.
+    Flagged channels are dropped before the common average.
     Output: (rec_keys..., channel, epoch_id, pos, value)."""
     sig = [*rec_keys, channel]
     if filters or sr_in != config.SAMPLING_RATE:
@@ -145,11 +151,25 @@ def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel",
         arr = fourier_resample(arr, "values", sr_in)
         if filters:
             arr = notch(bandpass(arr, "values"), "values")
-        df_long = to_long(arr, sig)
+        df_long = cut_lineage(to_long(arr, sig))
     flags = artifact_flags(df_long, rec_keys, channel, min_channels=artifact_min_channels) \
         .where("flagged").select(*sig)
     kept = df_long.join(flags, sig, "left_anti")
-    out = car_reference(kept, rec_keys)
-    out = baseline_correct(out, sig, baseline=baseline)
-    out = zscore(out, sig)
-    return epoching(out, sig, size=epoch_size)
+    car = car_reference(kept, rec_keys)
+    st = car.groupBy(*sig).agg(
+        F.coalesce(F.avg(F.when(F.col("sample_idx") < baseline, F.col("value"))), F.lit(0.0)).alias("_b"),
+        F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"), F.count(F.lit(1)).alias("_n"))
+    x = car.join(st, sig)
+    based = F.col("value") - F.col("_b")                  # baseline correction
+    centred = based - (F.col("_m") - F.col("_b"))         # minus the mean of the corrected signal
+    z = F.when(F.col("_sd") > eps, centred / F.col("_sd")).otherwise(centred)
+    x = x.select(*sig, "sample_idx", z.alias("value"), "_n")
+    main = x.where((F.col("_n") < epoch_size) | (F.floor(F.col("sample_idx") / epoch_size)
+                                                 < F.floor(F.col("_n") / epoch_size))) \
+        .select(*sig, F.floor(F.col("sample_idx") / epoch_size).cast("long").alias("epoch_id"),
+                (F.col("sample_idx") % epoch_size).cast("long").alias("pos"), "value")
+    pad = st.where(F.col("_n") < epoch_size).select(
+        *sig, F.lit(0).cast("long").alias("epoch_id"),
+        F.explode(F.sequence(F.col("_n"), F.lit(epoch_size - 1))).alias("pos"), F.lit(0.0).alias("value")) \
+        .withColumn("pos", F.col("pos").cast("long"))
+    return main.unionByName(pad)

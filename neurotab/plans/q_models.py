@@ -57,7 +57,7 @@ def q_smote_neighbors(spark, sf_dir):
     data = fx.feat_wide(spark, sf_dir)
     counts = [r[1] for r in data.groupBy("label").count().collect()]
     k = ba.smote_neighbour_k(counts)
-    nn = knn_join(data, data, k, partition=["label"], exclude_self=True, block=32)
+    nn = knn_join(data, data, k, partition=["label"], exclude_self=True)
     return nn.select("q_id", "label", "p_id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -80,7 +80,7 @@ JOIN feat x ON x.id = s.src_id JOIN feat y ON y.id = nn.p_id AND y.feature = x.f
        CAST(position AS INT) AS position, round(value, 6) AS value FROM synv
 UNION ALL SELECT label, false, id, NULL, feature, round(value, 6) FROM feat""", SMOTE_CTES))
 def q_smote_balance(spark, sf_dir):
-    out = ba.smote(fx.feat_wide(spark, sf_dir).select("id", "label", "features"), block=32)
+    out = ba.smote(fx.feat_wide(spark, sf_dir).select("id", "label", "features"))
     return rounded(out.select("label", "is_synthetic", "src_id", "syn_idx",
                               F.posexplode("features").alias("position", "value")))
 
