@@ -160,13 +160,55 @@ def filtfilt_matrix(b, a, x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(y[:, pad:pad + n])
 
 
+def _left_aligned(rows: list[np.ndarray]) -> np.ndarray:
+    width = max(len(r) for r in rows)
+    m = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        m[i, :len(r)] = r
+    return m
+
+
+def filtfilt_ragged(b, a, signals: list[np.ndarray]) -> list[np.ndarray]:
+    """``filtfilt_matrix`` for signals of different lengths in one vectorised
+    pass: rows are left-aligned and zero-filled after their end, which cannot
+    change a causal filter's output before that end; for the backward pass each
+    row's own valid part is reversed and left-aligned again."""
+    b = np.asarray(b, dtype=np.float64)
+    a = np.asarray(a, dtype=np.float64)
+    pad = 3 * max(len(a), len(b))
+    out: list[np.ndarray | None] = [None] * len(signals)
+    idx = [i for i, x in enumerate(signals) if len(x) > pad]
+    for i, x in enumerate(signals):
+        if len(x) <= pad:
+            out[i] = np.asarray(x, dtype=np.float64).copy()
+    if not idx:
+        return out
+    exts = []
+    for i in idx:
+        x = np.asarray(signals[i], dtype=np.float64)
+        exts.append(np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]]))
+    zi = lfilter_zi(b, a)
+    m = _left_aligned(exts)
+    fwd = lfilter_rows(b, a, m, zi[None, :] * m[:, :1])
+    rev = [fwd[j, :len(e)][::-1] for j, e in enumerate(exts)]
+    m2 = _left_aligned(rev)
+    bwd = lfilter_rows(b, a, m2, zi[None, :] * m2[:, :1])
+    for j, i in enumerate(idx):
+        n = len(signals[i])
+        y = bwd[j, :len(exts[j])][::-1]
+        out[i] = np.ascontiguousarray(y[pad:pad + n])
+    return out
+
+
 def filtfilt_udf(b, a):
     b = np.asarray(b, dtype=np.float64)
     a = np.asarray(a, dtype=np.float64)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def filtfilt(values: pd.Series) -> pd.Series:
-        return _by_length(values, lambda m: list(filtfilt_matrix(b, a, m)))
+        rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in values]
+        res = filtfilt_ragged(b, a, rows)
+        return pd.Series([None if values.iloc[i] is None else r for i, r in enumerate(res)], dtype=object)
     return filtfilt
 
 
