@@ -23,13 +23,28 @@ from neurotab.operators.ordering import sequence_index
 from neurotab.session import cut_lineage
 
 
-def _widest_coordinate(points: DataFrame, vec: str) -> int:
-    var = points.select(F.posexplode(vec).alias("_j", "_x")).groupBy("_j").agg(F.var_pop("_x").alias("_v"))
-    row = var.orderBy(F.col("_v").desc(), "_j").first()   # one row per dimension
-    return int(row["_j"]) if row else 0
+def _widest_coordinate(points: DataFrame, vec: str) -> tuple[int, int]:
+    """(coordinate with the largest variance, dimension); one row per dimension reaches the driver."""
+    var = points.select(F.posexplode(vec).alias("_j", "_x")).groupBy("_j").agg(F.var_pop("_x").alias("_v")).collect()
+    if not var:
+        return 0, 0
+    best = sorted(var, key=lambda r: (-(r["_v"] or 0.0), r["_j"]))[0]
+    return int(best["_j"]), len(var)
 
 
-def _distance(a: str, b: str) -> F.Column:
+UNROLL_MAX_DIM = 64
+
+
+def _distance(a: str, b: str, dim: int | None = None) -> F.Column:
+    """Euclidean distance of two array columns.  For up to 64 dimensions the
+    sum is unrolled into plain arithmetic (whole-stage codegen); array lambdas
+    are evaluated interpreted, so they are only the fallback for wide vectors."""
+    if dim is not None and dim <= UNROLL_MAX_DIM:
+        terms = [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(dim)]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        return F.sqrt(total)
     sq = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
 
@@ -44,7 +59,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
     part = list(partition)
     if not part:                      # one implicit partition
         queries, points, part = queries.withColumn("_all", F.lit(0)), points.withColumn("_all", F.lit(0)), ["_all"]
-    j = _widest_coordinate(points, vec)
+    j, dim = _widest_coordinate(points, vec)
     proj = F.element_at(F.col(vec), j + 1)
     both = points.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(0).alias("_isq")) \
         .unionByName(queries.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(1).alias("_isq")))
@@ -66,7 +81,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
             .join(pts.withColumnRenamed("_b", "_cb"), [*part, "_cb"])
         if exclude_self:
             cand = cand.where(F.col("q_id") != F.col("p_id"))
-        cand = cand.withColumn("distance", _distance("_qv", "_pv"))
+        cand = cand.withColumn("distance", _distance("_qv", "_pv", dim))
         wq = Window.partitionBy("q_id").orderBy("distance", "p_id")
         top = cand.withColumn("rank", F.row_number().over(wq)).where(F.col("rank") <= k)
         # gap to the nearest point outside the window

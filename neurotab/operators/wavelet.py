@@ -1,9 +1,9 @@
 """Discrete wavelet transform (db4, symmetric extension) as Spark aggregations.
 
-Each level is one scatter-and-sum: every input coefficient is sent, for each
-of the 8 taps, to the output positions that read it (including its mirror
-images at both ends), then summed per (signal, position).  No join, no UDF;
-the data halves at every level.
+Each level is one scatter-and-sum: every input coefficient is sent to the
+output positions that read it (for each tap, including its mirror images at
+both ends), then summed per (signal, position).  No join, no UDF; the data
+halves at every level.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurotab import config
+from neurotab.session import cut_lineage
 
 FILTER_LEN = 8
 
@@ -32,15 +33,15 @@ def _level_col(n: F.Column, wanted: int) -> F.Column:
 
 def _one_level(cur: DataFrame, sig_keys: Sequence[str]) -> DataFrame:
     """cur: (sig_keys..., _lev, _n, pos, c) -> (sig_keys..., _lev, _n (new), pos, a, d)."""
-    spark = cur.sparkSession
-    taps = spark.createDataFrame(
-        [(j, float(config.DB4_LOW[j]), float(config.DB4_HIGH[j])) for j in range(FILTER_LEN)],
-        "_j int, _lo double, _hi double")
+    taps = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(config.DB4_LOW[j])).alias("_lo"),
+                              F.lit(float(config.DB4_HIGH[j])).alias("_hi")) for j in range(FILTER_LEN)])
     n = F.col("_n")
     # positions p of the extended signal that hold sample `pos`: itself, the left mirror (-1-pos)
-    # and the right mirror (2n-1-pos)
+    # and the right mirror (2n-1-pos); each is paired with the 8 taps by a generator, not a join
     pre = F.array(F.col("pos"), -1 - F.col("pos"), 2 * n - 1 - F.col("pos"))
-    x = cur.select(*sig_keys, "_lev", "_n", "c", F.explode(pre).alias("_p")).join(F.broadcast(taps))
+    x = cur.select(*sig_keys, "_lev", "_n", "c", F.explode(pre).alias("_p")) \
+        .select(*sig_keys, "_lev", "_n", "c", "_p", F.explode(taps).alias("_t")) \
+        .select(*sig_keys, "_lev", "_n", "c", "_p", "_t._j", "_t._lo", "_t._hi")
     # output o reads p = 2o + 1 - j
     o2 = F.col("_p") + F.col("_j") - 1
     n_out = F.floor((n + FILTER_LEN - 1) / 2)
@@ -60,7 +61,10 @@ def dwt(df: DataFrame, sig_keys: Sequence[str], idx: str = "sample_idx", value:
     cur = cur.where(F.col("_lev") >= 1)
     outs = []
     for k in range(1, level + 1):
-        step = _one_level(cur.where(F.col("_lev") >= k), sig_keys)
+        # each level is written once: the detail band, the final approximation
+        # and the next level all read it (otherwise every band re-derives all
+        # earlier levels -- branch filters defeat exchange reuse)
+        step = cut_lineage(_one_level(cur.where(F.col("_lev") >= k), sig_keys))
         outs.append(step.select(*sig_keys, F.lit(f"D{k}").alias("band"), "pos", F.col("d").alias("coef")))
         outs.append(step.where(F.col("_lev") == k)
                     .select(*sig_keys, F.lit(f"A{k}").alias("band"), "pos", F.col("a").alias("coef")))
