@@ -251,6 +251,15 @@ BASE_MODELS: dict[str, Callable[[DataFrame], Scorer]] = {
 }
 
 
+def get_model(name: str) -> Callable[[DataFrame], Scorer]:
+    """Model factory by name; unknown names raise ValueError."""
+    table = {**BASE_MODELS, "logreg": fit_logreg, "mlp": fit_mlp, "boosting": fit_boosting_ensemble}
+    try:
+        return table[name]
+    except KeyError:
+        raise ValueError(f"unknown model {name!r}; known: {sorted(table)}") from None
+
+
 def score_long(scored: DataFrame) -> DataFrame:
     """(id, model, prediction, p0..) -> (id, model, class, prob)."""
     arr = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"p{c}").alias("prob")) for c in range(K)])

@@ -21,10 +21,17 @@ from neurotab.operators.evaluation import overall_metrics
 from neurotab.session import cut_lineage
 
 FitFn = Callable[[DataFrame], md.Scorer]
+Progress = Callable[[int, dict], None] | None
+
+
+def _report(progress: Progress, step: int, info: dict) -> None:
+    """Driver-side progress hook called between folds / trials."""
+    if progress is not None:
+        progress(step, info)
 
 
 def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
-                    k: int = config.CV_FOLDS) -> DataFrame:
+                    k: int = config.CV_FOLDS, progress: Progress = None) -> DataFrame:
     """Out-of-fold probabilities of every base model: for each fold, fit on the
     other folds and score this one.  Output (id, model, prediction, p0..p2, fold)."""
     parts = []
@@ -33,6 +40,7 @@ def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fo
         for name, fit in fits.items():
             s = fit(train)
             parts.append(s.score(valid).withColumn("model", F.lit(name)).withColumn(fold_col, F.lit(f)))
+            _report(progress, f, {"stage": "oof", "model": name})
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -65,7 +73,8 @@ def _meta_features(scored: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.select("id", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols]).alias("features"))
 
 
-def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int = config.CV_FOLDS) -> DataFrame:
+def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int = config.CV_FOLDS,
+                   progress: Progress = None) -> DataFrame:
     """Per-fold overall metrics of one model: (fold, accuracy, macro_f1, ...)."""
     rows = []
     for f in range(k):
@@ -73,6 +82,7 @@ def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int =
         s = fit(train).score(valid).join(valid.select("id", F.col("label").alias("y_true")), "id")
         rows.append(overall_metrics(s.withColumnRenamed("prediction", "y_pred"), ["model"])
                     .withColumn(fold_col, F.lit(f)))
+        _report(progress, f, {"stage": "cv", "fold": f})
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -95,11 +105,12 @@ def best_trial(results: DataFrame, score: str = "mean_accuracy") -> DataFrame:
 
 
 def tune(data: DataFrame, fit_for: Callable[[dict], FitFn], trials: DataFrame, fold_col: str = "fold",
-         k: int = 3) -> DataFrame:
+         k: int = 3, progress: Progress = None) -> DataFrame:
     """k-fold accuracy of each trial's parameters; returns trials + mean_accuracy."""
     out = []
     for t in trials.collect():                          # n_trials rows of parameters
         params = t.asDict()
         acc = cross_validate(data, fit_for(params), fold_col, k).agg(F.avg("accuracy")).first()[0]
         out.append((*params.values(), float(acc)))
+        _report(progress, params["trial"], {"stage": "trial", "mean_accuracy": float(acc)})
     return data.sparkSession.createDataFrame(out, trials.schema.simpleString()[7:-1] + ", mean_accuracy double")

@@ -269,3 +269,33 @@ def cv_summary(per_fold: DataFrame, group: Sequence[str], value: str) -> DataFra
     return per_fold.groupBy(*group).agg(
         F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"),
         F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.count(F.lit(1)).alias("n_folds"))
+
+
+def evaluation_report(scored: DataFrame, group: Sequence[str], prob_cols: Sequence[str], y_true: str = "y_true",
+                      y_pred: str = "y_pred", id_col: str = "id", classes: Sequence[int] = CLASSES) -> DataFrame:
+    """Every metric of one scored table in one long table
+    (group..., section, class, metric, value): per-class precision / recall /
+    F1 / support / specificity, overall scalars, confusion cells (raw and
+    normalised, metric ``cm_{true}_{pred}`` / ``cmn_{true}_{pred}``), per-class
+    and macro ROC-AUC and average precision.  Class -1 marks overall rows."""
+    g = list(group)
+    pc = per_class_metrics(scored, g, y_true, y_pred, classes)
+    pc_long = pc.unpivot([*g, "class"], ["precision", "recall", "f1", "support", "specificity"], "metric", "value") \
+        .select(*g, F.lit("per_class").alias("section"), "class", "metric", F.col("value").cast("double"))
+    ov = overall_metrics(scored, g, y_true, y_pred, classes)
+    ov_long = ov.unpivot(g, ["accuracy", "macro_f1", "weighted_f1", "cohens_kappa", "mcc", "balanced_accuracy"],
+                         "metric", "value") \
+        .select(*g, F.lit("overall").alias("section"), F.lit(-1).alias("class"), "metric", "value")
+    cm = confusion_matrix(scored, g, y_true, y_pred, classes)
+    cell = F.concat_ws("_", F.col(y_true).cast("string"), F.col(y_pred).cast("string"))
+    cm_long = cm.select(*g, F.lit("confusion").alias("section"), F.col(y_true).alias("class"),
+                        F.concat(F.lit("cm_"), cell).alias("metric"), F.col("n").cast("double").alias("value")) \
+        .unionByName(cm.select(*g, F.lit("confusion").alias("section"), F.col(y_true).alias("class"),
+                               F.concat(F.lit("cmn_"), cell).alias("metric"), F.col("ratio").alias("value")))
+    ovr = one_vs_rest(scored, g, prob_cols, y_true, id_col)
+    auc = roc_auc(ovr, g).select(*g, F.lit("roc_auc").alias("section"), "class", F.lit("roc_auc").alias("metric"),
+                                 F.col("roc_auc").alias("value"))
+    ap = average_precision(ovr, g).select(*g, F.lit("average_precision").alias("section"), "class",
+                                          F.lit("average_precision").alias("metric"),
+                                          F.col("average_precision").alias("value"))
+    return pc_long.unionByName(ov_long).unionByName(cm_long).unionByName(auc).unionByName(ap)

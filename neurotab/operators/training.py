@@ -85,3 +85,8 @@ def job_status(events: DataFrame, job: str = "job_id", epoch: str = "epoch", tot
                        F.round(e / t * 100.0, 1).alias("progress"),
                        F.when(e >= t, "completed").otherwise("running").alias("status"),
                        F.col(f"_l.{loss}").alias("loss"))
+
+
+def with_job_id(df: DataFrame, col: str = "job_id") -> DataFrame:
+    """Attach a random job identifier (uuid) to new training requests."""
+    return df.withColumn(col, F.expr("uuid()"))

@@ -200,3 +200,33 @@ def q_friedman(spark, sf_dir):
        round(min(accuracy), 4) AS min, round(max(accuracy), 4) AS max, count(*) AS n_folds FROM facc GROUP BY 1""", [FOLD_ACC]))
 def q_cv_summary(spark, sf_dir):
     return ev.cv_summary(_fold_acc(spark, sf_dir), ["model"], "accuracy")
+
+
+REPORT_BODY = """SELECT model, 'per_class' AS section, class, metric, round(value, 6) AS value FROM (
+  SELECT model, class, 'precision' AS metric, precision AS value FROM pc3 UNION ALL
+  SELECT model, class, 'recall', recall FROM pc3 UNION ALL SELECT model, class, 'f1', f1 FROM pc3 UNION ALL
+  SELECT model, class, 'support', CAST(support AS DOUBLE) FROM pc3 UNION ALL SELECT model, class, 'specificity', specificity FROM pc3)
+UNION ALL
+SELECT model, 'overall', -1, metric, value FROM (
+  SELECT model, 'accuracy' AS metric, accuracy AS value FROM ov UNION ALL SELECT model, 'macro_f1', macro_f1 FROM ov UNION ALL
+  SELECT model, 'weighted_f1', weighted_f1 FROM ov UNION ALL SELECT model, 'cohens_kappa', cohens_kappa FROM ov UNION ALL
+  SELECT model, 'mcc', mcc FROM ov UNION ALL SELECT model, 'balanced_accuracy', balanced_accuracy FROM ov)
+UNION ALL
+SELECT model, 'confusion', y_true, 'cm_' || CAST(y_true AS VARCHAR) || '_' || CAST(y_pred AS VARCHAR), CAST(n AS DOUBLE) FROM cells
+UNION ALL
+SELECT model, 'confusion', y_true, 'cmn_' || CAST(y_true AS VARCHAR) || '_' || CAST(y_pred AS VARCHAR),
+       round(n / CASE WHEN sum(n) OVER (PARTITION BY model, y_true) = 0 THEN 1 ELSE sum(n) OVER (PARTITION BY model, y_true) END, 4) FROM cells
+UNION ALL
+SELECT model, 'roc_auc', class, 'roc_auc', roc_auc FROM (""" + AUC_BODY + """)
+UNION ALL
+SELECT model, 'average_precision', class, 'average_precision', round(sum((r - coalesce(r_prev, 0)) * p), 4) FROM
+  (SELECT model, class, tps / n_pos AS r, tps / (tps + fps) AS p,
+          lag(tps / n_pos) OVER (PARTITION BY model, class ORDER BY score DESC) AS r_prev FROM thr WHERE n_pos > 0)
+GROUP BY 1, 2, 3, 4"""
+
+
+@register("evaluation_report", sql(["pred"], REPORT_BODY, PC_CTES + [("ov", OVERALL_BODY), OVR, AUC_CTE, THR]))
+def q_evaluation_report(spark, sf_dir):
+    """Full report of every model in one long table (A21-A26 from one scored table)."""
+    out = ev.evaluation_report(fx.pred(spark, sf_dir), G, PROBS)
+    return out.withColumn("value", F.round("value", 6))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from neurotab.operators.training import job_status
 
@@ -69,3 +69,25 @@ def start_job_status(spark: SparkSession, source_dir: str, schema, checkpoint: s
     w = job_status(src).writeStream.outputMode("update").format("memory").queryName(sink_table) \
         .option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+class ProgressListener(StreamingQueryListener):
+    """Forwards each micro-batch's progress (batch id, input rows, rate) to a
+    callback; add with ``spark.streams.addListener``."""
+
+    def __init__(self, callback: Callable[[int, dict], None]):
+        self.callback = callback
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.callback(p.batchId, {"name": p.name, "input_rows": p.numInputRows,
+                                  "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

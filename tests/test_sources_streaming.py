@@ -96,3 +96,45 @@ def test_job_status_stream_equals_batch(spark, tmp_path):
     b = job_status(ev)
     assert s.count() == b.count()
     assert s.join(b, ["job_id", "current_epoch", "status"]).count() == b.count()
+
+
+def test_sql_surface(spark):
+    from neurotab.functions.sql_surface import register_sql_functions
+    register_sql_functions(spark)
+    rows = spark.sql("SELECT epoch_id, values FROM epochs(array(1.0D, 2.0D, 3.0D, 4.0D, 5.0D), 2)").collect()
+    assert [(r.epoch_id, list(r.values)) for r in rows] == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    short = spark.sql("SELECT values FROM epochs(array(1.0D), 3)").first()
+    assert list(short.values) == [1.0, 0.0, 0.0]
+    psd = spark.sql("SELECT welch_psd(transform(sequence(0, 63), i -> CAST(i AS DOUBLE))) AS p").first().p
+    assert len(psd) == 33
+
+
+def test_model_factory_and_progress(spark):
+    from neurotab.learn import validation as va
+    with pytest.raises(ValueError):
+        md.get_model("no_such_model")
+    data = fx.feat_wide(spark, SMALL).select("id", "label", "features")
+    from neurotab.operators.folds import stratified_folds
+    data = stratified_folds(data, k=3)
+    seen = []
+    va.cross_validate(data, md.get_model("lda"), k=3, progress=lambda step, info: seen.append(step))
+    assert seen == [0, 1, 2]
+
+
+def test_streaming_progress_listener(spark, tmp_path):
+    ev = fx.job_events(spark, SMALL)
+    src = str(tmp_path / "jobs_l")
+    ev.write.parquet(src)
+    got = []
+    listener = jobs.ProgressListener(lambda b, info: got.append(info["input_rows"]))
+    spark.streams.addListener(listener)
+    try:
+        jobs.start_job_status(spark, src, ev.schema, str(tmp_path / "ck3"), "job_status_l").awaitTermination()
+        import time
+        for _ in range(50):
+            if got:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(got) == ev.count()
