@@ -213,3 +213,34 @@ def q_permutation_importance(spark, sf_dir):
         sc = s.score(df).join(df.select("id", "label"), "id")
         return sc.agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).first()[0]
     return permutation_importance(acc, valid, [f"f{i}" for i in range(8)])
+
+
+LDA2_CTES = [
+    ("x", """SELECT vec_id AS id, label % 3 AS label, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2
+FROM embeddings"""),
+    ("m", "SELECT label, avg(x1) AS m1, avg(x2) AS m2, CAST(count(*) AS DOUBLE) AS nc FROM x GROUP BY 1"),
+    ("s", """SELECT sum((x.x1 - m.m1) * (x.x1 - m.m1)) / (count(*) - 3) AS c11,
+       sum((x.x1 - m.m1) * (x.x2 - m.m2)) / (count(*) - 3) AS c12,
+       sum((x.x2 - m.m2) * (x.x2 - m.m2)) / (count(*) - 3) AS c22, CAST(count(*) AS DOUBLE) AS n
+FROM x JOIN m ON m.label = x.label"""),
+    ("w", """SELECT m.label, (s.c22 * m.m1 - s.c12 * m.m2) / (s.c11 * s.c22 - s.c12 * s.c12) AS w1,
+       (s.c11 * m.m2 - s.c12 * m.m1) / (s.c11 * s.c22 - s.c12 * s.c12) AS w2, m.m1, m.m2, m.nc, s.n
+FROM m CROSS JOIN s"""),
+    ("sc", """SELECT x.id, w.label, w.w1 * x.x1 + w.w2 * x.x2 - 0.5 * (w.w1 * w.m1 + w.w2 * w.m2) + ln(w.nc / w.n) AS d
+FROM x CROSS JOIN w"""),
+    ("e", "SELECT id, label, exp(d - max(d) OVER (PARTITION BY id)) AS e FROM sc"),
+    ("p", "SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e"),
+]
+
+
+@register("ml_discriminant_2d", sql([], """SELECT id, 'lda' AS model,
+       CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INT) AS prediction,
+       round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2
+FROM (SELECT id, max(CASE WHEN label = 0 THEN p END) AS p0, max(CASE WHEN label = 1 THEN p END) AS p1,
+             max(CASE WHEN label = 2 THEN p END) AS p2 FROM p GROUP BY 1)""", LDA2_CTES))
+def q_ml_discriminant_2d(spark, sf_dir):
+    """Linear discriminant on two features (fitted and scored on all rows): the
+    distributed fit (class means, pooled covariance through Spark's correlation)
+    against the closed-form 2 x 2 inverse in SQL."""
+    data = fx.feat_wide(spark, sf_dir).select("id", "label", F.slice("features", 1, 2).alias("features"))
+    return rounded(md.fit_discriminant(data).score(data))
