@@ -108,13 +108,76 @@ def q_fourier_resample(spark, sf_dir):
     return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
 
 
-@register("bandpass")
+def _filtfilt_oracle(b, a, n: int = 64) -> str:
+    """Forward-backward IIR filter over each epochs64 signal as DuckDB recursive
+    CTEs: odd extension of 3 * max(len(a), len(b)) samples, steady-state
+    initial conditions, transposed direct form with the kernel's association."""
+    import numpy as np
+    from neurotab.functions.kernels import lfilter_zi
+    from neurotab.plans.oracle_views import VIEWS
+    b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
+    order = len(a) - 1
+    zi = lfilter_zi(b, a)
+    B = [repr(float(v)) for v in b]
+    A = [repr(float(v)) for v in a]
+    Z = [repr(float(v)) for v in zi]
+    pad = 3 * max(len(a), len(b))
+    big_n = n + 2 * pad
+    cols = ", ".join(f"s{k}" for k in range(order))
+
+    def step(e, y, s):
+        out = []
+        for k in range(order):
+            nxt = f"({B[k + 1]} * {e} + {s(k + 1)}) - {A[k + 1]} * {y}" if k < order - 1 else f"{B[order]} * {e} - {A[order]} * {y}"
+            out.append(nxt)
+        return out
+
+    def rec(name, src):
+        y0 = f"({B[0]} * e + {Z[0]} * e)"
+        first = step("e", y0, lambda k: f"{Z[k]} * e")
+        y1 = f"({B[0]} * x.e + f.s0)"
+        nxt = step("x.e", y1, lambda k: f"f.s{k}")
+        return f"""{name}(epoch_id, channel, j, y, {cols}) AS (
+  SELECT epoch_id, channel, j, {y0}, {", ".join(first)} FROM {src} WHERE j = 0
+  UNION ALL
+  SELECT f.epoch_id, f.channel, f.j + 1, {y1}, {", ".join(nxt)}
+  FROM {name} f JOIN {src} x ON x.epoch_id = f.epoch_id AND x.channel = f.channel AND x.j = f.j + 1)"""
+
+    return f"""WITH RECURSIVE epochs64 AS ({VIEWS['epochs64']}),
+ext AS (
+  SELECT epoch_id, channel, sample_idx + {pad} AS j, value AS e FROM epochs64
+  UNION ALL
+  SELECT s.epoch_id, s.channel, {pad} - m.sample_idx AS j, 2 * s.value - m.value AS e
+  FROM epochs64 s JOIN epochs64 m ON m.epoch_id = s.epoch_id AND m.channel = s.channel
+  WHERE s.sample_idx = 0 AND m.sample_idx BETWEEN 1 AND {pad}
+  UNION ALL
+  SELECT s.epoch_id, s.channel, {pad} + {n - 1} + ({n - 1} - m.sample_idx) AS j, 2 * s.value - m.value AS e
+  FROM epochs64 s JOIN epochs64 m ON m.epoch_id = s.epoch_id AND m.channel = s.channel
+  WHERE s.sample_idx = {n - 1} AND m.sample_idx BETWEEN {n - 1 - pad} AND {n - 2}),
+{rec("fwd", "ext")},
+rev AS (SELECT epoch_id, channel, {big_n - 1} - j AS j, y AS e FROM fwd),
+{rec("bwd", "rev")}
+SELECT epoch_id, channel, CAST({big_n - 1} - j - {pad} AS BIGINT) AS sample_idx, round(y, 6) AS value
+FROM bwd WHERE {big_n - 1} - j - {pad} BETWEEN 0 AND {n - 1}"""
+
+
+def _notch_oracle() -> str:
+    from neurotab.functions import iir
+    return _filtfilt_oracle(*iir.notch(50.0, 30.0, 128.0))
+
+
+def _bandpass_oracle() -> str:
+    from neurotab.functions import iir
+    return _filtfilt_oracle(*iir.bandpass_coefficients(0.5, 45.0, 128.0, 5))
+
+
+@register("bandpass", _bandpass_oracle())
 def q_bandpass(spark, sf_dir):
     arr = pp.bandpass(fx.epochs64_arrays(spark, sf_dir), "values", fs=128)
     return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
 
 
-@register("notch")
+@register("notch", _notch_oracle())
 def q_notch(spark, sf_dir):
     arr = pp.notch(fx.epochs64_arrays(spark, sf_dir), "values", fs=128)
     return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
