@@ -134,7 +134,59 @@ def q_manual_vector(spark, sf_dir):
     return v.select("id", F.posexplode("vector").alias("position", "value"))
 
 
-@register("feature_matrix")
+def _feature_matrix_oracle() -> str:
+    """Every feature of every epochs64 epoch in DuckDB, from the per-operator texts."""
+    from neurotab.plans import q_nonlinear as qn
+    bands_abs = " UNION ALL ".join(
+        f"SELECT epoch_id, channel || '_{b}_abs_power', sum(CASE WHEN freq BETWEEN {lo} AND {hi} THEN power ELSE 0 END), 1 FROM psd64 GROUP BY 1, channel"
+        for b, lo, hi in [(x[0], x[1], x[2]) for x in __import__("neurotab.config", fromlist=["BANDS"]).BANDS])
+    bands_rel = " UNION ALL ".join(
+        f"SELECT epoch_id, channel || '_{b}_rel_power', sum(CASE WHEN freq BETWEEN {lo} AND {hi} THEN power ELSE 0 END) / greatest(sum(power), 1e-20), 1 FROM psd64 GROUP BY 1, channel"
+        for b, lo, hi in [(x[0], x[1], x[2]) for x in __import__("neurotab.config", fromlist=["BANDS"]).BANDS])
+    rows = [
+        _TIME_ROWS,
+        bands_abs, bands_rel,
+        "SELECT epoch_id, channel || '_alpha_beta_ratio', alpha_beta_ratio, 1 FROM ratios",
+        "SELECT epoch_id, channel || '_theta_alpha_ratio', theta_alpha_ratio, 1 FROM ratios",
+        "SELECT epoch_id, channel || '_spectral_entropy', spectral_entropy, 1 FROM se",
+        "SELECT epoch_id, channel || '_mean_frequency', mean_frequency, 1 FROM cen",
+        "SELECT epoch_id, channel || '_median_frequency', median_frequency, 1 FROM med",
+        "SELECT epoch_id, channel || '_dwt_energy_' || band, dwt_energy, 1 FROM dwtee",
+        "SELECT epoch_id, channel || '_dwt_entropy_' || band, dwt_entropy, 1 FROM dwtee",
+        "SELECT epoch_id, pair, asymmetry, 1 FROM faa",
+        "SELECT epoch_id, channel || '_permutation_entropy', permutation_entropy, 2 FROM pe",
+        "SELECT epoch_id, channel || '_higuchi_fd', higuchi_fd, 2 FROM hig",
+        "SELECT epoch_id, channel || '_dfa', dfa, 2 FROM dfa",
+        "SELECT epoch_id, channel || '_spectral_entropy', spectral_entropy_norm, 2 FROM sen",
+        "SELECT epoch_id, channel || '_hjorth_fd', hjorth_fd, 2 FROM tf",
+        "SELECT epoch_id, channel || '_sample_entropy', sample_entropy, 2 FROM sampen",
+        "SELECT epoch_id, channel || '_approx_entropy', approx_entropy, 2 FROM apen",
+    ]
+    unrounded = lambda body: body.replace("round(", "(").replace(", 6) AS", ") AS")
+    ctes = q_time.TIME_CTES + qn.DWT_CTES + qn.TPL_CTES + qn.DFA_CTES + [
+        ("ratios", unrounded(q_spectral.RATIO_SQL)),
+        ("se", unrounded(q_spectral.ENTROPY_SQL)), ("sen", unrounded(q_spectral.ENTROPY_NORM_SQL)),
+        ("cen", unrounded(q_spectral.CENTROID_SQL)), ("med", q_spectral.MEDIAN_SQL),
+        ("dwtee", """SELECT c.epoch_id, c.channel, c.band, sum(c.coef * c.coef) AS dwt_energy,
+       -sum(CASE WHEN abs(c.coef) > 0 THEN abs(c.coef) / s.s * log2(abs(c.coef) / s.s) END) AS dwt_entropy
+FROM coef c JOIN (SELECT epoch_id, channel, band, sum(abs(coef)) AS s FROM coef GROUP BY 1, 2, 3) s
+  ON c.epoch_id = s.epoch_id AND c.channel = s.channel AND c.band = s.band GROUP BY 1, 2, 3"""),
+        ("alpha", "SELECT epoch_id, channel, sum(CASE WHEN freq BETWEEN 8 AND 13 THEN power ELSE 0 END) AS a FROM psd64 GROUP BY 1, 2"),
+        ("pp", """SELECT l.epoch_id, 'frontal_asymmetry_' || fp.left_ch || '_' || fp.right_ch AS pair, fp.pair_ord,
+       ln(greatest(r.a, 1e-20)) - ln(greatest(l.a, 1e-20)) AS asymmetry
+FROM alpha l JOIN frontal_pairs fp ON l.channel = fp.left_ch JOIN alpha r ON r.epoch_id = l.epoch_id AND r.channel = fp.right_ch"""),
+        ("faa", """SELECT epoch_id, pair, asymmetry FROM pp
+UNION ALL SELECT epoch_id, 'frontal_alpha_asymmetry', arg_min(asymmetry, pair_ord) FROM pp GROUP BY 1"""),
+        ("pe", unrounded(qn.PERM_BODY)), ("hig", unrounded(qn.HIGUCHI_BODY)), ("dfa", unrounded(qn.DFA_BODY)),
+        ("sampen", unrounded(qn.SAMPEN_BODY)), ("apen", unrounded(qn.APEN_BODY)),
+        ("allrows", " UNION ALL ".join(rows)),
+    ]
+    body = """SELECT epoch_id, feature, round(CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.0 ELSE v END, 6) AS value
+FROM (SELECT epoch_id, feature, arg_max(value, stage) AS v FROM allrows GROUP BY 1, 2)"""
+    return sql(["epochs64", "psd64", "frontal_pairs"], body, ctes)
+
+
+@register("feature_matrix", _feature_matrix_oracle())
 def q_feature_matrix(spark, sf_dir):
     """Every feature of every epochs64 epoch (time, spectral, wavelet, asymmetry,
     nonlinear incl. kernel entropies), merged by stage and scrubbed."""
