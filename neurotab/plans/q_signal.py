@@ -108,13 +108,15 @@ def q_fourier_resample(spark, sf_dir):
     return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
 
 
-def _filtfilt_oracle(b, a, n: int = 64) -> str:
-    """Forward-backward IIR filter over each epochs64 signal as DuckDB recursive
-    CTEs: odd extension of 3 * max(len(a), len(b)) samples, steady-state
-    initial conditions, transposed direct form with the kernel's association."""
+def _filtfilt_ctes(b, a, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
+    """DuckDB CTEs running a forward-backward IIR filter over every signal of
+    ``src`` (keys..., sample_idx, value) of any length: odd extension of
+    3 * max(len(a), len(b)) samples, steady-state initial conditions,
+    transposed direct form with the kernel's association; signals no longer
+    than the padding pass through.  The last CTE, ``{prefix}out``, has the
+    same columns as ``src``.  (Recursive: the statement must start WITH RECURSIVE.)"""
     import numpy as np
     from neurotab.functions.kernels import lfilter_zi
-    from neurotab.plans.oracle_views import VIEWS
     b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
     order = len(a) - 1
     zi = lfilter_zi(b, a)
@@ -122,43 +124,54 @@ def _filtfilt_oracle(b, a, n: int = 64) -> str:
     A = [repr(float(v)) for v in a]
     Z = [repr(float(v)) for v in zi]
     pad = 3 * max(len(a), len(b))
-    big_n = n + 2 * pad
+    k1, k2 = keys
     cols = ", ".join(f"s{k}" for k in range(order))
+    on = f"x.{k1} = f.{k1} AND x.{k2} = f.{k2}"
 
     def step(e, y, s):
-        out = []
-        for k in range(order):
-            nxt = f"({B[k + 1]} * {e} + {s(k + 1)}) - {A[k + 1]} * {y}" if k < order - 1 else f"{B[order]} * {e} - {A[order]} * {y}"
-            out.append(nxt)
-        return out
+        return [f"({B[k + 1]} * {e} + {s(k + 1)}) - {A[k + 1]} * {y}" if k < order - 1
+                else f"{B[order]} * {e} - {A[order]} * {y}" for k in range(order)]
 
-    def rec(name, src):
+    def rec(name, srcn):
         y0 = f"({B[0]} * e + {Z[0]} * e)"
         first = step("e", y0, lambda k: f"{Z[k]} * e")
         y1 = f"({B[0]} * x.e + f.s0)"
         nxt = step("x.e", y1, lambda k: f"f.s{k}")
-        return f"""{name}(epoch_id, channel, j, y, {cols}) AS (
-  SELECT epoch_id, channel, j, {y0}, {", ".join(first)} FROM {src} WHERE j = 0
+        return (name, f"""SELECT {k1}, {k2}, j, nn, {y0} AS y, {", ".join(f"{v} AS s{i}" for i, v in enumerate(first))}
+  FROM {srcn} WHERE j = 0
   UNION ALL
-  SELECT f.epoch_id, f.channel, f.j + 1, {y1}, {", ".join(nxt)}
-  FROM {name} f JOIN {src} x ON x.epoch_id = f.epoch_id AND x.channel = f.channel AND x.j = f.j + 1)"""
+  SELECT f.{k1}, f.{k2}, f.j + 1, f.nn, {y1}, {", ".join(nxt)}
+  FROM {name} f JOIN {srcn} x ON {on} AND x.j = f.j + 1""")
+
+    p = prefix
+    return [
+        (f"{p}n", f"SELECT {k1}, {k2}, count(*) AS n FROM {src} GROUP BY 1, 2"),
+        (f"{p}ext", f"""SELECT s.{k1}, s.{k2}, s.sample_idx + {pad} AS j, c.n + {2 * pad} AS nn, s.value AS e
+FROM {src} s JOIN {p}n c ON c.{k1} = s.{k1} AND c.{k2} = s.{k2} WHERE c.n > {pad}
+UNION ALL
+SELECT s.{k1}, s.{k2}, {pad} - m.sample_idx, c.n + {2 * pad}, 2 * s.value - m.value
+FROM {src} s JOIN {src} m ON m.{k1} = s.{k1} AND m.{k2} = s.{k2} JOIN {p}n c ON c.{k1} = s.{k1} AND c.{k2} = s.{k2}
+WHERE c.n > {pad} AND s.sample_idx = 0 AND m.sample_idx BETWEEN 1 AND {pad}
+UNION ALL
+SELECT s.{k1}, s.{k2}, {pad} + 2 * (c.n - 1) - m.sample_idx, c.n + {2 * pad}, 2 * s.value - m.value
+FROM {src} s JOIN {src} m ON m.{k1} = s.{k1} AND m.{k2} = s.{k2} JOIN {p}n c ON c.{k1} = s.{k1} AND c.{k2} = s.{k2}
+WHERE c.n > {pad} AND s.sample_idx = c.n - 1 AND m.sample_idx BETWEEN c.n - 1 - {pad} AND c.n - 2"""),
+        rec(f"{p}fwd", f"{p}ext"),
+        (f"{p}rev", f"SELECT {k1}, {k2}, nn - 1 - j AS j, nn, y AS e FROM {p}fwd"),
+        rec(f"{p}bwd", f"{p}rev"),
+        (f"{p}out", f"""SELECT {k1}, {k2}, CAST(nn - 1 - j - {pad} AS BIGINT) AS sample_idx, y AS value
+FROM {p}bwd WHERE nn - 1 - j - {pad} BETWEEN 0 AND nn - {2 * pad} - 1
+UNION ALL
+SELECT s.{k1}, s.{k2}, s.sample_idx, s.value FROM {src} s JOIN {p}n c ON c.{k1} = s.{k1} AND c.{k2} = s.{k2}
+WHERE c.n <= {pad}"""),
+    ]
 
-    return f"""WITH RECURSIVE epochs64 AS ({VIEWS['epochs64']}),
-ext AS (
-  SELECT epoch_id, channel, sample_idx + {pad} AS j, value AS e FROM epochs64
-  UNION ALL
-  SELECT s.epoch_id, s.channel, {pad} - m.sample_idx AS j, 2 * s.value - m.value AS e
-  FROM epochs64 s JOIN epochs64 m ON m.epoch_id = s.epoch_id AND m.channel = s.channel
-  WHERE s.sample_idx = 0 AND m.sample_idx BETWEEN 1 AND {pad}
-  UNION ALL
-  SELECT s.epoch_id, s.channel, {pad} + {n - 1} + ({n - 1} - m.sample_idx) AS j, 2 * s.value - m.value AS e
-  FROM epochs64 s JOIN epochs64 m ON m.epoch_id = s.epoch_id AND m.channel = s.channel
-  WHERE s.sample_idx = {n - 1} AND m.sample_idx BETWEEN {n - 1 - pad} AND {n - 2}),
-{rec("fwd", "ext")},
-rev AS (SELECT epoch_id, channel, {big_n - 1} - j AS j, y AS e FROM fwd),
-{rec("bwd", "rev")}
-SELECT epoch_id, channel, CAST({big_n - 1} - j - {pad} AS BIGINT) AS sample_idx, round(y, 6) AS value
-FROM bwd WHERE {big_n - 1} - j - {pad} BETWEEN 0 AND {n - 1}"""
+
+def _filtfilt_oracle(b, a) -> str:
+    from neurotab.plans.oracle_views import VIEWS
+    ctes = [("epochs64", VIEWS["epochs64"])] + _filtfilt_ctes(b, a, "epochs64", ("epoch_id", "channel"), "f_")
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in ctes) + \
+        "\nSELECT epoch_id, channel, sample_idx, round(value, 6) AS value FROM f_out"
 
 
 def _notch_oracle() -> str:
@@ -202,7 +215,31 @@ def q_clean_chain(spark, sf_dir):
     return rounded(pp.clean(fx.samples(spark, sf_dir), REC, filters=False, baseline=3, epoch_size=4))
 
 
-@register("clean_full")
+def _clean_full_oracle() -> str:
+    from neurotab.functions import iir
+    from neurotab.plans.oracle_views import VIEWS
+    keys = ("recording_id", "channel")
+    ctes = [("samples_big", VIEWS["samples_big"])]
+    ctes += _filtfilt_ctes(*iir.bandpass_coefficients(0.5, 45.0, 128.0, 5), "samples_big", keys, "bp_")
+    ctes += _filtfilt_ctes(*iir.notch(50.0, 30.0, 128.0), "bp_out", keys, "nt_")
+    ctes += [
+        ("car", "SELECT recording_id, channel, sample_idx, value - avg(value) OVER (PARTITION BY recording_id, sample_idx) AS value FROM nt_out"),
+        ("base", """SELECT recording_id, channel, sample_idx,
+       value - coalesce(avg(CASE WHEN sample_idx < 24 THEN value END) OVER (PARTITION BY recording_id, channel), 0) AS value FROM car"""),
+        ("src", """SELECT recording_id, channel, sample_idx,
+       CASE WHEN sd > 1e-10 THEN (value - mu) / sd ELSE value - mu END AS value
+FROM (SELECT *, avg(value) OVER (PARTITION BY recording_id, channel) AS mu,
+             stddev_pop(value) OVER (PARTITION BY recording_id, channel) AS sd FROM base)"""),
+        ("cnt", "SELECT recording_id, channel, count(*) AS n FROM src GROUP BY 1, 2"),
+    ]
+    body = """SELECT s.recording_id, s.channel, CAST(floor(s.sample_idx / 32) AS BIGINT) AS epoch_id,
+       CAST(s.sample_idx % 32 AS BIGINT) AS pos, round(s.value, 6) AS value
+FROM src s JOIN cnt c ON s.recording_id = c.recording_id AND s.channel = c.channel
+WHERE c.n < 32 OR floor(s.sample_idx / 32) < floor(c.n / 32)"""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in ctes) + "\n" + body
+
+
+@register("clean_full", _clean_full_oracle())
 def q_clean_full(spark, sf_dir):
     """Full chain with band-pass and notch on samples_big (162-235 samples per signal)."""
     return rounded(pp.clean(fx.samples_big(spark, sf_dir), REC, filters=True, baseline=24, epoch_size=32))
