@@ -105,12 +105,19 @@ def best_trial(results: DataFrame, score: str = "mean_accuracy") -> DataFrame:
 
 
 def tune(data: DataFrame, fit_for: Callable[[dict], FitFn], trials: DataFrame, fold_col: str = "fold",
-         k: int = 3, progress: Progress = None) -> DataFrame:
-    """k-fold accuracy of each trial's parameters; returns trials + mean_accuracy."""
-    out = []
-    for t in trials.collect():                          # n_trials rows of parameters
-        params = t.asDict()
+         k: int = 3, progress: Progress = None, parallelism: int = 4) -> DataFrame:
+    """k-fold accuracy of each trial's parameters; returns trials + mean_accuracy.
+    Trials are independent Spark jobs, submitted from ``parallelism`` driver
+    threads (as ``CrossValidator``'s parallelism does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    params_list = [t.asDict() for t in trials.collect()]       # n_trials rows of parameters
+
+    def run(params: dict) -> tuple:
         acc = cross_validate(data, fit_for(params), fold_col, k).agg(F.avg("accuracy")).first()[0]
-        out.append((*params.values(), float(acc)))
         _report(progress, params["trial"], {"stage": "trial", "mean_accuracy": float(acc)})
+        return (*params.values(), float(acc))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        out = list(pool.map(run, params_list))
     return data.sparkSession.createDataFrame(out, trials.schema.simpleString()[7:-1] + ", mean_accuracy double")
