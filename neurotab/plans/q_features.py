@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from neurotab import config
 from neurotab import fixtures as fx
 from neurotab.operators import selection as se
 from neurotab.operators import spectral as sp
@@ -139,10 +140,10 @@ def _feature_matrix_oracle() -> str:
     from neurotab.plans import q_nonlinear as qn
     bands_abs = " UNION ALL ".join(
         f"SELECT epoch_id, channel || '_{b}_abs_power', sum(CASE WHEN freq BETWEEN {lo} AND {hi} THEN power ELSE 0 END), 1 FROM psd64 GROUP BY 1, channel"
-        for b, lo, hi in [(x[0], x[1], x[2]) for x in __import__("neurotab.config", fromlist=["BANDS"]).BANDS])
+        for b, lo, hi in config.BANDS)
     bands_rel = " UNION ALL ".join(
         f"SELECT epoch_id, channel || '_{b}_rel_power', sum(CASE WHEN freq BETWEEN {lo} AND {hi} THEN power ELSE 0 END) / greatest(sum(power), 1e-20), 1 FROM psd64 GROUP BY 1, channel"
-        for b, lo, hi in [(x[0], x[1], x[2]) for x in __import__("neurotab.config", fromlist=["BANDS"]).BANDS])
+        for b, lo, hi in config.BANDS)
     rows = [
         _TIME_ROWS,
         bands_abs, bands_rel,

@@ -11,6 +11,7 @@ from neurotab.operators.labels import anxiety_label, subject_id_from_folder
 from neurotab.sources import readers as rd
 from neurotab.sources import writers as wr
 from neurotab.plans.common import rounded
+from neurotab.plans.q_evaluation import PC_CTES
 from neurotab.plans.oracle_views import sql
 from neurotab.plans.registry import register
 from neurotab.session import scratch_path
@@ -182,7 +183,7 @@ def q_upload_explode(spark, sf_dir):
 
 @register("metrics_lookup", sql(["pred"], """SELECT model, class, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1, CAST(support AS BIGINT) AS support, round(specificity, 6) AS specificity, 'fixture' AS dataset
-FROM pc3 WHERE model = 2""", __import__("neurotab.plans.q_evaluation", fromlist=["PC_CTES"]).PC_CTES))
+FROM pc3 WHERE model = 2""", PC_CTES))
 def q_metrics_lookup(spark, sf_dir):
     """Per-class metrics stored partitioned by (model, dataset); the lookup of
     one (model, dataset) prunes to one directory."""

@@ -13,6 +13,7 @@ from neurotab.operators.evaluation import per_class_metrics
 from neurotab.operators.ordering import sequence_index
 from neurotab.plans import q_spectral
 from neurotab.plans.common import rounded
+from neurotab.plans.q_evaluation import PC_CTES
 from neurotab.plans.oracle_views import sql
 from neurotab.plans.registry import register
 
@@ -192,7 +193,7 @@ def q_gauge_position(spark, sf_dir):
 
 @register("table_sort", sql(["pred"], """SELECT CAST(row_number() OVER (ORDER BY f1 DESC, model, class) - 1 AS BIGINT) AS position,
        model, class, f1 FROM (SELECT model, class, round(f1, 6) AS f1 FROM pc3)""",
-                            __import__("neurotab.plans.q_evaluation", fromlist=["PC_CTES"]).PC_CTES))
+                            PC_CTES))
 def q_table_sort(spark, sf_dir):
     """Metrics table sorted by F1 descending, stable on the original row order
     (model, class); position by the balanced global numbering."""

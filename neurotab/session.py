@@ -39,8 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) ->
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system folder and is used
-    as is.  Only when it is unset *and* the caller asks for it (tests, local
-    benchmark) is a fresh folder under /tmp taken.
+    as is.  Only when it is unset, the caller asks for it (tests, local
+    benchmark, the local driver harness) *and* the master is local is a fresh
+    folder under /tmp taken.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) ->
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not local_fallback:
+    if not local_fallback or not sc.master.startswith("local"):
+        # on a cluster a machine-local folder would not survive executor loss
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for checkpoints")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="neurotab-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
