@@ -10,7 +10,8 @@ from conftest import SMALL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["band_power", "zscore", "epoching", "time_features", "dwt_energy_entropy", "higuchi_fd", "dfa_exponent",
          "overall_metrics", "roc_auc_ovr", "stratified_folds", "select_k_best", "knn_classify", "xml_ratings",
-         "early_stop_epoch", "tumbling_features"]
+         "early_stop_epoch", "tumbling_features", "notch", "bandpass", "clean_full", "evaluation_report",
+         "ml_discriminant_2d"]
 
 
 @pytest.fixture(scope="module")
