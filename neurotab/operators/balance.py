@@ -46,8 +46,8 @@ def smote(df: DataFrame, id_col: str = "id", label: str = "label", vec: str = "f
     key = [F.lit(seed), F.col(label), F.col("syn_idx")]
     syn = syn.select(id_col, label, "syn_idx", (1 + _md5_int(key, 1) % k).cast("int").alias("_nn"),
                      (_md5_int(key, 9) / F.lit(4294967296.0)).alias("_u"))
-    nn = knn_join(df.select(id_col, label, vec), df.select(id_col, label, vec), k, id_col, vec,
-                  partition=[label], exclude_self=True, block=block)
+    rows = df.select(id_col, label, vec)
+    nn = knn_join(rows, rows, k, id_col, vec, partition=[label], exclude_self=True, block=block, self_join=True)
     syn = syn.join(nn.select(F.col("q_id").alias(id_col), F.col("rank").alias("_nn"), "p_id"), [id_col, "_nn"])
     x = df.select(F.col(id_col), F.col(vec).alias("_x"))
     y = df.select(F.col(id_col).alias("p_id"), F.col(vec).alias("_y"))

@@ -51,9 +51,12 @@ def _distance(a: str, b: str, dim: int | None = None) -> F.Column:
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "features",
              partition: Sequence[str] = (), exclude_self: bool = False, block: int = 128,
-             payload: Sequence[str] = ()) -> DataFrame:
+             payload: Sequence[str] = (), self_join: bool = False) -> DataFrame:
     """For each query: its k nearest points (ties by point id).
 
+    ``self_join``: queries and points are the same rows (each row is ranked once
+    and plays both roles; pass the same DataFrame twice).
+
     Output: (q_id, partition..., p_id, payload..., distance, rank) with rank 1..k
     (fewer rows when the partition holds fewer points)."""
     part = list(partition)
@@ -61,16 +64,19 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
         queries, points, part = queries.withColumn("_all", F.lit(0)), points.withColumn("_all", F.lit(0)), ["_all"]
     j, dim = _widest_coordinate(points, vec)
     proj = F.element_at(F.col(vec), j + 1)
-    both = points.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(0).alias("_isq")) \
-        .unionByName(queries.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(1).alias("_isq")))
+    both = points.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(0).alias("_isq"))
+    if not self_join:
+        both = both.unionByName(
+            queries.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(1).alias("_isq")))
     ranked = sequence_index(both, part, ["_proj", "_isq", "_rid"], name="_r") \
         .withColumn("_b", F.floor(F.col("_r") / block).cast("long"))
     ranked = cut_lineage(ranked)
     bounds = ranked.groupBy(*part, "_b").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi"))
     nb = bounds.groupBy(*part).agg(F.max("_b").alias("_bmax"))
-    pts = ranked.where(F.col("_isq") == 0).select(*part, F.col("_rid").alias("p_id"), "_b") \
+    q_flag, p_flag = (0, 0) if self_join else (1, 0)
+    pts = ranked.where(F.col("_isq") == p_flag).select(*part, F.col("_rid").alias("p_id"), "_b") \
         .join(points.select(F.col(id_col).alias("p_id"), F.col(vec).alias("_pv"), *payload), "p_id")
-    pending = ranked.where(F.col("_isq") == 1).select(*part, F.col("_rid").alias("q_id"), "_b", "_proj") \
+    pending = ranked.where(F.col("_isq") == q_flag).select(*part, F.col("_rid").alias("q_id"), "_b", "_proj") \
         .join(queries.select(F.col(id_col).alias("q_id"), F.col(vec).alias("_qv")), "q_id") \
         .join(nb, part)
     done = []

@@ -57,7 +57,7 @@ def q_smote_neighbors(spark, sf_dir):
     data = fx.feat_wide(spark, sf_dir)
     counts = [r[1] for r in data.groupBy("label").count().collect()]
     k = ba.smote_neighbour_k(counts)
-    nn = knn_join(data, data, k, partition=["label"], exclude_self=True)
+    nn = knn_join(data, data, k, partition=["label"], exclude_self=True, self_join=True)
     return nn.select("q_id", "label", "p_id", F.col("rank").cast("int").alias("rank"))
 
 

@@ -111,13 +111,15 @@ def test_knn_join_exact_against_brute_force(spark):
     cls = np.where(rng.random(n) < 0.7, 0, 1)
     pdf = pd.DataFrame({"id": np.arange(n), "label": cls, "features": list(x)})
     df = spark.createDataFrame(pdf, "id long, label long, features array<double>")
-    got = knn_join(df, df, 5, partition=["label"], exclude_self=True, block=16).toPandas()
-    for q in [0, 1, 17, 299, 300, 599]:
-        same = np.nonzero((cls == cls[q]) & (np.arange(n) != q))[0]
-        d = np.sqrt(((x[same] - x[q]) ** 2).sum(axis=1))
-        order = sorted(zip(d, same))[:5]
-        mine = got[got.q_id == q].sort_values("rank")
-        assert list(mine.p_id) == [int(i) for _, i in order]
+    for self_join in (False, True):
+        got = knn_join(df, df, 5, partition=["label"], exclude_self=True, block=16, self_join=self_join).toPandas()
+        assert len(got) == 5 * n
+        for q in [0, 1, 17, 299, 300, 599]:
+            same = np.nonzero((cls == cls[q]) & (np.arange(n) != q))[0]
+            d = np.sqrt(((x[same] - x[q]) ** 2).sum(axis=1))
+            order = sorted(zip(d, same))[:5]
+            mine = got[got.q_id == q].sort_values("rank")
+            assert list(mine.p_id) == [int(i) for _, i in order]
 
 
 def test_smote_points_lie_on_segments_and_balance(spark):
