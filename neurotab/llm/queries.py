@@ -70,3 +70,91 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neurotab.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    out = identify(docs, model)
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@register("op2_topk_search", OP2_SQL)
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP4_SQL = """
+WITH r AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT payload_digest, min(page_id) AS first FROM r WHERE payload_bytes >= 100 GROUP BY payload_digest HAVING count(*) > 1 AND min(page_id) IS NOT NULL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM r LEFT JOIN f USING (payload_digest)
+"""
+
+
+@register("op4_warc", OP4_SQL)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.warc import read_archives, write_archives
+    from neurotab.session import scratch_path
+
+    manifest = write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), scratch_path(spark, "warc"))
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.kneser_ney import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = score(docs, fit(docs.filter(~held_out(F.col("doc_id")))))
+    return out.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@register("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.sentencepiece import tokenize
+
+    return tokenize(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_tokens", "round_trip", "ids")
