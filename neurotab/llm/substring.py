@@ -32,87 +32,140 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import as_batch, text_bytes
+from neurotab.llm.common import as_batch, set_aside, text_bytes
 from neurotab.llm.packing import expand, squeeze
 
 WINDOW = 13
 PREFIX = 5
-CHUNK_BYTES = 16 << 20
-BUCKET_WORDS = 2_500_000
-SUBTREE_WORDS = 8_000_000
+CHUNK_BYTES = 8 << 20
+BUCKET_WORDS = 1_500_000
+SUBTREE_WORDS = 6_000_000
+
+
+# place of a window's anchor in the low bits of its order: the leftmost of equal hashes is the smallest
+PLACE_BITS = 31
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+HASH_WORDS, LONG_WORD = 8192, 4096
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64, i < n."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(w: list[bytes]) -> np.ndarray:
+    """A 64-bit polynomial hash of each word, many words at a time.  It picks
+    anchors and buckets; words are never compared by it."""
+    out = np.empty(len(w), np.uint64)
+    for at in range(0, len(w), HASH_WORDS):
+        part = w[at:at + HASH_WORDS]
+        lens = np.fromiter(map(len, part), np.int64, len(part))
+        if lens.max() > LONG_WORD:
+            part = [x if len(x) <= LONG_WORD else hashlib.sha256(x).digest() for x in part]
+            lens = np.fromiter(map(len, part), np.int64, len(part))
+        raw = np.frombuffer(b"".join(part), np.uint8)
+        up, down = powers(1 << max(16, (len(raw) - 1).bit_length()))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
+        ends = np.cumsum(lens)
+        h = (sums[ends] - sums[ends - lens]) * down[ends - lens]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[at:at + HASH_WORDS] = h ^ (h >> np.uint64(29))
+    return out
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Start of the anchor of every window, from the hashes of a text's words."""
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of the anchor of every window, from the hashes of a text's words,
+    and the hashes of all sequences that can be one."""
     n = len(h) - PREFIX + 1
-    with np.errstate(over="ignore"):
-        g = h[:n].copy()
-        for k in range(1, PREFIX):
-            g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k:n + k]
-        g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    views = np.lib.stride_tricks.sliding_window_view(g, WINDOW - PREFIX + 1)
-    place = np.arange(len(views)) + views.argmin(axis=1)  # the first of equal ones
-    return place, g
+    g = h[:n].copy()
+    for k in range(1, PREFIX):
+        g = (g ^ (g >> np.uint64(29))) * np.uint64(BASE) + h[k:n + k]
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    order = (g & ~low) | np.arange(n, dtype=np.uint64)
+    span, width = order, 1
+    while width * 2 <= WINDOW - PREFIX + 1:  # smallest of 1, 2, 4, 8 neighbours
+        span = np.minimum(span[:-width], span[width:])
+        width *= 2
+    rest = WINDOW - PREFIX + 1 - width
+    span = np.minimum(span[:len(span) - rest], span[rest:]) if rest else span
+    return (span & low).astype(np.int64), g
 
 
 class Chunk:
-    """The runs of a chunk's documents, in an order that a second pass repeats."""
-
-    def __init__(self, ids: list, texts: list, buckets: int) -> None:
-        import xxhash
+    """The distinct runs of a chunk's documents, numbered in an order that a
+    second pass repeats.  Numbers are kept in packed arrays: what grows with the
+    chunk is its distinct run texts and a few bytes for each run."""
 
-        digest = xxhash.xxh64_intdigest
-        self.docs: list[tuple] = []  # (row, words, [(start, windows, run number)])
+    def __init__(self, ids: list, texts: list, buckets: int, places: bool = False) -> None:
+        self.docs: list[tuple] = []  # (row, run starts, run numbers), if places are wanted
         self.runs: dict[bytes, int] = {}
-        self.low: list[int] = []
-        self.high: list[int] = []
-        self.facts: list[tuple[int, int, int]] = []  # (bucket, words, place of the anchor)
+        self.low, self.high = array("q"), array("q")
+        self.bucket, self.words, self.anchor = array("q"), array("B"), array("B")
         for row in sorted(range(len(ids)), key=lambda k: (ids[k], texts[k])):
             w = texts[row].split()
-            found: list[tuple[int, int, int]] = []
+            starts = numbers = ()
             if len(w) >= WINDOW:
-                place, g = anchors(np.fromiter((digest(x) for x in w), np.uint64, len(w)))
-                edges = np.nonzero(np.diff(place, prepend=-1))[0]
-                at = place[edges]
-                target = (((g[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).tolist()
-                stop = [*edges[1:].tolist(), len(place)]
-                edges = edges.tolist()
-                for s, e, a, b in zip(edges, stop, at.tolist(), target, strict=True):
-                    text = b" ".join(w[s:e + WINDOW - 1])
-                    run = self.runs.get(text)
-                    if run is None:
-                        run = self.runs[text] = len(self.low)
-                        self.low.append(ids[row])
-                        self.high.append(ids[row])
-                        self.facts.append((b, e - s + WINDOW - 1, a - s))
-                    else:  # rows come in the order of their ids
-                        self.high[run] = ids[row]
-                    found.append((s, e - s, run))
-            self.docs.append((row, w, found))
-
-    def by_bucket(self) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for run, (bucket, _, _) in enumerate(self.facts):
-            out.setdefault(bucket, []).append(run)
-        return out
-
-    def packed(self) -> dict:
-        texts, facts = list(self.runs), self.facts
-        out: dict = {"bucket": [], "body": []}
-        for bucket, runs in self.by_bucket().items():
-            low = np.array([self.low[r] for r in runs], np.int64)
-            out["bucket"].append(bucket)
-            out["body"].append(squeeze(
-                np.array([facts[r][1] for r in runs], np.uint8), np.array([facts[r][2] for r in runs], np.uint8), low,
-                np.array([self.high[r] for r in runs], np.int64) - low, np.frombuffer(b"\n".join(texts[r] for r in runs), np.uint8)))
-        return out
+                place, g = anchors(word_hashes(w))
+                starts = np.nonzero(np.diff(place, prepend=-1))[0]
+                n = np.diff(starts, append=len(place)) + (WINDOW - 1)
+                at = place[starts]
+                joined = b" ".join(w)
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+                begin = np.r_[0, ends][starts]
+                numbers, new = self.number(joined, begin.tolist(), (ends[starts + n - 1] - 1).tolist(), ids[row])
+                if new:
+                    self.bucket.frombytes((((g[at[new]] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64).tobytes())
+                    self.words.frombytes(n[new].astype(np.uint8).tobytes())
+                    self.anchor.frombytes((at[new] - starts[new]).astype(np.uint8).tobytes())
+            if places:
+                self.docs.append((row, starts, numbers))
+
+    def number(self, joined: bytes, begin: list[int], end: list[int], who: int) -> tuple[np.ndarray, list[int]]:
+        """Numbers of a document's runs, and which of them are new."""
+        runs, high, numbers, new = self.runs, self.high, [], []
+        for k, (a, b) in enumerate(zip(begin, end, strict=True)):
+            text = joined[a:b]
+            run = runs.get(text)
+            if run is None:
+                run = runs[text] = len(runs)
+                high.append(who)
+                new.append(k)
+            else:  # rows come in the order of their ids
+                high[run] = who
+            numbers.append(run)
+        self.low.extend([who] * len(new))
+        return np.array(numbers, np.int32), new
+
+    def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, its runs in order)."""
+        bucket = np.frombuffer(self.bucket, np.int64) if self.bucket else np.empty(0, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
+        yield from zip(bucket[order][edges].tolist(), np.split(order, edges[1:]), strict=True) if len(edges) else ()
+
+    def packed(self) -> Iterator[tuple[int, bytes]]:
+        texts = list(self.runs)
+        facts = [np.frombuffer(x, k) if x else np.empty(0, k) for x, k in ((self.words, np.uint8), (self.anchor, np.uint8), (self.low, np.int64), (self.high, np.int64))]
+        for bucket, runs in self.by_bucket():
+            words, anchor, low, high = (x[runs] for x in facts)
+            yield bucket, squeeze(words, anchor, low, high - low, np.frombuffer(b"\n".join([texts[r] for r in runs.tolist()]), np.uint8))
 
 
 def numbered(*keys: np.ndarray) -> np.ndarray:
@@ -142,35 +195,34 @@ def smallest(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def subtrees(words: list[list[bytes]], low: np.ndarray) -> np.ndarray:
+def subtrees(runs: list[bytes], lens: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Smallest id at the depth-13 node of every window of every run, in order."""
-    total = sum(map(len, words))
+    total = int(lens.sum())
     parts = -(-total // SUBTREE_WORDS)
+    n = lens - (WINDOW - 1)
     if parts <= 1:
         number: dict[bytes, int] = {}
-        flat = np.fromiter((number.setdefault(x, len(number)) for run in words for x in run), np.int64, total)
-        lens = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.fromiter((number.setdefault(x, len(number)) for run in runs for x in run.split(b" ")), np.int64, total)
         begin = np.cumsum(lens) - lens
-        n = lens - (WINDOW - 1)
         starts = np.repeat(begin, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         return smallest(window_nodes(flat, starts), np.repeat(low, n))
     # longer prefixes: windows are split by their first words, one part at a time
     import zlib
 
-    n = np.fromiter((len(run) - WINDOW + 1 for run in words), np.int64, len(words))
     out, parts = np.empty(n.sum(), np.int64), parts * 8
     for part in range(parts):
         place, some, ids, at = [], [], [], 0
-        for run, who in zip(words, low.tolist(), strict=True):
+        for text, who in zip(runs, low.tolist(), strict=True):
+            run = text.split(b" ")
             for k in range(len(run) - WINDOW + 1):
                 if zlib.crc32(b" ".join(run[k:k + 8])) % parts == part:
                     place.append(at + k)
-                    some.append(run[k:k + WINDOW])
+                    some.append(b" ".join(run[k:k + WINDOW]))
                     ids.append(who)
             at += len(run) - WINDOW + 1
         if some:
             number = {}
-            flat = np.fromiter((number.setdefault(x, len(number)) for run in some for x in run), np.int64, WINDOW * len(some))
+            flat = np.fromiter((number.setdefault(x, len(number)) for run in some for x in run.split(b" ")), np.int64, WINDOW * len(some))
             out[place] = smallest(window_nodes(flat, np.arange(len(some)) * WINDOW), np.array(ids, np.int64))
     return out
 
@@ -178,46 +230,52 @@ def subtrees(words: list[list[bytes]], low: np.ndarray) -> np.ndarray:
 def solve_bucket(bodies: list[bytes]) -> list[bytes | None]:
     """For each chunk's pack, the packed (run, windows, smallest ids) of runs
     that hold a window with an id smaller than their largest."""
-    packs = []
-    groups: dict[bytes, list[tuple[int, int]]] = {}
-    for c, body in enumerate(bodies):
-        n, place, low, more, text = expand(body)
-        runs = [line.split(b" ") for line in text.tobytes().split(b"\n")]
-        packs.append((n, low, more, runs))
-        for r, (run, a) in enumerate(zip(runs, place.tolist(), strict=True)):
-            groups.setdefault(b" ".join(run[a:a + PREFIX]), []).append((c, r))
-    branched = [x for g in groups.values() if len(g) > 1 for x in g]
-    alone = [g[0] for g in groups.values() if len(g) == 1]
-    del groups
-    answers: list[list[tuple[int, np.ndarray]]] = [[] for _ in packs]
-    if branched:
-        runs = [packs[c][3][r] for c, r in branched]
-        low = np.array([packs[c][1][r] for c, r in branched], np.int64)
-        found, at = subtrees(runs, low), 0
-        for (c, r), run in zip(branched, runs, strict=True):
-            mine = found[at:at + len(run) - WINDOW + 1]
-            at += len(mine)
-            if mine.min() < packs[c][1][r] + packs[c][2][r]:
-                answers[c].append((r, mine))
-    for c, r in alone:  # seen by several documents of one chunk only
-        if packs[c][2][r]:
-            answers[c].append((r, np.full(len(packs[c][3][r]) - WINDOW + 1, packs[c][1][r], np.int64)))
-    return [squeeze(np.array([r for r, _ in a], np.uint32), np.array([len(m) for _, m in a], np.uint8), np.concatenate([m for _, m in a])) if a else None for a in answers]
-
-
-def covered(chunk: Chunk, ids: list, answers: dict[int, tuple]) -> Iterator[tuple]:
+    import xxhash
+
+    runs: list[bytes] = []
+    facts = []
+    for body in bodies:
+        *numbers, text = expand(body)
+        runs += text.tobytes().split(b"\n")
+        facts.append(numbers)
+    counts = [len(f[0]) for f in facts]
+    lens, anchor, low, more = (np.concatenate(x).astype(np.int64) for x in zip(*facts, strict=True))
+    # a prefix that one run has alone does not branch; the hash only puts runs aside
+    prefix = np.fromiter((xxhash.xxh64_intdigest(b" ".join(run.split(b" ", a + PREFIX)[a:a + PREFIX])) for run, a in zip(runs, anchor.tolist(), strict=True)), np.uint64, len(runs))
+    _, place, times = np.unique(prefix, return_inverse=True, return_counts=True)
+    branched = np.nonzero(times[place] > 1)[0]
+    n = lens - (WINDOW - 1)
+    # runs alone may still be held by several documents of their chunk
+    found = np.repeat(low, n)
+    if len(branched):
+        some = subtrees([runs[k] for k in branched.tolist()], lens[branched], low[branched])
+        found[np.repeat(np.isin(np.arange(len(runs)), branched), n)] = some
+    begin = np.cumsum(n) - n
+    told = np.minimum.reduceat(found, begin) < low + more
+    out, at = [], 0
+    for c in counts:
+        mine = at + np.nonzero(told[at:at + c])[0]
+        parts = [found[begin[k]:begin[k] + n[k]] for k in mine.tolist()]
+        out.append(squeeze((mine - at).astype(np.uint32), n[mine].astype(np.uint8), np.concatenate(parts)) if parts else None)
+        at += c
+    return out
+
+
+def covered(chunk: Chunk, ids: list, texts: list, answers: dict[int, tuple]) -> Iterator[tuple]:
     """(row, words, mask of words to remove) of each document."""
     known: dict[int, np.ndarray] = {}
-    for bucket, runs in chunk.by_bucket().items():
+    for bucket, runs in chunk.by_bucket():
         if bucket in answers:
             places, n, low = answers[bucket]
             for place, part in zip(places.tolist(), np.split(low, np.cumsum(n.astype(np.int64))[:-1]), strict=True):
-                known[runs[place]] = part
-    for row, w, found in chunk.docs:
+                known[int(runs[place])] = part
+    for row, starts, numbers in chunk.docs:
+        w = texts[row].split()
         edge = np.zeros(len(w) + 1, np.int64)
-        for s, _, run in found:
-            if run in known:
-                hit = s + np.nonzero(known[run] < ids[row])[0]
+        for s, run in zip(starts, numbers, strict=True):
+            low = known.get(int(run))
+            if low is not None:
+                hit = s + np.nonzero(low < ids[row])[0]
                 edge[hit] += 1
                 edge[hit + WINDOW] -= 1
         yield row, w, np.cumsum(edge[:-1]) > 0
@@ -237,20 +295,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(1, math.ceil(size / 6 * 3.4 / BUCKET_WORDS))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
 
-    def chunk_of(batches) -> tuple[list, Chunk, list]:
-        batches = list(batches)
-        ids = [i for b in batches for i in b.column(key).to_pylist()]
-        texts = [t or b"" for b in batches for t in text_bytes(b.column(body))]
-        real = [k for k, i in enumerate(ids) if i is not None]
-        return batches, Chunk([ids[k] for k in real], [texts[k] for k in real], buckets), real
+    def read(batches) -> tuple[list, list]:
+        ids, texts = [], []
+        for b in batches:
+            ids += b.column(key).to_pylist()
+            texts += text_bytes(b.column(body))
+        return ids, texts
 
     sent = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 
     def send(k, batches):
-        _, chunk, _ = chunk_of(batches)
-        out = chunk.packed()
-        out["chunk"] = [k[0].as_py()] * len(out["bucket"])
-        yield as_batch(out, sent)
+        ids, texts = read(batches)
+        real = [r for r, i in enumerate(ids) if i is not None]
+        chunk = Chunk([ids[r] for r in real], [texts[r] or b"" for r in real], buckets)
+        del ids, texts
+        for bucket, body in chunk.packed():
+            yield as_batch({"chunk": [k[0].as_py()], "bucket": [bucket], "body": [body]}, sent)
 
     def solve(k, batches):
         chunk_ids, bodies = [], []
@@ -268,22 +328,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def apply(k, left: pa.Table, right: pa.Table) -> pa.Table:
-        batches, chunk, real = chunk_of(left.to_batches())
-        ids = [i for i in left.column(key).to_pylist() if i is not None]
+        ids, texts = read(left.to_batches())
+        real = [r for r, i in enumerate(ids) if i is not None]
+        own = [ids[r] for r in real], [texts[r] or b"" for r in real]
+        chunk = Chunk(*own, buckets, places=True)
         answers = {b: tuple(expand(x)) for b, x in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
         out: dict[str, list] = {n: [None] * left.num_rows for n in added}
-        raw = [t for b in batches for t in text_bytes(b.column(body))]
 
         def put(row: int, w: list[bytes], gone: np.ndarray) -> None:
             kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)
             edges = np.nonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2)
-            for n, v in zip(added, (len(w), int(gone.sum()), edges.tolist(), None if raw[row] is None else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
+            for n, v in zip(added, (len(w), int(gone.sum()), edges.tolist(), None if texts[row] is None else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
                 out[n][row] = v
 
-        for row, w, gone in covered(chunk, ids, answers):
+        for row, w, gone in covered(chunk, *own, answers):
             put(real[row], w, gone)
         for row in set(range(left.num_rows)) - set(real):
-            w = (raw[row] or b"").split()
+            w = (texts[row] or b"").split()
             put(row, w, np.zeros(len(w), bool))
         columns = {n: left.column(n) for n in names} | out
         return pa.Table.from_batches([as_batch(columns, arrow)])
@@ -303,10 +364,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """Documents without their repeated passages; same columns as ``docs`` (an
     ``n_chars`` column follows the text).  Untouched texts stay as they are,
     changed ones keep their other words joined by one space."""
-    out = remove_repeats(docs)
-    new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {c: F.col(c) for c in docs.columns}
-    columns["text"] = new.alias("text")
+    aside, names = set_aside(docs, "doc_id", "text")
+    out = remove_repeats(aside)
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        old = F.col(names[docs.columns.index("n_chars")])
+        columns["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(old).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    columns["text"] = F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text")
     return out.select(*columns.values())
