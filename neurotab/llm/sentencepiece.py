@@ -127,17 +127,34 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(unit, n, edges): the pieces that match in each unit, as structs (rank,
-    s, l, id, score) in order of rank and place."""
+# an edge as one long: rank, first character, length, id
+PLACE_BITS, ID_BITS = 6, 28
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int, scores: bool = False) -> DataFrame:
+    """(unit, n, edges): the pieces that match in each unit, packed, in order of
+    rank and place; with ``scores`` also as structs (s, l, score)."""
     n = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
         lambda l: F.struct((i - 1).alias("s"), l.alias("l"), F.substring(F.col("unit"), i, l).alias("piece")))))
     none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("l"), F.lit("").alias("piece")))
     found = words.select("unit", F.explode(F.concat(spans, none)).alias("x")).join(F.broadcast(table), F.col("x.piece") == F.col("piece"))
-    edge = F.struct("rank", F.col("x.s").alias("s"), F.col("x.l").alias("l"), "id", "score")
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", n)
+    number = F.col("rank").cast("long")
+    for value, bits in ((F.col("x.s"), PLACE_BITS), (F.col("x.l"), PLACE_BITS), (F.col("id"), ID_BITS)):
+        number = F.shiftleft(number, bits).bitwiseOR(value.cast("long"))
+    kept = [F.sort_array(F.collect_list(number)).alias("edges")]
+    if scores:
+        kept.append(F.collect_list(F.struct(F.col("x.s").alias("s"), F.col("x.l").alias("l"), "score")).alias("scored"))
+    return found.groupBy("unit").agg(*kept).withColumn("n", n)
+
+
+def place_of(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS + PLACE_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def length_of(edge: Column) -> Column:
+    return F.shiftright(edge, ID_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
 def bit(place: Column) -> Column:
@@ -148,8 +165,11 @@ def merge_fold(edges: Column, n: Column) -> Column:
     """Places where a BPE encoding cuts a unit of at most 60 characters, as bits
     of a long: of the edges that join two neighbouring symbols, the one of best
     rank (first in the array) removes the cut inside it, n - 1 times."""
-    joins = F.transform(F.filter(edges, lambda e: e["l"] >= 2), lambda e: F.struct(
-        bit(e["s"]).bitwiseOR(bit(e["s"] + e["l"])).alias("ends"), (bit(e["s"] + e["l"]) - bit(e["s"] + 1)).alias("inside")))
+    def masks(e: Column) -> Column:
+        return let(F.struct(place_of(e).alias("s"), length_of(e).alias("l")), lambda x: F.struct(
+            bit(x["s"]).bitwiseOR(bit(x["s"] + x["l"])).alias("ends"), (bit(x["s"] + x["l"]) - bit(x["s"] + 1)).alias("inside")))
+
+    joins = F.transform(F.filter(edges, lambda e: length_of(e) >= 2), masks)
     usable = lambda m, x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inside"])) == 1)
 
     def step(joins: Column):
@@ -176,9 +196,10 @@ def viterbi_fold(edges: Column, n: Column, unknown: float = -1e6) -> Column:
 
 def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fold) -> DataFrame:
     """(unit, ids) of distinct units of at most LONG_UNIT characters."""
-    latticed = lattice(words, table, pieces.longest)
+    scores = fold is viterbi_fold
+    latticed = lattice(words, table, pieces.longest, scores)
     bytes_of = F.array(*[F.lit(b) for b in pieces.byte_ids])
-    cut = latticed.select("unit", "edges", fold(F.col("edges"), F.col("n")).alias("cuts"), "n")
+    cut = latticed.select("unit", "edges", fold(F.col("scored" if scores else "edges"), F.col("n")).alias("cuts"), "n")
 
     def spelled(c: Column) -> Column:
         code = F.hex(F.encode(c, "utf-8"))
@@ -186,24 +207,27 @@ def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fo
 
     def ids(places: Column) -> Column:
         def one(s: Column, k: Column) -> Column:
-            edge = F.get(F.filter("edges", lambda e: (e["s"] == s) & (e["l"] == F.get(places, k + 1) - s)), F.lit(0))
-            return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(spelled(F.substring(F.col("unit"), s + 1, F.lit(1))))
+            edge = F.get(F.filter("edges", lambda e: (place_of(e) == s) & (length_of(e) == F.get(places, k + 1) - s)), F.lit(0))
+            number = edge.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+            return F.when(edge.isNotNull(), F.array(number)).otherwise(spelled(F.substring(F.col("unit"), s + 1, F.lit(1))))
         return F.flatten(F.transform(F.slice(places, 1, F.size(places) - 1), one))
 
     places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: F.call_function("shiftright", F.col("cuts"), p).bitwiseAND(F.lit(1)) == 1)
     return cut.select("unit", let(places, ids).alias("ids"))
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("check", "<u8"), ("start", "<u4"), ("n", "<u4")])
+# a unit of 60 characters has at most 240 ids; 96 bits of two hashes name it
+ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("start", "<u4"), ("n", "u1")])
+UNITS_A_PARTITION = 20_000
 
 
 def unit_keys(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of units."""
+    """A 64-bit and an independent 32-bit hash of units."""
     import xxhash
 
     raw = [u.encode() for u in found]
     return (np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in raw), np.uint64, len(raw)),
-            np.fromiter((xxhash.xxh3_64_intdigest(u) for u in raw), np.uint64, len(raw)))
+            np.fromiter((xxhash.xxh3_64_intdigest(u) & 0xFFFFFFFF for u in raw), np.uint32, len(raw)))
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -250,27 +274,29 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
     words = write_scratch(docs.select(text).mapInArrow(collect, "unit string").distinct(), "sp-units")
     n = words.count()
     buckets = max(1, -(-n // UNITS_A_BUCKET))
-    # one exchange by bucket serves the lattice's grouping and the files
-    found = fold_units(words, piece_table(spark, pieces), pieces, fold)
+    # dealt by unit in parts of a set size: the edges of a part are grouped where they arise, without a further shuffle, and fit in memory
+    dealt = words.repartition(max(1, -(-n // UNITS_A_PARTITION)), "unit")
+    found = fold_units(dealt, piece_table(spark, pieces), pieces, fold)
     folder = scratch_path(spark, "sp-arrays")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     high = F.call_function("shiftrightunsigned", F.xxhash64("unit"), F.lit(32))
     bucket = F.shiftright(high * buckets, 32)
     done = pa.schema([("units", pa.int64())])
+    width = "<u2" if len(pieces.decoded) <= 1 << 16 else "<u4"
 
     def write(key, batches):
         names, parts, lens = [], [], []
         for batch in batches:
             names += batch.column("unit").to_pylist()
             lists = batch.column("ids")
-            parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+            parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype(width))
             lens.append(np.diff(lists.offsets.to_numpy()))
         h, check = unit_keys(names)
         lens = np.concatenate(lens)
         table = np.empty(len(h), ENTRY)
         table["hash"], table["check"], table["n"], table["start"] = h, check, lens, np.cumsum(lens) - lens
-        table.sort(order=("hash", "check"))
+        table = table[np.lexsort((check, h))]
         save(folder, f"ids-{key[0].as_py():07d}", np.concatenate(parts))
         save(folder, f"units-{key[0].as_py():07d}", table)
         yield as_batch({"units": [len(h)]}, done)
@@ -279,7 +305,7 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
     written = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(write, "units long").agg(F.sum("units").alias("n")).first()["n"] or 0
     if written != n:
         raise RuntimeError(f"{written} of {n} units were written")
-    return {"folder": folder, "buckets": buckets, "model_file": model_file}
+    return {"folder": folder, "buckets": buckets, "model_file": model_file, "width": width}
 
 
 class Lookup:
@@ -293,7 +319,7 @@ class Lookup:
             if len(self.open) >= 256:
                 self.open.clear()
             folder = self.built["folder"]
-            self.open[bucket] = load(folder, f"units-{bucket:07d}", ENTRY), load(folder, f"ids-{bucket:07d}", "<u4")
+            self.open[bucket] = load(folder, f"units-{bucket:07d}", ENTRY), load(folder, f"ids-{bucket:07d}", self.built["width"])
         return self.open[bucket]
 
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
