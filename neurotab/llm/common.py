@@ -41,6 +41,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all but the needed columns renamed, so that no name clashes
+    with an operator's own; the new names stand in the order of the columns."""
+    names = [c if c in needed else f"__aside_{k}" for k, c in enumerate(docs.columns)]
+    return docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]), names
+
+
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 

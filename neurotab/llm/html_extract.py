@@ -62,7 +62,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parents, self.names = [-1], ["#root"]
-        self.stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        # (tag, element number, silent, mute): silent text counts as a line without content, mute text is not read
+        self.stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]
+        self.owner = (0, False)
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.link_chars = self.links = 0
@@ -70,14 +72,13 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            name, element, silent = self.stack[-1]
-            self.lines.append([text, self.tags, self.link_chars, element, silent])
+            self.lines.append([text, self.tags, self.link_chars, *self.owner])
             self.tags = 0
         self.parts, self.link_chars = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag == "br":
+        if tag == "br" and self.parts:
             self.parts.append(" ")
         if tag in BLOCKS:
             self.cut()
@@ -87,15 +88,15 @@ class Lines(HTMLParser):
                 self.close_to(name, SCOPE[tag])
         if tag in VOID:
             return
-        silent = self.stack[-1][2] or tag in SILENT or self.is_boilerplate(tag, attrs)
-        if silent != self.stack[-1][2]:
-            self.cut()
-        if tag in BLOCKS or silent != self.stack[-1][2]:
-            self.parents.append(self.stack[-1][1])
+        _, element, silent, mute = self.stack[-1]
+        if tag in BLOCKS:
+            silent = silent or tag in SILENT or self.is_boilerplate(tag, attrs)
+            self.parents.append(element)
             self.names.append(tag)
-            self.stack.append((tag, len(self.names) - 1, silent))
-        else:
-            self.stack.append((tag, self.stack[-1][1], silent))
+            element = len(self.names) - 1
+        else:  # scripts, styles, marked spans: a line goes on after them
+            mute = mute or tag in SILENT or self.is_boilerplate(tag, attrs)
+        self.stack.append((tag, element, silent, mute))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -115,8 +116,6 @@ class Lines(HTMLParser):
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k][0]
             if name == tag:
-                if self.stack[k][2] != self.stack[k - 1][2]:
-                    self.cut()
                 self.links -= sum(x[0] == "a" for x in self.stack[k:])
                 del self.stack[k:]
                 return
@@ -124,6 +123,11 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        _, element, silent, mute = self.stack[-1]
+        if mute:
+            return
+        if not self.parts:
+            self.owner = (element, silent)
         self.parts.append(data)
         if self.links:
             self.link_chars += len(data)

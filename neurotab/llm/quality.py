@@ -6,8 +6,9 @@ two base rules on the whole text: a least number of words, and a most share of
 words in repeated 8-word windows.
 
 Defined results: a null text counts as empty (no words, ``base_failed``); null
-or repeated ids are kept as they are, one result row per input row; columns
-that carry the name of an added one are replaced.  No row leaves its
+or repeated ids are kept as they are, one result row per input row; ``assess``
+replaces columns that carry the name of an added one, ``clean`` keeps every
+column of its input.  No row leaves its
 partition: there is no shuffle, so a hot source or id cannot skew a task.
 """
 
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import let, words
+from neurotab.llm.common import let, set_aside, words
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -121,13 +122,14 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept documents without their failing lines; same columns as ``docs``
     (an ``n_chars`` column follows the text)."""
-    out = assess(docs, text).filter("kept")
+    aside, names = set_aside(docs, text)
+    out = assess(aside, text).filter("kept")
     columns = []
-    for c in docs.columns:
+    for c, n in zip(docs.columns, names, strict=True):
         if c == text:
-            columns.append(F.col("clean_text").alias(text))
+            columns.append(F.col("clean_text").alias(c))
         elif c == "n_chars":
             columns.append(F.length("clean_text").cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(n).alias(c))
     return out.select(*columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import map_batches, text_bytes, write_scratch
+from neurotab.llm.common import map_batches, set_aside, text_bytes, write_scratch
 from neurotab.llm.components import connected_components
 
 SHINGLE = 3
@@ -177,5 +177,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     labels = near_duplicates(docs).select("component_key", F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("id"), "text_hash")
     heads = labels.groupBy("component_key").agg(F.min(F.struct("bare", "id", "text_hash")).alias("h"))
     heads = write_scratch(heads.select(F.col("h.id").alias("_id"), F.col("h.text_hash").alias("_hash")), "simhash-heads")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(heads, same).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    aside, names = set_aside(docs, "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    stay = aside.join(heads, same).dropDuplicates(["_id", "_hash"])
+    return stay.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

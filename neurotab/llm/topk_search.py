@@ -21,6 +21,8 @@ candidates one by one, repeated query ids are one query (the smallest vector).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from neurotab.llm.common import as_batch, map_batches, write_scratch
 
-SHARD = 16384
+SHARD = 8192
 BLOCK = 128
 GROUP = 512
 SCALE = 64
@@ -73,12 +75,8 @@ def neighbours_first(m: np.ndarray) -> np.ndarray:
     return np.lexsort(code.T[::-1])
 
 
-def packed(rows: DataFrame, number: Column, name: str, at_most: int) -> DataFrame:
-    """(name, ids, body): rows (vec_id, v) in packs of at most ``at_most``."""
-    def run(batches):
-        for batch in batches:
-            yield from batch.to_batches() if isinstance(batch, pa.Table) else [batch]
-
+def packed(rows: DataFrame, number: Column, name: str) -> DataFrame:
+    """(name, ids, body): rows (vec_id, v) packed by their number."""
     def group(key, batches):
         ids, parts = [], []
         for batch in batches:
@@ -91,9 +89,6 @@ def packed(rows: DataFrame, number: Column, name: str, at_most: int) -> DataFram
         yield as_batch({name: [key[0].as_py()], "ids": [ids[order].tobytes()], "body": [pack(m[order])]}, schema)
 
     schema = pa.schema([(name, pa.int64()), ("ids", pa.binary()), ("body", pa.binary())])
-
-    from collections.abc import Iterator
-
     group.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return rows.select("vec_id", "v", number.alias("_g")).groupBy("_g").applyInArrow(group, f"{name} long, ids binary, body binary")
 
@@ -163,8 +158,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
     n, n_queries = rows.count(), queries.count()
     n_shards, n_groups = -(-n // SHARD) or 1, -(-n_queries // GROUP) or 1
-    shards = write_scratch(packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)), "shard", SHARD), "topk-shards")
-    groups = write_scratch(packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)), "grp", GROUP), "topk-groups")
+    shards = write_scratch(packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)), "shard"), "topk-shards")
+    groups = write_scratch(packed(queries, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)), "grp"), "topk-groups")
     groups = groups.select("grp", F.col("ids").alias("query_ids"), F.col("body").alias("queries"))
 
     def no_bound(batch: pa.RecordBatch) -> dict:

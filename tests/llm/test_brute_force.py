@@ -146,3 +146,42 @@ def test_top_k(spark):
         if i % 20 == 0:
             best = sorted((-int(s), j) for s, j in zip(m @ m[k], ids) if j != i)[:20]
             assert got[i] == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+
+
+def test_substring_cases(spark):
+    from neurotab.llm import substring
+
+    a = [f"a{i}" for i in range(40)]
+    lists = [None, "", "  \n\t ", " ".join(a), " ".join(a[5:30]), " ".join(a[:13]), " ".join(a[:12]), " ".join(["x"] * 60), " ".join(["x"] * 13),
+             " ".join(a[20:] + a[:20]), "Été " * 15, "\n".join(a)]
+    rows = [(k, t, "src", 7) for k, t in enumerate(lists)] + [(3, lists[3], "again", 7), (None, lists[3], "no id", 7), (100, " ".join(a), "n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, n_chars int")
+    first = {}
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k:k + 13]), i)
+
+    def slow(i, t):
+        w = words(t)
+        gone = {k for s in range(len(w) - 12) if i is not None and first[tuple(w[s:s + 13])] < i for k in range(s, s + 13)}
+        return len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)
+
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"] or "") for r in substring.remove_repeats(docs).collect())
+    assert got == sorted((i is None, i, *slow(i, t)) for i, t, *_ in rows)
+    kept = substring.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_longer_prefixes(monkeypatch):
+    import numpy as np
+
+    from neurotab.llm import substring
+
+    a = [f"a{i}" for i in range(40)]
+    runs = [" ".join(a[k:k + 20]).encode() for k in range(15)]
+    lens, low = np.full(15, 20), np.arange(15)[::-1]
+    whole = substring.subtrees(runs, lens, low)
+    monkeypatch.setattr(substring, "SUBTREE_WORDS", 50)
+    assert (whole == substring.subtrees(runs, lens, low)).all()
