@@ -54,7 +54,14 @@ CHANNELS = [
 ]
 
 # FIXED VALUES: per-dataset rating threshold for the 3-level label.
-LABEL_THRESHOLDS = {"nine_a": 5.0, "five": 2.5, "nine_b": 5.0}
+LABEL_THRESHOLDS = {"DEAP": 5.0, "DREAMER": 2.5, "MAHNOB": 5.0}
+
+# FIXED VALUES: the datasets: label threshold, highest rating, EEG channels kept, sampling rate of the recordings in Hz.
+DATASETS = {
+    "DEAP": {"threshold": 5.0, "max_rating": 9, "channels": 32, "rate": 128},
+    "DREAMER": {"threshold": 2.5, "max_rating": 5, "channels": 14, "rate": 128},
+    "MAHNOB": {"threshold": 5.0, "max_rating": 9, "channels": 32, "rate": 256},
+}
 
 # FIXED VALUES: admitted upload extensions (lower case).
 ADMITTED_EXTENSIONS = [".csv", ".edf", ".bdf", ".dat"]

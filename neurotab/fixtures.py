@@ -55,29 +55,31 @@ def epochs64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long feature table: (id, subject_id, label, feature, value), 8 features, 3 classes."""
+    """Long feature table: (id, subject_id, label, feature, value), 64 features, 3 classes."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         F.col("vec_id").alias("id"), (F.col("vec_id") % 23).alias("subject_id"), (F.col("label") % 3).alias("label"),
-        F.posexplode(F.slice("embedding", 1, 8)).alias("feature", "x"),
+        F.posexplode("embedding").alias("feature", "x"),
     ).select("id", "subject_id", "label", F.col("feature").cast("int").alias("feature"),
              F.col("x").cast("double").alias("value"))
 
 
 def feat_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, subject_id, label, features array<double>) — the same 8 features as one array."""
+    """(id, subject_id, label, features array<double>) — the same 64 features as one array."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 23).alias("subject_id"),
                       (F.col("label") % 3).alias("label"),
-                      F.slice("embedding", 1, 8).cast("array<double>").alias("features"))
+                      F.col("embedding").cast("array<double>").alias("features"))
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five models' scores on the same rows: id, model, y_true, s0..s2, y_pred, p0..p2."""
+    """Five models' scores on the same rows: id, model, y_true, s0..s2, y_pred, p0..p2.
+    The 64 dimensions are dealt to the 15 (model, class) scores in turn and added up."""
     emb = table(spark, sf_dir, "embeddings")
     models = F.explode(F.array(*[F.lit(m) for m in range(5)])).alias("model")
     base = emb.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("y_true"), "embedding", models)
-    s = [F.element_at("embedding", 3 * F.col("model") + i + 1).cast("double") for i in range(3)]
+    dim = lambda j: F.coalesce(F.get("embedding", 3 * F.col("model") + j).cast("double"), F.lit(0.0))
+    s = [dim(i) + dim(i + 15) + dim(i + 30) + dim(i + 45) + dim(i + 60) for i in range(3)]
     base = base.select("id", "model", "y_true", s[0].alias("s0"), s[1].alias("s1"), s[2].alias("s2"))
     e = [F.exp(F.col(f"s{i}")) for i in range(3)]
     tot = e[0] + e[1] + e[2]
@@ -93,8 +95,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = F.when(F.col("c_custkey") % 3 == 1, 5).otherwise(9)
     return c.select(
         F.col("c_custkey").alias("trial_id"), (F.col("c_custkey") % 23).alias("subject_id"),
-        F.when(F.col("c_custkey") % 3 == 0, "nine_a").when(F.col("c_custkey") % 3 == 1, "five")
-         .otherwise("nine_b").alias("dataset"),
+        F.when(F.col("c_custkey") % 3 == 0, "DEAP").when(F.col("c_custkey") % 3 == 1, "DREAMER")
+         .otherwise("MAHNOB").alias("dataset"),
         (1 + (F.col("c_custkey") * 7) % scale).cast("double").alias("valence"),
         (1 + F.col("c_nationkey") % scale).cast("double").alias("arousal"))
 

@@ -37,7 +37,7 @@ def _out(df: DataFrame, name: str, prob: F.Column, id_col: str = "id", k: int =
     p = df.select(id_col, prob.alias("_p"))
     return p.select(id_col, F.lit(name).alias("model"),
                     (F.array_position("_p", F.array_max("_p")) - 1).cast("int").alias("prediction"),
-                    *[F.col("_p")[i].alias(f"p{i}") for i in range(k)])
+                    *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(k)])
 
 
 # ---------------------------------------------------------------- scaling (population std)
@@ -60,20 +60,13 @@ def _vec(df: DataFrame, col: str = "features") -> DataFrame:
     return df.withColumn("fv", array_to_vector(col))
 
 
-TARGET_PARTITION_BYTES = 128 << 20
-
-
 def _fit_cached(estimator, data: DataFrame):
     """Iterative learners pass over the training set many times: keep it
-    persisted (memory, spilling to disk) for the duration of the fit, in
-    partitions of about 128 MB of feature values (a per-iteration job over a
-    few rows should not pay for hundreds of near-empty tasks)."""
-    n = data.count()
-    width = len(data.select("features").first()[0]) if n else 1
-    parts = max(1, -(-n * width * 8 // TARGET_PARTITION_BYTES))
-    if parts < data.rdd.getNumPartitions():
-        data = data.coalesce(parts)
-    data = data.persist()
+    persisted (memory, spilling to disk) for the duration of the fit.  The
+    REBALANCE hint lets AQE size its partitions by bytes, so a per-iteration
+    job over a few rows does not pay for hundreds of near-empty tasks and the
+    stage that makes the data keeps its own parallelism."""
+    data = data.hint("rebalance").persist()
     try:
         return estimator.fit(data)
     finally:
@@ -144,7 +137,8 @@ def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed
         return apply_scaler(df, sc).withColumn("fv", array_to_vector(rff(F.col("features"))))
 
     n = train.count()
-    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=100)
+    # the penalty holds for the projected features as they are
+    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=100, standardization=False)
     model = _fit_cached(OneVsRest(classifier=svc, featuresCol="fv", labelCol="label", parallelism=k), project(train))
 
     def score(df: DataFrame) -> DataFrame:
@@ -192,7 +186,10 @@ def fit_discriminant(train: DataFrame, name: str = "lda", k: int = K) -> Scorer:
         mx = F.array_max("_s")
         e = F.transform("_s", lambda v: F.exp(v - mx))
         tot = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        return _out(x, name, F.transform(e, lambda v: v / tot))
+        # probabilities stand at their label; a class that training never saw has 0
+        at = [F.get("_e", F.lit(classes.index(c))) if c in classes else F.lit(0.0) for c in range(max(k, max(classes) + 1))]
+        placed = x.select("id", F.transform(e, lambda v: v / tot).alias("_e")).select("id", F.array(*at).alias("_p"))
+        return _out(placed, name, F.col("_p"))
     return Scorer(name, score)
 
 

@@ -30,12 +30,17 @@ def _report(progress: Progress, step: int, info: dict) -> None:
         progress(step, info)
 
 
+def folds_of(data: DataFrame, fold_col: str = "fold") -> list:
+    """The folds that occur, whatever they are numbered from (one value each)."""
+    return sorted(r[0] for r in data.select(fold_col).distinct().collect())
+
+
 def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
-                    k: int = config.CV_FOLDS, progress: Progress = None) -> DataFrame:
+                    k: int | None = None, progress: Progress = None) -> DataFrame:
     """Out-of-fold probabilities of every base model: for each fold, fit on the
     other folds and score this one.  Output (id, model, prediction, p0..p2, fold)."""
     parts = []
-    for f in range(k):
+    for f in folds_of(data, fold_col)[:k]:
         train, valid = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
         for name, fit in fits.items():
             s = fit(train)
@@ -48,7 +53,7 @@ def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fo
 
 
 def fit_stacking(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
-                 k: int = config.CV_FOLDS) -> md.Scorer:
+                 k: int | None = None) -> md.Scorer:
     """Stacking: OOF probabilities of the base models, side by side in named
     columns (one fixed model order), feed a multinomial logistic meta model;
     base models are refitted on all rows for scoring."""
@@ -67,17 +72,25 @@ def fit_stacking(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold"
     return md.Scorer("stacking", score)
 
 
+def loso_validate(data: DataFrame, fit: FitFn, subject: str = "subject_id", progress: Progress = None) -> DataFrame:
+    """Leave-one-subject-out: metrics per subject left out (fold = its rank)."""
+    from neurotab.operators.folds import loso_folds
+
+    return cross_validate(cut_lineage(loso_folds(data, subject, "fold")), fit, "fold", None, progress)
+
+
 def _meta_features(scored: DataFrame, names: Sequence[str]) -> DataFrame:
     wide = stack_probabilities(scored, "id", ["p0", "p1", "p2"], list(names))
     cols = [f"m{n}_p{c}" for n in names for c in range(3)]
     return wide.select("id", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols]).alias("features"))
 
 
-def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int = config.CV_FOLDS,
+def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int | None = None,
                    progress: Progress = None) -> DataFrame:
-    """Per-fold overall metrics of one model: (fold, accuracy, macro_f1, ...)."""
+    """Per-fold overall metrics of one model: (fold, accuracy, macro_f1, ...), for
+    every fold that occurs (stratified or leave-one-subject-out)."""
     rows = []
-    for f in range(k):
+    for f in folds_of(data, fold_col)[:k]:
         train, valid = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
         s = fit(train).score(valid).join(valid.select("id", F.col("label").alias("y_true")), "id")
         rows.append(overall_metrics(s.withColumnRenamed("prediction", "y_pred"), ["model"])

@@ -29,7 +29,7 @@ def smote_neighbour_k(class_counts: list[int]) -> int:
 
 
 def smote(df: DataFrame, id_col: str = "id", label: str = "label", vec: str = "features",
-          seed: int = config.SEED, block: int = 128) -> DataFrame:
+          seed: int = config.SEED) -> DataFrame:
     """Originals (is_synthetic false) plus synthetic rows.
     Output: (label, is_synthetic, src_id, syn_idx, features)."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one row per class
@@ -46,8 +46,10 @@ def smote(df: DataFrame, id_col: str = "id", label: str = "label", vec: str = "f
     key = [F.lit(seed), F.col(label), F.col("syn_idx")]
     syn = syn.select(id_col, label, "syn_idx", (1 + _md5_int(key, 1) % k).cast("int").alias("_nn"),
                      (_md5_int(key, 9) / F.lit(4294967296.0)).alias("_u"))
+    # neighbours are asked only for rows that get a copy; the largest class needs none
     rows = df.select(id_col, label, vec)
-    nn = knn_join(rows, rows, k, id_col, vec, partition=[label], exclude_self=True, block=block, self_join=True)
+    asked = rows.join(base.select(id_col), id_col, "left_semi")
+    nn = knn_join(asked, rows, k, id_col, vec, partition=[label], exclude_self=True)
     syn = syn.join(nn.select(F.col("q_id").alias(id_col), F.col("rank").alias("_nn"), "p_id"), [id_col, "_nn"])
     x = df.select(F.col(id_col), F.col(vec).alias("_x"))
     y = df.select(F.col(id_col).alias("p_id"), F.col(vec).alias("_y"))

@@ -108,25 +108,23 @@ def _threshold_counts(ovr: DataFrame, group: Sequence[str]) -> DataFrame:
     score and cumulative counts at score >= this one."""
     g = [*group, "class"]
     per = ovr.groupBy(*g, "score").agg(F.sum("positive").alias("pos"),
-                                       F.sum(1 - F.col("positive")).alias("neg"))
-    cum = running_sum(per, g, [F.col("score").desc()], ["pos", "neg"])
-    tot = per.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.join(tot, g)
+                                       F.sum(1 - F.col("positive")).alias("neg")).withColumn("one", F.lit(1))
+    cum = running_sum(per, g, [F.col("score").desc()], ["pos", "neg", "one"])
+    tot = per.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("one").alias("n_thresholds"))
+    return cum.withColumnRenamed("one_cum", "place").drop("one").join(tot, g)
 
 
 def roc_auc(ovr: DataFrame, group: Sequence[str]) -> DataFrame:
     """Per-class one-vs-rest AUC (classes with positives) as the trapezoid area
     of the ROC through every distinct threshold; rows with class = -1 hold the
-    macro mean.  Rounded to 4 decimals."""
+    macro mean.  A class without negatives has no AUC (null).  Rounded to 4 decimals."""
     g = [*group, "class"]
     tc = _threshold_counts(ovr, group)
-    w = Window.partitionBy(*g).orderBy(F.col("score").desc())
-    # trapezoid between consecutive thresholds: (fp - fp_prev) * (tp + tp_prev) / 2
-    seg = tc.select(*g, "n_pos", "n_neg",
-                    ((F.col("neg_cum") - F.coalesce(F.lag("neg_cum").over(w), F.lit(0)))
-                     * (F.col("pos_cum") + F.coalesce(F.lag("pos_cum").over(w), F.lit(0))) / 2.0).alias("_area"))
+    # trapezoid between consecutive thresholds: (fp - fp_prev) * (tp + tp_prev) / 2; the counts
+    # before a threshold are its cumulative counts less its own, so no neighbour row is needed
+    seg = tc.select(*g, "n_pos", "n_neg", (F.col("neg") * (2 * F.col("pos_cum") - F.col("pos")) / 2.0).alias("_area"))
     auc = seg.where(F.col("n_pos") > 0).groupBy(*g).agg(
-        (F.sum("_area") / (F.first("n_pos") * F.first("n_neg"))).alias("roc_auc"))
+        F.try_divide(F.sum("_area"), F.first("n_pos") * F.first("n_neg")).alias("roc_auc"))
     macro = auc.groupBy(*group).agg(F.lit(-1).alias("class"), F.avg("roc_auc").alias("roc_auc"))
     return auc.unionByName(macro).withColumn("roc_auc", F.round("roc_auc", 4))
 
@@ -135,10 +133,8 @@ def average_precision(ovr: DataFrame, group: Sequence[str]) -> DataFrame:
     """Sum over distinct thresholds (descending) of (R_t - R_prev) * P_t; 4 decimals."""
     g = [*group, "class"]
     tc = _threshold_counts(ovr, group).where(F.col("n_pos") > 0)
-    w = Window.partitionBy(*g).orderBy(F.col("score").desc())
-    rec = F.col("pos_cum") / F.col("n_pos")
     prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
-    ap = tc.select(*g, ((rec - F.coalesce(F.lag(rec).over(w), F.lit(0.0))) * prec).alias("_t"))
+    ap = tc.select(*g, (F.col("pos") / F.col("n_pos") * prec).alias("_t"))
     return ap.groupBy(*g).agg(F.round(F.sum("_t"), 4).alias("average_precision"))
 
 
@@ -148,32 +144,27 @@ def roc_points(ovr: DataFrame, group: Sequence[str], drop_intermediate: bool = T
     group..., class, point (0-based), fpr, tpr (unrounded)."""
     g = [*group, "class"]
     tc = _threshold_counts(ovr, group).where(F.col("n_pos") > 0)
-    w = Window.partitionBy(*g).orderBy(F.col("score").desc())
-    pts = tc.select(*g, "score", "n_pos", "n_neg", F.col("neg_cum").alias("fps"), F.col("pos_cum").alias("tps"),
-                    F.row_number().over(w).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("_m"))
     if drop_intermediate:
-        d2f = F.lead("fps").over(w) - 2 * F.col("fps") + F.lag("fps").over(w)
-        d2t = F.lead("tps").over(w) - 2 * F.col("tps") + F.lag("tps").over(w)
-        keep = (F.col("_m") <= 2) | (F.col("_r") == 1) | (F.col("_r") == F.col("_m")) | (d2f != 0) | (d2t != 0)
-        pts = pts.withColumn("_keep", keep).where("_keep")
-    origin = pts.where(F.col("_r") == 1).select(*g, "n_pos", "n_neg", F.lit(0).alias("fps"), F.lit(0).alias("tps"),
-                                                  F.lit(0).alias("_r"))
-    allp = pts.select(*g, "n_pos", "n_neg", "fps", "tps", "_r").unionByName(origin)
-    w2 = Window.partitionBy(*g).orderBy("_r")
-    return allp.select(*g, (F.row_number().over(w2) - 1).alias("point"),
-                       (F.col("fps") / F.col("n_neg")).alias("fpr"), (F.col("tps") / F.col("n_pos")).alias("tpr"))
+        # a point lies on the line through its neighbours when the next threshold adds the same counts
+        following = tc.select(*g, (F.col("place") - 1).alias("place"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
+        bend = (F.col("_pos") != F.col("pos")) | (F.col("_neg") != F.col("neg"))
+        ends = (F.col("place") == 1) | F.col("_pos").isNull() | (F.col("n_thresholds") <= 2)
+        tc = tc.join(following, [*g, "place"], "left").where(ends | bend)
+    pts = tc.select(*g, "n_pos", "n_neg", F.col("neg_cum").alias("fps"), F.col("pos_cum").alias("tps"), "place", F.lit(1).alias("one"))
+    numbered = running_sum(pts, g, ["place"], ["one"]).select(*g, "n_pos", "n_neg", "fps", "tps", F.col("one_cum").alias("point"))
+    origin = numbered.where(F.col("point") == 1).select(*g, "n_pos", "n_neg", F.lit(0).alias("fps"), F.lit(0).alias("tps"), F.lit(0).alias("point"))
+    return numbered.unionByName(origin).select(
+        *g, F.col("point").cast("int").alias("point"), F.try_divide(F.col("fps"), F.col("n_neg")).alias("fpr"),
+        (F.col("tps") / F.col("n_pos")).alias("tpr"))
 
 
 def roc_subsample(points: DataFrame, group: Sequence[str], max_points: int = 50) -> DataFrame:
     """Keep at most ``max_points`` points: indices floor(i*(L-1)/(m-1)), m = min(max, L),
     fpr/tpr rounded to 4 decimals.  Output: group..., class, i, fpr, tpr."""
     g = [*group, "class"]
-    L = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    p = points.withColumn("_L", L)
-    m = F.least(F.lit(max_points), F.col("_L"))
     # the index grid, generated per curve from its length (bounded by max_points)
-    heads = p.where(F.col("point") == 0).select(*g, "_L", m.alias("_m"))
-    grid = heads.select(*g, "_L", "_m", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("i"))
+    heads = points.groupBy(*g).agg(F.count(F.lit(1)).alias("_L")).withColumn("_m", F.least(F.lit(max_points), F.col("_L")))
+    grid = heads.select(*g, "_L", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("i"))
     grid = grid.withColumn("point", F.when(F.col("_m") > 1,
                                            F.floor(F.col("i") * (F.col("_L") - 1) / (F.col("_m") - 1)))
                            .otherwise(F.lit(0)).cast("long"))
@@ -208,7 +199,7 @@ def nearest_merge(curves: DataFrame, curve_keys: Sequence[str], x: str = "fpr",
 
 
 def mcnemar(scored: DataFrame, models: Sequence, model: str = "model", id_col: str = "id",
-            y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+            y_true: str = "y_true", y_pred: str = "y_pred", digits: int | None = 4) -> DataFrame:
     """For every pair of listed models: b = first right & second wrong,
     c = the reverse, statistic = (|b-c|-1)^2/(b+c) (continuity-corrected).
     One pivot by sample id and one aggregation; no pairwise join of rows."""
@@ -226,7 +217,7 @@ def mcnemar(scored: DataFrame, models: Sequence, model: str = "model", id_col: s
     out = counts.select(rows.alias("_r")).select("_r.*")
     stat = F.when(F.col("b") + F.col("c") > 0,
                   F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2) / (F.col("b") + F.col("c"))).otherwise(F.lit(0.0))
-    return out.withColumn("statistic", F.round(stat, 4))
+    return out.withColumn("statistic", F.round(stat, 4) if digits is not None else stat)
 
 
 def chi2_sf_udf():
@@ -236,8 +227,8 @@ def chi2_sf_udf():
 
 
 def friedman(acc: DataFrame, block: str = "fold", treatment: str = "model", value: str = "accuracy") -> DataFrame:
-    """Friedman chi-square across treatments over blocks, tie-corrected; with
-    fewer than 3 treatments the result is (0, 1).  Average ranks within a block:
+    """Friedman chi-square across treatments over blocks, tie-corrected, with its
+    p-value (k - 1 degrees of freedom); with fewer than 3 treatments the result is (0, 1).  Average ranks within a block:
     rank() + (ties - 1)/2."""
     w_rank = Window.partitionBy(block).orderBy(value)
     w_tie = Window.partitionBy(block, value)
@@ -260,15 +251,18 @@ def friedman(acc: DataFrame, block: str = "fold", treatment: str = "model", valu
     c = 1 - F.col("_ties") / (n * (k * k * k - k))
     chisq = (12.0 / (n * k * (k + 1)) * F.col("_ss") - 3 * n * (k + 1)) / c
     return t.select(F.col("k").cast("int").alias("n_treatments"), F.col("n").cast("int").alias("n_blocks"),
-                    F.round(F.when(F.col("k") >= 3, chisq).otherwise(F.lit(0.0)), 4).alias("statistic"))
+                    F.round(F.when(F.col("k") >= 3, chisq).otherwise(F.lit(0.0)), 4).alias("statistic"),
+                    F.round(F.when(F.col("k") >= 3, chi2_sf_udf()(chisq, F.col("k").cast("int") - 1)).otherwise(F.lit(1.0)), 6).alias("p_value"))
 
 
-def cv_summary(per_fold: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Mean, population std, min and max across folds, 4 decimals (missing -> 0)."""
+def cv_summary(per_fold: DataFrame, group: Sequence[str], value: str, fold: str = "fold") -> DataFrame:
+    """Mean, population std, min, max and the list of values across folds (in
+    fold order), 4 decimals (missing -> 0)."""
     v = F.coalesce(F.col(value), F.lit(0.0))
     return per_fold.groupBy(*group).agg(
         F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"),
-        F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.count(F.lit(1)).alias("n_folds"))
+        F.round(F.min(v), 4).alias("min"), F.round(F.max(v), 4).alias("max"), F.count(F.lit(1)).alias("n_folds"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(fold), v.alias("v")))), lambda x: F.round(x["v"], 4)).alias("values"))
 
 
 def evaluation_report(scored: DataFrame, group: Sequence[str], prob_cols: Sequence[str], y_true: str = "y_true",

@@ -1,123 +1,132 @@
-"""Exact k-nearest-neighbour join (Euclidean) without a cross join.
-
-Rows (queries and points together) are ranked by one coordinate, the one
-with the largest variance, using the balanced ``sequence_index``, and cut
-into blocks of ``block`` consecutive rows.  A query is compared only with
-the points of the blocks within ``w`` of its own.  Every point outside that
-window differs from the query by at least ``gap`` in the ranked coordinate,
-hence is at least ``gap`` away; so when the k-th candidate distance is below
-``gap`` the answer is final.  Unresolved queries go to another round with a
-doubled window, until the window spans the whole partition, which is exact
-by construction.  Skewed partitions (one class with most rows) are still cut
-into equal blocks, and no pair outside the window is ever formed.
+"""Exact k-nearest-neighbour join (Euclidean) in blocks.
+
+Queries are packed into groups and points into blocks of fixed size, per
+partition key, by a hash of their id, so a dominant key is many blocks.  Every
+query group of a partition meets every point block of it through an equi-join
+on (partition, block number): a stated query set against all rows, a block at
+a time.  A task holds one group and one block as matrices; it keeps the k best
+points of each query there, so what is shuffled to the final ranking is k rows
+per query and block, not the pairs.  No pruning by single coordinates is tried:
+in many dimensions it settles no query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from neurotab.operators.ordering import sequence_index
 from neurotab.session import cut_lineage
 
-
-def _widest_coordinate(points: DataFrame, vec: str) -> tuple[int, int]:
-    """(coordinate with the largest variance, dimension); one row per dimension reaches the driver."""
-    var = points.select(F.posexplode(vec).alias("_j", "_x")).groupBy("_j").agg(F.var_pop("_x").alias("_v")).collect()
-    if not var:
-        return 0, 0
-    best = sorted(var, key=lambda r: (-(r["_v"] or 0.0), r["_j"]))[0]
-    return int(best["_j"]), len(var)
-
-
-UNROLL_MAX_DIM = 64
-
-
-def _distance(a: str, b: str, dim: int | None = None) -> F.Column:
-    """Euclidean distance of two array columns.  For up to 64 dimensions the
-    sum is unrolled into plain arithmetic (whole-stage codegen); array lambdas
-    are evaluated interpreted, so they are only the fallback for wide vectors."""
-    if dim is not None and dim <= UNROLL_MAX_DIM:
-        terms = [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(dim)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return F.sqrt(total)
-    sq = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
+QUERY_GROUP = 512
+POINT_BLOCK = 4096
+# a classifier is fitted on at most this many labelled rows (those of smallest hash)
+MAX_TRAIN_ROWS = 1_000_000
+# distances are compared to this many decimals, so that equal ones tie on any machine
+DECIMALS = 9
+
+
+def _packs(rows: DataFrame, part: Sequence[str], prefix: str) -> DataFrame:
+    """(part..., {prefix}_no, {prefix}_ids, {prefix}_vecs): rows (part..., _no, _id, _v) packed."""
+    fields = [T.StructField(c, rows.schema[c].dataType) for c in part]
+    schema = T.StructType([*fields, T.StructField(f"{prefix}_no", T.LongType()), T.StructField(f"{prefix}_ids", T.ArrayType(T.LongType())),
+                           T.StructField(f"{prefix}_vecs", T.BinaryType())])
+
+    def pack(key, batches):
+        ids, vecs = [], []
+        for b in batches:
+            ids += b.column("_id").to_pylist()
+            lists = b.column("_v")
+            vecs.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+        values = [k.as_py() for k in key]
+        yield pa.RecordBatch.from_pydict(
+            dict(zip([*part, f"{prefix}_no"], [[v] for v in values], strict=True)) | {f"{prefix}_ids": [ids], f"{prefix}_vecs": [np.concatenate(vecs).tobytes()]},
+            schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    pack.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return rows.groupBy(*part, "_no").applyInArrow(pack, schema)
+
+
+def _numbered(rows: DataFrame, part: Sequence[str], counts: DataFrame, size: int, id_col: str, vec: str) -> DataFrame:
+    n = F.ceil(F.col("_n") / size)
+    return rows.join(counts, list(part)).select(*part, F.pmod(F.xxhash64(id_col), n).alias("_no"), F.col(id_col).cast("long").alias("_id"),
+                                                F.col(vec).cast("array<double>").alias("_v"))
+
+
+def _nearest(q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, exclude_self: bool):
+    """For each query: places of its k nearest points (ties by id) and distances."""
+    d = np.zeros((len(q), len(p)))
+    for j in range(q.shape[1]):              # same order of additions for every pair
+        diff = q[:, j, None] - p[None, :, j]
+        d += diff * diff
+    d = np.sqrt(d)
+    key = np.round(d, DECIMALS)
+    if exclude_self:
+        key[q_ids[:, None] == p_ids[None, :]] = np.inf
+    order = np.lexsort((np.broadcast_to(p_ids, key.shape), key), axis=-1)[:, :k]
+    return order, np.take_along_axis(d, order, 1), np.isfinite(np.take_along_axis(key, order, 1))
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "features",
-             partition: Sequence[str] = (), exclude_self: bool = False, block: int = 128,
-             payload: Sequence[str] = (), self_join: bool = False) -> DataFrame:
-    """For each query: its k nearest points (ties by point id).
-
-    ``self_join``: queries and points are the same rows (each row is ranked once
-    and plays both roles; pass the same DataFrame twice).
+             partition: Sequence[str] = (), exclude_self: bool = False, payload: Sequence[str] = (),
+             query_group: int = QUERY_GROUP, block: int = POINT_BLOCK) -> DataFrame:
+    """For each query: its k nearest points of the same partition (ties by point id).
 
     Output: (q_id, partition..., p_id, payload..., distance, rank) with rank 1..k
     (fewer rows when the partition holds fewer points)."""
     part = list(partition)
     if not part:                      # one implicit partition
         queries, points, part = queries.withColumn("_all", F.lit(0)), points.withColumn("_all", F.lit(0)), ["_all"]
-    j, dim = _widest_coordinate(points, vec)
-    proj = F.element_at(F.col(vec), j + 1)
-    both = points.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(0).alias("_isq"))
-    if not self_join:
-        both = both.unionByName(
-            queries.select(*part, F.col(id_col).alias("_rid"), proj.alias("_proj"), F.lit(1).alias("_isq")))
-    ranked = sequence_index(both, part, ["_proj", "_isq", "_rid"], name="_r") \
-        .withColumn("_b", F.floor(F.col("_r") / block).cast("long"))
-    ranked = cut_lineage(ranked)
-    bounds = ranked.groupBy(*part, "_b").agg(F.min("_proj").alias("_lo"), F.max("_proj").alias("_hi"))
-    nb = bounds.groupBy(*part).agg(F.max("_b").alias("_bmax"))
-    q_flag, p_flag = (0, 0) if self_join else (1, 0)
-    pts = ranked.where(F.col("_isq") == p_flag).select(*part, F.col("_rid").alias("p_id"), "_b") \
-        .join(points.select(F.col(id_col).alias("p_id"), F.col(vec).alias("_pv"), *payload), "p_id")
-    pending = ranked.where(F.col("_isq") == q_flag).select(*part, F.col("_rid").alias("q_id"), "_b", "_proj") \
-        .join(queries.select(F.col(id_col).alias("q_id"), F.col(vec).alias("_qv")), "q_id") \
-        .join(nb, part)
-    done = []
-    w = 1
-    while True:
-        offs = F.sequence(F.greatest(F.col("_b") - w, F.lit(0)), F.least(F.col("_b") + w, F.col("_bmax")))
-        cand = pending.select("*", F.explode(offs).alias("_cb")) \
-            .join(pts.withColumnRenamed("_b", "_cb"), [*part, "_cb"])
-        if exclude_self:
-            cand = cand.where(F.col("q_id") != F.col("p_id"))
-        cand = cand.withColumn("distance", _distance("_qv", "_pv", dim))
-        wq = Window.partitionBy("q_id").orderBy("distance", "p_id")
-        top = cand.withColumn("rank", F.row_number().over(wq)).where(F.col("rank") <= k)
-        # gap to the nearest point outside the window
-        lo = bounds.select(*part, (F.col("_b") + w).alias("_b"), F.col("_lo").alias("_wlo"))
-        hi = bounds.select(*part, (F.col("_b") - w).alias("_b"), F.col("_hi").alias("_whi"))
-        status = pending.join(lo, [*part, "_b"], "left").join(hi, [*part, "_b"], "left")
-        full = (F.col("_b") - w <= 0) & (F.col("_b") + w >= F.col("_bmax"))
-        gap = F.least(F.coalesce(F.col("_proj") - F.col("_wlo"), F.lit(float("inf"))),
-                      F.coalesce(F.col("_whi") - F.col("_proj"), F.lit(float("inf"))))
-        kth = top.groupBy("q_id").agg(F.max("distance").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
-        status = status.join(kth, "q_id", "left").withColumn(
-            "_ok", full | ((F.coalesce(F.col("_nk"), F.lit(0)) >= k) & (F.col("_dk") < gap)))
-        status = cut_lineage(status.select(*pending.columns, "_ok"))
-        ok_ids = status.where("_ok").select("q_id")
-        done.append(top.join(ok_ids, "q_id", "left_semi")
-                    .select("q_id", *part, "p_id", *payload, "distance", "rank"))
-        pending = status.where(~F.col("_ok")).drop("_ok")
-        if pending.isEmpty():
-            break
-        w *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    n_points = points.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    n_queries = queries.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = _packs(_numbered(points, part, n_points, block, id_col, vec), part, "p")
+    groups = _packs(_numbered(queries, part, n_queries, query_group, id_col, vec), part, "q")
+    last = n_points.select(*part, (F.ceil(F.col("_n") / block) - 1).alias("_last"))
+    sent = groups.join(last, part).withColumn("p_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last", "q_no")
+    pairs = sent.join(blocks, [*part, "p_no"]).drop("p_no")
+    fields = [T.StructField(c, queries.schema[c].dataType) for c in part]
+    schema = T.StructType([T.StructField("q_id", T.LongType()), *fields, T.StructField("p_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q_ids, p_ids = np.array(row["q_ids"]), np.array(row["p_ids"])
+                q = np.frombuffer(row["q_vecs"]).reshape(len(q_ids), -1)
+                p = np.frombuffer(row["p_vecs"]).reshape(len(p_ids), -1)
+                place, distance, real = _nearest(q, p, q_ids, p_ids, k, exclude_self)
+                keep = real.ravel()
+                n = int(keep.sum())
+                out = {"q_id": np.repeat(q_ids, place.shape[1])[keep], "p_id": p_ids[place].ravel()[keep], "distance": distance.ravel()[keep]}
+                out |= {c: [row[c]] * n for c in part}
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    found = pairs.mapInArrow(match, schema)
+    order = Window.partitionBy("q_id", *part).orderBy(F.round("distance", DECIMALS), "p_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if payload:
+        top = top.join(points.select(F.col(id_col).alias("p_id"), *payload), "p_id")
+    out = top.select("q_id", *part, "p_id", *payload, "distance", "rank")
     return out.drop("_all") if "_all" in out.columns else out
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int, label: str = "label", id_col: str = "id",
-                 vec: str = "features", classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
+                 vec: str = "features", classes: Sequence[int] = (0, 1, 2), max_train: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Majority vote of the k nearest training rows; probability = vote share;
-    ties go to the smallest label."""
+    ties go to the smallest label.  The training set is bounded by ``max_train``
+    labelled rows: beyond it, a share picked by a hash of the id is used."""
+    n = train.count()
+    if n > max_train:
+        train = cut_lineage(train.where(F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(1 << 30)) < int(max_train / n * (1 << 30))))
     nn = knn_join(test, train, k, id_col, vec, payload=[label])
     votes = nn.groupBy("q_id").agg(*[F.count_if(F.col(label) == c).alias(f"_v{c}") for c in classes],
                                    F.count(F.lit(1)).alias("_n"))

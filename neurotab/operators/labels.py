@@ -9,16 +9,16 @@ from neurotab import config
 
 
 def anxiety_label(ratings: DataFrame, dataset: str = "dataset", valence: str = "valence", arousal: str = "arousal",
-                  out: str = "label") -> DataFrame:
+                  out: str = "label", thresholds: dict[str, float] | None = None) -> DataFrame:
     """3-level label: high arousal and low valence -> 2, low arousal and high
-    valence -> 0, anything else -> 1; threshold per dataset (fixed 3-row table,
-    broadcast)."""
-    spark = ratings.sparkSession
-    thr = spark.createDataFrame(list(config.LABEL_THRESHOLDS.items()), f"{dataset} string, _t double")
-    r = ratings.join(F.broadcast(thr), dataset, "left")
-    a, v, t = F.col(arousal), F.col(valence), F.col("_t")
+    valence -> 0, anything else -> 1; the threshold comes with the dataset.  A
+    missing rating gives a null label, an unknown dataset fails the query."""
+    name, a, v = F.col(dataset), F.col(arousal), F.col(valence)
+    t = F.raise_error(F.concat(F.lit("unknown dataset: "), F.coalesce(name, F.lit("null")))).cast("double")
+    for known, threshold in (thresholds or config.LABEL_THRESHOLDS).items():
+        t = F.when(name == known, F.lit(float(threshold))).otherwise(t)
     lab = F.when((a >= t) & (v < t), 2).when((a < t) & (v >= t), 0).otherwise(1)
-    return r.withColumn(out, lab).drop("_t")
+    return ratings.withColumn(out, F.when(a.isNotNull() & v.isNotNull(), lab))
 
 
 def subject_id_from_folder(folder: F.Column) -> F.Column:

@@ -86,6 +86,7 @@ def moving_average(df: DataFrame, sig_keys: Sequence[str], k: int, idx: str = "s
     The signal is cut into blocks of ``block`` samples; each block also gets a
     copy of the last k-1 samples of the previous block (halo), so the window
     runs per (signal, block) and no signal is ever one task."""
+    block = max(block, k)        # a window reaches into the block before it, not further
     blk = F.floor(F.col(idx) / block)
     own = df.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
     halo = df.where(F.col(idx) % block >= block - (k - 1)) \
@@ -132,18 +133,17 @@ def notch(df: DataFrame, values: str, fs: float = config.SAMPLING_RATE, freq: fl
 
 def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel", sr_in: float = config.SAMPLING_RATE,
           filters: bool = True, baseline: int = config.BASELINE_SAMPLES, epoch_size: int = config.EPOCH_SAMPLES,
-          artifact_min_channels: int = config.ARTIFACT_MIN_CHANNELS, eps: float = 1e-10) -> DataFrame:
+          eps: float = 1e-10) -> DataFrame:
     """Whole cleaning chain, in order: resample -> band-pass -> notch ->
-    artifact flags -> CAR -> baseline -> z-score -> epochs.
+    CAR -> baseline -> z-score -> epochs.  All channels stay; ``artifact_flags``
+    names suspicious ones in a table of its own.
 
     Signals go to array layout only for the kernels (resample and the IIR
     filters need the whole signal); the filtered long table is written once
-    to the checkpoint folder, since the artifact flags and the main chain both
-    read it.  Baseline, z-score and epoch statistics of a signal come from ONE
+    to the checkpoint folder, since statistics and the main chain both read it.  Baseline, z-score and epoch statistics of a signal come from ONE
     aggregation over the CAR output (baseline mean, mean, population std,
     length) and ONE join; chaining the steps as separate aggregate-and-join
     pairs would re-evaluate the upstream plan at every step.
-    Flagged channels are dropped before the common average.
     Output: (rec_keys..., channel, epoch_id, pos, value)."""
     sig = [*rec_keys, channel]
     if filters or sr_in != config.SAMPLING_RATE:
@@ -152,10 +152,7 @@ def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel",
         if filters:
             arr = notch(bandpass(arr, "values"), "values")
         df_long = cut_lineage(to_long(arr, sig))
-    flags = artifact_flags(df_long, rec_keys, channel, min_channels=artifact_min_channels) \
-        .where("flagged").select(*sig)
-    kept = df_long.join(flags, sig, "left_anti")
-    car = car_reference(kept, rec_keys)
+    car = car_reference(df_long, rec_keys)
     st = car.groupBy(*sig).agg(
         F.coalesce(F.avg(F.when(F.col("sample_idx") < baseline, F.col("value"))), F.lit(0.0)).alias("_b"),
         F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"), F.count(F.lit(1)).alias("_n"))

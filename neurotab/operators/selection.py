@@ -25,7 +25,7 @@ def variance_threshold(long: DataFrame, threshold: float = config.VARIANCE_THRES
 
 
 def anova_f(long: DataFrame, label: str = "label", feature: str = "feature", value: str = "value") -> DataFrame:
-    """One-way ANOVA F per feature: (SSB/(k-1)) / (SSW/(n-k))."""
+    """One-way ANOVA F per feature: (SSB/(k-1)) / (SSW/(n-k)); null with one class."""
     per = long.groupBy(feature, label).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"),
                                            F.var_pop(value).alias("_v"))
     w = Window.partitionBy(feature)
@@ -36,8 +36,8 @@ def anova_f(long: DataFrame, label: str = "label", feature: str = "feature", val
     agg = per.groupBy(feature).agg(
         F.sum(F.col("_n") * F.pow(F.col("_m") - F.col("_g"), 2)).alias("_ssb"),
         F.sum(F.col("_n") * F.col("_v")).alias("_ssw"), F.first("_ntot").alias("_ntot"), F.first("_k").alias("_k"))
-    msb = F.col("_ssb") / (F.col("_k") - 1)
-    msw = F.col("_ssw") / (F.col("_ntot") - F.col("_k"))
+    msb = F.try_divide(F.col("_ssb"), F.col("_k") - 1)
+    msw = F.try_divide(F.col("_ssw"), F.col("_ntot") - F.col("_k"))
     return agg.select(feature, F.try_divide(msb, msw).alias("f_score"))
 
 

@@ -7,7 +7,6 @@ Per-signal groups are bounded by the number of frequency bins.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -45,14 +44,6 @@ def band_power(psd: DataFrame, keys: Sequence[str], bands=config.BANDS) -> DataF
                        (F.col("abs_power") / F.col("total_power")).alias("rel_power"))
 
 
-def assign_bands(psd: DataFrame, bands_df: DataFrame) -> DataFrame:
-    """Range join of PSD bins with the 5-row band table (closed intervals, so a
-    bin on an edge belongs to two bands).  The band table is a fixed dimension,
-    hence broadcast: a nested-loop over 5 rows per bin, no shuffle."""
-    b = F.broadcast(bands_df)
-    return psd.join(b, psd["freq"].between(b["low"], b["high"]), "inner").drop("low", "high")
-
-
 def band_ratios(psd: DataFrame, keys: Sequence[str]) -> DataFrame:
     bands = dict((n, (lo, hi)) for n, lo, hi in config.BANDS)
     wide = psd.groupBy(*keys).agg(_band_sum(*bands["alpha"]).alias("alpha"),
@@ -119,21 +110,22 @@ def frontal_asymmetry(psd: DataFrame, epoch_keys: Sequence[str], channel: str =
         *epoch_keys, F.concat_ws("_", F.lit("frontal_asymmetry"), "left_ch", "right_ch").alias("pair"), "pair_ord",
         (F.log(F.greatest("_ar", F.lit(TOTAL_FLOOR))) - F.log(F.greatest("_al", F.lit(TOTAL_FLOOR))))
         .alias("asymmetry"))
-    primary = per_pair.groupBy(*epoch_keys).agg(F.min_by("asymmetry", "pair_ord").alias("asymmetry")) \
+    # every epoch has the primary value, also one without any pair
+    none = alpha.select(*epoch_keys, F.lit(None).cast("int").alias("pair_ord"), F.lit(None).cast("double").alias("asymmetry"))
+    primary = per_pair.select(*epoch_keys, "pair_ord", "asymmetry").unionByName(none).groupBy(*epoch_keys).agg(
+        F.coalesce(F.min_by("asymmetry", F.col("pair_ord")), F.lit(0.0)).alias("asymmetry")) \
         .select(*epoch_keys, F.lit("frontal_alpha_asymmetry").alias("pair"), "asymmetry")
     return per_pair.drop("pair_ord").unionByName(primary)
 
 
 def band_power_mean(psd: DataFrame, recording_keys: Sequence[str], channel: str = "channel") -> DataFrame:
     """Inference-time band power: mean of the bins of a band per channel, then
-    mean over channels, rounded to 4 decimals (range join with the bands)."""
-    spark = psd.sparkSession
-    bands_df = spark.createDataFrame([(b, float(lo), float(hi), i) for i, (b, lo, hi) in enumerate(config.BANDS)],
-                                     "band string, low double, high double, band_ord int")
-    tagged = assign_bands(psd, bands_df)
-    per_ch = tagged.groupBy(*recording_keys, channel, "band").agg(F.avg("power").alias("_m"))
-    return per_ch.groupBy(*recording_keys, "band").agg(F.round(F.avg("_m"), 4).alias("band_power"))
-
-
-def log_floor(x: float) -> float:
-    return math.log(max(x, TOTAL_FLOOR))
+    mean over channels, rounded to 4 decimals; a band without bins counts as 0
+    for its channel.  One aggregation with conditional means, then an unpivot
+    of the fixed band list."""
+    names = [b for b, _, _ in config.BANDS]
+    inside = [F.coalesce(F.avg(F.when((F.col("freq") >= lo) & (F.col("freq") <= hi), F.col("power"))), F.lit(0.0)).alias(b)
+              for b, lo, hi in config.BANDS]
+    per_ch = psd.groupBy(*recording_keys, channel).agg(*inside)
+    means = per_ch.groupBy(*recording_keys).agg(*[F.round(F.avg(b), 4).alias(b) for b in names])
+    return means.unpivot(list(recording_keys), names, "band", "band_power")

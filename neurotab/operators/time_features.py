@@ -51,6 +51,34 @@ def time_features(df: DataFrame, sig_keys: Sequence[str], idx: str = "sample_idx
                       complexity.alias("hjorth_complexity"), "rms", raw_complexity.alias("hjorth_fd"))
 
 
+def _array_variance(a: F.Column) -> F.Column:
+    """Population variance of an array (null if empty)."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    mean = F.try_divide(total(a), F.size(a))
+    return F.get(F.transform(F.array(mean), lambda m: F.try_divide(total(F.transform(a, lambda v: (v - m) * (v - m))), F.size(a))), F.lit(0))
+
+
+def ordered_features(values: F.Column) -> F.Column:
+    """Struct (zero_crossing_rate, hjorth_mobility, hjorth_complexity) of one
+    array of samples in order; for windows of bounded length (streaming)."""
+    let = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    differences = lambda a: F.zip_with(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))),
+                                       F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)
+    signs = lambda a: F.transform(a, lambda v: F.signum(v))
+    crossings = lambda a: F.size(F.filter(differences(signs(a)), lambda v: v != 0))
+
+    def shape(a: F.Column) -> F.Column:
+        def of(v: F.Column) -> F.Column:
+            mobility = F.when(v["v0"] > EPS, F.sqrt(F.try_divide(v["v1"], v["v0"]))).otherwise(F.lit(0.0))
+            complexity = F.when((v["v1"] > EPS) & (mobility > EPS), F.sqrt(F.try_divide(v["v2"], v["v1"])) / mobility).otherwise(F.lit(0.0))
+            return F.struct((crossings(a) / F.size(a)).alias("zero_crossing_rate"), F.coalesce(mobility, F.lit(0.0)).alias("hjorth_mobility"),
+                            F.coalesce(complexity, F.lit(0.0)).alias("hjorth_complexity"))
+        return let(differences(a), lambda d: let(F.struct(
+            _array_variance(a).alias("v0"), _array_variance(d).alias("v1"), _array_variance(differences(d)).alias("v2")), of))
+
+    return let(values, shape)
+
+
 def to_feature_rows(wide: DataFrame, epoch_keys: Sequence[str], channel: str, names: Sequence[str],
                     stage: int = 0) -> DataFrame:
     """Wide per-channel features -> long (epoch_keys..., feature, value, stage)

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from neurotab import config
 
 
+# smallest probability that enters a logarithm (trees and neighbours give zeros)
+PROBABILITY_FLOOR = 1e-12
+
+
 def log_probs(prob_cols: Sequence[str]) -> F.Column:
-    return F.array(*[F.log(F.col(c)) for c in prob_cols])
+    return F.array(*[F.log(F.greatest(F.col(c), F.lit(PROBABILITY_FLOOR))) for c in prob_cols])
 
 
 def loss_accuracy(scored: DataFrame, group: Sequence[str], prob_cols: Sequence[str], y_true: str = "y_true",

@@ -21,16 +21,17 @@ FROM lineitem""",
 FROM (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(0, 63)) AS pos FROM embeddings)""",
     "feat": """SELECT vec_id AS id, vec_id % 23 AS subject_id, label % 3 AS label, CAST(pos AS INT) AS feature,
        CAST(x AS DOUBLE) AS value
-FROM (SELECT vec_id, label, unnest(embedding[1:8]) AS x, unnest(generate_series(0, 7)) AS pos FROM embeddings)""",
+FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(0, 63)) AS pos FROM embeddings)""",
     "pred": """SELECT id, m AS model, y_true, s0, s1, s2,
        CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS y_pred,
        exp(s0)/(exp(s0)+exp(s1)+exp(s2)) AS p0, exp(s1)/(exp(s0)+exp(s1)+exp(s2)) AS p1,
        exp(s2)/(exp(s0)+exp(s1)+exp(s2)) AS p2
-FROM (SELECT vec_id AS id, m, label % 3 AS y_true, CAST(list_extract(embedding, 3*m+1) AS DOUBLE) AS s0,
-             CAST(list_extract(embedding, 3*m+2) AS DOUBLE) AS s1, CAST(list_extract(embedding, 3*m+3) AS DOUBLE) AS s2
+FROM (SELECT vec_id AS id, m, label % 3 AS y_true, coalesce(CAST(list_extract(embedding, 3*m+1) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+16) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+31) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+46) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+61) AS DOUBLE), 0.0) AS s0,
+             coalesce(CAST(list_extract(embedding, 3*m+2) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+17) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+32) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+47) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+62) AS DOUBLE), 0.0) AS s1,
+             coalesce(CAST(list_extract(embedding, 3*m+3) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+18) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+33) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+48) AS DOUBLE), 0.0) + coalesce(CAST(list_extract(embedding, 3*m+63) AS DOUBLE), 0.0) AS s2
       FROM embeddings CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS v(m))""",
     "ratings": """SELECT c_custkey AS trial_id, c_custkey % 23 AS subject_id,
-       CASE c_custkey % 3 WHEN 0 THEN 'nine_a' WHEN 1 THEN 'five' ELSE 'nine_b' END AS dataset,
+       CASE c_custkey % 3 WHEN 0 THEN 'DEAP' WHEN 1 THEN 'DREAMER' ELSE 'MAHNOB' END AS dataset,
        CAST(1 + (c_custkey * 7) % (CASE WHEN c_custkey % 3 = 1 THEN 5 ELSE 9 END) AS DOUBLE) AS valence,
        CAST(1 + c_nationkey % (CASE WHEN c_custkey % 3 = 1 THEN 5 ELSE 9 END) AS DOUBLE) AS arousal
 FROM customer""",

@@ -164,11 +164,23 @@ def q_mcnemar(spark, sf_dir):
     return ev.mcnemar(fx.pred(spark, sf_dir), [0, 1, 2, 3, 4])
 
 
-@register("mcnemar_test")
+# upper tail of chi-square with one degree of freedom = 1 - erf(z), z = sqrt(x / 2), by the series with positive terms
+# erf(z) = exp(-z^2) * sum of z^(2n+1) / gamma(n + 3/2)
+MCNEMAR_TEST_BODY = """SELECT model_a, model_b, b, c, round(stat, 4) AS statistic,
+       round(CASE WHEN b + c = 0 THEN 1.0 WHEN stat = 0 THEN 1.0 ELSE 1 - (
+         SELECT sum(exp((2 * n + 1) * 0.5 * ln(stat / 2) - stat / 2 - lgamma(n + 1.5))) FROM generate_series(0, 400) AS t(n)) END, 6) AS p_value
+FROM (SELECT model_a, model_b, b, c, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS stat FROM mc)"""
+
+
+@register("mcnemar_test", sql(["pred"], MCNEMAR_TEST_BODY, [("mc", """SELECT a.model AS model_a, b.model AS model_b,
+       CAST(count_if(a.y_true = a.y_pred AND b.y_true <> b.y_pred) AS BIGINT) AS b,
+       CAST(count_if(a.y_true <> a.y_pred AND b.y_true = b.y_pred) AS BIGINT) AS c
+FROM pred a JOIN pred b ON a.id = b.id AND a.model < b.model GROUP BY 1, 2""")]))
 def q_mcnemar_test(spark, sf_dir):
-    m = ev.mcnemar(fx.pred(spark, sf_dir), [0, 1, 2, 3, 4])
+    m = ev.mcnemar(fx.pred(spark, sf_dir), [0, 1, 2, 3, 4], digits=None)
     p = ev.chi2_sf_udf()(F.col("statistic"), F.lit(1))
-    return m.withColumn("p_value", F.when(F.col("b") + F.col("c") > 0, F.round(p, 6)).otherwise(F.lit(1.0)))
+    p = F.when(F.col("b") + F.col("c") > 0, F.round(p, 6)).otherwise(F.lit(1.0))
+    return m.withColumn("p_value", p).withColumn("statistic", F.round("statistic", 4))
 
 
 FOLD_ACC = ("facc", """SELECT x.model, f.fold, avg(CASE WHEN x.y_true = x.y_pred THEN 1.0 ELSE 0.0 END) AS accuracy
@@ -182,11 +194,13 @@ def _fold_acc(spark, sf_dir):
         F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
-FRIEDMAN_BODY = """SELECT CAST(k AS INT) AS n_treatments, CAST(n AS INT) AS n_blocks,
-       round(CASE WHEN k >= 3 THEN (12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) ELSE 0.0 END, 4) AS statistic
+# five models: four degrees of freedom, whose upper tail is exp(-x/2) * (1 + x/2)
+FRIEDMAN_BODY = """SELECT n_treatments, n_blocks, round(x, 4) AS statistic, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value
+FROM (SELECT CAST(k AS INT) AS n_treatments, CAST(n AS INT) AS n_blocks,
+       CASE WHEN k >= 3 THEN (12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))) ELSE 0.0 END AS x
 FROM (SELECT (SELECT count(DISTINCT model) FROM facc) AS k, (SELECT count(DISTINCT fold) FROM facc) AS n,
              (SELECT sum(r * r) FROM (SELECT model, sum(rk) AS r FROM rk GROUP BY 1)) AS ss,
-             (SELECT sum(t * t * t - t) FROM (SELECT fold, accuracy, count(*) AS t FROM facc GROUP BY 1, 2)) AS ties)"""
+             (SELECT sum(t * t * t - t) FROM (SELECT fold, accuracy, count(*) AS t FROM facc GROUP BY 1, 2)) AS ties))"""
 RK = ("rk", """SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY accuracy)
        + (count(*) OVER (PARTITION BY fold, accuracy) - 1) / 2.0 AS rk FROM facc""")
 
@@ -197,9 +211,12 @@ def q_friedman(spark, sf_dir):
 
 
 @register("cv_summary", sql(["pred", "folds"], """SELECT model, round(avg(accuracy), 4) AS mean, round(stddev_pop(accuracy), 4) AS std,
-       round(min(accuracy), 4) AS min, round(max(accuracy), 4) AS max, count(*) AS n_folds FROM facc GROUP BY 1""", [FOLD_ACC]))
+       round(min(accuracy), 4) AS min, round(max(accuracy), 4) AS max, count(*) AS n_folds,
+       string_agg(printf('%.4f', round(accuracy, 4)), ' ' ORDER BY fold) AS fold_values FROM facc GROUP BY 1""", [FOLD_ACC]))
 def q_cv_summary(spark, sf_dir):
-    return ev.cv_summary(_fold_acc(spark, sf_dir), ["model"], "accuracy")
+    out = ev.cv_summary(_fold_acc(spark, sf_dir), ["model"], "accuracy")
+    text = F.array_join(F.transform("values", lambda v: F.format_string("%.4f", v)), " ")
+    return out.withColumn("fold_values", text).drop("values")
 
 
 REPORT_BODY = """SELECT model, 'per_class' AS section, class, metric, round(value, 6) AS value FROM (

@@ -39,15 +39,15 @@ def q_anova_f(spark, sf_dir):
     return rounded(se.anova_f(fx.feat(spark, sf_dir)))
 
 
-KBEST = """SELECT feature, round(f_score, 6) AS f_score, CAST(rk AS INT) AS rank, rk <= least(3, count(*) OVER ()) AS keep
+KBEST = """SELECT feature, round(f_score, 6) AS f_score, CAST(rk AS INT) AS rank, rk <= least(20, count(*) OVER ()) AS keep
 FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN f_score IS NULL OR isnan(f_score) THEN 1 ELSE 0 END, f_score DESC, feature DESC) AS rk
       FROM anova)"""
 
 
 @register("select_k_best", sql(["feat"], KBEST, [("src", "SELECT * FROM feat"), ANOVA_CTE]))
 def q_select_k_best(spark, sf_dir):
-    # fixture scaling: 8 features, so k = 3 in place of 200 (of ~600-1350)
-    out = se.select_k_best(se.anova_f(fx.feat(spark, sf_dir)), k=3)
+    # fixture scaling: 64 features, so k = 20 in place of 200 (of ~600-1350)
+    out = se.select_k_best(se.anova_f(fx.feat(spark, sf_dir)), k=20)
     return rounded(out.withColumn("rank", F.col("rank").cast("int")))
 
 
@@ -55,18 +55,18 @@ def q_select_k_best(spark, sf_dir):
 WHERE f.feature IN (SELECT feature FROM kb WHERE keep)""", [("src", "SELECT * FROM feat"), ANOVA_CTE, ("kb", KBEST)]))
 def q_select_apply(spark, sf_dir):
     long = fx.feat(spark, sf_dir)
-    return se.apply_selection(long, se.select_k_best(se.anova_f(long), k=3)).select("id", "feature", "value")
+    return se.apply_selection(long, se.select_k_best(se.anova_f(long), k=20)).select("id", "feature", "value")
 
 
 @register("select_fit_apply", sql(["feat"], """SELECT f.id, f.feature, f.value FROM feat f
 WHERE f.feature IN (SELECT feature FROM kb WHERE keep)""", [
-    ("vt", "SELECT feature FROM feat GROUP BY 1 HAVING var_pop(value) > 0.001"),
+    ("vt", "SELECT feature FROM feat GROUP BY 1 HAVING var_pop(value) > 0.01"),
     ("src", "SELECT * FROM feat WHERE feature IN (SELECT feature FROM vt)"), ANOVA_CTE, ("kb", KBEST)]))
 def q_select_fit_apply(spark, sf_dir):
     """Variance threshold then k-best, fitted on the labelled rows and applied.
-    Fixture scaling: threshold 0.001 and k = 3 (8 features)."""
+    Fixture scaling: k = 20 of 64 features."""
     long = fx.feat(spark, sf_dir)
-    fitted = se.fit_selector(long, threshold=0.001, k=3)
+    fitted = se.fit_selector(long, k=20)
     return se.apply_selection(long, fitted).select("id", "feature", "value")
 
 
@@ -122,15 +122,15 @@ def q_assemble_vector(spark, sf_dir):
 
 
 @register("manual_vector", sql(["feat"], """SELECT f.id, CAST(p.range AS INT) AS position, coalesce(x.value, 0.0) AS value
-FROM (SELECT DISTINCT id FROM feat) f CROSS JOIN range(0, 8) p
-LEFT JOIN feat x ON x.id = f.id AND x.feature = p.range AND x.feature < 5"""))
+FROM (SELECT DISTINCT id FROM feat) f CROSS JOIN range(0, 64) p
+LEFT JOIN feat x ON x.id = f.id AND x.feature = p.range AND x.feature % 8 < 5"""))
 def q_manual_vector(spark, sf_dir):
-    """Requests carry a name->value map with five of eight names; the vector
-    takes the fixed sorted name list and fills absent names with 0."""
-    long = fx.feat(spark, sf_dir).where(F.col("feature") < 5)
+    """Requests carry a name->value map with five of every eight names; the
+    vector takes the fixed sorted name list and fills absent names with 0."""
+    long = fx.feat(spark, sf_dir).where(F.col("feature") % 8 < 5)
     req = long.groupBy("id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.concat(F.lit("f"), F.col("feature").cast("string")), F.col("value")))).alias("features"))
-    names = [f"f{i}" for i in range(8)]
+        F.struct(F.format_string("f%02d", "feature"), F.col("value")))).alias("features"))
+    names = [f"f{i:02d}" for i in range(64)]
     v = manual_vector(req, names)
     return v.select("id", F.posexplode("vector").alias("position", "value"))
 

@@ -24,7 +24,7 @@ KNN_CTES = [
     ("te", "SELECT f.* FROM feat f JOIN folds o ON o.id = f.id WHERE o.fold = 0"),
     ("d", """SELECT q.id AS q_id, p.id AS p_id, sqrt(sum((q.value - p.value) * (q.value - p.value))) AS distance
 FROM te q JOIN tr p ON q.feature = p.feature GROUP BY 1, 2"""),
-    ("nn", """SELECT d.q_id, d.p_id, l.label, row_number() OVER (PARTITION BY d.q_id ORDER BY d.distance, d.p_id) AS rk
+    ("nn", """SELECT d.q_id, d.p_id, l.label, row_number() OVER (PARTITION BY d.q_id ORDER BY round(d.distance, 9), d.p_id) AS rk
 FROM d JOIN lab l ON l.id = d.p_id"""),
     ("votes", """SELECT q_id, count_if(label = 0) AS v0, count_if(label = 1) AS v1, count_if(label = 2) AS v2, count(*) AS n
 FROM nn WHERE rk <= 7 GROUP BY 1"""),
@@ -46,7 +46,7 @@ SMOTE_NN_CTES = [
     ("kk", "SELECT CASE WHEN min(n) <= 1 THEN 1 ELSE least(5, min(n) - 1) END AS k FROM (SELECT label, count(*) AS n FROM lab GROUP BY 1)"),
     ("d", """SELECT q.id AS q_id, p.id AS p_id, sqrt(sum((q.value - p.value) * (q.value - p.value))) AS distance
 FROM feat q JOIN feat p ON q.feature = p.feature AND q.label = p.label AND q.id <> p.id GROUP BY 1, 2"""),
-    ("nn", """SELECT d.q_id, l.label, d.p_id, CAST(row_number() OVER (PARTITION BY d.q_id ORDER BY d.distance, d.p_id) AS INT) AS rank
+    ("nn", """SELECT d.q_id, l.label, d.p_id, CAST(row_number() OVER (PARTITION BY d.q_id ORDER BY round(d.distance, 9), d.p_id) AS INT) AS rank
 FROM d JOIN lab l ON l.id = d.q_id"""),
 ]
 
@@ -57,7 +57,7 @@ def q_smote_neighbors(spark, sf_dir):
     data = fx.feat_wide(spark, sf_dir)
     counts = [r[1] for r in data.groupBy("label").count().collect()]
     k = ba.smote_neighbour_k(counts)
-    nn = knn_join(data, data, k, partition=["label"], exclude_self=True, self_join=True)
+    nn = knn_join(data, data, k, partition=["label"], exclude_self=True)
     return nn.select("q_id", "label", "p_id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -67,7 +67,7 @@ SMOTE_CTES = SMOTE_NN_CTES + [
     ("syn", """SELECT c.label, j.range AS syn_idx, n.id AS src_id,
        1 + ('0x' || substr(md5(concat_ws('-', '42', CAST(c.label AS VARCHAR), CAST(j.range AS VARCHAR))), 1, 8))::BIGINT % (SELECT k FROM kk) AS nnr,
        ('0x' || substr(md5(concat_ws('-', '42', CAST(c.label AS VARCHAR), CAST(j.range AS VARCHAR))), 9, 8))::BIGINT / 4294967296.0 AS u
-FROM cnt c JOIN range(0, 100000) j ON j.range < c.nnew
+FROM cnt c JOIN (SELECT unnest(range(0, (SELECT max(nnew) FROM cnt))) AS range) j ON j.range < c.nnew
 JOIN num n ON n.label = c.label AND n.pos = j.range % c.nc"""),
     ("synv", """SELECT s.label, true AS is_synthetic, s.src_id, s.syn_idx, x.feature AS position,
        x.value + s.u * (y.value - x.value) AS value
@@ -212,7 +212,7 @@ def q_permutation_importance(spark, sf_dir):
     def acc(df):
         sc = s.score(df).join(df.select("id", "label"), "id")
         return sc.agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).first()[0]
-    return permutation_importance(acc, valid, [f"f{i}" for i in range(8)])
+    return permutation_importance(acc, valid, [f"f{i}" for i in range(64)])
 
 
 LDA2_CTES = [

@@ -43,7 +43,8 @@ def _trial_tensors(spark, sf_dir):
 @register("trial_channel_split", sql(["ratings"], """SELECT CAST(floor(vec_id / 40) AS BIGINT) AS trial_id, CAST(vec_id % 40 AS INT) AS channel_idx,
        CASE WHEN vec_id % 40 < 32 THEN 'eeg' ELSE 'peripheral' END AS kind,
        CASE WHEN vec_id % 40 < 32 THEN list_extract(""" + "['" + "', '".join(rd.TRIAL_EEG_CHANNELS) + """'], CAST(vec_id % 40 AS INT) + 1) END AS channel,
-       CAST(len(embedding) AS INT) AS n_samples, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, r.valence, r.arousal
+       CAST(len(embedding) AS INT) AS n_samples, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+       round(list_sum(list_transform(list_zip(range(1, len(embedding) + 1), embedding), lambda p: p[1] * CAST(p[2] AS DOUBLE))), 5) AS weighted_sum, r.valence, r.arousal
 FROM embeddings e JOIN ratings r ON r.trial_id = CAST(floor(e.vec_id / 40) AS BIGINT)"""))
 def q_trial_channel_split(spark, sf_dir):
     ch = rd.trial_channels(_trial_tensors(spark, sf_dir), keys=["trial_id"])
@@ -51,6 +52,9 @@ def q_trial_channel_split(spark, sf_dir):
     out = ch.join(r, "trial_id")
     return out.select("trial_id", F.col("channel_idx").cast("int").alias("channel_idx"), "kind", "channel",
                       F.size("values").alias("n_samples"), F.round(F.col("values")[0], 6).alias("first_value"),
+                      # every sample and its place counts
+                      F.round(F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5)
+                      .alias("weighted_sum"),
                       "valence", "arousal")
 
 
@@ -112,7 +116,7 @@ def q_signals_with_labels(spark, sf_dir):
     """Sessions paired with their annotation ratings (inner: unlabelled
     sessions are left out) and the 3-level label at threshold 5."""
     x = rd.xml_ratings(fx.xml_docs(spark, sf_dir)).select(
-        F.col("session_id").cast("long").alias("_sid"), "arousal", "valence", F.lit("nine_b").alias("dataset"))
+        F.col("session_id").cast("long").alias("_sid"), "arousal", "valence", F.lit("MAHNOB").alias("dataset"))
     p = _pairs(spark, sf_dir)
     j = p.join(x, p["session_id"].cast("long") == x["_sid"])
     return anxiety_label(j).select("session_id", "signal_path", "arousal", "valence", "label")

@@ -19,8 +19,16 @@ from neurotab.streaming import jobs
 @register("tumbling_features", sql([], """SELECT user_id AS recording_id, event_type AS channel,
        time_bucket(INTERVAL '1 day', ts) AS window_start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS window_end,
        count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance, round(stddev_pop(value), 6) AS std,
-       round(max(value) - min(value), 6) AS peak_to_peak, round(sqrt(avg(value * value)), 6) AS rms
-FROM events GROUP BY 1, 2, 3, 4"""))
+       round(max(value) - min(value), 6) AS peak_to_peak, round(sqrt(avg(value * value)), 6) AS rms,
+       round(coalesce(count_if(crossed), 0) / count(*), 6) AS zero_crossing_rate,
+       round(coalesce(CASE WHEN var_pop(value) > 1e-10 THEN sqrt(var_pop(d1) / var_pop(value)) END, 0.0), 6) AS hjorth_mobility,
+       round(coalesce(CASE WHEN var_pop(d1) > 1e-10 AND var_pop(value) > 1e-10 AND sqrt(var_pop(d1) / var_pop(value)) > 1e-10
+             THEN sqrt(var_pop(d2) / var_pop(d1)) / sqrt(var_pop(d1) / var_pop(value)) END, 0.0), 6) AS hjorth_complexity
+FROM (SELECT *, d1 - lag(d1) OVER w AS d2 FROM (
+  SELECT user_id, event_type, ts, value, value - lag(value) OVER w AS d1, sign(value) <> lag(sign(value)) OVER w AS crossed
+  FROM events WINDOW w AS (PARTITION BY user_id, event_type, time_bucket(INTERVAL '1 day', ts) ORDER BY ts, value))
+  WINDOW w AS (PARTITION BY user_id, event_type, time_bucket(INTERVAL '1 day', ts) ORDER BY ts, value))
+GROUP BY 1, 2, 3, 4"""))
 def q_tumbling_features(spark, sf_dir):
     """Batch form of the streaming window job: 1-day tumbling windows per
     (recording, channel) of ``events`` (the streaming job uses the same

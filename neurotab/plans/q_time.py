@@ -80,7 +80,7 @@ def q_time_features(spark, sf_dir):
 
 LABEL_BODY = """SELECT r.trial_id, r.subject_id, r.dataset, r.valence, r.arousal,
        CASE WHEN r.arousal >= t.t AND r.valence < t.t THEN 2 WHEN r.arousal < t.t AND r.valence >= t.t THEN 0 ELSE 1 END AS label
-FROM ratings r JOIN (VALUES ('nine_a', 5.0), ('five', 2.5), ('nine_b', 5.0)) AS t(dataset, t) ON r.dataset = t.dataset"""
+FROM ratings r JOIN (VALUES ('DEAP', 5.0), ('DREAMER', 2.5), ('MAHNOB', 5.0)) AS t(dataset, t) ON r.dataset = t.dataset"""
 
 
 @register("anxiety_label", sql(["ratings"], LABEL_BODY))

@@ -36,15 +36,32 @@ def read_wide_csv(spark: SparkSession, path: str, channels: Sequence[str], extra
                   time_col: str = "time") -> DataFrame:
     """Wide recording CSV (a time column named ``time`` or ``timestamp`` plus
     one column per channel) -> long (extra..., time, channel, value).
-    The schema is explicit (no inference pass over the data)."""
-    header = spark.read.option("header", True).csv(path).columns      # header line only
-    tcol = "timestamp" if "timestamp" in header and "time" not in header else time_col
-    schema = T.StructType(list(extra) + list(wide_csv_schema(channels, tcol).fields))
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    if tcol != "time":
-        df = df.withColumnRenamed(tcol, "time")
+    Columns are found by name in each file's own header, so files may order
+    them differently.  An empty cell is no sample; one that does not parse stays
+    as a row with a null value, so sample numbers keep their places
+    (``bad_cells`` counts them)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(c, F.lit(' "\r')))
+    lines = lines.where(F.trim("value") != "").select("_file", cells.alias("_c"))
+    # a header names the time column; every file is read by its own header, one row a file
+    is_header = F.arrays_overlap("_c", F.array(F.lit(time_col), F.lit("timestamp")))
+    headers = lines.where(is_header).groupBy("_file").agg(F.first("_c").alias("_h"))
+    rows = lines.where(~is_header).join(headers, "_file")
+
+    def cell(name: str, kind: T.DataType = T.DoubleType()) -> F.Column:
+        return F.get("_c", (F.array_position("_h", name) - 1).cast("int")).try_cast(kind)
+
+    time = F.when(F.array_contains("_h", time_col), cell(time_col)).otherwise(cell("timestamp"))
+    wide = rows.select(*[cell(f.name, f.dataType).alias(f.name) for f in extra], time.alias("time"),
+                       *[cell(c, T.StringType()).alias(c) for c in channels])
     ids = [f.name for f in extra] + ["time"]
-    return df.unpivot(ids, list(channels), "channel", "value").where(F.col("value").isNotNull())
+    long = wide.unpivot(ids, list(channels), "channel", "_raw").where(F.col("_raw") != "")
+    return long.select(*ids, "channel", F.col("_raw").try_cast("double").alias("value"))
+
+
+def bad_cells(long: DataFrame) -> DataFrame:
+    """Rows per channel whose cell did not parse (value null)."""
+    return long.groupBy("channel").agg(F.count_if(F.col("value").isNull()).alias("n_bad"))
 
 
 def trial_channels(trials: DataFrame, data: str = "data", keys: Sequence[str] = ("subject_id", "trial_id"),
@@ -64,7 +81,10 @@ def nested_trials(df: DataFrame, data: str = "eeg", keys: Sequence[str] = ("subj
                   keep: int = NESTED_KEEP_CHANNELS) -> DataFrame:
     """Variable-length 2-D trial arrays, stored either channels x samples or
     samples x channels (the longer axis is time) -> long
-    (keys..., channel_idx, sample_idx, value), first ``keep`` channels."""
+    (keys..., channel_idx, sample_idx, value), first ``keep`` channels.  A trial
+    that is missing, empty or not rectangular is skipped."""
+    widths = F.array_distinct(F.transform(data, lambda r: F.coalesce(F.size(r), F.lit(-1))))
+    df = df.where(F.col(data).isNotNull() & (F.size(widths) == 1) & (F.get(widths, F.lit(0)) > 0))
     rows = df.select(*keys, F.posexplode(data).alias("_r", "_row"),
                      (F.size(data) > F.size(F.element_at(data, 1))).alias("_t"))
     cells = rows.select(*keys, "_r", "_t", F.posexplode("_row").alias("_c", "value"))
@@ -75,6 +95,13 @@ def nested_trials(df: DataFrame, data: str = "eeg", keys: Sequence[str] = ("subj
     return out.where(F.col("channel_idx") < keep)
 
 
+def before_broken_trials(df: DataFrame, broken: F.Column, subject: str = "subject_id", trial: str = "trial_id") -> DataFrame:
+    """Trials of each subject up to its first broken one (for example without
+    ratings): the rest of that subject is left out."""
+    first = df.where(broken).groupBy(subject).agg(F.min(trial).alias("_first"))
+    return df.join(first, subject, "left").where(F.col("_first").isNull() | (F.col(trial) < F.col("_first"))).drop("_first")
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, length, modificationTime) of files under root; content is not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob) \
@@ -84,14 +111,16 @@ def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool
 
 def pair_sessions(paths: DataFrame, path: str = "path", signal_ext: str = ".bdf",
                   annotation_ext: str = ".xml") -> DataFrame:
-    """Per session folder: the first signal file and the first annotation file;
-    folders lacking either are skipped.  Output (session, signal_path, annotation_path)."""
-    folder = F.regexp_extract(F.col(path), r"([^/]+)/[^/]+$", 1)
+    """Per session folder (its full path): the first signal file and the first
+    annotation file; folders lacking either, and hidden ones, are skipped.
+    Output (session = the folder's name, signal_path, annotation_path)."""
+    folder = F.regexp_extract(F.col(path), r"^(.*)/[^/]+$", 1)
     ext = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]*)$", 1))
-    p = paths.select(folder.alias("session"), ext.alias("_ext"), F.col(path).alias("_p"))
-    sig = p.where(F.col("_ext") == signal_ext).groupBy("session").agg(F.min("_p").alias("signal_path"))
-    ann = p.where(F.col("_ext") == annotation_ext).groupBy("session").agg(F.min("_p").alias("annotation_path"))
-    return sig.join(ann, "session")
+    p = paths.select(folder.alias("_f"), ext.alias("_ext"), F.col(path).alias("_p"))
+    first = lambda e: F.min(F.when(F.col("_ext") == e, F.col("_p")))
+    per = p.groupBy("_f").agg(first(signal_ext).alias("signal_path"), first(annotation_ext).alias("annotation_path"))
+    named = per.select(F.regexp_extract("_f", r"([^/]+)$", 1).alias("session"), "signal_path", "annotation_path")
+    return named.where(F.col("signal_path").isNotNull() & F.col("annotation_path").isNotNull() & ~F.startswith("session", F.lit(".")))
 
 
 def _last_number(xml: F.Column, tag_pattern: str) -> F.Column:
@@ -169,6 +198,14 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def dataset(name: str) -> dict:
+    """Threshold, rating scale, channels and rate of a dataset; unknown names raise."""
+    try:
+        return dict(config.DATASETS[name])
+    except KeyError:
+        raise ValueError(f"unknown dataset {name!r}; known: {sorted(config.DATASETS)}") from None
+
+
 def get_reader(name: str) -> Callable[..., DataFrame]:
     try:
         return READERS[name]

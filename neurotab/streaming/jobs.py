@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from neurotab.operators.time_features import ordered_features
 from neurotab.operators.training import job_status
 
 
 def tumbling_features(events: DataFrame, ts: str = "ts", keys=("recording_id", "channel"), value: str = "value",
                       window: str = "4 seconds", watermark: str | None = None) -> DataFrame:
-    """Fixed non-overlapping windows per signal with order-free aggregates:
-    n, mean, variance, std (population), peak-to-peak, RMS."""
+    """Fixed non-overlapping windows per signal: n, mean, variance, std
+    (population), peak-to-peak, RMS, and the features of sample order
+    (zero-crossing rate, Hjorth mobility and complexity).  A window's samples
+    are held as one array: 512 for 4 seconds at 128 Hz."""
     df = events
     if watermark:
         # event-time watermarks need an instant type; wall-clock (ntz) times are read as session-zone instants
@@ -30,9 +33,12 @@ def tumbling_features(events: DataFrame, ts: str = "ts", keys=("recording_id", "
     agg = df.groupBy(F.window(ts, window).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
         F.stddev_pop(value).alias("std"), (F.max(value) - F.min(value)).alias("peak_to_peak"),
-        F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+        F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"),
+        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))).alias("_s"))
+    agg = agg.withColumn("_o", ordered_features(F.transform("_s", lambda x: x["v"])))
     return agg.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      "n", "mean", "variance", "std", "peak_to_peak", "rms")
+                      "n", "mean", "variance", "std", "peak_to_peak", "rms", "_o.zero_crossing_rate", "_o.hjorth_mobility",
+                      "_o.hjorth_complexity")
 
 
 def start_tumbling(spark: SparkSession, source_dir: str, schema, checkpoint: str, sink_table: str,
@@ -52,10 +58,11 @@ def start_tumbling(spark: SparkSession, source_dir: str, schema, checkpoint: str
 def start_scoring(spark: SparkSession, source_dir: str, schema, checkpoint: str, out_dir: str,
                   score_batch: Callable[[DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
     """Score each arriving message: every micro-batch is a static DataFrame
-    handed to ``score_batch`` (the batch prediction chain) and appended to
-    ``out_dir``; the checkpoint makes the sink exactly-once per batch id."""
+    handed to ``score_batch`` (the batch prediction chain) and written to its own
+    partition ``batch_id=<n>`` of ``out_dir``.  A batch that is retried replaces
+    its partition, so each message is scored into the table once."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        score_batch(batch).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     w = spark.readStream.schema(schema).json(source_dir).writeStream.foreachBatch(run) \
         .option("checkpointLocation", checkpoint)

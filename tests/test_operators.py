@@ -111,8 +111,8 @@ def test_knn_join_exact_against_brute_force(spark):
     cls = np.where(rng.random(n) < 0.7, 0, 1)
     pdf = pd.DataFrame({"id": np.arange(n), "label": cls, "features": list(x)})
     df = spark.createDataFrame(pdf, "id long, label long, features array<double>")
-    for self_join in (False, True):
-        got = knn_join(df, df, 5, partition=["label"], exclude_self=True, block=16, self_join=self_join).toPandas()
+    for block in (16, 4096):
+        got = knn_join(df, df, 5, partition=["label"], exclude_self=True, block=block, query_group=50).toPandas()
         assert len(got) == 5 * n
         for q in [0, 1, 17, 299, 300, 599]:
             same = np.nonzero((cls == cls[q]) & (np.arange(n) != q))[0]
@@ -128,7 +128,7 @@ def test_smote_points_lie_on_segments_and_balance(spark):
     labels = np.array([0] * 50 + [1] * 25 + [2] * 15)
     pdf = pd.DataFrame({"id": np.arange(n), "label": labels, "features": list(rng.normal(size=(n, 3)))})
     df = spark.createDataFrame(pdf, "id long, label int, features array<double>")
-    out = smote(df, block=8).toPandas()
+    out = smote(df).toPandas()
     assert out.groupby("label").size().tolist() == [50, 50, 50]
     syn = out[out.is_synthetic]
     feats = {i: f for i, f in zip(pdf.id, pdf.features)}
