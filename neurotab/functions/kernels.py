@@ -214,71 +214,110 @@ def filtfilt_udf(b, a):
 
 # ---------------------------------------------------------------- template entropies
 
-def _template_counts(x: np.ndarray, r: float, m: int, n_templates: int) -> np.ndarray:
-    """For each of the first ``n_templates`` templates of length ``m`` count the
-    templates (itself included) within Chebyshev distance ``r``.  Candidates are
-    found from the sorted first coordinate, so only pairs within ``r`` in that
-    coordinate are ever compared."""
-    emb = np.stack([x[i:i + n_templates] for i in range(m)], axis=1)
-    order = np.argsort(emb[:, 0], kind="stable")
-    first = emb[order, 0]
-    lo = np.searchsorted(first, first - r, side="left")
-    hi = np.searchsorted(first, first + r, side="right")
-    counts = np.zeros(n_templates, dtype=np.int64)
-    sorted_emb = emb[order]
-    for p in range(n_templates):
-        cand = sorted_emb[lo[p]:hi[p]]
-        ok = np.all(np.abs(cand - sorted_emb[p]) <= r, axis=1)
-        counts[order[p]] = int(ok.sum())
-    return counts
+def template_entropies(x: np.ndarray, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(sample entropy, approximate entropy) of every row of a matrix.
+
+    Template matches are found lag by lag for all rows at once: where samples i
+    and i + lag lie within r (0.2 population standard deviations of the row),
+    two such places in a row are a match of length 2, three one of length 3.
+    Sample entropy counts pairs among the first n - order templates, approximate
+    entropy counts matches per template, itself included."""
+    rows, n = x.shape
+    if n <= order + 1:
+        return np.zeros(rows), np.zeros(rows)
+    r = 0.2 * np.std(x, axis=1, keepdims=True)
+    pairs = np.zeros((2, rows))
+    counts = [np.ones((rows, n - order + 1)), np.ones((rows, n - order))]
+    for lag in range(1, n - order + 1):
+        near = np.abs(x[:, lag:] - x[:, :n - lag]) <= r
+        match = near[:, :near.shape[1] - order + 1]
+        for k in range(1, order):
+            match = match & near[:, k:near.shape[1] - order + 1 + k]
+        longer = match[:, :-1] & near[:, order:]
+        usable = n - order - lag
+        pairs[0] += match[:, :usable].sum(axis=1)
+        pairs[1] += longer[:, :usable].sum(axis=1)
+        for c, m in zip(counts, (match, longer), strict=True):
+            c[:, :m.shape[1]] += m
+            c[:, lag:lag + m.shape[1]] += m
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sample = np.where(pairs[0] == 0, 0.0, np.where(pairs[1] == 0, np.inf, -np.log(pairs[1] / pairs[0])))
+    phi = [np.mean(np.log(c / c.shape[1]), axis=1) for c in counts]
+    return sample, phi[0] - phi[1]
 
 
 def sample_entropy_1d(x: np.ndarray, order: int = 2) -> float:
-    n = len(x)
-    if n <= order + 1:
-        return 0.0
-    r = 0.2 * float(np.std(x))
-    nt = n - order
-    b = (_template_counts(x, r, order, nt).sum() - nt) / 2.0
-    a = (_template_counts(x, r, order + 1, nt).sum() - nt) / 2.0
-    if b == 0:
-        return 0.0
-    if a == 0:
-        return float("inf")
-    return float(-np.log(a / b))
+    return float(template_entropies(np.asarray(x, dtype=np.float64)[None, :], order)[0][0])
 
 
 def approx_entropy_1d(x: np.ndarray, order: int = 2) -> float:
-    n = len(x)
-    if n <= order + 1:
-        return 0.0
-    r = 0.2 * float(np.std(x))
-    c2 = _template_counts(x, r, order, n - order + 1)
-    c3 = _template_counts(x, r, order + 1, n - order)
-    phi2 = float(np.mean(np.log(c2 / (n - order + 1))))
-    phi3 = float(np.mean(np.log(c3 / (n - order))))
-    return phi2 - phi3
+    return float(template_entropies(np.asarray(x, dtype=np.float64)[None, :], order)[1][0])
+
 
+# cells of one matrix of equal-length rows
+STACK_CELLS = 1 << 20
 
-def _scalar_udf(fn):
+
+def _entropy_udf(which: int):
     @F.pandas_udf(T.DoubleType())
     def kernel(values: pd.Series) -> pd.Series:
-        out = np.empty(len(values))
-        for i, v in enumerate(values):
-            try:
-                out[i] = fn(np.asarray(v, dtype=np.float64))
-            except (ValueError, FloatingPointError):
-                out[i] = 0.0
+        out = np.zeros(len(values))
+        arrays = [np.asarray(v, dtype=np.float64) if v is not None else np.empty(0) for v in values]
+        lengths = np.array([len(v) for v in arrays])
+        for n in np.unique(lengths):
+            places = np.nonzero(lengths == n)[0]
+            step = max(1, STACK_CELLS // max(1, int(n)))
+            for at in range(0, len(places), step):
+                some = places[at:at + step]
+                out[some] = template_entropies(np.stack([arrays[i] for i in some]))[which]
         return pd.Series(out)
     return kernel
 
 
 def sample_entropy_udf():
-    return _scalar_udf(sample_entropy_1d)
+    return _entropy_udf(0)
 
 
 def approx_entropy_udf():
-    return _scalar_udf(approx_entropy_1d)
+    return _entropy_udf(1)
+
+
+# ---------------------------------------------------------------- wavelet
+
+def wavelet_level(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One analysis level of every row: output o is the sum of tap j times sample
+    2o + 1 - j of the half-sample symmetric extension."""
+    taps = len(low)
+    ext = np.pad(x, ((0, 0), (taps - 1, taps - 1)), mode="symmetric")
+    n_out = (x.shape[1] + taps - 1) // 2
+    parts = [ext[:, taps - j:taps - j + 2 * n_out:2][:, :n_out] for j in range(taps)]
+    return (sum(h * p for h, p in zip(low, parts, strict=True)), sum(h * p for h, p in zip(high, parts, strict=True)))
+
+
+def wavelet_udf(low: list, high: list, level: int):
+    """Array of samples -> [approximation, details from the last level to the
+    first]; empty where the signal is too short for one level."""
+    lo, hi = np.array(low), np.array(high)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def kernel(values: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(values))]
+        arrays = [np.asarray(v, dtype=np.float64) if v is not None else np.empty(0) for v in values]
+        lengths = np.array([len(v) for v in arrays])
+        for n in np.unique(lengths):
+            levels = min(level, int(np.floor(np.log2(n / (len(lo) - 1))))) if n >= len(lo) - 1 else 0
+            if levels < 1:
+                continue
+            places = np.nonzero(lengths == n)[0]
+            cur, bands = np.stack([arrays[i] for i in places]), []
+            for _ in range(levels):
+                cur, detail = wavelet_level(cur, lo, hi)
+                bands.insert(0, detail)
+            bands.insert(0, cur)
+            for k, i in enumerate(places):
+                out[i] = [b[k] for b in bands]
+        return pd.Series(out)
+    return kernel
 
 
 # ---------------------------------------------------------------- chi-square tail

@@ -9,9 +9,10 @@ never do.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
@@ -29,8 +30,63 @@ K = 3
 
 @dataclass
 class Scorer:
+    """A fitted model.  ``kind`` names how it scores, ``params`` holds plain
+    numbers, ``stage`` a Spark ML model or the table of a neighbour model,
+    ``members`` the models it combines; ``save_scorer`` stores all of them."""
+
     name: str
     score: Callable[[DataFrame], DataFrame]
+    kind: str = ""
+    params: dict = field(default_factory=dict)
+    stage: object = None
+    members: list["Scorer"] = field(default_factory=list)
+
+
+# how each kind scores: (name, params, stage, members) -> score function
+KINDS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {}
+
+
+def kind(name: str):
+    def deco(fn):
+        KINDS[name] = fn
+        return fn
+    return deco
+
+
+def scorer_of(kind_name: str, name: str, params: dict | None = None, stage=None, members: Sequence["Scorer"] = ()) -> Scorer:
+    params, members = params or {}, list(members)
+    return Scorer(name, KINDS[kind_name](name, params, stage, members), kind_name, params, stage, members)
+
+
+def save_scorer(scorer: Scorer, spark, path: str) -> None:
+    """Write a fitted scorer (scaler, numbers, Spark ML model, members) under ``path``."""
+    from pyspark.ml import PipelineModel
+
+    if scorer.kind not in KINDS:
+        raise ValueError(f"{scorer.name} cannot be stored")
+    table = isinstance(scorer.stage, DataFrame)
+    facts = {"name": scorer.name, "kind": scorer.kind, "params": scorer.params, "members": len(scorer.members),
+             "stage": "table" if table else "model" if scorer.stage is not None else ""}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+    if table:
+        scorer.stage.write.mode("overwrite").parquet(f"{path}/stage")
+    elif scorer.stage is not None:
+        PipelineModel([scorer.stage]).write().overwrite().save(f"{path}/stage")
+    for i, m in enumerate(scorer.members):
+        save_scorer(m, spark, f"{path}/member-{i}")
+
+
+def load_scorer(spark, path: str) -> Scorer:
+    from pyspark.ml import PipelineModel
+
+    facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+    stage = None
+    if facts["stage"] == "table":
+        stage = spark.read.parquet(f"{path}/stage")
+    elif facts["stage"]:
+        stage = PipelineModel.load(f"{path}/stage").stages[0]
+    members = [load_scorer(spark, f"{path}/member-{i}") for i in range(facts["members"])]
+    return scorer_of(facts["kind"], facts["name"], facts["params"], stage, members)
 
 
 def _out(df: DataFrame, name: str, prob: F.Column, id_col: str = "id", k: int = K) -> DataFrame:
@@ -81,16 +137,20 @@ def fit_logreg(train: DataFrame, c: float = 1.0, max_iter: int = 1000, name: str
     n = train.count()
     lr = LogisticRegression(featuresCol="fv", labelCol="label", family="multinomial", regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter)
-    model = _fit_cached(lr, _vec(apply_scaler(train, sc)))
-    return Scorer(name, lambda df: _out(model.transform(_vec(apply_scaler(df, sc))), name,
-                                        vector_to_array("probability")))
+    return scorer_of("probability", name, {"scaler": sc}, _fit_cached(lr, _vec(apply_scaler(train, sc))))
+
+
+@kind("probability")
+def _score_probability(name: str, params: dict, model, members):
+    """Models with a probability column, on features scaled or as they are."""
+    scaled = (lambda df: apply_scaler(df, params["scaler"])) if params.get("scaler") else (lambda df: df)
+    return lambda df: _out(model.transform(_vec(scaled(df))), name, vector_to_array("probability"))
 
 
 def fit_random_forest(train: DataFrame, trees: int = 300, depth: int = 10, seed: int = config.SEED,
                       name: str = "random_forest") -> Scorer:
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    model = _fit_cached(rf, _vec(train))
-    return Scorer(name, lambda df: _out(model.transform(_vec(df)), name, vector_to_array("probability")))
+    return scorer_of("probability", name, {}, _fit_cached(rf, _vec(train)))
 
 
 def fit_gbt_ovr(train: DataFrame, iters: int = 200, depth: int = 6, step: float = 0.05, subsample: float = 1.0,
@@ -101,14 +161,17 @@ def fit_gbt_ovr(train: DataFrame, iters: int = 200, depth: int = 6, step: float
     g = GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
                       featureSubsetStrategy=feature_subset, seed=seed)
     ovr = OneVsRest(classifier=g, featuresCol="fv", labelCol="label", parallelism=k)
-    model = _fit_cached(ovr, _vec(train))
+    return scorer_of("boosted", name, {}, _fit_cached(ovr, _vec(train)))
 
+
+@kind("boosted")
+def _score_boosted(name: str, params: dict, model, members):
     def score(df: DataFrame) -> DataFrame:
         raw = model.transform(_vec(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
         q = F.transform("_r", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
         tot = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
         return _out(raw, name, F.transform(q, lambda v: v / tot))
-    return Scorer(name, score)
+    return score
 
 
 def _softmax(arr: F.Column) -> F.Column:
@@ -131,20 +194,29 @@ def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
-    rff = rff_udf(w, b)
-
-    def project(df: DataFrame) -> DataFrame:
-        return apply_scaler(df, sc).withColumn("fv", array_to_vector(rff(F.col("features"))))
-
+    params = {"scaler": sc, "w": w.tolist(), "b": b.tolist()}
+    project = _projection(params)
     n = train.count()
     # the penalty holds for the projected features as they are
     svc = LinearSVC(regParam=1.0 / (c * n), maxIter=100, standardization=False)
     model = _fit_cached(OneVsRest(classifier=svc, featuresCol="fv", labelCol="label", parallelism=k), project(train))
 
+    return scorer_of("fourier_svm", name, params, model)
+
+
+def _projection(params: dict):
+    rff = rff_udf(np.array(params["w"]), np.array(params["b"]))
+    return lambda df: apply_scaler(df, params["scaler"]).withColumn("fv", array_to_vector(rff(F.col("features"))))
+
+
+@kind("fourier_svm")
+def _score_fourier_svm(name: str, params: dict, model, members):
+    project = _projection(params)
+
     def score(df: DataFrame) -> DataFrame:
         raw = model.transform(project(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
         return _out(raw, name, _softmax(F.col("_r")))
-    return Scorer(name, score)
+    return score
 
 
 def fit_discriminant(train: DataFrame, name: str = "lda", k: int = K) -> Scorer:
@@ -177,9 +249,15 @@ def fit_discriminant(train: DataFrame, name: str = "lda", k: int = K) -> Scorer:
     inv = np.linalg.pinv(cov)
     coef = mu @ inv                                    # k x d
     icpt = -0.5 * np.sum(coef * mu, axis=1) + np.log(cnt / n)
-    cw = [F.array(*[F.lit(float(v)) for v in coef[i]]) for i in range(len(classes))]
+    return scorer_of("discriminant", name, {"classes": [int(c) for c in classes], "k": k, "coef": coef.tolist(), "icpt": icpt.tolist()})
+
+
+@kind("discriminant")
+def _score_discriminant(name: str, params: dict, model, members):
+    classes, icpt = params["classes"], params["icpt"]
 
     def score(df: DataFrame) -> DataFrame:
+        cw = [F.array(*[F.lit(float(v)) for v in c]) for c in params["coef"]]
         s = F.array(*[F.aggregate(F.zip_with(F.col("features"), cw[i], lambda a, b: a * b),
                                   F.lit(float(icpt[i])), lambda acc, v: acc + v) for i in range(len(classes))])
         x = df.select("id", s.alias("_s"))
@@ -187,21 +265,25 @@ def fit_discriminant(train: DataFrame, name: str = "lda", k: int = K) -> Scorer:
         e = F.transform("_s", lambda v: F.exp(v - mx))
         tot = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
         # probabilities stand at their label; a class that training never saw has 0
-        at = [F.get("_e", F.lit(classes.index(c))) if c in classes else F.lit(0.0) for c in range(max(k, max(classes) + 1))]
+        at = [F.get("_e", F.lit(classes.index(c))) if c in classes else F.lit(0.0) for c in range(max(params["k"], max(classes) + 1))]
         placed = x.select("id", F.transform(e, lambda v: v / tot).alias("_e")).select("id", F.array(*at).alias("_p"))
         return _out(placed, name, F.col("_p"))
-    return Scorer(name, score)
+    return score
 
 
 def fit_knn(train: DataFrame, k: int = config.KNN_K, name: str = "knn") -> Scorer:
-    from neurotab.operators.knn import knn_classify
     sc = fit_scaler(train)
-    tr = apply_scaler(train, sc)
+    return scorer_of("neighbours", name, {"scaler": sc, "k": k}, apply_scaler(train, sc).select("id", "label", "features"))
+
+
+@kind("neighbours")
+def _score_neighbours(name: str, params: dict, table, members):
+    from neurotab.operators.knn import knn_classify
 
     def score(df: DataFrame) -> DataFrame:
-        out = knn_classify(tr, apply_scaler(df, sc), k)
+        out = knn_classify(table, apply_scaler(df, params["scaler"]), params["k"])
         return out.select("id", F.lit(name).alias("model"), "prediction", "p0", "p1", "p2")
-    return Scorer(name, score)
+    return score
 
 
 def fit_mlp(train: DataFrame, hidden: Sequence[int] = (32, 16), max_iter: int = 200, seed: int = config.SEED,
@@ -212,9 +294,7 @@ def fit_mlp(train: DataFrame, hidden: Sequence[int] = (32, 16), max_iter: int =
     d = len(sc[0])
     mlp = MultilayerPerceptronClassifier(featuresCol="fv", labelCol="label", layers=[d, *hidden, k],
                                          maxIter=max_iter, seed=seed)
-    model = _fit_cached(mlp, _vec(apply_scaler(train, sc)))
-    return Scorer(name, lambda df: _out(model.transform(_vec(apply_scaler(df, sc))), name,
-                                        vector_to_array("probability")))
+    return scorer_of("probability", name, {"scaler": sc}, _fit_cached(mlp, _vec(apply_scaler(train, sc))))
 
 
 BOOSTING_CONFIGS = [dict(subsample=1.0, feature_subset="all", name="gbt_a"),
@@ -226,8 +306,13 @@ def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int = 6, st
                           name: str = "boosting") -> Scorer:
     """Three boosted configurations (row / feature sampling differ), 300 x 6 x
     0.05, combined by soft voting (mean probability, argmax)."""
-    from neurotab.operators.ensemble import soft_vote
     members = [fit_gbt_ovr(train, iters=iters, depth=depth, step=step, **c) for c in BOOSTING_CONFIGS]
+    return scorer_of("soft_vote", name, members=members)
+
+
+@kind("soft_vote")
+def _score_soft_vote(name: str, params: dict, model, members):
+    from neurotab.operators.ensemble import soft_vote
 
     def score(df: DataFrame) -> DataFrame:
         allp = None
@@ -236,7 +321,7 @@ def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int = 6, st
             allp = s if allp is None else allp.unionByName(s)
         v = soft_vote(allp, "id", [f"p{c}" for c in range(K)])
         return v.select("id", F.lit(name).alias("model"), "prediction", *[f"p{c}" for c in range(K)])
-    return Scorer(name, score)
+    return score
 
 
 BASE_MODELS: dict[str, Callable[[DataFrame], Scorer]] = {

@@ -63,13 +63,20 @@ def fit_stacking(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold"
     meta = md.fit_logreg(meta_x, name="stacking")
     full = {n: fits[n](data) for n in names}
 
+    return md.scorer_of("stacking", "stacking", {"names": names}, members=[*[full[n] for n in names], meta])
+
+
+@md.kind("stacking")
+def _score_stacking(name: str, params: dict, model, members):
+    names, meta = params["names"], members[-1]
+
     def score(df: DataFrame) -> DataFrame:
         base = None
-        for n in names:
-            s = full[n].score(df).withColumn("model", F.lit(n))
+        for n, member in zip(names, members):
+            s = member.score(df).withColumn("model", F.lit(n))
             base = s if base is None else base.unionByName(s)
         return meta.score(_meta_features(base, names))
-    return md.Scorer("stacking", score)
+    return score
 
 
 def loso_validate(data: DataFrame, fit: FitFn, subject: str = "subject_id", progress: Progress = None) -> DataFrame:

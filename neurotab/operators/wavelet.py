@@ -1,9 +1,7 @@
-"""Discrete wavelet transform (db4, symmetric extension) as Spark aggregations.
+"""Discrete wavelet transform (db4, symmetric extension) of epochs.
 
-Each level is one scatter-and-sum: every input coefficient is sent to the
-output positions that read it (for each tap, including its mirror images at
-both ends), then summed per (signal, position).  No join, no UDF; the data
-halves at every level.
+Signals are gathered into arrays (one shuffle, by signal) and all levels of a
+batch of equal-length epochs are computed in one Arrow kernel.
 """
 
 from __future__ import annotations
@@ -15,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurotab import config
-from neurotab.session import cut_lineage
+from neurotab.functions.kernels import wavelet_udf
+from neurotab.operators.preprocess import to_arrays
 
 FILTER_LEN = 8
 
@@ -26,53 +25,20 @@ def max_level(n: int, filter_len: int = FILTER_LEN) -> int:
     return int(math.floor(math.log2(n / (filter_len - 1))))
 
 
-def _level_col(n: F.Column, wanted: int) -> F.Column:
-    lev = F.floor(F.log2(n / F.lit(float(FILTER_LEN - 1))))
-    return F.when(n < FILTER_LEN - 1, F.lit(0)).otherwise(F.least(F.lit(wanted), lev)).cast("int")
-
-
-def _one_level(cur: DataFrame, sig_keys: Sequence[str]) -> DataFrame:
-    """cur: (sig_keys..., _lev, _n, pos, c) -> (sig_keys..., _lev, _n (new), pos, a, d)."""
-    taps = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(float(config.DB4_LOW[j])).alias("_lo"),
-                              F.lit(float(config.DB4_HIGH[j])).alias("_hi")) for j in range(FILTER_LEN)])
-    n = F.col("_n")
-    # positions p of the extended signal that hold sample `pos`: itself, the left mirror (-1-pos)
-    # and the right mirror (2n-1-pos); each is paired with the 8 taps by a generator, not a join
-    pre = F.array(F.col("pos"), -1 - F.col("pos"), 2 * n - 1 - F.col("pos"))
-    x = cur.select(*sig_keys, "_lev", "_n", "c", F.explode(pre).alias("_p")) \
-        .select(*sig_keys, "_lev", "_n", "c", "_p", F.explode(taps).alias("_t")) \
-        .select(*sig_keys, "_lev", "_n", "c", "_p", "_t._j", "_t._lo", "_t._hi")
-    # output o reads p = 2o + 1 - j
-    o2 = F.col("_p") + F.col("_j") - 1
-    n_out = F.floor((n + FILTER_LEN - 1) / 2)
-    x = x.where((o2 % 2 == 0) & (o2 >= 0) & (F.floor(o2 / 2) < n_out))
-    return x.groupBy(*sig_keys, "_lev", n_out.cast("long").alias("_n"), (o2 / 2).cast("long").alias("pos")) \
-        .agg(F.sum(F.col("c") * F.col("_lo")).alias("a"), F.sum(F.col("c") * F.col("_hi")).alias("d"))
-
-
 def dwt(df: DataFrame, sig_keys: Sequence[str], idx: str = "sample_idx", value: str = "value",
         level: int = 4) -> DataFrame:
     """Multilevel db4 decomposition, level = min(level, max level of n).
     Output: (sig_keys..., band, pos, coef) with bands A{L}, D{L} ... D1."""
-    n = df.groupBy(*sig_keys).agg(F.count(F.lit(1)).alias("_n"))
-    cur = df.join(n, list(sig_keys)).select(
-        *sig_keys, _level_col(F.col("_n"), level).alias("_lev"), "_n", F.col(idx).cast("long").alias("pos"),
-        F.col(value).cast("double").alias("c"))
-    cur = cur.where(F.col("_lev") >= 1)
-    outs = []
-    for k in range(1, level + 1):
-        # each level is written once: the detail band, the final approximation
-        # and the next level all read it (otherwise every band re-derives all
-        # earlier levels -- branch filters defeat exchange reuse)
-        step = cut_lineage(_one_level(cur.where(F.col("_lev") >= k), sig_keys))
-        outs.append(step.select(*sig_keys, F.lit(f"D{k}").alias("band"), "pos", F.col("d").alias("coef")))
-        outs.append(step.where(F.col("_lev") == k)
-                    .select(*sig_keys, F.lit(f"A{k}").alias("band"), "pos", F.col("a").alias("coef")))
-        cur = step.where(F.col("_lev") > k).select(*sig_keys, "_lev", "_n", "pos", F.col("a").alias("c"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    return dwt_arrays(to_arrays(df, sig_keys, idx, value), sig_keys, "values", level)
+
+
+def dwt_arrays(df: DataFrame, sig_keys: Sequence[str], values: str = "values", level: int = 4) -> DataFrame:
+    """``dwt`` of signals held as arrays (epochs of bounded length): no shuffle."""
+    bands = wavelet_udf(config.DB4_LOW, config.DB4_HIGH, level)
+    x = df.select(*sig_keys, bands(F.col(values)).alias("_b")).select(*sig_keys, F.size("_b").alias("_n"), F.posexplode("_b").alias("_i", "_c"))
+    name = F.when(F.col("_i") == 0, F.concat(F.lit("A"), F.col("_n") - 1)).otherwise(F.concat(F.lit("D"), F.col("_n") - F.col("_i")))
+    return x.select(*sig_keys, name.alias("band"), F.posexplode("_c").alias("pos", "coef")) \
+        .select(*sig_keys, "band", F.col("pos").cast("long").alias("pos"), "coef")
 
 
 def energy_entropy(coeffs: DataFrame, sig_keys: Sequence[str]) -> DataFrame:

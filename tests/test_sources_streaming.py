@@ -53,20 +53,15 @@ def test_history_sink_appends_by_run(spark, tmp_path):
 
 
 def test_model_save_and_load_round_trip(spark, tmp_path):
-    from pyspark.ml.classification import LogisticRegressionModel
+    """A stored scorer scores as the one in memory: scaler, numbers, Spark model, neighbour table and members."""
     data = fx.feat_wide(spark, SMALL).select("id", "label", "features")
-    sc = md.fit_logreg(data)
-    before = sc.score(data).orderBy("id").collect()
-    # persist the underlying Spark model and reload it
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    m = LogisticRegression(featuresCol="fv", labelCol="label", maxIter=50).fit(data.withColumn("fv", array_to_vector("features")))
-    m.write().overwrite().save(str(tmp_path / "lr"))
-    loaded = LogisticRegressionModel.load(str(tmp_path / "lr"))
-    x = data.withColumn("fv", array_to_vector("features"))
-    a = m.transform(x).select("prediction").collect()
-    b = loaded.transform(x).select("prediction").collect()
-    assert a == b and len(before) == data.count()
+    members = [md.fit_logreg(data, max_iter=20), md.fit_discriminant(data)]
+    fitted = [*members, md.fit_knn(data), md.fit_random_forest(data, trees=5, depth=3), md.scorer_of("soft_vote", "vote", members=members)]
+    for i, scorer in enumerate(fitted):
+        md.save_scorer(scorer, spark, str(tmp_path / f"m{i}"))
+        loaded = md.load_scorer(spark, str(tmp_path / f"m{i}"))
+        assert loaded.name == scorer.name
+        assert loaded.score(data).orderBy("id").collect() == scorer.score(data).orderBy("id").collect()
 
 
 def test_tumbling_stream_equals_batch(spark, tmp_path):
