@@ -41,16 +41,16 @@ def tumbling_features(events: DataFrame, ts: str = "ts", keys=("recording_id", "
                       "_o.hjorth_complexity")
 
 
-def start_tumbling(spark: SparkSession, source_dir: str, schema, checkpoint: str, sink_table: str,
+def start_tumbling(spark: SparkSession, source_dir: str, schema, checkpoint: str, out_dir: str,
                    window: str = "4 seconds", watermark: str = "10 seconds", available_now: bool = True,
                    rename: dict | None = None) -> StreamingQuery:
-    """Parquet files arriving in ``source_dir`` -> windowed features -> memory
-    table ``sink_table`` (append: a window is emitted once the watermark passes it)."""
+    """Parquet files arriving in ``source_dir`` -> windowed features ->
+    Parquet files in ``out_dir`` (append: a window is emitted once the watermark passes it)."""
     src = spark.readStream.schema(schema).parquet(source_dir)
     for a, b in (rename or {}).items():
         src = src.withColumnRenamed(a, b)
     out = tumbling_features(src, window=window, watermark=watermark)
-    w = out.writeStream.outputMode("append").format("memory").queryName(sink_table) \
+    w = out.writeStream.outputMode("append").format("parquet").option("path", out_dir) \
         .option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
@@ -69,15 +69,27 @@ def start_scoring(spark: SparkSession, source_dir: str, schema, checkpoint: str,
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def start_job_status(spark: SparkSession, source_dir: str, schema, checkpoint: str, sink_table: str,
+def start_job_status(spark: SparkSession, source_dir: str, schema, checkpoint: str, out_dir: str,
                      available_now: bool = True) -> StreamingQuery:
-    """Latest status per training job from an event stream (update mode)."""
+    """Latest status per training job from an event stream (update mode): each
+    batch's changed jobs go to their own partition of ``out_dir``, replaced if
+    the batch is retried; ``latest_status`` reads the current state."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
     src = spark.readStream.schema(schema).parquet(source_dir)
-    w = job_status(src).writeStream.outputMode("update").format("memory").queryName(sink_table) \
+    w = job_status(src).writeStream.outputMode("update").foreachBatch(run) \
         .option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def latest_status(spark: SparkSession, out_dir: str, job: str = "job_id") -> DataFrame:
+    """The newest row per job of what ``start_job_status`` has written."""
+    rows = spark.read.parquet(out_dir)
+    columns = [c for c in rows.columns if c not in (job, "batch_id")]
+    return rows.groupBy(job).agg(F.max_by(F.struct(*columns), "batch_id").alias("_l")).select(job, "_l.*")
+
+
 class ProgressListener(StreamingQueryListener):
     """Forwards each micro-batch's progress (batch id, input rows, rate) to a
     callback; add with ``spark.streams.addListener``."""

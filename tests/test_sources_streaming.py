@@ -68,10 +68,10 @@ def test_tumbling_stream_equals_batch(spark, tmp_path):
     ev = fx.table(spark, SMALL, "events")
     src = str(tmp_path / "events")
     ev.write.parquet(src)
-    q = jobs.start_tumbling(spark, src, ev.schema, str(tmp_path / "ck"), "tumble_out", window="1 day",
+    q = jobs.start_tumbling(spark, src, ev.schema, str(tmp_path / "ck"), str(tmp_path / "out"), window="1 day",
                             watermark="1 day", rename={"user_id": "recording_id", "event_type": "channel"})
     q.awaitTermination()
-    stream = spark.table("tumble_out")
+    stream = spark.read.parquet(str(tmp_path / "out"))
     batch = jobs.tumbling_features(ev.withColumnRenamed("user_id", "recording_id")
                                    .withColumnRenamed("event_type", "channel"), window="1 day")
     # append mode emits only windows closed by the watermark; each must equal the batch row
@@ -85,9 +85,9 @@ def test_job_status_stream_equals_batch(spark, tmp_path):
     ev = fx.job_events(spark, SMALL)
     src = str(tmp_path / "jobs")
     ev.write.parquet(src)
-    q = jobs.start_job_status(spark, src, ev.schema, str(tmp_path / "ck2"), "job_status_out")
+    q = jobs.start_job_status(spark, src, ev.schema, str(tmp_path / "ck2"), str(tmp_path / "out2"))
     q.awaitTermination()
-    s = spark.table("job_status_out")
+    s = jobs.latest_status(spark, str(tmp_path / "out2"))
     b = job_status(ev)
     assert s.count() == b.count()
     assert s.join(b, ["job_id", "current_epoch", "status"]).count() == b.count()
@@ -124,7 +124,7 @@ def test_streaming_progress_listener(spark, tmp_path):
     listener = jobs.ProgressListener(lambda b, info: got.append(info["input_rows"]))
     spark.streams.addListener(listener)
     try:
-        jobs.start_job_status(spark, src, ev.schema, str(tmp_path / "ck3"), "job_status_l").awaitTermination()
+        jobs.start_job_status(spark, src, ev.schema, str(tmp_path / "ck3"), str(tmp_path / "out3")).awaitTermination()
         import time
         for _ in range(50):
             if got:
