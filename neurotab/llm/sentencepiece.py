@@ -2,7 +2,9 @@
 
 Encoding looks at each distinct unit (a word with the spaces before it) once:
 
-1. units are collected from the texts, distinct per batch, then overall;
+1. units are collected from the texts, distinct per batch, cut where no piece
+   holds the two neighbouring characters (a word from its comma), then distinct
+   overall;
 2. each unit's substrings up to the longest piece are exploded and equi-joined
    to the piece table (its size is that of the model, so it is broadcast);
 3. the edges found are grouped by unit, in order of piece rank and place, and
@@ -79,6 +81,18 @@ class Pieces:
         self.byte_ids = [byte_ids.get(b, model.unk_id()) for b in range(256)]
         self.longest = max(len(p) for p, *_ in self.table)
         self.rank = {p: (r, k) for p, k, r, _ in self.table}
+        # neighbours inside some piece; elsewhere no merge can reach across
+        self.pairs = {p[i:i + 2] for p, *_ in self.table for i in range(len(p) - 1)}
+
+    def cut(self, unit: str) -> list[str]:
+        """A unit in parts that no piece can span."""
+        out, at = [], 0
+        for k in range(1, len(unit)):
+            if unit[k - 1:k + 1] not in self.pairs:
+                out.append(unit[at:k])
+                at = k
+        out.append(unit[at:])
+        return out
 
     def merge(self, unit: str) -> list[int]:
         """Pieces of one unit by a heap of merges (best rank first, then leftmost)."""
@@ -199,7 +213,7 @@ def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fo
     scores = fold is viterbi_fold
     latticed = lattice(words, table, pieces.longest, scores)
     bytes_of = F.array(*[F.lit(b) for b in pieces.byte_ids])
-    cut = latticed.select("unit", "edges", fold(F.col("scored" if scores else "edges"), F.col("n")).alias("cuts"), "n")
+    cuts = fold(F.col("scored" if scores else "edges"), F.col("n"))
 
     def spelled(c: Column) -> Column:
         code = F.hex(F.encode(c, "utf-8"))
@@ -212,8 +226,9 @@ def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fo
             return F.when(edge.isNotNull(), F.array(number)).otherwise(spelled(F.substring(F.col("unit"), s + 1, F.lit(1))))
         return F.flatten(F.transform(F.slice(places, 1, F.size(places) - 1), one))
 
-    places = F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: F.call_function("shiftright", F.col("cuts"), p).bitwiseAND(F.lit(1)) == 1)
-    return cut.select("unit", let(places, ids).alias("ids"))
+    # one expression: a column of its own would be inlined into the lambda and folded anew for each place
+    places = lambda c: F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: F.call_function("shiftright", c, p).bitwiseAND(F.lit(1)) == 1)
+    return latticed.select("unit", let(let(cuts, places), ids).alias("ids"))
 
 
 # a unit of 60 characters has at most 240 ids; 96 bits of two hashes name it
@@ -261,15 +276,21 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
     spark, pieces = docs.sparkSession, pieces_of(model_file)
     one = pa.schema([("unit", pa.string())])
 
+    shared = spark.sparkContext.broadcast(pieces)  # of the model's size
+
+    def parts(seen: set[str]) -> pa.RecordBatch:
+        cut = shared.value.cut
+        return as_batch({"unit": list({x for u in seen for x in cut(u) if len(x) <= LONG_UNIT})}, one)
+
     def collect(batches):
         seen: set[str] = set()
         for batch in batches:
             for t in batch.column(0):
-                seen.update(u for u in units(t.as_py()) if len(u) <= LONG_UNIT)
+                seen.update(units(t.as_py()))
                 if len(seen) >= BATCH_UNITS // 4:
-                    yield as_batch({"unit": list(seen)}, one)
+                    yield parts(seen)
                     seen = set()
-        yield as_batch({"unit": list(seen)}, one)
+        yield parts(seen)
 
     words = write_scratch(docs.select(text).mapInArrow(collect, "unit string").distinct(), "sp-units")
     n = words.count()
@@ -286,23 +307,30 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
     width = "<u2" if len(pieces.decoded) <= 1 << 16 else "<u4"
 
     def write(key, batches):
-        names, parts, lens = [], [], []
+        names, found, lens = [], [], []
         for batch in batches:
             names += batch.column("unit").to_pylist()
             lists = batch.column("ids")
-            parts.append(lists.flatten().to_numpy(zero_copy_only=False).astype(width))
+            found.append(lists.flatten().to_numpy(zero_copy_only=False).astype(width))
             lens.append(np.diff(lists.offsets.to_numpy()))
         h, check = unit_keys(names)
         lens = np.concatenate(lens)
         table = np.empty(len(h), ENTRY)
         table["hash"], table["check"], table["n"], table["start"] = h, check, lens, np.cumsum(lens) - lens
         table = table[np.lexsort((check, h))]
-        save(folder, f"ids-{key[0].as_py():07d}", np.concatenate(parts))
+        save(folder, f"ids-{key[0].as_py():07d}", np.concatenate(found))
         save(folder, f"units-{key[0].as_py():07d}", table)
         yield as_batch({"units": [len(h)]}, done)
 
     write.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    written = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(write, "units long").agg(F.sum("units").alias("n")).first()["n"] or 0
+    # the units of one part are grouped by hash, without a sort
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(4 * UNITS_A_PARTITION))
+    try:
+        written = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(write, "units long").agg(F.sum("units").alias("n")).first()["n"] or 0
+    finally:
+        spark.conf.set(limit, before)
     if written != n:
         raise RuntimeError(f"{written} of {n} units were written")
     return {"folder": folder, "buckets": buckets, "model_file": model_file, "width": width}
@@ -322,8 +350,17 @@ class Lookup:
             self.open[bucket] = load(folder, f"units-{bucket:07d}", ENTRY), load(folder, f"ids-{bucket:07d}", self.built["width"])
         return self.open[bucket]
 
+    def whole(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids per unit) of units before they are cut."""
+        number: dict[str, int] = {}
+        own = [[number.setdefault(x, len(number)) for x in self.pieces.cut(u)] for u in found]
+        flat, n = self.ids(list(number))
+        parts = np.fromiter(map(len, own), np.int64, len(own))
+        ids, lens = gather(flat, n, np.fromiter((x for o in own for x in o), np.int64, parts.sum()))
+        return ids, np.add.reduceat(lens, np.cumsum(parts) - parts) if len(parts) else lens
+
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids per unit) of distinct units, in order."""
+        """(all ids, number of ids per unit) of distinct cut units, in order."""
         out: list = [None] * len(found)
         short = [k for k, u in enumerate(found) if len(u) <= LONG_UNIT]
         for k in set(range(len(found))) - set(short):
@@ -346,6 +383,13 @@ class Lookup:
         return (np.concatenate(out) if out else np.empty(0, "<u4")), np.fromiter(map(len, out), np.int64, len(out))
 
 
+def gather(flat: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``own``, end to end, and their lengths; list k is the
+    k-th stretch of ``flat``, n[k] long."""
+    start, lens = np.cumsum(n) - n, n[own]
+    return flat[np.repeat(start[own], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)], lens
+
+
 def encode(docs: DataFrame, built: dict, text: str = "text") -> DataFrame:
     """``docs`` with ids (array of int), n_tokens and round_trip (whether the
     ids decode to the text)."""
@@ -369,11 +413,9 @@ def encode(docs: DataFrame, built: dict, text: str = "text") -> DataFrame:
             places.append(np.fromiter((number.setdefault(x, len(number)) for x in u), np.int64, len(u)))
             held += len(u)
             if held >= BATCH_UNITS or k == batch.num_rows:
-                flat, n = run.lookup.ids(list(number))
-                start = np.cumsum(n) - n
-                own = np.concatenate(places) if places else np.empty(0, np.int64)
-                lens = n[own]
-                ids = flat[np.repeat(start[own], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)].astype(np.int32)
+                flat, n = run.lookup.whole(list(number))
+                ids, lens = gather(flat, n, np.concatenate(places))
+                ids = ids.astype(np.int32)
                 ends = np.cumsum([0, *map(len, places)])
                 cuts = np.r_[0, np.cumsum(lens)][ends].astype(np.int32)
                 decode, mark = run.lookup.pieces.decode, MARK
