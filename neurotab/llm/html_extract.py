@@ -48,10 +48,10 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist "
-    "consent cookie cookies copyright disclaimer disqus footer gdpr login menu menus modal nav navbar navigation newsletter notice "
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist "
+    "alert consent cookie cookies copyright disclaimer discussion disqus footer gdpr login menu menus modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination popup promo promotion recommended related respond reply replies share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+    "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 HEADERS = frozenset("header masthead topbar".split())
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -80,6 +80,9 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br" and self.parts:
             self.parts.append(" ")
+        if tag == "body" or tag in BLOCKS - {"title", "html"}:
+            if self.stack[-1][3]:  # an unclosed head ends where the body begins
+                self.close_to("head", {"noscript", "template", "svg", "select", "button"})
         if tag in BLOCKS:
             self.cut()
             if tag in CLOSES_P and any(x[0] == "p" for x in self.stack[-8:]):

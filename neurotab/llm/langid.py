@@ -83,8 +83,10 @@ class Classifier:
             self.compressors.append((lang, c.compress))
 
     def label(self, text: str | None) -> tuple[str, float, float]:
-        data = letters(text) if text else b""
-        if not data or not self.compressors:
+        if not text or not self.compressors or not any(c.isalpha() for c in text):
+            return "und", 0.0, 0.0
+        data = letters(text)
+        if not data:
             return "und", 0.0, 0.0
         frames = [data[k:k + FRAME] for k in range(0, len(data), FRAME)]
         sizes = sorted((sum(len(compress(f)) for f in frames), lang) for lang, compress in self.compressors)

@@ -12,9 +12,9 @@ Encoding looks at each distinct unit (a word with the spaces before it) once:
    model the fold is Viterbi (``viterbi_fold``).  The model given here is a BPE
    model: the best sum of scores is not its encoding, so its fold
    (``merge_fold``) takes, step by step, the edge of best rank that joins two
-   neighbouring symbols, until none does.  Characters without a piece become
-   byte pieces;
-4. the results are written as sorted hash arrays into the shared folder;
+   neighbouring symbols, until none does;
+4. the parts between the cuts are looked up (characters without a piece become
+   byte pieces) and written as sorted hash arrays into the shared folder;
    workers memory-map them and look up the units of a batch of texts.  No text
    is shuffled.
 
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,6 +85,23 @@ class Pieces:
         # neighbours inside some piece; elsewhere no merge can reach across
         self.pairs = {p[i:i + 2] for p, *_ in self.table for i in range(len(p) - 1)}
 
+    def spell(self, unit: str, cuts: int) -> list[int]:
+        """Ids of a unit that is cut at the places whose bits are set."""
+        out, at = [], 0
+        for k in range(1, len(unit) + 1):
+            if cuts >> k & 1:
+                part = unit[at:k]
+                out += [self.rank[part][1]] if part in self.rank else [self.byte_ids[b] for b in part.encode()]
+                at = k
+        return out
+
+    def late(self, piece: str) -> bool:
+        """Whether the piece can arise from a part of worse rank than its own, so
+        that its merge may have to wait for a later one."""
+        rank = lambda x: -1 if len(x) == 1 else self.rank.get(x, (NO_RANK, 0))[0]
+        worst = [max(rank(piece[:i]), rank(piece[i:])) for i in range(1, len(piece))]
+        return any(self.rank[piece][0] < w < NO_RANK for w in worst)
+
     def cut(self, unit: str) -> list[str]:
         """A unit in parts that no piece can span."""
         out, at = [], 0
@@ -136,30 +154,32 @@ def units(text: str | None) -> list[str]:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, rank, score), with an empty piece that keeps every unit in the join."""
-    rows = [*pieces.table, ("", 0, NO_RANK, 0.0)]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
+    """(piece, id, rank, score, late), with an empty piece that keeps every unit in the join."""
+    rows = [*((*row, int(pieces.late(row[0]))) for row in pieces.table), ("", 0, NO_RANK, 0.0, 0)]
+    return spark.createDataFrame(rows, "piece string, id int, rank int, score double, late int")
 
 
-# an edge as one long: rank, first character, length, id
-PLACE_BITS, ID_BITS = 6, 28
+# an edge as one long: rank, first character, length, whether it may come late, id
+PLACE_BITS, LATE_BIT, ID_BITS = 6, 27, 28
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int, scores: bool = False) -> DataFrame:
-    """(unit, n, edges): the pieces that match in each unit, packed, in order of
-    rank and place; with ``scores`` also as structs (s, l, score)."""
+    """(unit, n, edges): the pieces of two characters and more that match in each
+    unit, packed, in order of rank and place; with ``scores`` also those of one
+    character, and all as structs (s, l, score)."""
+    # two plain explodes of numbers stay in generated code; length 0 at place 0 meets the empty piece, which keeps every unit
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
-        lambda l: F.struct((i - 1).alias("s"), l.alias("l"), F.substring(F.col("unit"), i, l).alias("piece")))))
-    none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("l"), F.lit("").alias("piece")))
-    found = words.select("unit", F.explode(F.concat(spans, none)).alias("x")).join(F.broadcast(table), F.col("x.piece") == F.col("piece"))
-    number = F.col("rank").cast("long")
-    for value, bits in ((F.col("x.s"), PLACE_BITS), (F.col("x.l"), PLACE_BITS), (F.col("id"), ID_BITS)):
+    starts = words.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    last = F.least(F.lit(longest), F.col("n") - F.col("s"))
+    lengths = F.when(F.col("s") == 0, F.sequence(F.lit(0), last)).when(last >= (1 if scores else 2), F.sequence(F.lit(1 if scores else 2), last))
+    spans = starts.select("unit", "s", F.explode(lengths).alias("l"))
+    found = spans.withColumn("sub", F.substring("unit", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), F.col("sub") == F.col("piece"))
+    number, own = F.col("rank").cast("long"), F.col("id") + F.shiftleft(F.col("late"), LATE_BIT)
+    for value, bits in ((F.col("s"), PLACE_BITS), (F.col("l"), PLACE_BITS), (own, ID_BITS)):
         number = F.shiftleft(number, bits).bitwiseOR(value.cast("long"))
     kept = [F.sort_array(F.collect_list(number)).alias("edges")]
     if scores:
-        kept.append(F.collect_list(F.struct(F.col("x.s").alias("s"), F.col("x.l").alias("l"), "score")).alias("scored"))
+        kept.append(F.collect_list(F.struct("s", "l", "score")).alias("scored"))
     return found.groupBy("unit").agg(*kept).withColumn("n", n)
 
 
@@ -175,21 +195,44 @@ def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
+SIGN = -(1 << 63)
+
+
 def merge_fold(edges: Column, n: Column) -> Column:
     """Places where a BPE encoding cuts a unit of at most 60 characters, as bits
-    of a long: of the edges that join two neighbouring symbols, the one of best
-    rank (first in the array) removes the cut inside it, n - 1 times."""
-    def masks(e: Column) -> Column:
+    of a long.
+
+    The rule: of the edges that join two neighbouring symbols, the one of best
+    rank (then the leftmost) removes the cut inside it, until none does.  One
+    pass over the edges in that order does so, as long as no merge makes an
+    edge of better rank usable; only edges marked late can become so.  The
+    pass looks out for that and sets the sign bit; such a unit is folded again,
+    step by step from the first edge."""
+    def masks(e: Column, i: Column) -> Column:
+        late = F.shiftright(e, LATE_BIT).bitwiseAND(F.lit(1)) == 1
         return let(F.struct(place_of(e).alias("s"), length_of(e).alias("l")), lambda x: F.struct(
-            bit(x["s"]).bitwiseOR(bit(x["s"] + x["l"])).alias("ends"), (bit(x["s"] + x["l"]) - bit(x["s"] + 1)).alias("inside")))
+            bit(x["s"]).bitwiseOR(bit(x["s"] + x["l"])).alias("ends"), (bit(x["s"] + x["l"]) - bit(x["s"] + 1)).alias("inside"),
+            late.alias("late"), i.alias("i")))
 
-    joins = F.transform(F.filter(edges, lambda e: length_of(e) >= 2), masks)
     usable = lambda m, x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inside"])) == 1)
+    start = bit(n + 1) - 1
+
+    def one_pass(joins: Column, late: Column) -> Column:
+        def merged(m: Column, x: Column) -> Column:
+            return let(m.bitwiseAND(F.bitwise_not(x["inside"])), lambda after: F.when(
+                F.exists(late, lambda y: (y["i"] < x["i"]) & usable(after, y)), after.bitwiseOR(F.lit(SIGN))).otherwise(after))
+        return F.aggregate(joins, start, lambda m, x: F.when((m < 0) | ~usable(m, x), m).otherwise(merged(m, x)))
 
-    def step(joins: Column):
-        return lambda m, _: m.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter(joins, lambda x: usable(m, x)), F.lit(0))["inside"], F.lit(0).cast("long"))))
+    def steps(joins: Column) -> Column:
+        # here the sign bit marks that no edge joins anything any more: the steps left are passed over
+        first = lambda m: F.get(F.filter(joins, lambda x: usable(m, x)), F.lit(0))["inside"]
+        step = lambda m, _: F.when(m < 0, m).otherwise(let(first(m), lambda x: F.when(
+            x.isNull(), m.bitwiseOR(F.lit(SIGN))).otherwise(m.bitwiseAND(F.bitwise_not(x)))))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step).bitwiseAND(F.lit((1 << 63) - 1))
 
-    return let(joins, lambda j: F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step(j)))
+    joins = F.transform(F.filter(edges, lambda e: length_of(e) >= 2), masks)
+    return let(joins, lambda j: let(F.filter(j, lambda x: x["late"]), lambda late: let(
+        one_pass(j, late), lambda m: F.when(m < 0, steps(j)).otherwise(m))))
 
 
 def viterbi_fold(edges: Column, n: Column, unknown: float = -1e6) -> Column:
@@ -209,26 +252,10 @@ def viterbi_fold(edges: Column, n: Column, unknown: float = -1e6) -> Column:
 
 
 def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fold) -> DataFrame:
-    """(unit, ids) of distinct units of at most LONG_UNIT characters."""
+    """(unit, cuts) of distinct units of at most LONG_UNIT characters."""
     scores = fold is viterbi_fold
     latticed = lattice(words, table, pieces.longest, scores)
-    bytes_of = F.array(*[F.lit(b) for b in pieces.byte_ids])
-    cuts = fold(F.col("scored" if scores else "edges"), F.col("n"))
-
-    def spelled(c: Column) -> Column:
-        code = F.hex(F.encode(c, "utf-8"))
-        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.get(bytes_of, F.conv(F.substring(code, 2 * k - 1, 2), 16, 10).cast("int")))
-
-    def ids(places: Column) -> Column:
-        def one(s: Column, k: Column) -> Column:
-            edge = F.get(F.filter("edges", lambda e: (place_of(e) == s) & (length_of(e) == F.get(places, k + 1) - s)), F.lit(0))
-            number = edge.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
-            return F.when(edge.isNotNull(), F.array(number)).otherwise(spelled(F.substring(F.col("unit"), s + 1, F.lit(1))))
-        return F.flatten(F.transform(F.slice(places, 1, F.size(places) - 1), one))
-
-    # one expression: a column of its own would be inlined into the lambda and folded anew for each place
-    places = lambda c: F.filter(F.sequence(F.lit(0), F.col("n")), lambda p: F.call_function("shiftright", c, p).bitwiseAND(F.lit(1)) == 1)
-    return latticed.select("unit", let(let(cuts, places), ids).alias("ids"))
+    return latticed.select("unit", fold(F.col("scored" if scores else "edges"), F.col("n")).alias("cuts"))
 
 
 # a unit of 60 characters has at most 240 ids; 96 bits of two hashes name it
@@ -307,18 +334,20 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
     width = "<u2" if len(pieces.decoded) <= 1 << 16 else "<u4"
 
     def write(key, batches):
-        names, found, lens = [], [], []
+        names, ids, lens = [], array("I"), array("I")
+        spell = shared.value.spell
         for batch in batches:
-            names += batch.column("unit").to_pylist()
-            lists = batch.column("ids")
-            found.append(lists.flatten().to_numpy(zero_copy_only=False).astype(width))
-            lens.append(np.diff(lists.offsets.to_numpy()))
+            for unit, cuts in zip(batch.column("unit").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+                own = spell(unit, cuts)
+                names.append(unit)
+                ids.extend(own)
+                lens.append(len(own))
         h, check = unit_keys(names)
-        lens = np.concatenate(lens)
+        lens = np.array(lens, np.int64)
         table = np.empty(len(h), ENTRY)
         table["hash"], table["check"], table["n"], table["start"] = h, check, lens, np.cumsum(lens) - lens
         table = table[np.lexsort((check, h))]
-        save(folder, f"ids-{key[0].as_py():07d}", np.concatenate(found))
+        save(folder, f"ids-{key[0].as_py():07d}", np.array(ids, width))
         save(folder, f"units-{key[0].as_py():07d}", table)
         yield as_batch({"units": [len(h)]}, done)
 

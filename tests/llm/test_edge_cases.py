@@ -14,7 +14,7 @@ LONG = " ".join(f"word{i}" for i in range(30000)) + "."
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(1, "The first text of all, with words.", "a", "x"), (1, "The first text of all, with words.", "a", "x"), (2, None, "a", "y"),
-            (3, "", None, "y"), (4, " \t\n ", "b", None), (None, "No id but words here.", "b", "x"), (6, LONG, None, "y"), (7, "123 ... !!", "c", "z")]
+            (3, "", None, "y"), (4, " \t\n ", "b", None), (None, "No id but words here.", "b", "x"), (6, LONG, None, "y"), (7, "123 ½ ... !!", "c", "z")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
 
 
@@ -27,6 +27,9 @@ def test_pages():
         "<ul><li><a>x</a></li><li><a>y</a></li></ul><div><p>Body text that is long enough to count.</p></div>": "Body text that is long enough to count.",
         "<article><p>a<!-- c --><b>b</b><script>if (a < b) {}</script> c": "ab c",
         "<article><p>cut off <b>in the mid": "cut off in the mid", "<![if x]><p>odd": "odd",
+        "<html><head><title>T</title><body><p>No end of the head here.": "No end of the head here.",
+        "<article><header><h1>Title</h1></header><p>One.</p><noscript><p>Enable it</p></noscript><p>Two.</p><form><input><p>mail</p></form></article>": "Title\nOne.\nTwo.",
+        "<article><p>See <a href=x>this</a> <span class='ad'>buy</span> now.</p><footer>f</footer></article><div class='sidebar'><p>side</p></div>": "See this now.",
     }
     for html, text in cases.items():
         assert html_extract.extract(html) == text, html
@@ -109,7 +112,7 @@ def test_archives(spark, tmp_path):
 def test_quality(spark, docs):
     named = docs.withColumn("kept", F.lit("old")).withColumn("n_words", F.lit("old"))
     got = quality.assess(named).collect()
-    assert len(got) == 8 and sorted(r["n_words"] for r in got) == [0, 0, 0, 3, 5, 7, 7, 30000]
+    assert len(got) == 8 and sorted(r["n_words"] for r in got) == [0, 0, 0, 4, 5, 7, 7, 30000]
     assert all(r["base_failed"] == (r["n_words"] < 20) for r in got)
     out = quality.clean(named)
     assert out.columns == named.columns and [(r["doc_id"], r["kept"]) for r in out.collect()] == [(6, "old")]
@@ -167,7 +170,7 @@ def test_language(spark, docs):
 def test_language_model(spark, docs):
     got = kneser_ney.score(docs, kneser_ney.fit(docs)).collect()
     assert len(got) == 8 and all(r["n_known"] == r["n_tokens"] for r in got)
-    assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"]} == {1: 8, 2: 1, 3: 1, 4: 1, 6: 30001, 7: 4}
+    assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"]} == {1: 8, 2: 1, 3: 1, 4: 1, 6: 30001, 7: 5}
     none = kneser_ney.score(docs, kneser_ney.fit(docs.limit(0))).collect()
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["score"] == 0 for r in none)
 
@@ -191,7 +194,7 @@ def test_tokens(spark):
 
 def test_viterbi(spark):
     table = {"a": -2.0, "b": -2.1, "ab": -3.0, "ba": -2.5, "aba": -4.0, "bb": -9.0}
-    pieces = spark.createDataFrame([*[(p, k, k, s) for k, (p, s) in enumerate(table.items())], ("", 0, sentencepiece.NO_RANK, 0.0)], "piece string, id int, rank int, score double")
+    pieces = spark.createDataFrame([*[(p, k, k, s, 0) for k, (p, s) in enumerate(table.items())], ("", 0, sentencepiece.NO_RANK, 0.0, 0)], "piece string, id int, rank int, score double, late int")
     words = ["".join(w) for n in range(1, 7) for w in itertools.product("ab", repeat=n)] + ["axb"]
     lat = sentencepiece.lattice(spark.createDataFrame([(w,) for w in words], "unit string"), pieces, 3, scores=True)
     got = {r["unit"]: r["cuts"] for r in lat.select("unit", sentencepiece.viterbi_fold(F.col("scored"), F.col("n")).alias("cuts")).collect()}
