@@ -9,50 +9,35 @@ from __future__ import annotations
 import numpy as np
 
 
-def _bilinear_zpk(z, p, k, fs):
-    fs2 = 2.0 * fs
-    degree = len(p) - len(z)
-    z_z = (fs2 + z) / (fs2 - z)
-    p_z = (fs2 + p) / (fs2 - p)
-    z_z = np.append(z_z, -np.ones(degree))
-    k_z = k * np.real(np.prod(fs2 - z) / np.prod(fs2 - p))
-    return z_z, p_z, k_z
-
-
-def butter_bandpass(order: int, low: float, high: float):
-    """Digital Butterworth band-pass (ba form); ``low``/``high`` as fractions of Nyquist."""
-    m = np.arange(-order + 1, order, 2)
-    p = -np.exp(1j * np.pi * m / (2 * order))      # analog low-pass prototype poles
-    z = np.array([], dtype=complex)
-    fs = 2.0
-    warped = 2 * fs * np.tan(np.pi * np.array([low, high]) / fs)
-    bw = warped[1] - warped[0]
-    wo = np.sqrt(warped[0] * warped[1])
-    p_lp = p * bw / 2
-    root = np.sqrt(p_lp ** 2 - wo ** 2)
-    p_bp = np.concatenate([p_lp + root, p_lp - root])
-    z_bp = np.zeros(order, dtype=complex)
-    k_bp = bw ** order
-    z_d, p_d, k_d = _bilinear_zpk(z_bp, p_bp, k_bp, fs)
-    b = k_d * np.real(np.poly(z_d))
-    a = np.real(np.poly(p_d))
-    return b, a
-
-
-def notch(freq: float, q: float, fs: float):
-    """Second-order notch at ``freq`` Hz with quality factor ``q``."""
-    w0 = 2.0 * freq / fs * np.pi
-    bw = w0 / q
-    beta = np.tan(bw / 2.0)
-    gain = 1.0 / (1.0 + beta)
-    b = gain * np.array([1.0, -2.0 * np.cos(w0), 1.0])
-    a = np.array([1.0, -2.0 * gain * np.cos(w0), 2.0 * gain - 1.0])
-    return b, a
-
-
-def bandpass_coefficients(low_hz: float, high_hz: float, fs: float, order: int):
-    """Band edges as fractions of Nyquist, clamped to [0.001, 0.999]."""
-    nyq = fs / 2.0
-    lo = max(low_hz / nyq, 0.001)
-    hi = min(high_hz / nyq, 0.999)
-    return butter_bandpass(order, lo, hi)
+def bandpass_coefficients(low_hz: float, high_hz: float, fs: float, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digital Butterworth band-pass; band edges are kept within 0.001 and 0.999
+    of the Nyquist frequency.
+
+    The low-pass prototype of cutoff 1 is the product of 1 / (s - p) over the
+    left half of the unit circle.  Low-pass to band-pass and the bilinear
+    transform together are one substitution,
+        s = c (z^2 - 2 m z + 1) / (z^2 - 1),
+    with c = cot(half the band) and m = cos(middle) / cos(half the band), so each
+    pole gives the section (z^2 - 1) / ((c - p) z^2 - 2 m c z + (c + p))."""
+    low, high = (np.pi * np.clip(f / (fs / 2.0), 0.001, 0.999) for f in (low_hz, high_hz))
+    half = (high - low) / 2.0
+    c, m = 1.0 / np.tan(half), np.cos((low + high) / 2.0) / np.cos(half)
+    angles = np.pi * (2 * np.arange(order) + order + 1) / (2 * order)
+    b, a = np.ones(1), np.ones(1, dtype=complex)
+    for p in np.exp(1j * angles):
+        b = np.convolve(b, [1.0, 0.0, -1.0])
+        a = np.convolve(a, [c - p, -2.0 * m * c, c + p])
+    # conjugate poles leave real coefficients; the leading one is scaled to 1
+    return b / a[0].real, a.real / a[0].real
+
+
+def notch(freq: float, q: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Second-order notch at ``freq`` Hz with quality factor ``q``: the mean of
+    the signal and a second-order all-pass that turns its phase by half a turn
+    at the notch.  The all-pass has lattice coefficients -cos(w) and
+    (1 - t) / (1 + t), t the tangent of half the bandwidth w / q."""
+    w = 2.0 * np.pi * freq / fs
+    t = np.tan(w / q / 2.0)
+    k1, k2 = -np.cos(w), (1.0 - t) / (1.0 + t)
+    allpass = np.array([k2, k1 * (1.0 + k2), 1.0])
+    return (allpass + allpass[::-1]) / 2.0, allpass[::-1].copy()

@@ -125,3 +125,29 @@ def test_filtfilt_ragged_equals_per_signal():
     got = k.filtfilt_ragged(b, a, sigs)
     for x, y in zip(sigs, got):
         np.testing.assert_allclose(y, k.filtfilt_matrix(b, a, x[None, :])[0], rtol=1e-10, atol=1e-12)
+
+
+# FIXED VALUES of the filters: band-pass 0.5 to 45 Hz of order 5 and notch at 50 Hz with Q = 30, for 128 Hz, from a pole-zero
+# design (analog poles, frequency warping, bilinear transform) that is not the one in functions/iir.py
+BANDPASS_B = [
+    0.19639140494838692, 0.0, -0.9819570247419346, 0.0,
+    1.9639140494838692, 0.0, -1.9639140494838692, 0.0,
+    0.9819570247419346, 0.0, -0.19639140494838692,
+]
+BANDPASS_A = [
+    1.0, -2.9245406634082336, 1.9087780909036647, 0.8624070489898426,
+    0.2706412526243287, -1.769609419795776, 0.07433319487132584, 0.5939779878320594,
+    0.13620496440861732, -0.1136773326974559, -0.03851506598041766,
+]
+NOTCH_B = [
+    0.9606803283865873, 1.485231872365558, 0.9606803283865873,
+]
+NOTCH_A = [
+    1.0, 1.485231872365558, 0.9213606567731747,
+]
+
+
+def test_filter_design_equals_an_independent_one():
+    for got, want in ((iir.bandpass_coefficients(0.5, 45.0, 128.0, 5), (BANDPASS_B, BANDPASS_A)), (iir.notch(50.0, 30.0, 128.0), (NOTCH_B, NOTCH_A))):
+        for x, y in zip(got, want):
+            np.testing.assert_allclose(x, y, rtol=0, atol=1e-12)
