@@ -50,7 +50,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG_UNIT = 60
 UNITS_A_BUCKET = 250_000
-BATCH_UNITS = 1_000_000
+BATCH_UNITS = 500_000
 # no piece holds a tab or line break, and none goes on after a word into a space
 UNIT = re.compile(f"{MARK}+[^{MARK}\t-\r]*|[^{MARK}\t-\r]+|[\t-\r]")
 NO_RANK = (1 << 20) - 1
@@ -261,6 +261,8 @@ def fold_units(words: DataFrame, table: DataFrame, pieces: Pieces, fold=merge_fo
 # a unit of 60 characters has at most 240 ids; 96 bits of two hashes name it
 ENTRY = np.dtype([("hash", "<u8"), ("check", "<u4"), ("start", "<u4"), ("n", "u1")])
 UNITS_A_PARTITION = 20_000
+# units that a worker keeps between batches: about 200 bytes each
+CACHE_UNITS = 400_000
 
 
 def unit_keys(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +316,7 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
         for batch in batches:
             for t in batch.column(0):
                 seen.update(units(t.as_py()))
-                if len(seen) >= BATCH_UNITS // 4:
+                if len(seen) >= 250_000:
                     yield parts(seen)
                     seen = set()
         yield parts(seen)
@@ -370,6 +372,7 @@ class Lookup:
 
     def __init__(self, built: dict, pieces: Pieces) -> None:
         self.built, self.pieces, self.open = built, pieces, {}
+        self.known: dict[str, bytes] = {}  # packed ids of units met lately
 
     def shard(self, bucket: int):
         if bucket not in self.open:
@@ -379,6 +382,19 @@ class Lookup:
             self.open[bucket] = load(folder, f"units-{bucket:07d}", ENTRY), load(folder, f"ids-{bucket:07d}", self.built["width"])
         return self.open[bucket]
 
+    def learn(self, lists: list[list[str]]) -> dict[str, bytes]:
+        """Packed ids of all units in the lists; units of earlier lists stay
+        known until there are CACHE_UNITS of them."""
+        if len(self.known) > CACHE_UNITS:
+            self.known = {}
+        new = list(set().union(*lists).difference(self.known))
+        if new:
+            flat, n = self.whole(new)
+            data = flat.astype(self.built["width"]).tobytes()
+            ends = (np.cumsum(n) * np.dtype(self.built["width"]).itemsize).tolist()
+            self.known.update(zip(new, (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        return self.known
+
     def whole(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per unit) of units before they are cut."""
         number: dict[str, int] = {}
@@ -390,26 +406,36 @@ class Lookup:
 
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per unit) of distinct cut units, in order."""
-        out: list = [None] * len(found)
-        short = [k for k, u in enumerate(found) if len(u) <= LONG_UNIT]
-        for k in set(range(len(found))) - set(short):
-            out[k] = np.array(self.pieces.merge(found[k]), "<u4")
-        h, check = unit_keys([found[k] for k in short])
+        long = [k for k, u in enumerate(found) if len(u) > LONG_UNIT]
+        merged = [self.pieces.merge(found[k]) for k in long]
+        short = np.setdiff1d(np.arange(len(found)), np.array(long, np.int64))
+        h, check = unit_keys([found[k] for k in short.tolist()])
         order = np.argsort(h, kind="stable")
-        target = ((h[order] >> np.uint64(32)) * np.uint64(self.built["buckets"])) >> np.uint64(32)
+        h, check = h[order], check[order]
+        target = ((h >> np.uint64(32)) * np.uint64(self.built["buckets"])) >> np.uint64(32)
         edges = np.nonzero(np.r_[True, target[1:] != target[:-1], True])[0] if len(h) else [0]
+        flat, n = [], []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             table, ids = self.shard(int(target[lo]))
-            some = order[lo:hi]
-            place = np.searchsorted(table["hash"], h[some])
-            for k, p in zip(some.tolist(), place.tolist(), strict=True):
-                while table["check"][p] != check[k]:  # equal first hashes stand side by side
-                    p += 1
-                    if p >= len(table) or table["hash"][p] != h[k]:
-                        raise KeyError(f"unit {found[short[k]]!r} was not encoded")
-                start = int(table["start"][p])
-                out[short[k]] = ids[start:start + int(table["n"][p])]
-        return (np.concatenate(out) if out else np.empty(0, "<u4")), np.fromiter(map(len, out), np.int64, len(out))
+            place = np.searchsorted(table["hash"], h[lo:hi])
+            while True:  # equal first hashes stand side by side
+                got = table[np.minimum(place, len(table) - 1)]
+                if (got["hash"] != h[lo:hi]).any():
+                    raise KeyError(f"unit {found[short[order[lo + int((got['hash'] != h[lo:hi]).argmax())]]]!r} was not encoded")
+                other = got["check"] != check[lo:hi]
+                if not other.any():
+                    break
+                place[other] += 1
+            lens = got["n"].astype(np.int64)
+            flat.append(ids[np.repeat(got["start"], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)])
+            n.append(lens)
+        flat.append(np.array([x for m in merged for x in m], np.int64))
+        n.append(np.fromiter(map(len, merged), np.int64, len(merged)))
+        # back from the order of the hashes, long units last, to the order asked for
+        where = np.empty(len(found), np.int64)
+        where[short[order]] = np.arange(len(short))
+        where[np.array(long, np.int64)] = len(short) + np.arange(len(long))
+        return gather(np.concatenate(flat).astype("<u4"), np.concatenate(n), where)
 
 
 def gather(flat: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -431,27 +457,20 @@ def encode(docs: DataFrame, built: dict, text: str = "text") -> DataFrame:
     def run(batch: pa.RecordBatch):
         if run.lookup is None:
             run.lookup = Lookup(built, shared.value)
-        texts, at = [], 0
-        number: dict[str, int] = {}
-        places: list[np.ndarray] = []
-        held = 0
+        texts, lists, held, at = [], [], 0, 0
+        width, decode = built["width"], run.lookup.pieces.decode
         for k, value in enumerate(batch.column(body), 1):
-            t = value.as_py()
-            u = units(t)
-            texts.append(t)
-            places.append(np.fromiter((number.setdefault(x, len(number)) for x in u), np.int64, len(u)))
-            held += len(u)
+            texts.append(value.as_py())
+            lists.append(units(texts[-1]))
+            held += len(lists[-1])
             if held >= BATCH_UNITS or k == batch.num_rows:
-                flat, n = run.lookup.whole(list(number))
-                ids, lens = gather(flat, n, np.concatenate(places))
-                ids = ids.astype(np.int32)
-                ends = np.cumsum([0, *map(len, places)])
-                cuts = np.r_[0, np.cumsum(lens)][ends].astype(np.int32)
-                decode, mark = run.lookup.pieces.decode, MARK
-                same = [decode(ids[a:b].tolist()) == (x or "").replace(mark, " ") for x, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
-                yield {n: batch.column(n).slice(at, k - at) for n in names} | {"ids": lists, "n_tokens": np.diff(cuts).astype(np.int64), "round_trip": same}
-                texts, at, number, places, held = [], k, {}, [], 0
+                known = run.lookup.learn(lists)
+                packs = [np.frombuffer(b"".join([known[x] for x in u]), width) for u in lists]
+                ends = np.cumsum([0, *map(len, packs)]).astype(np.int32)
+                same = [decode(p.tolist()) == (t or "").replace(MARK, " ") for p, t in zip(packs, texts, strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packs).astype(np.int32)))
+                yield {n: batch.column(n).slice(at, k - at) for n in names} | {"ids": ids, "n_tokens": np.diff(ends).astype(np.int64), "round_trip": same}
+                texts, lists, held, at = [], [], 0, k
 
     shared = docs.sparkSession.sparkContext.broadcast(pieces_of(built["model_file"]))  # of the model's size
     run.lookup = None
