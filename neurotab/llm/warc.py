@@ -35,6 +35,7 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20  # of payload, before compression
 DICT_BYTES = 64 << 10
 LEVEL = 3
+ARCHIVES_A_TASK = 4
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -217,4 +218,6 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             yield out
 
     archives = manifest.select("archive").distinct()
+    # a few archives a task: by their names alone AQE would put very many into one
+    archives = archives.repartition(max(1, -(-archives.count() // ARCHIVES_A_TASK)), "archive")
     return map_batches(archives, run, RECORDS.format(id=kind))
