@@ -83,7 +83,8 @@ class Pieces:
         self.longest = max(len(p) for p, *_ in self.table)
         self.rank = {p: (r, k) for p, k, r, _ in self.table}
         # neighbours inside some piece; elsewhere no merge can reach across
-        self.pairs = {p[i:i + 2] for p, *_ in self.table for i in range(len(p) - 1)}
+        inside = {p[i:i + 2] for p, *_ in self.table for i in range(len(p) - 1)}
+        self.pairs = np.sort(np.fromiter(((ord(x[0]) << 21) | ord(x[1]) for x in inside), np.int64, len(inside)))
 
     def spell(self, unit: str, cuts: int) -> list[int]:
         """Ids of a unit that is cut at the places whose bits are set."""
@@ -102,15 +103,21 @@ class Pieces:
         worst = [max(rank(piece[:i]), rank(piece[i:])) for i in range(1, len(piece))]
         return any(self.rank[piece][0] < w < NO_RANK for w in worst)
 
-    def cut(self, unit: str) -> list[str]:
-        """A unit in parts that no piece can span."""
-        out, at = [], 0
-        for k in range(1, len(unit)):
-            if unit[k - 1:k + 1] not in self.pairs:
-                out.append(unit[at:k])
-                at = k
-        out.append(unit[at:])
-        return out
+    def cut(self, found: list[str]) -> tuple[list[str], np.ndarray]:
+        """Units in parts that no piece can span: all parts end to end, and the
+        number of parts of each unit."""
+        text = "".join(found)
+        if not text:
+            return [], np.zeros(len(found), np.int64)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pair = (code[:-1] << 21) | code[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        breaks = np.r_[True, self.pairs[place] != pair]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        breaks[ends[:-1]] = True
+        at = np.nonzero(breaks)[0]
+        parts = [text[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(text)], strict=True)]
+        return parts, np.diff(np.r_[0, np.searchsorted(at, ends)])
 
     def merge(self, unit: str) -> list[int]:
         """Pieces of one unit by a heap of merges (best rank first, then leftmost)."""
@@ -309,7 +316,7 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
 
     def parts(seen: set[str]) -> pa.RecordBatch:
         cut = shared.value.cut
-        return as_batch({"unit": list({x for u in seen for x in cut(u) if len(x) <= LONG_UNIT})}, one)
+        return as_batch({"unit": list({x for x in cut(list(seen))[0] if len(x) <= LONG_UNIT})}, one)
 
     def collect(batches):
         seen: set[str] = set()
@@ -398,10 +405,10 @@ class Lookup:
     def whole(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per unit) of units before they are cut."""
         number: dict[str, int] = {}
-        own = [[number.setdefault(x, len(number)) for x in self.pieces.cut(u)] for u in found]
+        split, parts = self.pieces.cut(found)
+        own = np.array([number.setdefault(x, len(number)) for x in split], np.int64)
         flat, n = self.ids(list(number))
-        parts = np.fromiter(map(len, own), np.int64, len(own))
-        ids, lens = gather(flat, n, np.fromiter((x for o in own for x in o), np.int64, parts.sum()))
+        ids, lens = gather(flat, n, own)
         return ids, np.add.reduceat(lens, np.cumsum(parts) - parts) if len(parts) else lens
 
     def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
