@@ -148,14 +148,10 @@ def q_base_model_scores(spark, sf_dir):
     return rounded(md.score_long(out))
 
 
-FAST_BASE = {"logreg": md.fit_logreg, "lda": md.fit_discriminant, "random_forest": md.fit_random_forest,
-             "knn": md.fit_knn}
-
-
 @register("oof_predictions")
 def q_oof_predictions(spark, sf_dir):
     _, _, data = _split(spark, sf_dir)
-    return rounded(va.oof_predictions(data, FAST_BASE))
+    return rounded(va.oof_predictions(data, md.BASE_MODELS))
 
 
 @register("ml_stacking")
@@ -163,7 +159,7 @@ def q_ml_stacking(spark, sf_dir):
     train, valid, _ = _split(spark, sf_dir)
     folds = stratified_folds(train.select("id", "label"), out="inner_fold").select("id", "inner_fold")
     inner = train.join(folds, "id")
-    return _scored(va.fit_stacking(inner, FAST_BASE, fold_col="inner_fold"), valid)
+    return _scored(va.fit_stacking(inner, md.BASE_MODELS, fold_col="inner_fold"), valid)
 
 
 @register("cv_evaluate")
