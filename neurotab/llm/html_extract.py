@@ -10,6 +10,11 @@ that holds most of their text.  Every line of the region is kept, short ones
 too, except those inside boilerplate elements (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments) and lists of links.
 
+A class, an id or a form only marks an element.  Content is first found as if
+no element was marked; where the marks would leave less than ``CLEAN_SHARE`` of
+its text, they are dropped from the outermost element with most of it inwards
+(reader comments last, and only if nothing else is left).
+
 Defined results: null, empty and text-free pages give an empty string; markup
 that is cut off or badly nested is read as far as it goes; white space (as
 Python's ``str.split`` sees it) inside a block becomes one space; repeated rows
@@ -19,6 +24,7 @@ the memory of one task.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from html.parser import HTMLParser
@@ -32,6 +38,7 @@ RADIUS = 2  # of the Gaussian kernel, in lines
 LAMBDA = 1.0  # threshold in standard deviations
 REGION_SHARE = 0.75
 LINK_SHARE = 0.8
+CLEAN_SHARE = 0.1
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +48,8 @@ BLOCKS = frozenset(
     "thead title tr ul".split())
 SILENT = frozenset(
     "head title script style noscript template button select option textarea input iframe object svg math canvas audio video map "
-    "datalist dialog form fieldset nav aside footer menu".split())
+    "datalist dialog nav aside footer menu".split())
+MARKED = frozenset("form fieldset".split())
 CLOSES_P = BLOCKS - {"option", "title"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
               "option": {"option"}}
@@ -53,6 +61,8 @@ BOILERPLATE = frozenset(
     "notices notification overlay pager pagination popup promo promotion recommended related respond reply replies share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 HEADERS = frozenset("header masthead topbar".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+NO, MARK, READERS, YES = range(4)  # is it boilerplate: no, by its name (of reader comments: the whole name), for certain
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -62,8 +72,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parents, self.names = [-1], ["#root"]
+        self.marks: dict[int, int] = {}
         # (tag, element number, silent, mute): silent text counts as a line without content, mute text is not read
-        self.stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]
+        self.stack: list[tuple[str, int, bool, int]] = [("#root", 0, False, NO)]
         self.owner = (0, False)
         self.lines: list[list] = []
         self.parts: list[str] = []
@@ -92,13 +103,18 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         _, element, silent, mute = self.stack[-1]
+        found = YES if tag in SILENT else self.is_boilerplate(tag, attrs)
         if tag in BLOCKS:
-            silent = silent or tag in SILENT or self.is_boilerplate(tag, attrs)
+            silent = silent or found == YES
             self.parents.append(element)
             self.names.append(tag)
             element = len(self.names) - 1
+            if mute < YES:  # a block in a marked span is a marked block
+                found, mute = max(found, mute), NO
+            if found in (MARK, READERS):
+                self.marks[element] = found
         else:  # scripts, styles, marked spans: a line goes on after them
-            mute = mute or tag in SILENT or self.is_boilerplate(tag, attrs)
+            mute = max(mute, found)
         self.stack.append((tag, element, silent, mute))
         self.links += tag == "a"
 
@@ -135,26 +151,31 @@ class Lines(HTMLParser):
         if self.links:
             self.link_chars += len(data)
 
-    def is_boilerplate(self, tag: str, attrs: list) -> bool:
+    def is_boilerplate(self, tag: str, attrs: list) -> int:
         inside = any(x[0] in ("article", "main") for x in self.stack)
         if tag == "header" and not inside:
-            return True
+            return YES
         if tag in ("html", "body", "article", "main"):
-            return False
+            return NO
+        found = MARK if tag in MARKED else NO
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return YES
             if not value:
                 continue
             if name == "role" and value.strip().lower() in ROLES:
-                return True
+                if value.strip().lower() != "form":
+                    return YES
+                found = max(found, MARK)
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return YES
             if name in ("class", "id") and tag in BLOCKS | {"span", "a"}:
                 tokens = {t.lower() for t in TOKEN.findall(value)}
-                if tokens & BOILERPLATE or not inside and tokens & HEADERS:
-                    return True
-        return False
+                if tokens & COMMENTS and any("".join(TOKEN.findall(x)).lower() in COMMENTS for x in value.split()):
+                    found = max(found, READERS)
+                elif tokens & BOILERPLATE or not inside and tokens & HEADERS:
+                    found = max(found, MARK)
+        return found
 
 
 def smooth(values: list[float], radius: int = RADIUS) -> list[float]:
@@ -176,11 +197,48 @@ def content_lines(lines: list[list]) -> list[bool]:
     return [r >= LAMBDA * deviation and not line[4] for r, line in zip(ratios, lines, strict=True)]
 
 
+def is_links(line: list) -> bool:
+    return line[2] >= LINK_SHARE * len(line[0])
+
+
+def silence(parser: Lines) -> None:
+    """Silence the lines below the marked elements whose marks hold."""
+    marks, inner = parser.marks, [-1] * len(parser.names)  # the innermost marked element of each
+    for k, parent in enumerate(parser.parents):  # parents come before their children
+        inner[k] = k if k in marks else inner[parent] if parent >= 0 else -1
+    own = dict.fromkeys([-1, *marks], 0)
+    for line, good in zip(parser.lines, content_lines(parser.lines), strict=True):
+        if good and not is_links(line):
+            own[inner[line[3]]] += len(line[0])
+    whole, nested = dict(own), {m: [] for m in own}
+    for m in sorted(marks, reverse=True):
+        up = inner[parser.parents[m]]
+        whole[up] += whole[m]
+        nested[up].append(m)
+    clean, dropped = own[-1], set()
+    heap = [(marks[m], -whole[m], m) for m in nested[-1]]
+    heapq.heapify(heap)
+    while heap and clean < CLEAN_SHARE * whole[-1]:
+        mark, weight, m = heapq.heappop(heap)
+        if mark == READERS and clean:
+            break
+        if weight:
+            dropped.add(m)
+            clean += own[m]
+            for x in nested[m]:
+                heapq.heappush(heap, (marks[x], -whole[x], x))
+    held = [False] * len(parser.names)
+    for k, parent in enumerate(parser.parents):
+        held[k] = k in marks and k not in dropped or parent >= 0 and held[parent]
+    for line in parser.lines:
+        line[4] = line[4] or held[line[3]]
+
+
 def region(parser: Lines, content: list[bool]) -> set[int]:
     """Numbers of the elements whose lines make up the main text."""
     weight = [0] * len(parser.names)
     for line, good in zip(parser.lines, content, strict=True):
-        if good and line[2] < LINK_SHARE * len(line[0]):
+        if good and not is_links(line):
             element = line[3]
             while element >= 0:
                 weight[element] += len(line[0])
@@ -218,11 +276,13 @@ def extract(html: str | None) -> str:
     parser.cut()
     if not parser.lines:
         return ""
+    if parser.marks:
+        silence(parser)
     content = content_lines(parser.lines)
     chosen = region(parser, content)
     # outside an article, list items that are nothing but links are a menu
     held = any(parser.names[k] in ("article", "main") for k in chosen)
-    menu = lambda line: not held and parser.names[line[3]] in ("li", "ul", "ol", "td") and line[2] >= LINK_SHARE * len(line[0])
+    menu = lambda line: not held and parser.names[line[3]] in ("li", "ul", "ol", "td") and is_links(line)
     return "\n".join(line[0] for line in parser.lines if not line[4] and line[3] in chosen and not menu(line))
 
 
