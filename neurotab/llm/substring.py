@@ -8,8 +8,9 @@ to what matters and split by prefix:
   hash in each window.  Equal windows have equal anchors, so the suffix that
   starts at the anchor stands for all windows around it; consecutive windows
   with one anchor travel as one run of words (13 to 21 words);
-* documents are dealt into chunks by a hash of their id.  A chunk sends each
-  distinct run once, with the smallest and largest id it has there: a passage
+* documents are dealt into chunks by a hash of their id and text, so that an id
+  of many rows is no group; rows without an id or with a text too short for a
+  window are answered where they are read.  A chunk sends each distinct run once, with the smallest and largest id it has there: a passage
   in a third of all documents is one row a chunk;
 * runs are dealt to buckets by the hash of the anchor's words, the prefix, so a
   bucket holds whole subtrees and fits in memory.  A prefix with one run has no
@@ -25,7 +26,8 @@ Nothing is compared by hash alone: nodes are numbered from the words.
 
 Defined results: a null text has no words; documents with a null id are left
 whole and count for none; rows with one id never remove each other; repeated
-rows repeat in the result; texts under 13 words are never touched.
+rows repeat in the result; texts under 13 words are never touched.  Limit: rows that
+are equal in both id and text meet in one chunk.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import as_batch, set_aside, text_bytes
+from neurotab.llm.common import as_batch, map_batches, set_aside, text_bytes
 from neurotab.llm.packing import expand, squeeze
 
 WINDOW = 13
@@ -293,7 +295,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
     # about 3.4 words travel for each word of six bytes
     buckets = max(1, math.ceil(size / 6 * 3.4 / BUCKET_WORDS))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)))
+    # 13 words have 25 bytes at least
+    grouped = rows[key].isNotNull() & (F.coalesce(F.octet_length(body), F.lit(0)) >= 2 * WINDOW - 1)
+    alone, rows = rows.where(~grouped), rows.where(grouped).withColumn("chunk", F.pmod(F.xxhash64(key, body), F.lit(chunks)))
 
     def read(batches) -> tuple[list, list]:
         ids, texts = [], []
@@ -305,10 +309,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 
     def send(k, batches):
-        ids, texts = read(batches)
-        real = [r for r, i in enumerate(ids) if i is not None]
-        chunk = Chunk([ids[r] for r in real], [texts[r] or b"" for r in real], buckets)
-        del ids, texts
+        chunk = Chunk(*read(batches), buckets)
         for bucket, body in chunk.packed():
             yield as_batch({"chunk": [k[0].as_py()], "bucket": [bucket], "body": [body]}, sent)
 
@@ -327,28 +328,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def filled(rows: Iterator[tuple], texts: list, n: int) -> dict[str, list]:
+        out: dict[str, list] = {c: [None] * n for c in added}
+        for row, w, gone in rows:
+            kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)
+            edges = np.nonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2)
+            for c, v in zip(added, (len(w), int(gone.sum()), edges.tolist(), None if texts[row] is None else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
+                out[c][row] = v
+        return out
+
     def apply(k, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = read(left.to_batches())
-        real = [r for r, i in enumerate(ids) if i is not None]
-        own = [ids[r] for r in real], [texts[r] or b"" for r in real]
-        chunk = Chunk(*own, buckets, places=True)
+        chunk = Chunk(ids, texts, buckets, places=True)
         answers = {b: tuple(expand(x)) for b, x in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
-        out: dict[str, list] = {n: [None] * left.num_rows for n in added}
-
-        def put(row: int, w: list[bytes], gone: np.ndarray) -> None:
-            kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)
-            edges = np.nonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2)
-            for n, v in zip(added, (len(w), int(gone.sum()), edges.tolist(), None if texts[row] is None else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
-                out[n][row] = v
-
-        for row, w, gone in covered(chunk, *own, answers):
-            put(real[row], w, gone)
-        for row in set(range(left.num_rows)) - set(real):
-            w = (texts[row] or b"").split()
-            put(row, w, np.zeros(len(w), bool))
-        columns = {n: left.column(n) for n in names} | out
+        columns = {n: left.column(n) for n in names} | filled(covered(chunk, ids, texts, answers), texts, left.num_rows)
         return pa.Table.from_batches([as_batch(columns, arrow)])
 
+    def whole(batch: pa.RecordBatch) -> dict:
+        texts = list(text_bytes(batch.column(body)))
+        split = ((row, w, np.zeros(len(w), bool)) for row, w in enumerate((t or b"").split() for t in texts))
+        return {n: batch.column(n) for n in names} | filled(split, texts, batch.num_rows)
+
     types = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     for f in (send, solve):
         f.__annotations__ = types | {"k": types["key"]}
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     send_schema = "chunk long, bucket long, body binary"
     runs = rows.groupBy("chunk").applyInArrow(send, send_schema)
     back = runs.groupBy("bucket").applyInArrow(solve, send_schema)
-    result = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, schema)
+    result = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, schema).unionAll(map_batches(alone, whole, schema))
     return result.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *added)
 
 
