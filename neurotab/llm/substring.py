@@ -16,9 +16,11 @@ to what matters and split by prefix:
   bucket holds whole subtrees and fits in memory.  A prefix with one run has no
   branch.  For the others the tree nodes of their suffixes are numbered level
   by level (1, 2, 4, 8, 12, 13 words); windows with the same node at depth 13
-  are one repeat, whose smallest id is kept.  Where a bucket is larger than
-  ``SUBTREE_WORDS``, prefixes are made longer, by the words a window starts
-  with, and the parts are built one after another;
+  are one repeat, whose smallest id is kept.  Run words are counted by prefix
+  first, over a sample of the documents (``SAMPLE``); a prefix of more than
+  ``SUBTREE_WORDS`` is made longer before the shuffle: its windows travel one by
+  one, dealt by all their words.  Where a bucket still is larger than that, its
+  parts are built one after another;
 * the smallest ids go back to the chunk, for runs where a larger id saw it.
   Neighbouring windows join into maximal repeats, and covered words go.
 
@@ -51,6 +53,7 @@ PREFIX = 5
 CHUNK_BYTES = 8 << 20
 BUCKET_WORDS = 1_500_000
 SUBTREE_WORDS = 6_000_000
+SAMPLE = 8
 
 
 # place of a window's anchor in the low bits of its order: the leftmost of equal hashes is the smallest
@@ -110,12 +113,75 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (span & low).astype(np.int64), g
 
 
+def runs_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, words and anchor of each run of a text, and the hash of its prefix."""
+    place, g = anchors(h)
+    starts = np.nonzero(np.diff(place, prepend=-1))[0]
+    at = place[starts]
+    return starts, np.diff(starts, append=len(place)) + (WINDOW - 1), at, g[at]
+
+
+def lengthened(h: np.ndarray, hot: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, g: np.ndarray) -> tuple:
+    """``runs_of`` a text with each run of a hot prefix cut into its windows,
+    which have the hash of all their words."""
+    long = np.isin(g, hot)
+    if not long.any():
+        return starts, n, at, g
+    times = np.where(long, n - (WINDOW - 1), 1)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts, n, at, g, long = (np.repeat(x, times) for x in (starts, n, at, g, long))
+    starts, n = starts + step, np.where(long, WINDOW, n)
+    some = starts[long]
+    key = h[some]
+    for k in range(1, WINDOW):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(BASE) + h[some + k]
+    g[long] = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return starts, n, at, g
+
+
+def hot_prefixes(rows: DataFrame, key: str, body: str, size: int) -> tuple[np.ndarray, int]:
+    """Hashes of the prefixes with more than ``SUBTREE_WORDS`` words in their
+    runs, by a sample of the documents, and the words of all of them.  Each 8 MB
+    of the sample tell only the prefixes with half their share or more, so no
+    such prefix of the sample is missed, and what comes together is small."""
+    limit = SUBTREE_WORDS / 2
+    if size / 6 * 3.4 <= SUBTREE_WORDS:
+        return np.empty(0, np.uint64), 0
+    some = rows.where(F.pmod(F.xxhash64(key, body, F.lit(1)), F.lit(SAMPLE)) == 0).select(body)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("prefix", pa.int64()), ("words", pa.int64())])
+        parts, read = [], 0
+
+        def told() -> pa.RecordBatch:
+            prefix, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            words = np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
+            keep = words * SAMPLE >= limit * min(1.0, read * SAMPLE / size)
+            return as_batch({"prefix": prefix[keep].view(np.int64), "words": words[keep] * SAMPLE}, schema)
+
+        for b in batches:
+            for t in text_bytes(b.column(0)):
+                read += len(t)
+                w = t.split()
+                if len(w) >= WINDOW:
+                    _, n, _, g = runs_of(word_hashes(w))
+                    parts.append((g, n))
+                if read >= CHUNK_BYTES and parts:
+                    yield told()
+                    parts, read = [], 0
+        if parts:
+            yield told()
+
+    found = some.mapInArrow(count, "prefix long, words long").groupBy("prefix").agg(F.sum("words").alias("n")).where(F.col("n") >= limit).collect()
+    return np.array([r["prefix"] for r in found], np.int64).view(np.uint64), sum(r["n"] for r in found)
+
+
 class Chunk:
     """The distinct runs of a chunk's documents, numbered in an order that a
     second pass repeats.  Numbers are kept in packed arrays: what grows with the
     chunk is its distinct run texts and a few bytes for each run."""
 
-    def __init__(self, ids: list, texts: list, buckets: int, places: bool = False) -> None:
+    def __init__(self, ids: list, texts: list, buckets: int, places: bool = False, hot: np.ndarray = np.empty(0, np.uint64)) -> None:
         self.docs: list[tuple] = []  # (row, run starts, run numbers), if places are wanted
         self.runs: dict[bytes, int] = {}
         self.low, self.high = array("q"), array("q")
@@ -124,16 +190,17 @@ class Chunk:
             w = texts[row].split()
             starts = numbers = ()
             if len(w) >= WINDOW:
-                place, g = anchors(word_hashes(w))
-                starts = np.nonzero(np.diff(place, prepend=-1))[0]
-                n = np.diff(starts, append=len(place)) + (WINDOW - 1)
-                at = place[starts]
+                h = word_hashes(w)
+                starts, n, at, g = runs_of(h)
+                if len(hot):
+                    starts, n, at, g = lengthened(h, hot, starts, n, at, g)
                 joined = b" ".join(w)
                 ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
                 begin = np.r_[0, ends][starts]
                 numbers, new = self.number(joined, begin.tolist(), (ends[starts + n - 1] - 1).tolist(), ids[row])
                 if new:
-                    self.bucket.frombytes((((g[at[new]] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64).tobytes())
+                    # an anchor's hash is the smallest of several: its high bits alone would favour the first buckets
+                    self.bucket.frombytes(((((g[new] * np.uint64(BASE)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64).tobytes())
                     self.words.frombytes(n[new].astype(np.uint8).tobytes())
                     self.anchor.frombytes((at[new] - starts[new]).astype(np.uint8).tobytes())
             if places:
@@ -211,21 +278,16 @@ def subtrees(runs: list[bytes], lens: np.ndarray, low: np.ndarray) -> np.ndarray
     # longer prefixes: windows are split by their first words, one part at a time
     import zlib
 
-    out, parts = np.empty(n.sum(), np.int64), parts * 8
-    for part in range(parts):
-        place, some, ids, at = [], [], [], 0
-        for text, who in zip(runs, low.tolist(), strict=True):
-            run = text.split(b" ")
-            for k in range(len(run) - WINDOW + 1):
-                if zlib.crc32(b" ".join(run[k:k + 8])) % parts == part:
-                    place.append(at + k)
-                    some.append(b" ".join(run[k:k + WINDOW]))
-                    ids.append(who)
-            at += len(run) - WINDOW + 1
-        if some:
-            number = {}
-            flat = np.fromiter((number.setdefault(x, len(number)) for run in some for x in run.split(b" ")), np.int64, WINDOW * len(some))
-            out[place] = smallest(window_nodes(flat, np.arange(len(some)) * WINDOW), np.array(ids, np.int64))
+    parts *= 8
+    out, windows = np.empty(n.sum(), np.int64), (run[k:k + WINDOW] for run in (text.split(b" ") for text in runs) for k in range(len(run) - WINDOW + 1))
+    part = np.fromiter((zlib.crc32(b" ".join(w[:8])) % parts for w in windows), np.int64, int(n.sum()))
+    owner, first = np.repeat(np.arange(len(runs)), n), np.cumsum(n) - n
+    order = np.argsort(part, kind="stable")
+    for place in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+        number = {}
+        words = (x for o, k in zip(owner[place].tolist(), (place - first[owner[place]]).tolist(), strict=True) for x in runs[o].split(b" ", k + WINDOW)[k:k + WINDOW])
+        flat = np.fromiter((number.setdefault(x, len(number)) for x in words), np.int64, WINDOW * len(place))
+        out[place] = smallest(window_nodes(flat, np.arange(len(place)) * WINDOW), low[owner[place]])
     return out
 
 
@@ -299,6 +361,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     grouped = rows[key].isNotNull() & (F.coalesce(F.octet_length(body), F.lit(0)) >= 2 * WINDOW - 1)
     alone, rows = rows.where(~grouped), rows.where(grouped).withColumn("chunk", F.pmod(F.xxhash64(key, body), F.lit(chunks)))
 
+    hot, hot_words = hot_prefixes(rows, key, body, size)
+    # windows of one run take up to 6 times its words
+    buckets += math.ceil(6 * hot_words / BUCKET_WORDS)
+
     def read(batches) -> tuple[list, list]:
         ids, texts = [], []
         for b in batches:
@@ -309,7 +375,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 
     def send(k, batches):
-        chunk = Chunk(*read(batches), buckets)
+        chunk = Chunk(*read(batches), buckets, hot=hot)
         for bucket, body in chunk.packed():
             yield as_batch({"chunk": [k[0].as_py()], "bucket": [bucket], "body": [body]}, sent)
 
@@ -339,7 +405,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def apply(k, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = read(left.to_batches())
-        chunk = Chunk(ids, texts, buckets, places=True)
+        chunk = Chunk(ids, texts, buckets, places=True, hot=hot)
         answers = {b: tuple(expand(x)) for b, x in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
         columns = {n: left.column(n) for n in names} | filled(covered(chunk, ids, texts, answers), texts, left.num_rows)
         return pa.Table.from_batches([as_batch(columns, arrow)])

@@ -19,3 +19,33 @@ def test_rows_without_id_or_with_one_id_are_spread(spark, monkeypatch):
     for (i, text), r in got.items():
         assert r["n_removed"] == (30 if i is not None and 7 < i < 50 else 0), i
         assert r["n_words"] == len((text or "").split()) and (r["kept_text"] is None) == (text is None)
+
+
+def test_windows_of_a_common_phrase_are_spread(spark, monkeypatch):
+    """A phrase with other words around it in each document is no bucket of its
+    own, and the results stay those of plain Python."""
+    phrase = "the common phrase of all documents".split()
+    rows = []
+    for k in range(300):
+        w = [f"a{k}x{i}" for i in range(9)] + phrase + [f"b{k}x{i}" for i in range(9)]
+        rows.append((k, " ".join(w if k % 10 else w[:5] + [f"c{i}" for i in range(4)] + phrase + [f"d{i}" for i in range(9)])))
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k:k + 13]), i)
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k:k + 13])] < i for j in range(k, k + 13)}
+        want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring, "BUCKET_WORDS", 1000)
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    most = {}
+    for limit in (1000, 10**9):
+        monkeypatch.setattr(substring, "SUBTREE_WORDS", limit)
+        size = sum(len(t) for _, t in rows)
+        hot, words = substring.hot_prefixes(docs, "doc_id", "text", size)
+        assert (len(hot) > 0) == (limit == 1000) == (words > 0)
+        chunk = substring.Chunk([i for i, _ in rows], [t.encode() for _, t in rows], 50, hot=hot)
+        most[limit] = max(sum(chunk.words[r] for r in runs.tolist()) for _, runs in chunk.by_bucket())
+        assert {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(docs).collect()} == want
+    assert most[1000] < most[10**9] / 2
