@@ -302,11 +302,13 @@ BOOSTING_CONFIGS = [dict(subsample=1.0, feature_subset="all", name="gbt_a"),
                     dict(subsample=1.0, feature_subset="sqrt", name="gbt_c")]
 
 
-def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int = 6, step: float = 0.05,
+def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int | Sequence[int] = 6, step: float = 0.05,
                           name: str = "boosting") -> Scorer:
     """Three boosted configurations (row / feature sampling differ), 300 x 6 x
-    0.05, combined by soft voting (mean probability, argmax)."""
-    members = [fit_gbt_ovr(train, iters=iters, depth=depth, step=step, **c) for c in BOOSTING_CONFIGS]
+    0.05, combined by soft voting (mean probability, argmax).  ``depth`` is one
+    for all or one for each."""
+    depths = [depth] * len(BOOSTING_CONFIGS) if isinstance(depth, int) else depth
+    members = [fit_gbt_ovr(train, iters=iters, depth=d, step=step, **c) for d, c in zip(depths, BOOSTING_CONFIGS, strict=True)]
     return scorer_of("soft_vote", name, members=members)
 
 

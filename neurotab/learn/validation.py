@@ -110,12 +110,13 @@ def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int |
 
 
 def trial_table(spark, n_trials: int = 15, seed: int = config.SEED) -> DataFrame:
-    """Hyper-parameter trials drawn from the search space: depth 3-9,
-    learning rate 0.01-0.2 (log-uniform), trees 100-500 step 100."""
+    """Hyper-parameter trials drawn from the search space: a depth of 3-9 for
+    each of the three boosted models, learning rate 0.01-0.2 (log-uniform),
+    trees 100-500 step 100."""
     rng = np.random.default_rng(seed)
-    rows = [(t, int(rng.integers(3, 10)), float(np.exp(rng.uniform(np.log(0.01), np.log(0.2)))),
+    rows = [(t, *(int(rng.integers(3, 10)) for _ in range(3)), float(np.exp(rng.uniform(np.log(0.01), np.log(0.2)))),
              int(rng.integers(1, 6) * 100)) for t in range(n_trials)]
-    return spark.createDataFrame(rows, "trial int, max_depth int, learning_rate double, n_trees int")
+    return spark.createDataFrame(rows, "trial int, depth_a int, depth_b int, depth_c int, learning_rate double, n_trees int")
 
 
 def best_trial(results: DataFrame, score: str = "mean_accuracy") -> DataFrame:

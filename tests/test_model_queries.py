@@ -27,3 +27,22 @@ def test_stacked_queries_use_all_base_models(spark, monkeypatch):
     assert q_models.q_oof_predictions(spark, SMALL).columns == q_models.q_ml_stacking(spark, SMALL).columns
     assert [set(fits) for fits in used] == [BASE, BASE]
     assert all(fits[name] is md.BASE_MODELS[name] for fits in used for name in BASE)
+
+
+def test_search_fits_the_boosting_ensemble(spark, monkeypatch):
+    calls, data = [], spark.createDataFrame([(1, 0, [0.5], 0)], "id long, label int, features array<double>, fold int")
+    monkeypatch.setattr(fx, "feat_wide", lambda *_: data)
+    monkeypatch.setattr(q_models, "stratified_folds", lambda df, **_: df.withColumn("fold", F.lit(0)))
+    monkeypatch.setattr(md, "fit_gbt_ovr", lambda train, **a: calls.append(a) or constant(a["name"]))
+    monkeypatch.setattr(va, "cross_validate", lambda d, fit, *_: spark.createDataFrame([(1.0 / len(fit(d).members),)], "accuracy double"))
+    rows = q_models.q_tuning_search(spark, SMALL).orderBy("trial").collect()
+    assert len(rows) == 15 and [r["trial"] for r in rows if r["is_best"]] == [0]
+    used = {(a["name"], a["depth"], a["step"], a["iters"]) for a in calls}
+    assert len(calls) == 45
+    assert used == {(f"gbt_{c}", r[f"depth_{c}"], r["learning_rate"], r["n_trees"]) for r in rows for c in "abc"}
+    assert len({(r["depth_a"], r["depth_b"], r["depth_c"]) for r in rows}) > 5 and len({r["learning_rate"] for r in rows}) == 15
+
+
+def test_boosting_ensemble_is_registered():
+    import __spark_entry__
+    assert "ml_boosting" in __spark_entry__.queries()
