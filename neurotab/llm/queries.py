@@ -158,3 +158,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neurotab.llm.sentencepiece import tokenize
 
     return tokenize(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+ip AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM ip),
+sizes AS (SELECT DISTINCT n FROM iw),
+dp AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT r, s, dp.n, item FROM (SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS win FROM dp) dp JOIN iw ON dp.win = iw.win AND dp.n = iw.n),
+spans AS (SELECT DISTINCT r, s, n FROM found),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM spans) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@register("op12_decontamination", OP12_SQL)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
