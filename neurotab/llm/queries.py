@@ -190,3 +190,50 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.whitening import fit, identity_error, whiten
+
+    model = fit(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    explained = F.array(*[F.lit(float(v)) for v in model.explained]).cast("array<double>")
+    return whiten(model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("k")).alias("explained"), F.lit(identity_error(model)).alias("identity_error"))
+
+
+def _op11_sql(rounds: int = 5, k: int = 40, d: int = 64) -> str:
+    """Whole-number Lloyd rounds in long form, one group of CTEs a round."""
+    steps = [f"""
+x0 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+       WHERE embedding IS NOT NULL AND len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT row_number() OVER () AS r, vec_id, x FROM x0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x AS m FROM v QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS (SELECT r, min(c) AS c, min(dist) AS dist FROM (
+           SELECT r, c, dist, min(dist) OVER (PARTITION BY r) AS best FROM (
+             SELECT r, c, CAST(list_sum(list_transform(list_zip(v.x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS dist FROM v, c{n}))
+         WHERE dist = best GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{n}.c, v.x, unnest(range(1, {d + 1})) AS i FROM a{n} JOIN v USING (r)) GROUP BY c, i),
+m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{n} GROUP BY c),
+c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, CAST(c AS INT) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+@register("op11_centroid_clustering", OP11_SQL)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neurotab.llm.vafile import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))[0]
