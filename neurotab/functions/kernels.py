@@ -160,56 +160,87 @@ def filtfilt_matrix(b, a, x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(y[:, pad:pad + n])
 
 
-def _left_aligned(rows: list[np.ndarray]) -> np.ndarray:
-    width = max(len(r) for r in rows)
-    m = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        m[i, :len(r)] = r
-    return m
-
-
-def filtfilt_ragged(b, a, signals: list[np.ndarray]) -> list[np.ndarray]:
-    """``filtfilt_matrix`` for signals of different lengths in one vectorised
-    pass: rows are left-aligned and zero-filled after their end, which cannot
-    change a causal filter's output before that end; for the backward pass each
-    row's own valid part is reversed and left-aligned again."""
-    b = np.asarray(b, dtype=np.float64)
-    a = np.asarray(a, dtype=np.float64)
-    pad = 3 * max(len(a), len(b))
-    out: list[np.ndarray | None] = [None] * len(signals)
-    idx = [i for i, x in enumerate(signals) if len(x) > pad]
-    for i, x in enumerate(signals):
-        if len(x) <= pad:
-            out[i] = np.asarray(x, dtype=np.float64).copy()
-    if not idx:
-        return out
-    exts = []
-    for i in idx:
-        x = np.asarray(signals[i], dtype=np.float64)
-        exts.append(np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2:-pad - 2:-1]]))
-    zi = lfilter_zi(b, a)
-    m = _left_aligned(exts)
-    fwd = lfilter_rows(b, a, m, zi[None, :] * m[:, :1])
-    rev = [fwd[j, :len(e)][::-1] for j, e in enumerate(exts)]
-    m2 = _left_aligned(rev)
-    bwd = lfilter_rows(b, a, m2, zi[None, :] * m2[:, :1])
-    for j, i in enumerate(idx):
-        n = len(signals[i])
-        y = bwd[j, :len(exts[j])][::-1]
-        out[i] = np.ascontiguousarray(y[pad:pad + n])
+def cascade(sections, rows: list[np.ndarray], z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Run second-order sections over rows of any lengths, all rows at once.
+
+    ``z`` holds two states a section and row at the start.  Rows are taken in
+    order of falling length, so those not yet at their end are always the first
+    ones and a row's states stay as they were at its own end.  Returns the
+    filtered rows and the end states."""
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    y = np.zeros((len(rows), int(lengths.max(initial=0))))
+    for place, i in enumerate(order):
+        y[place, :lengths[i]] = rows[i]
+    state = np.ascontiguousarray(z[order].T)
+    active = np.searchsorted(-lengths[order], -np.arange(y.shape[1]), side="left")
+    x = np.ascontiguousarray(y.T)
+    for t in range(len(x)):
+        n = active[t]
+        v = x[t, :n]
+        for s, (b, a) in enumerate(sections):
+            z0, z1 = state[2 * s, :n], state[2 * s + 1, :n]
+            w = b[0] * v + z0
+            state[2 * s, :n] = b[1] * v + z1 - a[1] * w
+            state[2 * s + 1, :n] = b[2] * v - a[2] * w
+            v = w
+        x[t, :n] = v
+    out: list[np.ndarray] = [np.zeros(0)] * len(rows)
+    for place, i in enumerate(order):
+        out[i] = x[:lengths[i], place].copy()
+    end = np.empty_like(z)
+    end[order] = state.T
+    return out, end
+
+
+def cascade_zi(sections) -> np.ndarray:
+    """States of the sections in the steady state of a unit step."""
+    out, gain = [], 1.0
+    for b, a in sections:
+        out.append(lfilter_zi(b, a) * gain)
+        gain *= b.sum() / a.sum()
+    return np.concatenate(out)
+
+
+def padding(sections) -> int:
+    """Length of the odd extension: three times the coefficients of the whole filter."""
+    return 3 * (2 * len(sections) + 1)
+
+
+def odd_extension(x: np.ndarray, pad: int, left: bool = True, right: bool = True) -> np.ndarray:
+    parts = [2 * x[0] - x[pad:0:-1]] if left else []
+    parts.append(x)
+    if right:
+        parts.append(2 * x[-1] - x[-2:-pad - 2:-1])
+    return np.concatenate(parts)
+
+
+def zero_phase(sections, signals: list[np.ndarray]) -> list[np.ndarray]:
+    """Forward and backward filtering of whole signals with odd extension and
+    steady-state starts; signals no longer than the extension stay as they are."""
+    pad, zi = padding(sections), cascade_zi(sections)
+    out = [np.array(x, dtype=np.float64) for x in signals]
+    which = [i for i, x in enumerate(out) if len(x) > pad]
+    if which:
+        rows = [odd_extension(out[i], pad) for i in which]
+        for _ in range(2):  # forward, then backward over the reversed result
+            rows, _ = cascade(sections, rows, np.array([zi * r[0] for r in rows]))
+            rows = [r[::-1] for r in rows]
+        for i, r in zip(which, rows, strict=True):
+            out[i] = np.ascontiguousarray(r[pad:len(r) - pad])
     return out
 
 
-def filtfilt_udf(b, a):
-    b = np.asarray(b, dtype=np.float64)
-    a = np.asarray(a, dtype=np.float64)
-
+def zero_phase_udf(sections):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def filtfilt(values: pd.Series) -> pd.Series:
-        rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in values]
-        res = filtfilt_ragged(b, a, rows)
-        return pd.Series([None if values.iloc[i] is None else r for i, r in enumerate(res)], dtype=object)
-    return filtfilt
+    def filtered(values: pd.Series) -> pd.Series:
+        there = [i for i, v in enumerate(values) if v is not None]
+        done = zero_phase(sections, [np.asarray(values.iloc[i], dtype=np.float64) for i in there])
+        out: list[np.ndarray | None] = [None] * len(values)
+        for i, r in zip(there, done, strict=True):
+            out[i] = r
+        return pd.Series(out, dtype=object)
+    return filtered
 
 
 # ---------------------------------------------------------------- template entropies
@@ -346,17 +377,3 @@ def chi2_sf_udf():
     def sf(x: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([chi2_sf(float(a), int(b)) for a, b in zip(x, df)])
     return sf
-
-
-# ---------------------------------------------------------------- random Fourier features
-
-def rff_udf(w: np.ndarray, b: np.ndarray):
-    """z(x) = sqrt(2/D) cos(W x + b) for each row, computed per Arrow batch."""
-    w = np.asarray(w, dtype=np.float64)
-    b = np.asarray(b, dtype=np.float64)
-    scale = np.sqrt(2.0 / w.shape[0])
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def rff(values: pd.Series) -> pd.Series:
-        return _by_length(values, lambda m: list(np.cos(m @ w.T + b) * scale))
-    return rff

@@ -14,8 +14,8 @@ from pyspark.sql.functions import udtf
 
 from neurotab import config
 from neurotab.functions import iir
-from neurotab.functions.kernels import (approx_entropy_udf, filtfilt_udf, resample_udf, sample_entropy_udf,
-                                        welch_udf)
+from neurotab.functions.kernels import (approx_entropy_udf, resample_udf, sample_entropy_udf, welch_udf,
+                                        zero_phase_udf)
 
 
 @udtf(returnType="epoch_id: int, values: array<double>", useArrow=True)
@@ -31,11 +31,10 @@ class Epochs:
 
 
 def register_sql_functions(spark, fs: float = config.SAMPLING_RATE, source_rate: float = 256.0) -> None:
-    b, a = iir.bandpass_coefficients(config.BANDPASS_LOW, config.BANDPASS_HIGH, fs, config.FILTER_ORDER)
-    nb, na = iir.notch(config.NOTCH_FREQ, config.NOTCH_Q, fs)
+    band = iir.bandpass_sections(config.BANDPASS_LOW, config.BANDPASS_HIGH, fs, config.FILTER_ORDER)
     spark.udf.register("welch_psd", welch_udf(float(fs), config.WELCH_NPERSEG))
-    spark.udf.register("bandpass_filter", filtfilt_udf(b, a))
-    spark.udf.register("notch_filter", filtfilt_udf(nb, na))
+    spark.udf.register("bandpass_filter", zero_phase_udf(band))
+    spark.udf.register("notch_filter", zero_phase_udf([iir.notch(config.NOTCH_FREQ, config.NOTCH_Q, fs)]))
     spark.udf.register("resample_to_target", resample_udf(float(source_rate), float(fs)))
     spark.udf.register("sample_entropy", sample_entropy_udf())
     spark.udf.register("approx_entropy", approx_entropy_udf())

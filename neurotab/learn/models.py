@@ -10,20 +10,19 @@ never do.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurotab import config
-from neurotab.functions.kernels import rff_udf
+from neurotab.learn.boosting import Plan, boost, forest_margins
 
 K = 3
 
@@ -181,42 +180,45 @@ def _softmax(arr: F.Column) -> F.Column:
     return F.transform(e, lambda v: v / tot)
 
 
-def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed: int = config.SEED,
-                name: str = "svm", k: int = K) -> Scorer:
-    """RBF-kernel SVM approximated with random Fourier features (Rahimi & Recht):
-    z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), gamma = 1/(d var(X));
-    one-vs-rest linear SVMs fitted in parallel; margins -> softmax probabilities."""
+def _svm_problem(train: DataFrame, n_components: int, seed: int) -> dict:
+    from neurotab.learn.svm import projection, total_variance
+
     sc = fit_scaler(train)
-    scaled = apply_scaler(train, sc)
     d = len(sc[0])
-    var = scaled.select(F.explode("features").alias("_x")).agg(F.var_pop("_x")).first()[0] or 1.0
-    gamma = 1.0 / (d * var)
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
-    b = rng.uniform(0, 2 * math.pi, size=n_components)
-    params = {"scaler": sc, "w": w.tolist(), "b": b.tolist()}
-    project = _projection(params)
-    n = train.count()
-    # the penalty holds for the projected features as they are
-    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=100, standardization=False)
-    model = _fit_cached(OneVsRest(classifier=svc, featuresCol="fv", labelCol="label", parallelism=k), project(train))
+    w, b = projection(d, 1.0 / (d * total_variance(train, sc)), n_components, seed)
+    return {"scaler": sc, "w": w.tolist(), "b": b.tolist()}
+
+
+def fit_svm_rff(train: DataFrame, c: float = 10.0, n_components: int = 256, seed: int = config.SEED,
+                name: str = "svm", k: int = K) -> Scorer:
+    """RBF-kernel SVM on random Fourier features, gamma = 1/(d var(X)); one
+    against the rest, all classes in the same Newton steps (``learn.svm``);
+    margins -> softmax probabilities."""
+    from neurotab.learn.svm import newton
 
-    return scorer_of("fourier_svm", name, params, model)
+    params = _svm_problem(train, n_components, seed)
+    w = newton(train, params["scaler"], np.array(params["w"]), np.array(params["b"]), c, k, [None])
+    return scorer_of("fourier_svm", name, params | {"weights": w.tolist()})
 
 
-def _projection(params: dict):
-    rff = rff_udf(np.array(params["w"]), np.array(params["b"]))
-    return lambda df: apply_scaler(df, params["scaler"]).withColumn("fv", array_to_vector(rff(F.col("features"))))
+def svm_out_of_fold(data: DataFrame, fold_col: str, folds: list, c: float = 10.0, n_components: int = 256,
+                    seed: int = config.SEED, k: int = K) -> DataFrame:
+    """(id, margins) of every row by the machine that left its fold out; all
+    folds share the scaling and the steps."""
+    from neurotab.learn.svm import margins, newton
+
+    p = _svm_problem(data, n_components, seed)
+    w, b = np.array(p["w"]), np.array(p["b"])
+    weights = newton(data, p["scaler"], w, b, c, k, folds, fold_col)
+    return margins(data.where(F.col(fold_col).isin(folds)), p["scaler"], w, b, weights, fold_col, folds)
 
 
 @kind("fourier_svm")
 def _score_fourier_svm(name: str, params: dict, model, members):
-    project = _projection(params)
+    from neurotab.learn.svm import margins
 
-    def score(df: DataFrame) -> DataFrame:
-        raw = model.transform(project(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
-        return _out(raw, name, _softmax(F.col("_r")))
-    return score
+    w, b, weights = (np.array(params[v]) for v in ("w", "b", "weights"))
+    return lambda df: _out(margins(df, params["scaler"], w, b, weights), name, _softmax(F.col("margins")))
 
 
 def fit_discriminant(train: DataFrame, name: str = "lda", k: int = K) -> Scorer:
@@ -297,19 +299,41 @@ def fit_mlp(train: DataFrame, hidden: Sequence[int] = (32, 16), max_iter: int =
     return scorer_of("probability", name, {"scaler": sc}, _fit_cached(mlp, _vec(apply_scaler(train, sc))))
 
 
-BOOSTING_CONFIGS = [dict(subsample=1.0, feature_subset="all", name="gbt_a"),
-                    dict(subsample=0.8, feature_subset="all", name="gbt_b"),
-                    dict(subsample=1.0, feature_subset="sqrt", name="gbt_c")]
+# row and feature sampling of the three boosted models
+BOOSTING_CONFIGS = {"gbt_a": {}, "gbt_b": {"rows": 0.8}, "gbt_c": {"features": "sqrt"}}
+
+
+def fit_forests(train: DataFrame, plans: dict[str, Plan], k: int = K) -> list[Scorer]:
+    """One boosted scorer a plan, all grown together (``learn.boosting``)."""
+    cuts, trees, _ = boost(train, list(plans.values()), classes=k)
+    return [scorer_of("forest", name, {"cuts": cuts, "k": k}, trees.where(F.col("plan") == i).drop("plan")) for i, name in enumerate(plans)]
+
+
+def fit_boosted(train: DataFrame, iters: int = 200, depth: int = 6, step: float = 0.05, name: str = "gbt", k: int = K) -> Scorer:
+    """Histogram-boosted trees, 200 rounds x depth 6 x 0.05, softmax over the classes."""
+    return fit_forests(train, {name: Plan(iters, depth, step)}, k)[0]
+
+
+def boosted_out_of_fold(data: DataFrame, fold_col: str, folds: list, iters: int = 200, depth: int = 6, step: float = 0.05, k: int = K) -> DataFrame:
+    """(id, margins) of every row by the trees that left its fold out; all folds
+    are grown together."""
+    plans = [Plan(iters, depth, step, leave_out=int(f)) for f in folds]
+    return boost(data, plans, fold_col, k, keep_trees=False)[2].select("id", "margins")
+
+
+@kind("forest")
+def _score_forest(name: str, params: dict, trees, members):
+    return lambda df: _out(forest_margins(df, params["cuts"], trees, params["k"]), name, _softmax(F.col("margins")))
 
 
 def fit_boosting_ensemble(train: DataFrame, iters: int = 300, depth: int | Sequence[int] = 6, step: float = 0.05,
                           name: str = "boosting") -> Scorer:
     """Three boosted configurations (row / feature sampling differ), 300 x 6 x
-    0.05, combined by soft voting (mean probability, argmax).  ``depth`` is one
-    for all or one for each."""
+    0.05, grown together and combined by soft voting (mean probability, argmax).
+    ``depth`` is one for all or one for each."""
     depths = [depth] * len(BOOSTING_CONFIGS) if isinstance(depth, int) else depth
-    members = [fit_gbt_ovr(train, iters=iters, depth=d, step=step, **c) for d, c in zip(depths, BOOSTING_CONFIGS, strict=True)]
-    return scorer_of("soft_vote", name, members=members)
+    plans = {n: Plan(iters, d, step, **c) for (n, c), d in zip(BOOSTING_CONFIGS.items(), depths, strict=True)}
+    return scorer_of("soft_vote", name, members=fit_forests(train, plans))
 
 
 @kind("soft_vote")
@@ -331,9 +355,42 @@ BASE_MODELS: dict[str, Callable[[DataFrame], Scorer]] = {
     "random_forest": fit_random_forest,
     "knn": fit_knn,
     "lda": fit_discriminant,
-    "gbt": fit_gbt_ovr,
+    "gbt": fit_boosted,
 }
 
+# (data, fold column, folds) -> (id, margins): all folds in the same passes
+OUT_OF_FOLD: dict[Callable, Callable[[DataFrame, str, list], DataFrame]] = {fit_svm_rff: svm_out_of_fold, fit_boosted: boosted_out_of_fold}
+
+
+def out_of_fold_scores(fit: Callable, data: DataFrame, fold_col: str, folds: list, name: str) -> DataFrame | None:
+    """(id, model, prediction, p0..) of the folds' left-out rows, for models that
+    fit all folds together; None for the others."""
+    if fit not in OUT_OF_FOLD:
+        return None
+    return _out(OUT_OF_FOLD[fit](data, fold_col, folds), name, _softmax(F.col("margins")))
+
+
+@kind("stacking")
+def _score_stacking(name: str, params: dict, model, members):
+    names, meta = params["names"], members[-1]
+
+    def score(df: DataFrame) -> DataFrame:
+        base = None
+        for n, member in zip(names, members):
+            s = member.score(df).withColumn("model", F.lit(n))
+            base = s if base is None else base.unionByName(s)
+        return meta.score(meta_features(base, names))
+    return score
+
+
+def meta_features(scored: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Probabilities of the base models side by side, in the order of the names."""
+    from neurotab.operators.ensemble import stack_probabilities
+
+    wide = stack_probabilities(scored, "id", ["p0", "p1", "p2"], list(names))
+    cols = [f"m{n}_p{c}" for n in names for c in range(3)]
+    return wide.select("id", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols]).alias("features"))
+
 
 def get_model(name: str) -> Callable[[DataFrame], Scorer]:
     """Model factory by name; unknown names raise ValueError."""

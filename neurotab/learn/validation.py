@@ -8,7 +8,8 @@ inside each fold (the analysed code fitted them on all rows first).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from neurotab import config
 from neurotab.learn import models as md
-from neurotab.operators.ensemble import stack_probabilities
 from neurotab.operators.evaluation import overall_metrics
 from neurotab.session import cut_lineage
 
@@ -36,16 +36,31 @@ def folds_of(data: DataFrame, fold_col: str = "fold") -> list:
 
 
 def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
-                    k: int | None = None, progress: Progress = None) -> DataFrame:
+                    k: int | None = None, progress: Progress = None, parallelism: int = 4) -> DataFrame:
     """Out-of-fold probabilities of every base model: for each fold, fit on the
-    other folds and score this one.  Output (id, model, prediction, p0..p2, fold)."""
+    other folds and score this one.  Models that fit all folds in the same passes
+    do so; the fits of the others are independent Spark jobs, submitted from
+    ``parallelism`` driver threads.  Output (id, model, prediction, p0..p2, fold)."""
+    folds = folds_of(data, fold_col)[:k]
     parts = []
-    for f in folds_of(data, fold_col)[:k]:
+    alone = {}
+    for name, fit in fits.items():
+        whole = md.out_of_fold_scores(fit, data, fold_col, folds, name)
+        if whole is None:
+            alone[name] = fit
+            continue
+        parts.append(whole.join(data.select("id", fold_col), "id"))
+        _report(progress, len(folds), {"stage": "oof", "model": name})
+
+    def one(job: tuple) -> DataFrame:
+        f, name = job
         train, valid = data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)
-        for name, fit in fits.items():
-            s = fit(train)
-            parts.append(s.score(valid).withColumn("model", F.lit(name)).withColumn(fold_col, F.lit(f)))
-            _report(progress, f, {"stage": "oof", "model": name})
+        out = fits[name](train).score(valid).withColumn("model", F.lit(name)).withColumn(fold_col, F.lit(f))
+        _report(progress, f, {"stage": "oof", "model": name})
+        return out
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts += pool.map(one, [(f, name) for f in folds for name in alone])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -59,26 +74,13 @@ def fit_stacking(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold"
     base models are refitted on all rows for scoring."""
     names = sorted(fits)
     oof = oof_predictions(data, fits, fold_col, k)
-    meta_x = _meta_features(oof, names).join(data.select("id", "label"), "id")
+    meta_x = md.meta_features(oof, names).join(data.select("id", "label"), "id")
     meta = md.fit_logreg(meta_x, name="stacking")
-    full = {n: fits[n](data) for n in names}
-
+    with ThreadPoolExecutor(max_workers=len(names)) as pool:
+        full = dict(zip(names, pool.map(lambda n: fits[n](data), names), strict=True))
     return md.scorer_of("stacking", "stacking", {"names": names}, members=[*[full[n] for n in names], meta])
 
 
-@md.kind("stacking")
-def _score_stacking(name: str, params: dict, model, members):
-    names, meta = params["names"], members[-1]
-
-    def score(df: DataFrame) -> DataFrame:
-        base = None
-        for n, member in zip(names, members):
-            s = member.score(df).withColumn("model", F.lit(n))
-            base = s if base is None else base.unionByName(s)
-        return meta.score(_meta_features(base, names))
-    return score
-
-
 def loso_validate(data: DataFrame, fit: FitFn, subject: str = "subject_id", progress: Progress = None) -> DataFrame:
     """Leave-one-subject-out: metrics per subject left out (fold = its rank)."""
     from neurotab.operators.folds import loso_folds
@@ -86,12 +88,6 @@ def loso_validate(data: DataFrame, fit: FitFn, subject: str = "subject_id", prog
     return cross_validate(cut_lineage(loso_folds(data, subject, "fold")), fit, "fold", None, progress)
 
 
-def _meta_features(scored: DataFrame, names: Sequence[str]) -> DataFrame:
-    wide = stack_probabilities(scored, "id", ["p0", "p1", "p2"], list(names))
-    cols = [f"m{n}_p{c}" for n in names for c in range(3)]
-    return wide.select("id", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in cols]).alias("features"))
-
-
 def cross_validate(data: DataFrame, fit: FitFn, fold_col: str = "fold", k: int | None = None,
                    progress: Progress = None) -> DataFrame:
     """Per-fold overall metrics of one model: (fold, accuracy, macro_f1, ...), for
@@ -130,8 +126,6 @@ def tune(data: DataFrame, fit_for: Callable[[dict], FitFn], trials: DataFrame, f
     """k-fold accuracy of each trial's parameters; returns trials + mean_accuracy.
     Trials are independent Spark jobs, submitted from ``parallelism`` driver
     threads (as ``CrossValidator``'s parallelism does)."""
-    from concurrent.futures import ThreadPoolExecutor
-
     params_list = [t.asDict() for t in trials.collect()]       # n_trials rows of parameters
 
     def run(params: dict) -> tuple:
@@ -142,3 +136,36 @@ def tune(data: DataFrame, fit_for: Callable[[dict], FitFn], trials: DataFrame, f
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         out = list(pool.map(run, params_list))
     return data.sparkSession.createDataFrame(out, trials.schema.simpleString()[7:-1] + ", mean_accuracy double")
+
+
+def tune_boosting(data: DataFrame, trials: DataFrame, fold_col: str = "fold", classes: int = md.K) -> DataFrame:
+    """``trials`` with the mean accuracy over the folds of the soft-voted boosting
+    ensemble with each trial's depths, learning rate and tree count.  All trials,
+    folds and members are grown together, and each fold's left-out rows come back
+    with their margins, so the search is one fit and one aggregation."""
+    from neurotab.learn.boosting import Plan, boost, probabilities
+
+    folds, members = folds_of(data, fold_col), list(md.BOOSTING_CONFIGS.values())
+    plans, names = [], []
+    for t in trials.collect():  # rows of parameters
+        for f in folds:
+            for m, depth in zip(members, (t["depth_a"], t["depth_b"], t["depth_c"]), strict=True):
+                plans.append(Plan(t["n_trees"], depth, t["learning_rate"], leave_out=int(f), **m))
+                names.append((len(names), t["trial"], f))
+    _, _, held = boost(data, plans, fold_col, classes, keep_trees=False)
+    of = data.sparkSession.createDataFrame(names, "plan int, trial int, fold int")
+    p = probabilities(F.col("margins"))
+    voted = held.join(F.broadcast(of), "plan").select("trial", "fold", "id", *[F.get(p, F.lit(c)).alias(f"p{c}") for c in range(classes)]) \
+        .groupBy("trial", "fold", "id").agg(F.array(*[F.avg(f"p{c}") for c in range(classes)]).alias("p"))
+    right = voted.join(data.select("id", "label"), "id").select(
+        "trial", "fold", (F.array_position("p", F.array_max("p")) - 1 == F.col("label")).cast("double").alias("hit"))
+    score = right.groupBy("trial", "fold").agg(F.avg("hit").alias("accuracy")).groupBy("trial").agg(F.avg("accuracy").alias("mean_accuracy"))
+    return trials.join(score, "trial")
+
+
+def loso_predictions(data: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """Predictions of every row by the discriminant that has not seen its subject
+    (``learn.sufficient``: no refit reads the rows again)."""
+    from neurotab.learn.sufficient import left_out_predictions
+
+    return left_out_predictions(data, subject)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from neurotab import config
 from neurotab.functions import iir
-from neurotab.functions.kernels import filtfilt_udf, resample_udf
+from neurotab.functions.kernels import resample_udf, zero_phase_udf
+from neurotab.operators.blockfilter import BLOCK, zero_phase
 from neurotab.session import cut_lineage
 
 
@@ -120,38 +121,42 @@ def fourier_resample(df: DataFrame, values: str, sr_in: float, sr_out: float = c
 def bandpass(df: DataFrame, values: str, fs: float = config.SAMPLING_RATE, low: float = config.BANDPASS_LOW,
              high: float = config.BANDPASS_HIGH, order: int = config.FILTER_ORDER) -> DataFrame:
     """Zero-phase Butterworth band-pass (array layout); too-short signals pass through."""
-    b, a = iir.bandpass_coefficients(low, high, fs, order)
-    return df.withColumn(values, filtfilt_udf(b, a)(F.col(values)))
+    return df.withColumn(values, zero_phase_udf(iir.bandpass_sections(low, high, fs, order))(F.col(values)))
 
 
 def notch(df: DataFrame, values: str, fs: float = config.SAMPLING_RATE, freq: float = config.NOTCH_FREQ,
           q: float = config.NOTCH_Q) -> DataFrame:
     """Zero-phase notch (array layout); too-short signals pass through."""
-    b, a = iir.notch(freq, q, fs)
-    return df.withColumn(values, filtfilt_udf(b, a)(F.col(values)))
+    return df.withColumn(values, zero_phase_udf([iir.notch(freq, q, fs)])(F.col(values)))
+
+
+def cleaning_filters(fs: float = config.SAMPLING_RATE) -> list[list[iir.Section]]:
+    """The chain's band-pass and notch, for ``blockfilter.zero_phase``."""
+    band = iir.bandpass_sections(config.BANDPASS_LOW, config.BANDPASS_HIGH, fs, config.FILTER_ORDER)
+    return [band, [iir.notch(config.NOTCH_FREQ, config.NOTCH_Q, fs)]]
 
 
 def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel", sr_in: float = config.SAMPLING_RATE,
           filters: bool = True, baseline: int = config.BASELINE_SAMPLES, epoch_size: int = config.EPOCH_SAMPLES,
-          eps: float = 1e-10) -> DataFrame:
+          eps: float = 1e-10, block: int = BLOCK) -> DataFrame:
     """Whole cleaning chain, in order: resample -> band-pass -> notch ->
     CAR -> baseline -> z-score -> epochs.  All channels stay; ``artifact_flags``
     names suspicious ones in a table of its own.
 
-    Signals go to array layout only for the kernels (resample and the IIR
-    filters need the whole signal); the filtered long table is written once
-    to the checkpoint folder, since statistics and the main chain both read it.  Baseline, z-score and epoch statistics of a signal come from ONE
+    The filters run over blocks of ``block`` samples (``blockfilter``); the
+    filtered long table is written once to the checkpoint folder, since
+    statistics and the main chain both read it.  Baseline, z-score and epoch statistics of a signal come from ONE
     aggregation over the CAR output (baseline mean, mean, population std,
     length) and ONE join; chaining the steps as separate aggregate-and-join
     pairs would re-evaluate the upstream plan at every step.
     Output: (rec_keys..., channel, epoch_id, pos, value)."""
     sig = [*rec_keys, channel]
+    if sr_in != config.SAMPLING_RATE:
+        df_long = to_long(fourier_resample(to_arrays(df_long, sig), "values", sr_in), sig)
+    if filters:
+        df_long = zero_phase(df_long, sig, cleaning_filters(), block)
     if filters or sr_in != config.SAMPLING_RATE:
-        arr = to_arrays(df_long, sig)
-        arr = fourier_resample(arr, "values", sr_in)
-        if filters:
-            arr = notch(bandpass(arr, "values"), "values")
-        df_long = cut_lineage(to_long(arr, sig))
+        df_long = cut_lineage(df_long)
     car = car_reference(df_long, rec_keys)
     st = car.groupBy(*sig).agg(
         F.coalesce(F.avg(F.when(F.col("sample_idx") < baseline, F.col("value"))), F.lit(0.0)).alias("_b"),

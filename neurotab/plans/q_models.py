@@ -11,6 +11,7 @@ from neurotab.operators.knn import knn_classify, knn_join
 from neurotab.plans.common import rounded
 from neurotab.plans.oracle_views import sql
 from neurotab.plans.registry import register
+from neurotab.session import cut_lineage
 
 
 def _feat_folds(spark, sf_dir):
@@ -202,8 +203,7 @@ def q_tuning_search(spark, sf_dir):
     data = fx.feat_wide(spark, sf_dir).select("id", "label", "features")
     data = stratified_folds(data, k=3)
     trials = va.trial_table(spark)
-    res = va.tune(data, lambda p: (lambda tr: md.fit_boosting_ensemble(
-        tr, iters=p["n_trees"], depth=[p["depth_a"], p["depth_b"], p["depth_c"]], step=p["learning_rate"])), trials, k=3)
+    res = cut_lineage(va.tune_boosting(data, trials))
     best = va.best_trial(res).first()["trial"]
     return res.withColumn("is_best", F.col("trial") == F.lit(best))
 
@@ -249,3 +249,50 @@ def q_ml_discriminant_2d(spark, sf_dir):
     against the closed-form 2 x 2 inverse in SQL."""
     data = fx.feat_wide(spark, sf_dir).select("id", "label", F.slice("features", 1, 2).alias("features"))
     return rounded(md.fit_discriminant(data).score(data))
+
+
+LOSO2_CTES = [
+    ("x", """SELECT vec_id AS id, vec_id % 23 AS subject_id, label % 3 AS label, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS x2
+FROM embeddings"""),
+    ("subj", "SELECT DISTINCT subject_id AS s FROM x"),
+    ("m", "SELECT s, label, avg(x1) AS m1, avg(x2) AS m2, CAST(count(*) AS DOUBLE) AS nc FROM x JOIN subj ON subject_id <> s GROUP BY 1, 2"),
+    ("v", """SELECT m.s, sum((x.x1 - m.m1) * (x.x1 - m.m1)) / (count(*) - 3) AS c11, sum((x.x1 - m.m1) * (x.x2 - m.m2)) / (count(*) - 3) AS c12,
+       sum((x.x2 - m.m2) * (x.x2 - m.m2)) / (count(*) - 3) AS c22, CAST(count(*) AS DOUBLE) AS n
+FROM x JOIN m ON m.label = x.label AND x.subject_id <> m.s GROUP BY 1"""),
+    ("w", """SELECT m.s, m.label, (v.c22 * m.m1 - v.c12 * m.m2) / (v.c11 * v.c22 - v.c12 * v.c12) AS w1,
+       (v.c11 * m.m2 - v.c12 * m.m1) / (v.c11 * v.c22 - v.c12 * v.c12) AS w2, m.m1, m.m2, m.nc, v.n
+FROM m JOIN v ON v.s = m.s"""),
+    ("sc", """SELECT x.id, x.subject_id, x.label AS y, w.label, w.w1 * x.x1 + w.w2 * x.x2 - 0.5 * (w.w1 * w.m1 + w.w2 * w.m2) + ln(w.nc / w.n) AS d
+FROM x JOIN w ON w.s = x.subject_id"""),
+    ("e", "SELECT *, exp(d - max(d) OVER (PARTITION BY id)) AS e FROM sc"),
+    ("q", "SELECT *, e / sum(e) OVER (PARTITION BY id) AS p FROM e"),
+    ("pr", """SELECT id, subject_id, y AS label, max(CASE WHEN label = 0 THEN p END) AS p0, max(CASE WHEN label = 1 THEN p END) AS p1,
+       max(CASE WHEN label = 2 THEN p END) AS p2 FROM q GROUP BY 1, 2, 3"""),
+    ("pred", "SELECT *, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INT) AS prediction FROM pr"),
+]
+
+
+def _two_features(spark, sf_dir):
+    return fx.feat_wide(spark, sf_dir).select("id", "subject_id", "label", F.slice("features", 1, 2).alias("features"))
+
+
+@register("loso_predictions", sql([], """SELECT id, subject_id, CAST(label AS INT) AS label, 'lda' AS model, prediction,
+       round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2 FROM pred""", LOSO2_CTES))
+def q_loso_predictions(spark, sf_dir):
+    """Leave-one-subject-out predictions of the discriminant on two features,
+    every subject from the same statistics."""
+    return rounded(va.loso_predictions(_two_features(spark, sf_dir)))
+
+
+@register("loso_evaluate", sql([], """SELECT subject_id, count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM pred GROUP BY 1""", LOSO2_CTES))
+def q_loso_evaluate(spark, sf_dir):
+    """Accuracy per left-out subject, two features."""
+    out = va.loso_predictions(_two_features(spark, sf_dir))
+    return rounded(out.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy")))
+
+
+@register("loso_evaluate_64")
+def q_loso_evaluate_64(spark, sf_dir):
+    """Predictions of the same on all 64 features."""
+    return rounded(va.loso_predictions(fx.feat_wide(spark, sf_dir).select("id", "subject_id", "label", "features")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from neurotab import fixtures as fx
 from neurotab.functions import iir
 from neurotab.operators import preprocess as pp
+from neurotab.operators.blockfilter import zero_phase
 from neurotab.plans.common import rounded
 from neurotab.plans.oracle_views import sql
 from neurotab.plans.registry import register
@@ -109,40 +110,32 @@ def q_fourier_resample(spark, sf_dir):
     return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
 
 
-def _filtfilt_ctes(b, a, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
-    """DuckDB CTEs running a forward-backward IIR filter over every signal of
-    ``src`` (keys..., sample_idx, value) of any length: odd extension of
-    3 * max(len(a), len(b)) samples, steady-state initial conditions,
-    transposed direct form with the kernel's association; signals no longer
-    than the padding pass through.  The last CTE, ``{prefix}out``, has the
-    same columns as ``src``.  (Recursive: the statement must start WITH RECURSIVE.)"""
-    import numpy as np
-    from neurotab.functions.kernels import lfilter_zi
-    b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
-    order = len(a) - 1
-    zi = lfilter_zi(b, a)
-    B = [repr(float(v)) for v in b]
-    A = [repr(float(v)) for v in a]
-    Z = [repr(float(v)) for v in zi]
-    pad = 3 * max(len(a), len(b))
+def _filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
+    """DuckDB CTEs running a forward-backward cascade of second-order sections
+    over every signal of ``src`` (keys..., sample_idx, value) of any length: odd
+    extension, steady-state initial conditions, transposed direct form with the
+    kernel's association; signals no longer than the padding pass through.  The
+    last CTE, ``{prefix}out``, has the same columns as ``src``.  (Recursive: the
+    statement must start WITH RECURSIVE.)"""
+    from neurotab.functions.kernels import cascade_zi, padding
+    num = lambda v: repr(float(v))
+    n, pad, Z = len(sections), padding(sections), [num(v) for v in cascade_zi(sections)]
     k1, k2 = keys
-    cols = ", ".join(f"s{k}" for k in range(order))
-    on = f"x.{k1} = f.{k1} AND x.{k2} = f.{k2}"
 
-    def step(e, y, s):
-        return [f"({B[k + 1]} * {e} + {s(k + 1)}) - {A[k + 1]} * {y}" if k < order - 1
-                else f"{B[order]} * {e} - {A[order]} * {y}" for k in range(order)]
+    def cascade(rows: str) -> str:
+        """``rows`` has v0 and the states s0..; one subquery a section adds its output."""
+        for i, (b, _) in enumerate(sections):
+            rows = f"SELECT *, {num(b[0])} * v{i} + s{2 * i} AS v{i + 1} FROM ({rows})"
+        states = ", ".join(
+            f"({num(b[1])} * v{i} + s{2 * i + 1}) - {num(a[1])} * v{i + 1} AS s{2 * i}, {num(b[2])} * v{i} - {num(a[2])} * v{i + 1} AS s{2 * i + 1}"
+            for i, (b, a) in enumerate(sections))
+        return f"SELECT {k1}, {k2}, j, nn, v{n} AS y, {states} FROM ({rows})"
 
     def rec(name, srcn):
-        y0 = f"({B[0]} * e + {Z[0]} * e)"
-        first = step("e", y0, lambda k: f"{Z[k]} * e")
-        y1 = f"({B[0]} * x.e + f.s0)"
-        nxt = step("x.e", y1, lambda k: f"f.s{k}")
-        return (name, f"""SELECT {k1}, {k2}, j, nn, {y0} AS y, {", ".join(f"{v} AS s{i}" for i, v in enumerate(first))}
-  FROM {srcn} WHERE j = 0
-  UNION ALL
-  SELECT f.{k1}, f.{k2}, f.j + 1, f.nn, {y1}, {", ".join(nxt)}
-  FROM {name} f JOIN {srcn} x ON {on} AND x.j = f.j + 1""")
+        first = ", ".join(f"{z} * e AS s{i}" for i, z in enumerate(Z))
+        carried = ", ".join(f"f.s{i}" for i in range(2 * n))
+        return (name, cascade(f"SELECT {k1}, {k2}, j, nn, e AS v0, {first} FROM {srcn} WHERE j = 0") + "\nUNION ALL\n" + cascade(
+            f"SELECT f.{k1}, f.{k2}, f.j + 1 AS j, f.nn, x.e AS v0, {carried} FROM {name} f JOIN {srcn} x ON x.{k1} = f.{k1} AND x.{k2} = f.{k2} AND x.j = f.j + 1"))
 
     p = prefix
     return [
@@ -168,31 +161,32 @@ WHERE c.n <= {pad}"""),
     ]
 
 
-def _filtfilt_oracle(b, a) -> str:
+def _filtfilt_oracle(sections) -> str:
     from neurotab.plans.oracle_views import VIEWS
-    ctes = [("epochs64", VIEWS["epochs64"])] + _filtfilt_ctes(b, a, "epochs64", ("epoch_id", "channel"), "f_")
+    ctes = [("epochs64", VIEWS["epochs64"])] + _filtfilt_ctes(sections, "epochs64", ("epoch_id", "channel"), "f_")
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in ctes) + \
         "\nSELECT epoch_id, channel, sample_idx, round(value, 6) AS value FROM f_out"
 
 
 def _notch_oracle() -> str:
-    return _filtfilt_oracle(*iir.notch(50.0, 30.0, 128.0))
+    return _filtfilt_oracle([iir.notch(50.0, 30.0, 128.0)])
 
 
 def _bandpass_oracle() -> str:
-    return _filtfilt_oracle(*iir.bandpass_coefficients(0.5, 45.0, 128.0, 5))
+    return _filtfilt_oracle(iir.bandpass_sections(0.5, 45.0, 128.0, 5))
 
 
 @register("bandpass", _bandpass_oracle())
 def q_bandpass(spark, sf_dir):
-    arr = pp.bandpass(fx.epochs64_arrays(spark, sf_dir), "values", fs=128)
-    return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
+    band, _ = pp.cleaning_filters(128.0)
+    return rounded(zero_phase(fx.epochs64(spark, sf_dir), ["epoch_id", "channel"], [band]))
 
 
 @register("notch", _notch_oracle())
 def q_notch(spark, sf_dir):
-    arr = pp.notch(fx.epochs64_arrays(spark, sf_dir), "values", fs=128)
-    return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
+    """64 samples a signal, in blocks of 10 (the last one takes the rest)."""
+    _, notch = pp.cleaning_filters(128.0)
+    return rounded(zero_phase(fx.epochs64(spark, sf_dir), ["epoch_id", "channel"], [notch], block=10))
 
 
 CHAIN_CTES = [
@@ -218,8 +212,8 @@ def _clean_full_oracle() -> str:
     from neurotab.plans.oracle_views import VIEWS
     keys = ("recording_id", "channel")
     ctes = [("samples_big", VIEWS["samples_big"])]
-    ctes += _filtfilt_ctes(*iir.bandpass_coefficients(0.5, 45.0, 128.0, 5), "samples_big", keys, "bp_")
-    ctes += _filtfilt_ctes(*iir.notch(50.0, 30.0, 128.0), "bp_out", keys, "nt_")
+    ctes += _filtfilt_ctes(iir.bandpass_sections(0.5, 45.0, 128.0, 5), "samples_big", keys, "bp_")
+    ctes += _filtfilt_ctes([iir.notch(50.0, 30.0, 128.0)], "bp_out", keys, "nt_")
     ctes += [
         ("car", "SELECT recording_id, channel, sample_idx, value - avg(value) OVER (PARTITION BY recording_id, sample_idx) AS value FROM nt_out"),
         ("base", """SELECT recording_id, channel, sample_idx,
@@ -239,5 +233,6 @@ WHERE c.n < 32 OR floor(s.sample_idx / 32) < floor(c.n / 32)"""
 
 @register("clean_full", _clean_full_oracle())
 def q_clean_full(spark, sf_dir):
-    """Full chain with band-pass and notch on samples_big (162-235 samples per signal)."""
-    return rounded(pp.clean(fx.samples_big(spark, sf_dir), REC, filters=True, baseline=24, epoch_size=32))
+    """Full chain with band-pass and notch on samples_big (162-235 samples per
+    signal, filtered in blocks of 48: three to four a signal)."""
+    return rounded(pp.clean(fx.samples_big(spark, sf_dir), REC, filters=True, baseline=24, epoch_size=32, block=48))
