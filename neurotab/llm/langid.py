@@ -7,14 +7,14 @@ the language with the smallest total is chosen.  A narrow margin to the second
 is rejected: ``accepted`` is false (the label is still the best guess).
 
 Texts are reduced to their letters, lower-cased, in training and prediction
-alike.  Only the dictionaries are bounded: they hold whole training documents,
-those of smallest hash, up to ``DICT_BYTES`` a language from at most
-``DICT_DOCS`` documents; predictions read whole texts.
+alike.  Only the dictionaries are bounded: they hold training documents, those
+of smallest hash, at most ``DICT_DOCS`` a language, the last one cut where
+``DICT_BYTES`` are reached; predictions read whole texts.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter,
 or if nothing was learned; score 1 if one language was learned; equal sizes go
 to the label first in code-point order.  Training rows with a null id, text or
-label are left out; repeated rows count once each.
+label are left out; repeated rows count once each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,11 +36,15 @@ LEVEL = 3
 MIN_MARGIN = 0.01
 # how fast confidence grows with the relative margin
 SLOPE = 60.0
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> bytes:
-    return " ".join(LETTERS.findall(text)).lower().encode()
+    """The words of a text in lower case; empty if it has no letter (signs such
+    as a half or a Roman numeral sign count as letters only beside one)."""
+    if not any(c.isalpha() for c in text):
+        return b""
+    return " ".join(WORD.findall(text)).lower().encode()
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -83,7 +87,7 @@ class Classifier:
             self.compressors.append((lang, c.compress))
 
     def label(self, text: str | None) -> tuple[str, float, float]:
-        if not text or not self.compressors or not any(c.isalpha() for c in text):
+        if not text or not self.compressors:
             return "und", 0.0, 0.0
         data = letters(text)
         if not data:
