@@ -35,8 +35,10 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,11 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG_UNIT = 60
 UNITS_A_BUCKET = 250_000
-BATCH_UNITS = 500_000
+BATCH_CHARS = 3_000_000
+SEEN_UNITS = 500_000
 # no piece holds a tab or line break, and none goes on after a word into a space
 UNIT = re.compile(f"{MARK}+[^{MARK}\t-\r]*|[^{MARK}\t-\r]+|[\t-\r]")
+CONTROL = re.compile("([\t-\r])")
 NO_RANK = (1 << 20) - 1
 
 
@@ -160,6 +164,39 @@ def units(text: str | None) -> list[str]:
     return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def key_of(unit: str) -> str:
+    """A short name of a unit: a word after one space by itself, a tab or line
+    break by itself, anything else behind a line break."""
+    if unit[0] == MARK and unit[1:2] != MARK:
+        return unit[1:]
+    return unit if CONTROL.fullmatch(unit) else "\n" + unit
+
+
+def unit_of(key: str) -> str:
+    if len(key) > 1 and key[0] == "\n":
+        return key[1:]
+    return key if CONTROL.fullmatch(key) else MARK + key
+
+
+def keys(text: str | None) -> list[str]:
+    """Names of the units of a text, in order: ``units`` without a regular
+    expression, where no space follows another."""
+    if not text:
+        return []
+    if MARK in text or "  " in text or text[0] == " ":
+        return [key_of(u) for u in units(text)]
+    first, *rest = CONTROL.split(text)
+    out = first.split(" ")
+    for sep, part in zip(rest[::2], rest[1::2], strict=True):
+        out.append(sep)
+        if part:
+            start, *words = part.split(" ")  # no space before the first
+            if start:
+                out.append("\n" + start)
+            out += words
+    return out
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     """(piece, id, rank, score, late), with an empty piece that keeps every unit in the join."""
     rows = [*((*row, int(pieces.late(row[0]))) for row in pieces.table), ("", 0, NO_RANK, 0.0, 0)]
@@ -316,14 +353,14 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
 
     def parts(seen: set[str]) -> pa.RecordBatch:
         cut = shared.value.cut
-        return as_batch({"unit": list({x for x in cut(list(seen))[0] if len(x) <= LONG_UNIT})}, one)
+        return as_batch({"unit": list({x for x in cut([unit_of(k) for k in seen])[0] if len(x) <= LONG_UNIT})}, one)
 
     def collect(batches):
         seen: set[str] = set()
         for batch in batches:
             for t in batch.column(0):
-                seen.update(units(t.as_py()))
-                if len(seen) >= 250_000:
+                seen.update(keys(t.as_py()))
+                if len(seen) >= SEEN_UNITS:
                     yield parts(seen)
                     seen = set()
         yield parts(seen)
@@ -379,7 +416,15 @@ class Lookup:
 
     def __init__(self, built: dict, pieces: Pieces) -> None:
         self.built, self.pieces, self.open = built, pieces, {}
-        self.known: dict[str, bytes] = {}  # packed ids of units met lately
+        lengths = np.fromiter(map(len, pieces.decoded), np.int64, len(pieces.decoded))
+        self.spelled = np.frombuffer(b"".join(pieces.decoded), np.uint8), lengths, np.cumsum(lengths) - lengths
+        self.forget()
+
+    def forget(self) -> None:
+        """Units met so far, numbered in the order of meeting, and their ids."""
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.lens = np.empty(0, self.built["width"]), np.empty(0, np.int64)
 
     def shard(self, bucket: int):
         if bucket not in self.open:
@@ -389,18 +434,30 @@ class Lookup:
             self.open[bucket] = load(folder, f"units-{bucket:07d}", ENTRY), load(folder, f"ids-{bucket:07d}", self.built["width"])
         return self.open[bucket]
 
-    def learn(self, lists: list[list[str]]) -> dict[str, bytes]:
-        """Packed ids of all units in the lists; units of earlier lists stay
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each text's ids end).  Units of earlier texts stay
         known until there are CACHE_UNITS of them."""
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        new = list(set().union(*lists).difference(self.known))
+        if len(self.lens) > CACHE_UNITS:
+            self.forget()
+        numbers = [list(map(self.number.__getitem__, keys(t))) for t in texts]
+        new = [unit_of(k) for k in islice(self.number, len(self.lens), None)]
         if new:
             flat, n = self.whole(new)
-            data = flat.astype(self.built["width"]).tobytes()
-            ends = (np.cumsum(n) * np.dtype(self.built["width"]).itemsize).tolist()
-            self.known.update(zip(new, (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        return self.known
+            self.flat, self.lens = np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.lens, n])
+        own = np.fromiter(chain.from_iterable(numbers), np.int64)
+        ids, lens = gather(self.flat, self.lens, own)
+        ends = np.cumsum(lens)[np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))) - 1] if len(lens) else np.zeros(len(numbers), np.int64)
+        # a text without units ends where the one before it does
+        return ids, np.maximum.accumulate(np.where([bool(n) for n in numbers], ends, 0))
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes that each text's ids stand for."""
+        data, lengths, start = self.spelled
+        n = lengths[ids]
+        stop = np.cumsum(n)
+        spelled = data[np.repeat(start[ids] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        at = np.r_[0, stop][np.r_[0, ends]].tolist()
+        return [spelled[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def whole(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per unit) of units before they are cut."""
@@ -452,6 +509,12 @@ def gather(flat: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray
     return flat[np.repeat(start[own], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)], lens
 
 
+def round_trip(decoded: bytes, text: str | None) -> bool:
+    """Whether a text's ids give the text back, behind the one space put in front."""
+    want = (text or "").replace(MARK, " ")
+    return decoded.removeprefix(b" ") == want.encode("utf-8", "surrogatepass") or decoded.decode("utf-8", "replace").removeprefix(" ") == want
+
+
 def encode(docs: DataFrame, built: dict, text: str = "text") -> DataFrame:
     """``docs`` with ids (array of int), n_tokens and round_trip (whether the
     ids decode to the text)."""
@@ -464,20 +527,17 @@ def encode(docs: DataFrame, built: dict, text: str = "text") -> DataFrame:
     def run(batch: pa.RecordBatch):
         if run.lookup is None:
             run.lookup = Lookup(built, shared.value)
-        texts, lists, held, at = [], [], 0, 0
-        width, decode = built["width"], run.lookup.pieces.decode
+        lookup, texts, held, at = run.lookup, [], 0, 0
         for k, value in enumerate(batch.column(body), 1):
             texts.append(value.as_py())
-            lists.append(units(texts[-1]))
-            held += len(lists[-1])
-            if held >= BATCH_UNITS or k == batch.num_rows:
-                known = run.lookup.learn(lists)
-                packs = [np.frombuffer(b"".join([known[x] for x in u]), width) for u in lists]
-                ends = np.cumsum([0, *map(len, packs)]).astype(np.int32)
-                same = [decode(p.tolist()) == (t or "").replace(MARK, " ") for p, t in zip(packs, texts, strict=True)]
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packs).astype(np.int32)))
+            held += len(texts[-1] or "")
+            if held >= BATCH_CHARS or k == batch.num_rows:
+                flat, ends = lookup.encoded(texts)
+                same = [round_trip(b, t) for b, t in zip(lookup.decoded(flat, ends), texts, strict=True)]
+                ends = np.r_[0, ends].astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
                 yield {n: batch.column(n).slice(at, k - at) for n in names} | {"ids": ids, "n_tokens": np.diff(ends).astype(np.int64), "round_trip": same}
-                texts, lists, held, at = [], [], 0, k
+                texts, held, at = [], 0, k
 
     shared = docs.sparkSession.sparkContext.broadcast(pieces_of(built["model_file"]))  # of the model's size
     run.lookup = None

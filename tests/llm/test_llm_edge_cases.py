@@ -206,3 +206,16 @@ def test_viterbi(spark):
     for w in words:
         best = max(score(w, 1 | (m << 1) | (1 << len(w))) for m in range(1 << (len(w) - 1)))
         assert score(w, got[w]) == pytest.approx(best)
+
+
+def test_unit_names_stand_for_units():
+    import random
+
+    from neurotab.llm.sentencepiece import key_of, keys, unit_of, units
+
+    rng = random.Random(4)
+    texts = [None, "", " ", "  ", "a", " a", "a ", "\n", "\n\n a", "a\n b", "a \n\tb  c", "\u2581", "a\u2581b", "x\n\u2581y"]
+    texts += ["".join(rng.choice("ab  \n\t\r\x0bé\u2581"[: rng.choice([4, 7, 10])]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for t in texts:
+        assert [unit_of(k) for k in keys(t)] == units(t), t
+        assert all(key_of(unit_of(k)) == k for k in keys(t))
