@@ -8,28 +8,31 @@ to what matters and split by prefix:
   hash in each window.  Equal windows have equal anchors, so the suffix that
   starts at the anchor stands for all windows around it; consecutive windows
   with one anchor travel as one run of words (13 to 21 words);
-* documents are dealt into chunks by a hash of their id and text, so that an id
-  of many rows is no group; rows without an id or with a text too short for a
-  window are answered where they are read.  A chunk sends each distinct run once, with the smallest and largest id it has there: a passage
-  in a third of all documents is one row a chunk;
-* runs are dealt to buckets by the hash of the anchor's words, the prefix, so a
-  bucket holds whole subtrees and fits in memory.  A prefix with one run has no
-  branch.  For the others the tree nodes of their suffixes are numbered level
-  by level (1, 2, 4, 8, 12, 13 words); windows with the same node at depth 13
-  are one repeat, whose smallest id is kept.  Run words are counted by prefix
-  first, over a sample of the documents (``SAMPLE``); a prefix of more than
-  ``SUBTREE_WORDS`` is made longer before the shuffle: its windows travel one by
-  one, dealt by all their words.  Where a bucket still is larger than that, its
-  parts are built one after another;
+* documents are dealt into chunks by a hash of their id, text and place in the
+  input, so that neither an id of many rows nor many equal rows are a group;
+  rows without an id or with a text too short for a window are answered where
+  they are read;
+* first a chunk tells the prefixes of its runs, four bytes each, and how many
+  words stand behind them.  A prefix that only one run has, over all chunks,
+  does not branch: its runs go no further.  Of the others those with more than
+  ``SUBTREE_WORDS`` words behind them are made longer: their windows travel one
+  by one and are dealt by all their words.  The counts are of all documents;
+* then a chunk sends each distinct run of a branching prefix once, with the
+  smallest and largest id it has there, to the bucket of the prefix, so a bucket
+  holds whole subtrees and fits in memory: a passage in a third of all documents
+  is one row a chunk.  In the bucket the tree nodes of the suffixes are numbered
+  level by level (1, 2, 4, 8, 12, 13 words); windows with the same node at depth
+  13 are one repeat, whose smallest id is kept.  Where a bucket still is larger
+  than ``SUBTREE_WORDS``, its parts are built one after another;
 * the smallest ids go back to the chunk, for runs where a larger id saw it.
   Neighbouring windows join into maximal repeats, and covered words go.
 
-Nothing is compared by hash alone: nodes are numbered from the words.
+Hashes only choose what travels and where; nodes are numbered from the words.
 
 Defined results: a null text has no words; documents with a null id are left
 whole and count for none; rows with one id never remove each other; repeated
-rows repeat in the result; texts under 13 words are never touched.  Limit: rows that
-are equal in both id and text meet in one chunk.
+rows repeat in the result; texts under 13 words are never touched; a very long
+text is one row of its chunk and is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import as_batch, map_batches, set_aside, text_bytes
+from neurotab.llm.common import as_batch, map_batches, set_aside, text_bytes, write_scratch
 from neurotab.llm.packing import expand, squeeze
 
 WINDOW = 13
@@ -53,7 +56,8 @@ PREFIX = 5
 CHUNK_BYTES = 8 << 20
 BUCKET_WORDS = 1_500_000
 SUBTREE_WORDS = 6_000_000
-SAMPLE = 8
+ANCHORS_A_BUCKET = 2_000_000
+CHUNKS_A_TASK = 8
 
 
 # place of a window's anchor in the low bits of its order: the leftmost of equal hashes is the smallest
@@ -121,10 +125,9 @@ def runs_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return starts, np.diff(starts, append=len(place)) + (WINDOW - 1), at, g[at]
 
 
-def lengthened(h: np.ndarray, hot: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, g: np.ndarray) -> tuple:
-    """``runs_of`` a text with each run of a hot prefix cut into its windows,
-    which have the hash of all their words."""
-    long = np.isin(g, hot)
+def lengthened(h: np.ndarray, long: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, g: np.ndarray) -> tuple:
+    """``runs_of`` a text with each ``long`` run cut into its windows, which have
+    the hash of all their words."""
     if not long.any():
         return starts, n, at, g
     times = np.where(long, n - (WINDOW - 1), 1)
@@ -139,72 +142,97 @@ def lengthened(h: np.ndarray, hot: np.ndarray, starts: np.ndarray, n: np.ndarray
     return starts, n, at, g
 
 
-def hot_prefixes(rows: DataFrame, key: str, body: str, size: int) -> tuple[np.ndarray, int]:
-    """Hashes of the prefixes with more than ``SUBTREE_WORDS`` words in their
-    runs, by a sample of the documents, and the words of all of them.  Each 8 MB
-    of the sample tell only the prefixes with half their share or more, so no
-    such prefix of the sample is missed, and what comes together is small."""
-    limit = SUBTREE_WORDS / 2
-    if size / 6 * 3.4 <= SUBTREE_WORDS:
-        return np.empty(0, np.uint64), 0
-    some = rows.where(F.pmod(F.xxhash64(key, body, F.lit(1)), F.lit(SAMPLE)) == 0).select(body)
+def dealt(g: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each prefix hash and 32 other bits of it.  An anchor's hash is
+    the smallest of several, so its high bits alone would favour the first buckets."""
+    mixed = g * np.uint64(BASE)
+    return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def in_order(ids: list, texts: list) -> list[int]:
+    """The rows of a chunk in an order that every pass repeats."""
+    return sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+
+
+def tell_prefixes(texts: list, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, pack) of a chunk's prefixes: 32 bits of each distinct one, the
+    words of its runs, and whether several runs have it."""
+    found = [runs_of(word_hashes(w)) for w in (t.split() for t in texts) if len(w) >= WINDOW]
+    if not found:
+        return
+    bucket, key = dealt(np.concatenate([f[3] for f in found]), buckets)
+    both, place, times = np.unique(bucket.astype(np.uint64) << np.uint64(32) | key, return_inverse=True, return_counts=True)
+    words = np.bincount(place, np.concatenate([f[1] for f in found])).astype(np.uint32)
+    target = (both >> np.uint64(32)).astype(np.int64)
+    edges = np.nonzero(np.diff(target, prepend=-1, append=-2))[0]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(target[lo]), squeeze((both[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32), words[lo:hi], times[lo:hi] > 1)
+
+
+def branching(bodies: list[bytes]) -> list[bytes]:
+    """For each chunk's pack its prefixes that several runs have, over all
+    chunks, and which of them are too large for one subtree."""
+    packs = [expand(b) for b in bodies]
+    key, words, many = (np.concatenate(x) for x in zip(*packs, strict=True))
+    _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = (times > 1) | (np.bincount(place, many) > 0)
+    large = np.bincount(place, words) > SUBTREE_WORDS
+    out, at = [], 0
+    for keys, *_ in packs:
+        own = place[at:at + len(keys)]
+        keep = shared[own]
+        out.append(squeeze(keys[keep], large[own][keep]))
+        at += len(keys)
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("prefix", pa.int64()), ("words", pa.int64())])
-        parts, read = [], 0
 
-        def told() -> pa.RecordBatch:
-            prefix, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            words = np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
-            keep = words * SAMPLE >= limit * min(1.0, read * SAMPLE / size)
-            return as_batch({"prefix": prefix[keep].view(np.int64), "words": words[keep] * SAMPLE}, schema)
+class Shared:
+    """The branching prefixes of one chunk."""
 
-        for b in batches:
-            for t in text_bytes(b.column(0)):
-                read += len(t)
-                w = t.split()
-                if len(w) >= WINDOW:
-                    _, n, _, g = runs_of(word_hashes(w))
-                    parts.append((g, n))
-                if read >= CHUNK_BYTES and parts:
-                    yield told()
-                    parts, read = [], 0
-        if parts:
-            yield told()
-
-    found = some.mapInArrow(count, "prefix long, words long").groupBy("prefix").agg(F.sum("words").alias("n")).where(F.col("n") >= limit).collect()
-    return np.array([r["prefix"] for r in found], np.int64).view(np.uint64), sum(r["n"] for r in found)
+    def __init__(self, answers: list[tuple[int, bytes]], buckets: int) -> None:
+        parts = [(np.uint64(b) << np.uint64(32) | keys.astype(np.uint64), large) for b, (keys, large) in ((b, expand(body)) for b, body in sorted(answers))]
+        self.buckets = buckets
+        self.keys = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
+        self.large = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, bool)
+
+    def of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which prefixes branch, and which of them are large."""
+        if not len(self.keys):
+            return np.zeros(len(g), bool), np.zeros(len(g), bool)
+        bucket, key = dealt(g, self.buckets)
+        both = bucket.astype(np.uint64) << np.uint64(32) | key
+        place = np.minimum(np.searchsorted(self.keys, both), len(self.keys) - 1)
+        hit = self.keys[place] == both
+        return hit, hit & self.large[place]
 
 
 class Chunk:
-    """The distinct runs of a chunk's documents, numbered in an order that a
-    second pass repeats.  Numbers are kept in packed arrays: what grows with the
-    chunk is its distinct run texts and a few bytes for each run."""
+    """The distinct runs of a chunk's branching prefixes.  Numbers are kept in
+    packed arrays: what grows with the chunk is its distinct run texts and a few
+    bytes for each run."""
 
-    def __init__(self, ids: list, texts: list, buckets: int, places: bool = False, hot: np.ndarray = np.empty(0, np.uint64)) -> None:
-        self.docs: list[tuple] = []  # (row, run starts, run numbers), if places are wanted
+    def __init__(self, ids: list, texts: list, buckets: int, shared: Shared) -> None:
+        self.docs: list[tuple] = []  # (place in the order, run starts, run numbers) of documents with such runs
         self.runs: dict[bytes, int] = {}
         self.low, self.high = array("q"), array("q")
         self.bucket, self.words, self.anchor = array("q"), array("B"), array("B")
-        for row in sorted(range(len(ids)), key=lambda k: (ids[k], texts[k])):
+        for place, row in enumerate(in_order(ids, texts)):
             w = texts[row].split()
-            starts = numbers = ()
-            if len(w) >= WINDOW:
-                h = word_hashes(w)
-                starts, n, at, g = runs_of(h)
-                if len(hot):
-                    starts, n, at, g = lengthened(h, hot, starts, n, at, g)
-                joined = b" ".join(w)
-                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-                begin = np.r_[0, ends][starts]
-                numbers, new = self.number(joined, begin.tolist(), (ends[starts + n - 1] - 1).tolist(), ids[row])
-                if new:
-                    # an anchor's hash is the smallest of several: its high bits alone would favour the first buckets
-                    self.bucket.frombytes(((((g[new] * np.uint64(BASE)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64).tobytes())
-                    self.words.frombytes(n[new].astype(np.uint8).tobytes())
-                    self.anchor.frombytes((at[new] - starts[new]).astype(np.uint8).tobytes())
-            if places:
-                self.docs.append((row, starts, numbers))
+            if len(w) < WINDOW:
+                continue
+            h = word_hashes(w)
+            starts, n, at, g = runs_of(h)
+            some, large = shared.of(g)
+            if not some.any():
+                continue
+            starts, n, at, g = lengthened(h, large[some], starts[some], n[some], at[some], g[some])
+            ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+            numbers, new = self.number(b" ".join(w), np.r_[0, ends][starts].tolist(), (ends[starts + n - 1] - 1).tolist(), ids[row])
+            if new:
+                self.bucket.frombytes(dealt(g[new], buckets)[0].tobytes())
+                self.words.frombytes(n[new].astype(np.uint8).tobytes())
+                self.anchor.frombytes((at[new] - starts[new]).astype(np.uint8).tobytes())
+            self.docs.append((place, starts, numbers))
 
     def number(self, joined: bytes, begin: list[int], end: list[int], who: int) -> tuple[np.ndarray, list[int]]:
         """Numbers of a document's runs, and which of them are new."""
@@ -234,7 +262,14 @@ class Chunk:
         facts = [np.frombuffer(x, k) if x else np.empty(0, k) for x, k in ((self.words, np.uint8), (self.anchor, np.uint8), (self.low, np.int64), (self.high, np.int64))]
         for bucket, runs in self.by_bucket():
             words, anchor, low, high = (x[runs] for x in facts)
-            yield bucket, squeeze(words, anchor, low, high - low, np.frombuffer(b"\n".join([texts[r] for r in runs.tolist()]), np.uint8))
+            yield bucket, squeeze(np.diff(runs, prepend=0).astype(np.uint32), words, anchor, low, high - low, np.frombuffer(b"\n".join([texts[r] for r in runs.tolist()]), np.uint8))
+
+
+    def places(self) -> bytes:
+        """Where the runs stand: documents, their runs, starts and numbers."""
+        count = [len(d[1]) for d in self.docs]
+        return squeeze(np.array([d[0] for d in self.docs], np.uint32), np.array(count, np.uint32),
+                       *[np.concatenate([d[k] for d in self.docs]).astype(np.uint32) if self.docs else np.empty(0, np.uint32) for k in (1, 2)])
 
 
 def numbered(*keys: np.ndarray) -> np.ndarray:
@@ -292,18 +327,18 @@ def subtrees(runs: list[bytes], lens: np.ndarray, low: np.ndarray) -> np.ndarray
 
 
 def solve_bucket(bodies: list[bytes]) -> list[bytes | None]:
-    """For each chunk's pack, the packed (run, windows, smallest ids) of runs
-    that hold a window with an id smaller than their largest."""
+    """For each chunk's pack, the packed (run number, windows, smallest ids) of
+    runs that hold a window with an id smaller than their largest."""
     import xxhash
 
     runs: list[bytes] = []
     facts = []
     for body in bodies:
-        *numbers, text = expand(body)
+        step, *about, text = expand(body)
         runs += text.tobytes().split(b"\n")
-        facts.append(numbers)
+        facts.append((np.cumsum(step), *about))
     counts = [len(f[0]) for f in facts]
-    lens, anchor, low, more = (np.concatenate(x).astype(np.int64) for x in zip(*facts, strict=True))
+    own, lens, anchor, low, more = (np.concatenate(x).astype(np.int64) for x in zip(*facts, strict=True))
     # a prefix that one run has alone does not branch; the hash only puts runs aside
     prefix = np.fromiter((xxhash.xxh64_intdigest(b" ".join(run.split(b" ", a + PREFIX)[a:a + PREFIX])) for run, a in zip(runs, anchor.tolist(), strict=True)), np.uint64, len(runs))
     _, place, times = np.unique(prefix, return_inverse=True, return_counts=True)
@@ -320,29 +355,34 @@ def solve_bucket(bodies: list[bytes]) -> list[bytes | None]:
     for c in counts:
         mine = at + np.nonzero(told[at:at + c])[0]
         parts = [found[begin[k]:begin[k] + n[k]] for k in mine.tolist()]
-        out.append(squeeze((mine - at).astype(np.uint32), n[mine].astype(np.uint8), np.concatenate(parts)) if parts else None)
+        out.append(squeeze(own[mine].astype(np.uint32), n[mine].astype(np.uint8), np.concatenate(parts)) if parts else None)
         at += c
     return out
 
 
-def covered(chunk: Chunk, ids: list, texts: list, answers: dict[int, tuple]) -> Iterator[tuple]:
-    """(row, words, mask of words to remove) of each document."""
+def removed(ids: list, order: list[int], places: bytes | None, answers: list[bytes]) -> dict[int, np.ndarray]:
+    """First words of the windows to remove, by row, of the documents that have any."""
     known: dict[int, np.ndarray] = {}
-    for bucket, runs in chunk.by_bucket():
-        if bucket in answers:
-            places, n, low = answers[bucket]
-            for place, part in zip(places.tolist(), np.split(low, np.cumsum(n.astype(np.int64))[:-1]), strict=True):
-                known[int(runs[place])] = part
-    for row, starts, numbers in chunk.docs:
-        w = texts[row].split()
-        edge = np.zeros(len(w) + 1, np.int64)
-        for s, run in zip(starts, numbers, strict=True):
-            low = known.get(int(run))
-            if low is not None:
-                hit = s + np.nonzero(low < ids[row])[0]
-                edge[hit] += 1
-                edge[hit + WINDOW] -= 1
-        yield row, w, np.cumsum(edge[:-1]) > 0
+    for body in answers:
+        numbers, n, low = expand(body)
+        known.update(zip(numbers.tolist(), np.split(low, np.cumsum(n.astype(np.int64))[:-1]), strict=True))
+    if places is None or not known:
+        return {}
+    place, count, starts, numbers = expand(places)
+    out, at = {}, 0
+    for row, n in zip((order[p] for p in place.tolist()), count.tolist(), strict=True):
+        hits = [s + np.nonzero(known[run] < ids[row])[0] for s, run in zip(starts[at:at + n].tolist(), numbers[at:at + n].tolist(), strict=True) if run in known]
+        if hits and sum(map(len, hits)):
+            out[row] = np.concatenate(hits)
+        at += n
+    return out
+
+
+def mask_of(n: int, windows: np.ndarray) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, windows, 1)
+    np.add.at(edge, windows + WINDOW, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,17 +393,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     names = [f"c{k}" for k in range(len(keep))]  # names of the input never clash with ours
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)])
     key, body = names[keep.index(doc_id)], names[keep.index(text)]
+    spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length(body)).alias("n")).first()["n"] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    # about 3.4 words travel for each word of six bytes
+    # a run for each five words of six bytes, and 3.4 words travel for each word at most; windows of
+    # a long prefix take up to six times the words of their run, which are then dealt more thinly
+    anchor_buckets = max(1, math.ceil(size / 30 / ANCHORS_A_BUCKET))
     buckets = max(1, math.ceil(size / 6 * 3.4 / BUCKET_WORDS))
+    # the number of tasks follows the number of groups
+    tasks = lambda groups: max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / CHUNKS_A_TASK))
     # 13 words have 25 bytes at least
     grouped = rows[key].isNotNull() & (F.coalesce(F.octet_length(body), F.lit(0)) >= 2 * WINDOW - 1)
-    alone, rows = rows.where(~grouped), rows.where(grouped).withColumn("chunk", F.pmod(F.xxhash64(key, body), F.lit(chunks)))
-
-    hot, hot_words = hot_prefixes(rows, key, body, size)
-    # windows of one run take up to 6 times its words
-    buckets += math.ceil(6 * hot_words / BUCKET_WORDS)
+    salt = F.shiftright(F.monotonically_increasing_id(), 6)  # equal rows are many groups as well
+    alone, rows = rows.where(~grouped), rows.where(grouped).withColumn("chunk", F.pmod(F.xxhash64(key, body, salt), F.lit(chunks)))
+    by_chunk = rows.repartition(tasks(chunks), "chunk")
 
     def read(batches) -> tuple[list, list]:
         ids, texts = [], []
@@ -374,18 +417,32 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     sent = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 
-    def send(k, batches):
-        chunk = Chunk(*read(batches), buckets, hot=hot)
-        for bucket, body in chunk.packed():
-            yield as_batch({"chunk": [k[0].as_py()], "bucket": [bucket], "body": [body]}, sent)
-
-    def solve(k, batches):
-        chunk_ids, bodies = [], []
-        for b in batches:
-            chunk_ids += b.column("chunk").to_pylist()
-            bodies += b.column("body").to_pylist()
-        got = [(c, a) for c, a in zip(chunk_ids, solve_bucket(bodies), strict=True) if a is not None]
-        yield as_batch({"chunk": [c for c, _ in got], "bucket": [k[0].as_py()] * len(got), "body": [a for _, a in got]}, sent)
+    def packs(chunk: list[int], bucket: list[int], body: list[bytes]) -> pa.RecordBatch:
+        return as_batch({"chunk": chunk, "bucket": bucket, "body": body}, sent)
+
+    def tell(k, batches):
+        _, texts = read(batches)
+        for bucket, body in tell_prefixes(texts, anchor_buckets):
+            yield packs([k[0].as_py()], [bucket], [body])
+
+    def answered(solver):
+        def solve(k, batches):
+            chunk_ids, bodies = [], []
+            for b in batches:
+                chunk_ids += b.column("chunk").to_pylist()
+                bodies += b.column("body").to_pylist()
+            got = [(c, a) for c, a in zip(chunk_ids, solver(bodies), strict=True) if a is not None]
+            yield packs([c for c, _ in got], [k[0].as_py()] * len(got), [a for _, a in got])
+        solve.__annotations__ = types | {"k": types["key"]}
+        return solve
+
+    def send(k, left: pa.Table, right: pa.Table) -> pa.Table:
+        shared = Shared(list(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)), anchor_buckets)
+        if not len(shared.keys):
+            return sent.empty_table()
+        chunk = Chunk(*read(left.to_batches()), buckets, shared)
+        made = [packs([k[0].as_py()], [bucket], [body]) for bucket, body in chunk.packed()]
+        return pa.Table.from_batches([*made, packs([k[0].as_py()], [-1], [chunk.places()])], sent)
 
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     schema = kinds + ", " + ", ".join(f"{n} {t}" for n, t in added.items())
@@ -394,35 +451,40 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def filled(rows: Iterator[tuple], texts: list, n: int) -> dict[str, list]:
-        out: dict[str, list] = {c: [None] * n for c in added}
-        for row, w, gone in rows:
-            kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(w)
-            edges = np.nonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2)
-            for c, v in zip(added, (len(w), int(gone.sum()), edges.tolist(), None if texts[row] is None else kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
-                out[c][row] = v
+    def filled(texts: list, windows: dict[int, np.ndarray]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in added}
+        for row, text in enumerate(texts):
+            w = (text or b"").split()
+            gone = mask_of(len(w), windows[row]) if row in windows else None
+            kept = b" ".join(w if gone is None else [x for x, g in zip(w, gone.tolist(), strict=True) if not g])
+            edges = [] if gone is None else np.nonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))[0].reshape(-1, 2).tolist()
+            count = 0 if gone is None else int(gone.sum())
+            for c, v in zip(added, (len(w), count, edges, None if text is None else kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                out[c].append(v)
+        out["kept_text"] = pa.array(out["kept_text"], pa.large_binary()).cast(pa.large_string()).cast(pa.string())
         return out
 
     def apply(k, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = read(left.to_batches())
-        chunk = Chunk(ids, texts, buckets, places=True, hot=hot)
-        answers = {b: tuple(expand(x)) for b, x in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True)}
-        columns = {n: left.column(n) for n in names} | filled(covered(chunk, ids, texts, answers), texts, left.num_rows)
-        return pa.Table.from_batches([as_batch(columns, arrow)])
+        replies = list(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True))
+        places = next((x for b, x in replies if b < 0), None)
+        windows = removed(ids, in_order(ids, texts) if places else [], places, [x for b, x in replies if b >= 0])
+        return pa.Table.from_batches([as_batch({n: left.column(n) for n in names} | filled(texts, windows), arrow)])
 
     def whole(batch: pa.RecordBatch) -> dict:
-        texts = list(text_bytes(batch.column(body)))
-        split = ((row, w, np.zeros(len(w), bool)) for row, w in enumerate((t or b"").split() for t in texts))
-        return {n: batch.column(n) for n in names} | filled(split, texts, batch.num_rows)
+        return {n: batch.column(n) for n in names} | filled(list(text_bytes(batch.column(body))), {})
 
     types = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    for f in (send, solve):
-        f.__annotations__ = types | {"k": types["key"]}
-    apply.__annotations__ = {"k": types["key"], "left": pa.Table, "right": pa.Table, "return": pa.Table}
+    tell.__annotations__ = types | {"k": types["key"]}
+    for f in (send, apply):
+        f.__annotations__ = {"k": types["key"], "left": pa.Table, "right": pa.Table, "return": pa.Table}
     send_schema = "chunk long, bucket long, body binary"
-    runs = rows.groupBy("chunk").applyInArrow(send, send_schema)
-    back = runs.groupBy("bucket").applyInArrow(solve, send_schema)
-    result = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, schema).unionAll(map_batches(alone, whole, schema))
+    by_bucket = lambda df, n, solver: df.repartition(tasks(n), "bucket").groupBy("bucket").applyInArrow(answered(solver), send_schema)
+    told = by_chunk.groupBy("chunk").applyInArrow(tell, send_schema)
+    shared = by_bucket(told, anchor_buckets, branching)
+    runs = write_scratch(by_chunk.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send, send_schema), "runs")
+    back = by_bucket(runs.where("bucket >= 0"), buckets, solve_bucket).unionAll(runs.where("bucket < 0"))
+    result = by_chunk.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, schema).unionAll(map_batches(alone, whole, schema))
     return result.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *added)
 
 
