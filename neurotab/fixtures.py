@@ -135,6 +135,25 @@ def xml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.lit("</feltArsl>"), vl, F.lit("</session>")).alias("xml"))
 
 
+def xml_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an attribute, a nested tag, a comment, entities, CDATA,
+    fallback names, a broken end, no number, in turn by customer."""
+    c = table(spark, sf_dir, "customer")
+    a, v = (1 + F.col("c_nationkey") % 9).cast("string"), (1 + F.col("c_custkey") % 9).cast("string")
+    both = F.concat(F.lit("<feltArsl>"), a, F.lit("</feltArsl><feltVlnc>"), v, F.lit("</feltVlnc>"))
+    case = F.col("c_custkey") % 9
+    body = F.when(case == 0, F.concat(F.lit("<s><d><feltArsl unit='a,b'>"), a, F.lit("</feltArsl></d><feltVlnc>"), v, F.lit("</feltVlnc></s>"))) \
+        .when(case == 1, F.concat(F.lit("<s>"), both, F.lit("<!-- <feltArsl>99</feltArsl> --></s>"))) \
+        .when(case == 2, F.concat(F.lit("<s><feltArsl>&#x31;</feltArsl><feltVlnc><![CDATA["), v, F.lit("]]></feltVlnc></s>"))) \
+        .when(case == 3, F.concat(F.lit("<s><selfAROUSAL>"), a, F.lit("</selfAROUSAL><b><Valence_1>"), v, F.lit("</Valence_1></b></s>"))) \
+        .when(case == 4, F.concat(F.lit("<s>"), both, F.lit("<open></s>"))) \
+        .when(case == 5, F.concat(F.lit("<s><feltArsl>none</feltArsl>"), both, F.lit("</s>"))) \
+        .when(case == 6, F.concat(F.lit("<s>"), both, F.lit("</s> trailing"))) \
+        .when(case == 7, F.concat(F.lit("<s><feltArsl>9</feltArsl>"), both, F.lit("</s>"))) \
+        .otherwise(F.concat(F.lit("<s>"), both, F.lit("<t>&unknown;</t></s>")))
+    return c.select(F.col("c_custkey").alias("session_id"), body.alias("xml"))
+
+
 def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("label"))

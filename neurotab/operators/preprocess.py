@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from neurotab import config
 from neurotab.functions import iir
 from neurotab.functions.kernels import resample_udf, zero_phase_udf
+from neurotab.operators.blockfft import resample
 from neurotab.operators.blockfilter import BLOCK, zero_phase
 from neurotab.session import cut_lineage
 
@@ -152,7 +153,7 @@ def clean(df_long: DataFrame, rec_keys: Sequence[str], channel: str = "channel",
     Output: (rec_keys..., channel, epoch_id, pos, value)."""
     sig = [*rec_keys, channel]
     if sr_in != config.SAMPLING_RATE:
-        df_long = to_long(fourier_resample(to_arrays(df_long, sig), "values", sr_in), sig)
+        df_long = resample(df_long, sig, sr_in, config.SAMPLING_RATE)
     if filters:
         df_long = zero_phase(df_long, sig, cleaning_filters(), block)
     if filters or sr_in != config.SAMPLING_RATE:

@@ -73,11 +73,16 @@ FROM (SELECT s.epoch_id, s.channel, b.k,
 DEPENDS = {"psd64": ["epochs64"], "folds": []}
 
 
-def sql(views: list[str], body: str, ctes: list[tuple[str, str]] | None = None) -> str:
-    """``WITH`` the named fixture views (and their dependencies), then extra CTEs, then ``body``."""
+def sql(views: list[str], body: str, ctes: list[tuple[str, str]] | None = None, given: list[tuple[str, str]] | None = None) -> str:
+    """``WITH`` the named fixture views (and their dependencies), then extra CTEs,
+    then ``body``.  ``given`` CTEs come first (they may be recursive) and stand in
+    for the views of their names."""
     ordered: list[str] = []
+    there = {n for n, _ in given or []}
 
     def add(v: str) -> None:
+        if v in there:
+            return
         for d in DEPENDS.get(v, []):
             add(d)
         if v not in ordered:
@@ -85,6 +90,7 @@ def sql(views: list[str], body: str, ctes: list[tuple[str, str]] | None = None)
 
     for v in views:
         add(v)
-    parts = [f"{v} AS ({VIEWS[v]})" for v in ordered]
+    parts = [f"{n} AS ({t})" for n, t in (given or [])]
+    parts += [f"{v} AS ({VIEWS[v]})" for v in ordered]
     parts += [f"{n} AS ({t})" for n, t in (ctes or [])]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return (("WITH RECURSIVE " if given else "WITH ") + ",\n".join(parts) + "\n" if parts else "") + body

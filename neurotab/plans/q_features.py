@@ -135,8 +135,9 @@ def q_manual_vector(spark, sf_dir):
     return v.select("id", F.posexplode("vector").alias("position", "value"))
 
 
-def _feature_matrix_oracle() -> str:
-    """Every feature of every epochs64 epoch in DuckDB, from the per-operator texts."""
+def feature_ctes() -> list[tuple[str, str]]:
+    """CTEs of every feature of every epochs64 epoch in DuckDB, from the
+    per-operator texts; the last is ``features64`` (epoch_id, feature, value)."""
     from neurotab.plans import q_nonlinear as qn
     bands_abs = " UNION ALL ".join(
         f"SELECT epoch_id, channel || '_{b}_abs_power', sum(CASE WHEN freq BETWEEN {lo} AND {hi} THEN power ELSE 0 END), 1 FROM psd64 GROUP BY 1, channel"
@@ -181,10 +182,14 @@ UNION ALL SELECT epoch_id, 'frontal_alpha_asymmetry', arg_min(asymmetry, pair_or
         ("pe", unrounded(qn.PERM_BODY)), ("hig", unrounded(qn.HIGUCHI_BODY)), ("dfa", unrounded(qn.DFA_BODY)),
         ("sampen", unrounded(qn.SAMPEN_BODY)), ("apen", unrounded(qn.APEN_BODY)),
         ("allrows", " UNION ALL ".join(rows)),
+        ("features64", """SELECT epoch_id, feature, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.0 ELSE v END AS value
+FROM (SELECT epoch_id, feature, arg_max(value, stage) AS v FROM allrows GROUP BY 1, 2)"""),
     ]
-    body = """SELECT epoch_id, feature, round(CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0.0 ELSE v END, 6) AS value
-FROM (SELECT epoch_id, feature, arg_max(value, stage) AS v FROM allrows GROUP BY 1, 2)"""
-    return sql(["epochs64", "psd64", "frontal_pairs"], body, ctes)
+    return ctes
+
+
+def _feature_matrix_oracle() -> str:
+    return sql(["epochs64", "psd64", "frontal_pairs"], "SELECT epoch_id, feature, round(value, 6) AS value FROM features64", feature_ctes())
 
 
 @register("feature_matrix", _feature_matrix_oracle())

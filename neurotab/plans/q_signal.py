@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from neurotab import fixtures as fx
 from neurotab.functions import iir
 from neurotab.operators import preprocess as pp
+from neurotab.operators.blockfft import resample
 from neurotab.operators.blockfilter import zero_phase
 from neurotab.plans.common import rounded
 from neurotab.plans.oracle_views import sql
@@ -106,11 +107,11 @@ FROM epochs64 CROSS JOIN range(0, 17) b GROUP BY 1, 2, 3"""
 
 @register("fourier_resample", sql(["epochs64"], RESAMPLE_BODY, [("spec", SPEC)]))
 def q_fourier_resample(spark, sf_dir):
-    arr = pp.fourier_resample(fx.epochs64_arrays(spark, sf_dir), "values", sr_in=128, sr_out=64)
-    return rounded(pp.to_long(arr, ["epoch_id", "channel"]))
+    """64 to 32 samples, by transforms of arrays of at most 8 (8 x 8 and 4 x 8)."""
+    return rounded(resample(fx.epochs64(spark, sf_dir), ["epoch_id", "channel"], 128, 64, longest=8))
 
 
-def _filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
+def filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
     """DuckDB CTEs running a forward-backward cascade of second-order sections
     over every signal of ``src`` (keys..., sample_idx, value) of any length: odd
     extension, steady-state initial conditions, transposed direct form with the
@@ -163,7 +164,7 @@ WHERE c.n <= {pad}"""),
 
 def _filtfilt_oracle(sections) -> str:
     from neurotab.plans.oracle_views import VIEWS
-    ctes = [("epochs64", VIEWS["epochs64"])] + _filtfilt_ctes(sections, "epochs64", ("epoch_id", "channel"), "f_")
+    ctes = [("epochs64", VIEWS["epochs64"])] + filtfilt_ctes(sections, "epochs64", ("epoch_id", "channel"), "f_")
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t})" for n, t in ctes) + \
         "\nSELECT epoch_id, channel, sample_idx, round(value, 6) AS value FROM f_out"
 
@@ -212,8 +213,8 @@ def _clean_full_oracle() -> str:
     from neurotab.plans.oracle_views import VIEWS
     keys = ("recording_id", "channel")
     ctes = [("samples_big", VIEWS["samples_big"])]
-    ctes += _filtfilt_ctes(iir.bandpass_sections(0.5, 45.0, 128.0, 5), "samples_big", keys, "bp_")
-    ctes += _filtfilt_ctes([iir.notch(50.0, 30.0, 128.0)], "bp_out", keys, "nt_")
+    ctes += filtfilt_ctes(iir.bandpass_sections(0.5, 45.0, 128.0, 5), "samples_big", keys, "bp_")
+    ctes += filtfilt_ctes([iir.notch(50.0, 30.0, 128.0)], "bp_out", keys, "nt_")
     ctes += [
         ("car", "SELECT recording_id, channel, sample_idx, value - avg(value) OVER (PARTITION BY recording_id, sample_idx) AS value FROM nt_out"),
         ("base", """SELECT recording_id, channel, sample_idx,

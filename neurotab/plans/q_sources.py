@@ -31,6 +31,24 @@ def q_scan_wide_unpivot(spark, sf_dir):
     return rd.read_wide_csv(spark, path, ["A", "N", "R"], extra=[T.StructField("recording_id", T.LongType())])
 
 
+@register("scan_wide_layouts", sql(["samples_big"], """SELECT recording_id, sample_idx / 128.0 AS time, channel, value
+FROM samples_big"""))
+def q_scan_wide_layouts(spark, sf_dir):
+    """The same recordings in files of two layouts: other column orders, another
+    time column, and a quoted text column with commas and quotes between them."""
+    from pyspark.sql import types as T
+
+    long = fx.samples_big(spark, sf_dir)
+    wide = long.groupBy("recording_id", (F.col("sample_idx") / 128.0).alias("time")).pivot("channel", ["A", "N", "R"]).agg(F.first("value")) \
+        .withColumn("note", F.concat(F.lit('cell "x, y", '), F.col("recording_id").cast("string")))
+    path = scratch_path(spark, "wide_layouts")
+    odd = F.col("recording_id") % 2 == 1
+    save = lambda df, name: df.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    save(wide.where(odd).select("time", "A", "note", "N", "R", "recording_id"), "layout=1")
+    save(wide.where(~odd).select("R", "recording_id", "note", F.col("time").alias("timestamp"), "N", "A"), "layout=2")
+    return rd.read_wide_csv(spark, path, ["A", "N", "R"], extra=[T.StructField("recording_id", T.LongType())])
+
+
 def _trial_tensors(spark, sf_dir):
     """40 consecutive embeddings form one 40-channel trial (64 samples each)."""
     emb = fx.table(spark, sf_dir, "embeddings")
@@ -96,6 +114,13 @@ def q_xml_ratings(spark, sf_dir):
     return rd.xml_ratings(fx.xml_docs(spark, sf_dir))
 
 
+@register("xml_rating_cases", sql([], """SELECT c_custkey AS session_id, CASE WHEN c_custkey % 9 = 2 THEN 1.0::DOUBLE ELSE (1 + c_nationkey % 9)::DOUBLE END AS arousal,
+       (1 + c_custkey % 9)::DOUBLE AS valence FROM customer WHERE c_custkey % 9 IN (0, 1, 2, 3, 7)"""))
+def q_xml_rating_cases(spark, sf_dir):
+    """Attributes, nesting, comments, entities, CDATA, other names; broken documents give no row."""
+    return rd.xml_ratings(fx.xml_cases(spark, sf_dir))
+
+
 PAIRS_SQL = """SELECT CAST(replace(replace(split_part(s.session, '_', 1), 'Part', ''), 'P', '') AS INT) AS session_id,
        s.signal_path, a.annotation_path
 FROM (SELECT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS session, min(path) AS signal_path FROM sessions

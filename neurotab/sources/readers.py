@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,31 +33,56 @@ def wide_csv_schema(channels: Sequence[str], time_col: str = "time") -> T.Struct
                         [T.StructField(c, T.DoubleType()) for c in channels])
 
 
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a folder by their header (the first line with text): a row a
+    file, then one group a layout."""
+    import csv
+    from urllib.parse import unquote
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    first = lines.where(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id()) \
+        .groupBy("_file").agg(F.min_by("value", F.struct("_start", "_n")).alias("_header"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("_header").agg(F.collect_list("_file").alias("_files")).collect():  # a row a layout, with its paths
+        names = tuple(c.strip() for c in next(csv.reader([r["_header"].lstrip("\ufeff").rstrip("\r")])))
+        out.setdefault(names, []).extend(map(unquote, r["_files"]))
+    return out
+
+
 def read_wide_csv(spark: SparkSession, path: str, channels: Sequence[str], extra: Sequence[T.StructField] = (),
-                  time_col: str = "time") -> DataFrame:
+                  time_col: str = "time", missing: str = "raise") -> DataFrame:
     """Wide recording CSV (a time column named ``time`` or ``timestamp`` plus
     one column per channel) -> long (extra..., time, channel, value).
-    Columns are found by name in each file's own header, so files may order
-    them differently.  An empty cell is no sample; one that does not parse stays
-    as a row with a null value, so sample numbers keep their places
-    (``bad_cells`` counts them)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(c, F.lit(' "\r')))
-    lines = lines.where(F.trim("value") != "").select("_file", cells.alias("_c"))
-    # a header names the time column; every file is read by its own header, one row a file
-    is_header = F.arrays_overlap("_c", F.array(F.lit(time_col), F.lit("timestamp")))
-    headers = lines.where(is_header).groupBy("_file").agg(F.first("_c").alias("_h"))
-    rows = lines.where(~is_header).join(headers, "_file")
-
-    def cell(name: str, kind: T.DataType = T.DoubleType()) -> F.Column:
-        return F.get("_c", (F.array_position("_h", name) - 1).cast("int")).try_cast(kind)
-
-    time = F.when(F.array_contains("_h", time_col), cell(time_col)).otherwise(cell("timestamp"))
-    wide = rows.select(*[cell(f.name, f.dataType).alias(f.name) for f in extra], time.alias("time"),
-                       *[cell(c, T.StringType()).alias(c) for c in channels])
+
+    Files may order their columns differently and quote cells: they are grouped
+    by header, and Spark's own CSV reader scans each group once with the columns
+    of that header.  A file whose header has no time column ends the read with
+    an error that names it (``missing="skip"`` leaves such files out).  A channel
+    that a file lacks has no samples there, and neither has an empty cell; a
+    cell that does not parse stays as a row with a null value, so sample numbers
+    keep their places (``bad_cells`` counts them)."""
+    headers = csv_headers(spark, path)
+    names_time = lambda h: next((c for c in (time_col, "timestamp") if c in h), None)
+    lacking = sorted(f for h, files in headers.items() if names_time(h) is None for f in files)
+    if lacking and missing == "raise":
+        raise ValueError(f"{len(lacking)} files without a {time_col!r} column, first {lacking[:5]}")
     ids = [f.name for f in extra] + ["time"]
-    long = wide.unpivot(ids, list(channels), "channel", "_raw").where(F.col("_raw") != "")
-    return long.select(*ids, "channel", F.col("_raw").try_cast("double").alias("value"))
+    out = spark.createDataFrame([], T.StructType([*extra, T.StructField("time", T.DoubleType()), T.StructField("channel", T.StringType()),
+                                                  T.StructField("value", T.DoubleType())]))
+    for header, files in sorted(headers.items()):
+        if names_time(header) is None:
+            continue
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(files)
+        cell = lambda name, h=header: F.trim(F.col(f"c{h.index(name)}")) if name in h else F.lit(None).cast("string")
+        here = [c for c in channels if c in header]
+        if not here:
+            continue
+        wide = rows.select(*[cell(f.name).try_cast(f.dataType).alias(f.name) for f in extra], cell(names_time(header)).try_cast("double").alias("time"),
+                           *[cell(c).alias(c) for c in here])
+        long = wide.unpivot(ids, here, "channel", "_raw").where(F.col("_raw") != "")
+        out = out.unionByName(long.select(*ids, "channel", F.col("_raw").try_cast("double").alias("value")))
+    return out
 
 
 def bad_cells(long: DataFrame) -> DataFrame:
@@ -123,23 +149,39 @@ def pair_sessions(paths: DataFrame, path: str = "path", signal_ext: str = ".bdf"
     return named.where(F.col("signal_path").isNotNull() & F.col("annotation_path").isNotNull() & ~F.startswith("session", F.lit(".")))
 
 
-def _last_number(xml: F.Column, tag_pattern: str) -> F.Column:
-    vals = F.regexp_extract_all(xml, F.lit(f"<{tag_pattern}>([^<]*)</"), 1)
-    return F.when(F.size(vals) > 0, F.element_at(vals, -1).try_cast("double"))
+def _ratings_of(document: str | None) -> tuple[float | None, float | None]:
+    """(arousal, valence) of one document; both null if it does not parse, lacks
+    one of them, or one of its ratings is no number."""
+    from xml.etree import ElementTree
+
+    def last(texts: list[str | None], blank: bool) -> float | None:
+        """The last rating; each must be a number (``blank``: or empty)."""
+        values = [None if blank and not t else float(t or "") for t in texts]
+        return values[-1] if values else None
+
+    try:
+        tags = [(e.tag, e.text) for e in ElementTree.fromstring(document or "").iter()]
+        felt = [last([t for name, t in tags if name == own], False) for own in ("feltArsl", "feltVlnc")]
+        if None in felt:
+            alike = [[t for name, t in tags if part in name.lower()] for part in ("arousal", "valence")]
+            felt = [last(a, True) if a else f for a, f in zip(alike, felt, strict=True)]
+    except (ElementTree.ParseError, ValueError):
+        return None, None
+    return (None, None) if None in felt else (felt[0], felt[1])
 
 
 def xml_ratings(df: DataFrame, xml: str = "xml", key: str = "session_id") -> DataFrame:
-    """Arousal = last <feltArsl>, valence = last <feltVlnc>; when either is
-    missing, any tag whose lower-cased name contains 'arousal' / 'valence'
-    (last one wins); rows without both values are dropped."""
-    a1, v1 = _last_number(F.col(xml), "feltArsl"), _last_number(F.col(xml), "feltVlnc")
-    a2 = _last_number(F.col(xml), r"[A-Za-z0-9_]*(?i:arousal)[A-Za-z0-9_]*")
-    v2 = _last_number(F.col(xml), r"[A-Za-z0-9_]*(?i:valence)[A-Za-z0-9_]*")
-    both = a1.isNotNull() & v1.isNotNull()
-    a = F.when(both, a1).otherwise(F.coalesce(a2, a1))
-    v = F.when(both, v1).otherwise(F.coalesce(v2, v1))
-    return df.select(key, a.alias("arousal"), v.alias("valence")) \
-        .where(F.col("arousal").isNotNull() & F.col("valence").isNotNull())
+    """Arousal = last <feltArsl>, valence = last <feltVlnc>, wherever they stand;
+    when either is missing, any tag whose lower-cased name contains 'arousal' /
+    'valence' (last one wins).  Documents go through an XML parser, so
+    attributes, comments, entities and CDATA mean what they should; one that does
+    not parse, or a rating that is no number, gives no row."""
+    @F.pandas_udf("arousal double, valence double")
+    def ratings(documents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_ratings_of(d) for d in documents], columns=["arousal", "valence"], dtype="float64")
+
+    out = df.select(key, ratings(F.col(xml)).alias("_r")).select(key, "_r.arousal", "_r.valence")
+    return out.where(F.col("arousal").isNotNull() & F.col("valence").isNotNull())
 
 
 def file_admission(paths: DataFrame, path: str = "path",

@@ -37,6 +37,29 @@ def test_xml_fallback_tags(spark):
     assert got == {1: (4.0, 6.0), 2: (3.0, 7.0)}
 
 
+def test_xml_goes_through_a_parser(spark):
+    docs = ["<s><x><feltArsl unit='a'>5</feltArsl></x><feltVlnc>6</feltVlnc></s>", "<s><feltArsl>5</feltArsl><feltVlnc>6</feltVlnc><!--<feltArsl>9</feltArsl>--></s>",
+            "<s><feltArsl>5</feltArsl><feltVlnc>6</feltVlnc>", "<s><feltArsl/><feltVlnc>6</feltVlnc></s>", "no xml", "", None,
+            "<s><feltArsl>&#53;</feltArsl><feltVlnc><![CDATA[6]]></feltVlnc></s>", "<s><feltArsl>5</feltArsl><feltVlnc>6</feltVlnc></s>x",
+            "<s><feltArsl>bad</feltArsl><feltArsl>5</feltArsl><feltVlnc>6</feltVlnc></s>", "<s><AROUSAL>5</AROUSAL><valences>1</valences><valences>6</valences></s>"]
+    df = spark.createDataFrame(list(enumerate(docs)), "session_id long, xml string")
+    got = {r["session_id"]: (r["arousal"], r["valence"]) for r in rd.xml_ratings(df).collect()}
+    assert got == {k: (5.0, 6.0) for k in (0, 1, 7, 10)}
+
+
+def test_wide_csv_layouts(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('note,F4,time,F3\n"x,y ""z""",4,0,3\n\n,5,0.5,bad\n')
+    (tmp_path / "two of it.csv").write_text("\ufefftimestamp, F3\r\n1.0,7\r\n1.5,\r\n")
+    long = rd.read_wide_csv(spark, str(tmp_path), ["F3", "F4"])
+    assert sorted((r["time"], r["channel"], r["value"]) for r in long.where("value is not null").collect()) == [
+        (0.0, "F3", 3.0), (0.0, "F4", 4.0), (0.5, "F4", 5.0), (1.0, "F3", 7.0)]
+    assert [tuple(r) for r in rd.bad_cells(long).where("n_bad > 0").collect()] == [("F3", 1)]
+    (tmp_path / "third.csv").write_text("F3,F4\n1,2\n")
+    with pytest.raises(ValueError, match="1 files without a 'time' column.*third"):
+        rd.read_wide_csv(spark, str(tmp_path), ["F3"])
+    assert rd.read_wide_csv(spark, str(tmp_path), ["F3"], missing="skip").count() == 3
+
+
 def test_nested_trials_transpose(spark):
     df = spark.createDataFrame([(1, 1, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), (1, 2, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])],
                                "subject_id int, trial_id int, eeg array<array<double>>")
