@@ -176,26 +176,23 @@ def roc_subsample(points: DataFrame, group: Sequence[str], max_points: int = 50)
 def nearest_merge(curves: DataFrame, curve_keys: Sequence[str], x: str = "fpr", y: str = "tpr",
                   order: str = "i") -> DataFrame:
     """For every distinct x over all curves, each curve's y at its nearest x
-    (lowest index on ties).  As-of lookup: per curve, consecutive distinct x
-    values (lowest index per value) form intervals [lo, hi); a grid value is
-    range-joined to the interval holding it and takes the nearer end, the
-    lower end on equal distance.  The interval table has one row per curve
-    point (curves are subsampled to a bounded number of points)."""
-    first = curves.groupBy(*curve_keys, x).agg(F.min_by(y, order).alias("_y"))
-    w = Window.partitionBy(*curve_keys).orderBy(x)
-    iv = first.select(*curve_keys, F.col(x).alias("_lo"), F.col("_y").alias("_ylo"),
-                      F.lead(x).over(w).alias("_hi"), F.lead("_y").over(w).alias("_yhi"),
-                      F.row_number().over(w).alias("_r"))
-    # below the smallest x of a curve: take its first value
-    below = iv.where(F.col("_r") == 1).select(*curve_keys, F.lit(float("-inf")).alias("_lo"),
-                                               F.col("_ylo").alias("_ylo"), F.col("_lo").alias("_hi"),
-                                               F.col("_ylo").alias("_yhi"), F.lit(0).alias("_r"))
-    iv = iv.unionByName(below)
-    grid = curves.select(F.col(x).alias("_g")).distinct()
-    j = grid.join(iv, (F.col("_g") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_g") < F.col("_hi"))))
-    pick = F.when(F.col("_hi").isNull() | ((F.col("_g") - F.col("_lo")) <= (F.col("_hi") - F.col("_g"))),
-                  F.col("_ylo")).otherwise(F.col("_yhi"))
-    return j.select(F.col("_g").alias(x), *curve_keys, pick.alias(y))
+    (lowest index on ties; the lower x on equal distance).  The result has a row
+    for each curve and grid value; those rows are made from the list of curves
+    (one entry a curve) and sorted in among the curve's own points, so the points
+    before and after each are found in one window of a curve (curves are
+    subsampled to a bounded number of points)."""
+    keys = list(curve_keys)
+    first = curves.groupBy(*keys, x).agg(F.min_by(y, order).alias("_y"))
+    names = curves.agg(F.sort_array(F.collect_set(F.struct(*keys)))).scalar()
+    grid = curves.select(F.col(x).alias("_g")).distinct().select("_g", F.explode(names).alias("_k")).select(*[f"_k.{c}" for c in keys], "_g")
+    point = F.struct(F.col(x).alias("x"), F.col("_y").alias("y"))
+    rows = first.select(*keys, F.col(x).alias("_g"), point.alias("_p")).unionByName(grid.withColumn("_p", F.lit(None).cast("struct<x:double,y:double>")))
+    w = Window.partitionBy(*keys).orderBy("_g", F.col("_p").isNull())
+    near = rows.select(*keys, "_g", "_p", F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lo"),
+                       F.first("_p", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_hi")).where(F.col("_p").isNull())
+    lower = F.col("_hi").isNull() | ((F.col("_g") - F.col("_lo.x")) <= (F.col("_hi.x") - F.col("_g")))
+    pick = F.when(F.col("_lo").isNull(), F.col("_hi.y")).when(lower, F.col("_lo.y")).otherwise(F.col("_hi.y"))
+    return near.select(F.col("_g").alias(x), *keys, pick.alias(y))
 
 
 def mcnemar(scored: DataFrame, models: Sequence, model: str = "model", id_col: str = "id",

@@ -54,14 +54,18 @@ def _packs(rows: DataFrame, part: Sequence[str], prefix: str) -> DataFrame:
     return rows.groupBy(*part, "_no").applyInArrow(pack, schema)
 
 
-def _numbered(rows: DataFrame, part: Sequence[str], counts: DataFrame, size: int, id_col: str, vec: str) -> DataFrame:
+def _numbered(counted: DataFrame, part: Sequence[str], size: int, id_col: str, vec: str) -> DataFrame:
+    """``counted`` are the rows with their partition's number of rows, ``_n``."""
     n = F.ceil(F.col("_n") / size)
-    return rows.join(counts, list(part)).select(*part, F.pmod(F.xxhash64(id_col), n).alias("_no"), F.col(id_col).cast("long").alias("_id"),
+    return counted.select(*part, F.pmod(F.xxhash64(id_col), n).alias("_no"), F.col(id_col).cast("long").alias("_id"),
                                                 F.col(vec).cast("array<double>").alias("_v"))
 
 
 def _nearest(q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, exclude_self: bool):
-    """For each query: places of its k nearest points (ties by id) and distances."""
+    """For each query: places of its k nearest points (ties by id) and distances.
+    Only the k that are kept are sorted."""
+    by_id = np.argsort(p_ids, kind="stable")
+    p, p_ids = p[by_id], p_ids[by_id]
     d = np.zeros((len(q), len(p)))
     for j in range(q.shape[1]):              # same order of additions for every pair
         diff = q[:, j, None] - p[None, :, j]
@@ -70,8 +74,14 @@ def _nearest(q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray,
     key = np.round(d, DECIMALS)
     if exclude_self:
         key[q_ids[:, None] == p_ids[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(p_ids, key.shape), key), axis=-1)[:, :k]
-    return order, np.take_along_axis(d, order, 1), np.isfinite(np.take_along_axis(key, order, 1))
+    k = min(k, len(p))
+    last = np.partition(key, k - 1, axis=1)[:, k - 1:k]
+    nearer, tied = key < last, key == last
+    # of equal distances the first ids fill up to k
+    chosen = nearer | (tied & (tied.cumsum(1) <= k - nearer.sum(1, keepdims=True)))
+    places = np.nonzero(chosen)[1].reshape(len(q), k)
+    places = np.take_along_axis(places, np.argsort(np.take_along_axis(key, places, 1), axis=1, kind="stable"), 1)
+    return by_id[places], np.take_along_axis(d, places, 1), np.isfinite(np.take_along_axis(key, places, 1))
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "features",
@@ -82,14 +92,16 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
     Output: (q_id, partition..., p_id, payload..., distance, rank) with rank 1..k
     (fewer rows when the partition holds fewer points)."""
     part = list(partition)
-    if not part:                      # one implicit partition
-        queries, points, part = queries.withColumn("_all", F.lit(0)), points.withColumn("_all", F.lit(0)), ["_all"]
-    n_points = points.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    n_queries = queries.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = _packs(_numbered(points, part, n_points, block, id_col, vec), part, "p")
-    groups = _packs(_numbered(queries, part, n_queries, query_group, id_col, vec), part, "q")
-    last = n_points.select(*part, (F.ceil(F.col("_n") / block) - 1).alias("_last"))
-    sent = groups.join(last, part).withColumn("p_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last", "q_no")
+    if part:
+        count = lambda df: df.join(df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")), part)
+        last = points.groupBy(*part).agg((F.ceil(F.count(F.lit(1)) / block) - 1).alias("_last"))
+    else:  # one implicit partition: its counts are two numbers, no join
+        count = lambda df: df.withColumn("_n", F.lit(df.count()))
+        last = F.lit(max(-(-points.count() // block) - 1, 0)).cast("long")
+    blocks = _packs(_numbered(count(points), part, block, id_col, vec), part, "p")
+    groups = _packs(_numbered(count(queries), part, query_group, id_col, vec), part, "q")
+    numbered = groups.join(last, part) if part else groups.withColumn("_last", last)
+    sent = numbered.withColumn("p_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last", "q_no")
     pairs = sent.join(blocks, [*part, "p_no"]).drop("p_no")
     fields = [T.StructField(c, queries.schema[c].dataType) for c in part]
     schema = T.StructType([T.StructField("q_id", T.LongType()), *fields, T.StructField("p_id", T.LongType()), T.StructField("distance", T.DoubleType())])
@@ -115,8 +127,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if payload:
         top = top.join(points.select(F.col(id_col).alias("p_id"), *payload), "p_id")
-    out = top.select("q_id", *part, "p_id", *payload, "distance", "rank")
-    return out.drop("_all") if "_all" in out.columns else out
+    return top.select("q_id", *part, "p_id", *payload, "distance", "rank")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int, label: str = "label", id_col: str = "id",

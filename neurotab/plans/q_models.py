@@ -212,12 +212,7 @@ def q_tuning_search(spark, sf_dir):
 def q_permutation_importance(spark, sf_dir):
     from neurotab.operators.explain import permutation_importance
     train, valid, _ = _split(spark, sf_dir)
-    s = md.fit_logreg(train)
-
-    def acc(df):
-        sc = s.score(df).join(df.select("id", "label"), "id")
-        return sc.agg(F.avg(F.when(F.col("prediction") == F.col("label"), 1.0).otherwise(0.0))).first()[0]
-    return permutation_importance(acc, valid, [f"f{i}" for i in range(64)])
+    return rounded(permutation_importance(md.fit_logreg(train), valid, [f"f{i}" for i in range(64)]))
 
 
 LDA2_CTES = [
@@ -296,3 +291,23 @@ def q_loso_evaluate(spark, sf_dir):
 def q_loso_evaluate_64(spark, sf_dir):
     """Predictions of the same on all 64 features."""
     return rounded(va.loso_predictions(fx.feat_wide(spark, sf_dir).select("id", "subject_id", "label", "features")))
+
+
+PERMUTED_CTES = [c for c in LDA2_CTES if c[0] in ("x", "m", "s", "w")] + [
+    ("rk", "SELECT *, row_number() OVER (ORDER BY md5(concat_ws('-', '42', CAST(id AS VARCHAR))), id) - 1 AS r, count(*) OVER () AS nn FROM x"),
+    ("vr", """SELECT a.id, a.label AS y, j.j, CASE WHEN j.j = 0 THEN b.x1 ELSE a.x1 END AS x1, CASE WHEN j.j = 1 THEN b.x2 ELSE a.x2 END AS x2
+FROM rk a JOIN rk b ON a.r = (b.r + 1) % b.nn CROSS JOIN (VALUES (-1), (0), (1)) AS j(j)"""),
+    ("vs", "SELECT v.id, v.y, v.j, w.label, w.w1 * v.x1 + w.w2 * v.x2 - 0.5 * (w.w1 * w.m1 + w.w2 * w.m2) + ln(w.nc / w.n) AS d FROM vr v CROSS JOIN w"),
+    ("vp", "SELECT id, y, j, arg_max(label, (d, -label)) AS p FROM vs GROUP BY 1, 2, 3"),
+    ("va", "SELECT j, avg(CASE WHEN p = y THEN 1.0 ELSE 0.0 END) AS a FROM vp GROUP BY 1"),
+]
+
+
+@register("permutation_importance_2d", sql([], """SELECT 'f' || j AS feature, round((SELECT a FROM va WHERE j = -1) - a, 6) + 0.0 AS importance
+FROM va WHERE j >= 0""", PERMUTED_CTES))
+def q_permutation_importance_2d(spark, sf_dir):
+    """Permutation importance of the two-feature discriminant on all rows."""
+    from neurotab.operators.explain import permutation_importance
+
+    data = fx.feat_wide(spark, sf_dir).select("id", "label", F.slice("features", 1, 2).alias("features"))
+    return rounded(permutation_importance(md.fit_discriminant(data), data, ["f0", "f1"]))
