@@ -111,16 +111,12 @@ def q_fourier_resample(spark, sf_dir):
     return rounded(resample(fx.epochs64(spark, sf_dir), ["epoch_id", "channel"], 128, 64, longest=8))
 
 
-def filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
-    """DuckDB CTEs running a forward-backward cascade of second-order sections
-    over every signal of ``src`` (keys..., sample_idx, value) of any length: odd
-    extension, steady-state initial conditions, transposed direct form with the
-    kernel's association; signals no longer than the padding pass through.  The
-    last CTE, ``{prefix}out``, has the same columns as ``src``.  (Recursive: the
-    statement must start WITH RECURSIVE.)"""
-    from neurotab.functions.kernels import cascade_zi, padding
+def cascade_cte(sections, name: str, srcn: str, keys: tuple[str, str]) -> str:
+    """Text of a recursive CTE ``name``: the sections run over (keys..., j, nn, e)
+    of ``srcn`` in the order of j, from the steady state of the first e."""
+    from neurotab.functions.kernels import cascade_zi
     num = lambda v: repr(float(v))
-    n, pad, Z = len(sections), padding(sections), [num(v) for v in cascade_zi(sections)]
+    n, Z = len(sections), [num(v) for v in cascade_zi(sections)]
     k1, k2 = keys
 
     def cascade(rows: str) -> str:
@@ -132,11 +128,23 @@ def filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> lis
             for i, (b, a) in enumerate(sections))
         return f"SELECT {k1}, {k2}, j, nn, v{n} AS y, {states} FROM ({rows})"
 
-    def rec(name, srcn):
-        first = ", ".join(f"{z} * e AS s{i}" for i, z in enumerate(Z))
-        carried = ", ".join(f"f.s{i}" for i in range(2 * n))
-        return (name, cascade(f"SELECT {k1}, {k2}, j, nn, e AS v0, {first} FROM {srcn} WHERE j = 0") + "\nUNION ALL\n" + cascade(
-            f"SELECT f.{k1}, f.{k2}, f.j + 1 AS j, f.nn, x.e AS v0, {carried} FROM {name} f JOIN {srcn} x ON x.{k1} = f.{k1} AND x.{k2} = f.{k2} AND x.j = f.j + 1"))
+    first = ", ".join(f"{z} * e AS s{i}" for i, z in enumerate(Z))
+    carried = ", ".join(f"f.s{i}" for i in range(2 * n))
+    return cascade(f"SELECT {k1}, {k2}, j, nn, e AS v0, {first} FROM {srcn} WHERE j = 0") + "\nUNION ALL\n" + cascade(
+        f"SELECT f.{k1}, f.{k2}, f.j + 1 AS j, f.nn, x.e AS v0, {carried} FROM {name} f JOIN {srcn} x ON x.{k1} = f.{k1} AND x.{k2} = f.{k2} AND x.j = f.j + 1")
+
+
+def filtfilt_ctes(sections, src: str, keys: tuple[str, str], prefix: str) -> list[tuple[str, str]]:
+    """DuckDB CTEs running a forward-backward cascade of second-order sections
+    over every signal of ``src`` (keys..., sample_idx, value) of any length: odd
+    extension, steady-state initial conditions, transposed direct form with the
+    kernel's association; signals no longer than the padding pass through.  The
+    last CTE, ``{prefix}out``, has the same columns as ``src``.  (Recursive: the
+    statement must start WITH RECURSIVE.)"""
+    from neurotab.functions.kernels import padding
+    pad = padding(sections)
+    k1, k2 = keys
+    rec = lambda name, srcn: (name, cascade_cte(sections, name, srcn, keys))
 
     p = prefix
     return [

@@ -187,3 +187,34 @@ def q_predict_manual(spark, sf_dir):
     one = F.create_map(F.lit("f0"), F.get("features", F.lit(0)))
     requests = data.select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, one).otherwise(both).alias("features"))
     return _flat(predict_manual(requests, scorer))
+
+
+def _live_oracle() -> str:
+    from neurotab.operators.preprocess import cleaning_filters
+    from neurotab.plans.oracle_views import VIEWS
+    from neurotab.plans.q_signal import cascade_cte
+
+    band, _ = cleaning_filters(128.0)
+    given = [("samples_big", VIEWS["samples_big"]),
+             ("src", "SELECT recording_id, channel, sample_idx AS j, count(*) OVER (PARTITION BY recording_id, channel) AS nn, value AS e FROM samples_big"),
+             ("fwd", cascade_cte(band, "fwd", "src", ("recording_id", "channel")))]
+    return sql([], """SELECT recording_id, channel, CAST(floor(j / 32) AS BIGINT) AS epoch_id, CAST(j % 32 AS INT) AS pos, round(y, 6) AS value
+FROM fwd WHERE floor(j / 32) < floor(nn / 32)""", given=given)
+
+
+@register("live_epochs", _live_oracle())
+def q_live_epochs(spark, sf_dir):
+    """Samples of samples_big arrive in four files, each with a part of every
+    signal (and the parts out of order); a stream filters them causally, carries
+    the filter's state and tells epochs of 32."""
+    from neurotab.operators.preprocess import cleaning_filters
+    from neurotab.streaming.live import start_live
+
+    band, _ = cleaning_filters(128.0)
+    samples = fx.samples_big(spark, sf_dir)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("live_in", "live_out", "live_ckpt"))
+    part = F.pmod(F.floor(F.col("sample_idx") / 48) + F.floor(F.col("sample_idx") / 7), F.lit(4))
+    samples.withColumn("part", part).repartition(4, "part").drop("part").write.parquet(src)
+    q = start_live(spark, src, samples.schema, ckpt, out, ["recording_id", "channel"], band, 32, files_per_batch=1)
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out).select("recording_id", "channel", "epoch_id", F.posexplode("values").alias("pos", "value")))
