@@ -19,7 +19,8 @@ Defined results: null, empty and text-free pages give an empty string; markup
 that is cut off or badly nested is read as far as it goes; white space (as
 Python's ``str.split`` sees it) inside a block becomes one space; repeated rows
 give repeated results.  One page is one row: a very long page is bounded by
-the memory of one task.
+the memory of one task; an empty table gives no rows; columns beside id, url and
+html are not read, whatever their names.
 """
 
 from __future__ import annotations

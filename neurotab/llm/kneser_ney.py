@@ -20,7 +20,9 @@ for all unknown words.  A context never seen leaves the continuation model.
 
 Defined results: a null or empty text has one token, the end; documents with a
 null id are learned from; an empty training set leaves the even shares;
-repeated rows count once each.
+repeated rows count once each; a very long text is one row, counted and scored
+whole; an empty table to score gives no rows; columns beside id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations

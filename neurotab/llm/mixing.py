@@ -21,7 +21,8 @@ rerun gives the same mix.
 Defined results: a null text or a text without words has size 0 and is taken
 0 times; a null source is a source of its own, ordered last; repeated rows share
 their rank value and fate; extra columns of ``docs``, whatever their names,
-pass ``apply_mix`` unchanged; an empty table gives an empty mix.
+pass ``apply_mix`` unchanged; an empty table gives an empty mix; a very long text
+is one row like any other, counted whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Defined results: a null text counts as empty (no words, ``base_failed``); null
 or repeated ids are kept as they are, one result row per input row; ``assess``
 replaces columns that carry the name of an added one, ``clean`` keeps every
 column of its input.  No row leaves its
-partition: there is no shuffle, so a hot source or id cannot skew a task.
+partition: there is no shuffle, so a hot source or id cannot skew a task.  A very
+long text is one row, judged whole; an empty table gives no rows.  Windows of
+eight words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ the one space that encoding put in front.
 Defined results: a null or empty text has no tokens; spaces are kept one by
 one; the space mark (U+2581) in a text is read as a space, as the library does;
 repeated rows give repeated results; tokens without a meaning in a text
-(control pieces) decode to nothing.
+(control pieces) decode to nothing; a very long text is one row, encoded whole; an
+empty table gives no rows.  Of merges of equal rank the leftmost comes first.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ within two bits exactly if they share such a word.  That is linear and exact.
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; texts under three words use the whole
 sequence; rows with a null id take part, and a component whose ids are all
-null has a null id; repeated rows give repeated result rows.
+null has a null id; repeated rows give repeated result rows; a very long text is
+one row and read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ against one shard gives each query a k-th score to prune with everywhere else.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, neither do null ids; vectors of other lengths count as padded
 with zeros; every row with the query's own id is left out; repeated rows are
-candidates one by one, repeated query ids are one query (the smallest vector).
+candidates one by one, repeated query ids are one query (the smallest vector); an empty table gives no
+rows.  Scores are 64-bit: components whose products pass them (about 1e8 and
+more at 64 dimensions) are not meant for this search.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ listed nowhere and never read.
 Defined results: a null payload is an empty one; rows of one payload that share
 its smallest id (repeated rows) are all responses; among equal payloads without
 any id all are responses, and one without an id revisits the smallest id there
-is; an empty table gives no archive.
+is; an empty table gives no archive; a very long payload is one record of an
+archive of its own size.
 """
 
 from __future__ import annotations
