@@ -4,6 +4,12 @@ source mixing and tokens, over the documents table.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it to the shared folder as Parquet and reads it back as the next stage's docs.
 All stages but the last return the columns of ``docs``, whatever they are.
+
+Defined results, beside those of the operators: a document with a null text has
+no words and is rejected by the first stage; rows without an id pass near-dedup
+as one component by fingerprint, keep their passages, and are mixed like others;
+of repeated rows near-dedup keeps one; a document is as often in the mix as its
+source's target asks; an empty table gives an empty result with all columns.
 """
 
 from __future__ import annotations
