@@ -98,11 +98,8 @@ def start_states(ends: DataFrame, sig_keys: Sequence[str], matrix: np.ndarray, f
     """(sig_keys..., pos, start) for pos >= 1 from (sig_keys..., pos, own): the
     state before block ``pos`` is own[pos - 1] + start[pos - 1] @ matrix, and the
     first block's own state already holds its start."""
-    size = len(matrix)
+    size, keys = len(matrix), list(sig_keys)
     last = ends.agg(F.max("pos")).first()[0]
-    keys = list(sig_keys)
-    kinds = [f"{c} {ends.schema[c].dataType.simpleString()}" for c in keys]
-    schema = ", ".join([*kinds, "pos bigint", "start array<double>"])
 
     def along(own: list, state: np.ndarray) -> list[np.ndarray]:
         """States before each row and after the last one."""
@@ -112,26 +109,29 @@ def start_states(ends: DataFrame, sig_keys: Sequence[str], matrix: np.ndarray, f
             states.append(state)
         return states
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        begin = pdf["begin"].iloc[0] if "begin" in pdf else None
-        states = along(pdf["own"].tolist(), np.zeros(size) if begin is None else np.asarray(begin))[:-1]
-        return pdf[keys].assign(pos=pdf["pos"], start=states)[[*keys, "pos", "start"]]
+    @F.pandas_udf(T.ArrayType(ARRAY))
+    def before_each(own: pd.Series, begin: pd.Series) -> pd.Series:
+        return pd.Series([[v.tolist() for v in along(o, np.zeros(size) if b is None else np.asarray(b))[:-1]] for o, b in zip(own, begin, strict=True)], dtype=object)
 
-    if last is None or last < fan:
-        return ends.groupBy(*keys).applyInPandas(walk, schema).where("pos > 0")
+    @F.pandas_udf(ARRAY)
+    def after_all(own: pd.Series) -> pd.Series:
+        return pd.Series([along(o, np.zeros(size))[-1] for o in own], dtype=object)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        row = pdf.iloc[:1]
-        return row[keys].assign(pos=row["grp"], own=[along(pdf["own"].tolist(), np.zeros(size))[-1]])[[*keys, "pos", "own"]]
+    def gathered(rows: DataFrame, by: list[str]) -> DataFrame:
+        """One row a group of at most ``fan`` blocks, in order."""
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "own"))).alias("s"))
 
-    grouped = ends.withColumn("grp", F.floor(F.col("pos") / fan).cast("long"))
-    totals = grouped.groupBy(*keys, "grp").applyInPandas(total, ", ".join([*kinds, "pos bigint", "own array<double>"]))
+    def told(groups: DataFrame) -> DataFrame:
+        pairs = F.arrays_zip(F.col("s.pos").alias("pos"), before_each(F.col("s.own"), F.col("begin")).alias("start"))
+        return groups.select(*keys, F.explode(pairs).alias("z")).select(*keys, "z.pos", "z.start").where("pos > 0")
+
+    if last is None or last < fan:
+        return told(gathered(ends, keys).withColumn("begin", F.lit(None).cast(ARRAY)))
+    groups = cut_lineage(gathered(ends.withColumn("grp", F.floor(F.col("pos") / fan).cast("long")), [*keys, "grp"]))
+    totals = cut_lineage(groups.select(*keys, F.col("grp").alias("pos"), after_all(F.col("s.own")).alias("own")))
     # every group but a signal's last one has ``fan`` blocks, and nothing follows the last
-    begins = start_states(cut_lineage(totals), keys, np.linalg.matrix_power(matrix, fan), fan)
-    placed = grouped.join(begins.select(*keys, F.col("pos").alias("grp"), F.col("start").alias("begin")), [*keys, "grp"], "left")
-    return placed.groupBy(*keys, "grp").applyInPandas(walk, schema).where("pos > 0")
+    begins = start_states(totals, keys, np.linalg.matrix_power(matrix, fan), fan)
+    return told(groups.join(begins.select(*keys, F.col("pos").alias("grp"), F.col("start").alias("begin")), [*keys, "grp"], "left"))
 
 
 def _pass(blocks: DataFrame, sig_keys: Sequence[str], sections, matrix: np.ndarray, back: bool, fan: int) -> DataFrame:

@@ -242,6 +242,19 @@ WHERE c.n < 32 OR floor(s.sample_idx / 32) < floor(c.n / 32)"""
 
 @register("clean_full", _clean_full_oracle())
 def q_clean_full(spark, sf_dir):
-    """Full chain with band-pass and notch on samples_big (162-235 samples per
-    signal, filtered in blocks of 48: three to four a signal)."""
-    return rounded(pp.clean(fx.samples_big(spark, sf_dir), REC, filters=True, baseline=24, epoch_size=32, block=48))
+    """Full chain with band-pass and notch on samples_big (162-235 samples per signal)."""
+    return rounded(pp.clean(fx.samples_big(spark, sf_dir), REC, filters=True, baseline=24, epoch_size=32))
+
+
+def _blocks_oracle() -> str:
+    from neurotab.plans.oracle_views import VIEWS
+    ctes = [("samples_big", VIEWS["samples_big"]), *filtfilt_ctes(iir.bandpass_sections(0.5, 45.0, 128.0, 5), "samples_big", ("recording_id", "channel"), "bp_")]
+    return sql([], "SELECT recording_id, channel, sample_idx, round(value, 6) AS value FROM bp_out", given=ctes)
+
+
+@register("zero_phase_blocks", _blocks_oracle())
+def q_zero_phase_blocks(spark, sf_dir):
+    """Band-pass of samples_big in blocks of 48 (three to four a signal, states
+    composed in groups of two)."""
+    band, _ = pp.cleaning_filters(128.0)
+    return rounded(zero_phase(fx.samples_big(spark, sf_dir), SIG, [band], block=48, fan=2))
