@@ -4,10 +4,11 @@ Queries are packed into groups and points into blocks of fixed size, per
 partition key, by a hash of their id, so a dominant key is many blocks.  Every
 query group of a partition meets every point block of it through an equi-join
 on (partition, block number): a stated query set against all rows, a block at
-a time.  A task holds one group and one block as matrices; it keeps the k best
-points of each query there, so what is shuffled to the final ranking is k rows
-per query and block, not the pairs.  No pruning by single coordinates is tried:
-in many dimensions it settles no query.
+a time.  A task holds one group and one block as matrices; a matrix product
+settles which points can be among the k best of a query, those alone get their
+exact distance, and what is shuffled to the final ranking is k rows per query
+and block, not the pairs.  No pruning by single coordinates is tried: in many
+dimensions it settles no query.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import types as T
 
 from neurotab.session import cut_lineage
 
-QUERY_GROUP = 512
+QUERY_GROUP = 2048
 POINT_BLOCK = 4096
+# queries whose distances to a block are held at once, and groups of points that bound the k-th
+SLICE = 256
+SIEVE = 64
 # a classifier is fitted on at most this many labelled rows (those of smallest hash)
 MAX_TRAIN_ROWS = 1_000_000
 # distances are compared to this many decimals, so that equal ones tie on any machine
@@ -61,27 +65,56 @@ def _numbered(counted: DataFrame, part: Sequence[str], size: int, id_col: str, v
                                                 F.col(vec).cast("array<double>").alias("_v"))
 
 
+def _squares(q: np.ndarray, p: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (rows, cols), in the same order of additions for every pair."""
+    d = np.zeros(len(rows))
+    for j in range(q.shape[1]):
+        diff = q[rows, j] - p[cols, j]
+        d += diff * diff
+    return d
+
+
+def _candidates(q: np.ndarray, p: np.ndarray, same: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) among which are each query's k nearest points, ties included.
+
+    |q - p|^2 - |q|^2 comes from one matrix product.  The k-th smallest of the
+    minima of disjoint groups of points is no less than the k-th smallest of
+    all, so points beyond it, by more than the product's rounding errors and
+    those of the compared distance, are settled without an exact distance."""
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    part = q @ (-2.0 * p.T)
+    part += pp
+    if same is not None:
+        part[same] = np.inf
+    width = max(1, len(p) // max(SIEVE, 2 * k))
+    least = np.minimum.reduceat(part, np.arange(0, len(p), width), axis=1)
+    bound = np.partition(least, k - 1, axis=1)[:, k - 1] if least.shape[1] >= k else np.full(len(q), np.inf)
+    error = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (qq + pp.max(initial=0.0))
+    reach = np.sqrt(np.maximum(bound + qq, 0) + error) + 2 * 10.0 ** -DECIMALS
+    limit = reach * reach + error - qq
+    limit += 4 * np.finfo(float).eps * (np.abs(reach * reach) + qq)
+    return np.nonzero(part <= limit[:, None])
+
+
 def _nearest(q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, exclude_self: bool):
     """For each query: places of its k nearest points (ties by id) and distances.
-    Only the k that are kept are sorted."""
+    Only candidates get an exact distance, and only they are sorted."""
     by_id = np.argsort(p_ids, kind="stable")
     p, p_ids = p[by_id], p_ids[by_id]
-    d = np.zeros((len(q), len(p)))
-    for j in range(q.shape[1]):              # same order of additions for every pair
-        diff = q[:, j, None] - p[None, :, j]
-        d += diff * diff
-    d = np.sqrt(d)
-    key = np.round(d, DECIMALS)
-    if exclude_self:
-        key[q_ids[:, None] == p_ids[None, :]] = np.inf
     k = min(k, len(p))
-    last = np.partition(key, k - 1, axis=1)[:, k - 1:k]
-    nearer, tied = key < last, key == last
-    # of equal distances the first ids fill up to k
-    chosen = nearer | (tied & (tied.cumsum(1) <= k - nearer.sum(1, keepdims=True)))
-    places = np.nonzero(chosen)[1].reshape(len(q), k)
-    places = np.take_along_axis(places, np.argsort(np.take_along_axis(key, places, 1), axis=1, kind="stable"), 1)
-    return by_id[places], np.take_along_axis(d, places, 1), np.isfinite(np.take_along_axis(key, places, 1))
+    same = q_ids[:, None] == p_ids[None, :] if exclude_self else None
+    if np.isfinite(q).all() and np.isfinite(p).all():
+        rows, cols = _candidates(q, p, same, k)
+    else:
+        rows, cols = (v.ravel() for v in np.indices((len(q), len(p))))
+    d = np.sqrt(_squares(q, p, rows, cols))
+    key = np.round(d, DECIMALS)
+    if same is not None:
+        key[same[rows, cols]] = np.inf
+    order = np.lexsort((cols, key, rows))  # of equal distances the first ids come first
+    first = np.searchsorted(rows, np.arange(len(q)))
+    chosen = order[first[:, None] + np.arange(k)]
+    return by_id[cols[chosen]], d[chosen], np.isfinite(key[chosen])
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "features",
@@ -108,16 +141,17 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id",
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, p_ids = np.array(row["q_ids"]), np.array(row["p_ids"])
-                q = np.frombuffer(row["q_vecs"]).reshape(len(q_ids), -1)
-                p = np.frombuffer(row["p_vecs"]).reshape(len(p_ids), -1)
-                place, distance, real = _nearest(q, p, q_ids, p_ids, k, exclude_self)
-                keep = real.ravel()
-                n = int(keep.sum())
-                out = {"q_id": np.repeat(q_ids, place.shape[1])[keep], "p_id": p_ids[place].ravel()[keep], "distance": distance.ravel()[keep]}
-                out |= {c: [row[c]] * n for c in part}
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            for at in range(batch.num_rows):  # one pair of packs is held at a time, and SLICE of its queries
+                row = {name: batch.column(name)[at] for name in batch.schema.names}
+                q_ids, p_ids = (row[n].values.to_numpy(zero_copy_only=False) for n in ("q_ids", "p_ids"))
+                q, p = (np.frombuffer(row[n].as_buffer()).reshape(len(i), -1) for n, i in (("q_vecs", q_ids), ("p_vecs", p_ids)))
+                for lo in range(0, len(q), SLICE):
+                    own = q_ids[lo:lo + SLICE]
+                    place, distance, real = _nearest(q[lo:lo + SLICE], p, own, p_ids, k, exclude_self)
+                    keep = real.ravel()
+                    out = {"q_id": np.repeat(own, place.shape[1])[keep], "p_id": p_ids[place].ravel()[keep], "distance": distance.ravel()[keep]}
+                    out |= {c: [row[c].as_py()] * int(keep.sum()) for c in part}
+                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
