@@ -41,6 +41,7 @@ IN_TASK_CELLS = 1 << 26
 UNIT = float(1 << 20)
 PENALTY, LEAST_WEIGHT = 1.0, 1.0
 ACCURACY = 2000  # of the quantiles
+ROWS_AT_ONCE = 1 << 15
 TREES = "plan int, round int, cls int, feature array<int>, cut array<int>, child array<int>, value array<double>"
 
 
@@ -174,37 +175,46 @@ class Trees:
         return [(plan, turn, c, self.feature[c], self.cut[c], self.child[c], [float(v) for v in self.value[c]]) for c in range(len(self.value))]
 
 
-def histograms(cells: np.ndarray, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """(node, feature, bin, [g, h]) sums; ``places`` has rows, g and h of each node."""
-    d = cells.shape[1]
-    out = np.zeros((len(places), d * BINS, 2))
+def histograms(cells: np.ndarray, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray) -> np.ndarray:
+    """(node, [g, h], feature of ``used``, bin) sums; ``places`` has rows, g and h
+    of each node.  A feature's cells are added up for all nodes at once, some rows at a time."""
+    n = len(places)
+    out = np.zeros((n, 2, len(used), BINS))
     if not places:
-        return out.reshape(0, d, BINS, 2)
-    rows = np.concatenate([p[0] for p in places])
-    node = np.repeat(np.arange(len(places)), [len(p[0]) for p in places])
-    index = (cells[rows].astype(np.int64) + np.arange(d) * BINS + (node * (d * BINS))[:, None]).ravel()
-    for k in (0, 1):
-        weight = np.repeat(np.concatenate([p[k + 1] for p in places]), d)
-        out[..., k] = np.bincount(index, weight, len(places) * d * BINS).reshape(len(places), -1)
-    return out.reshape(len(places), d, BINS, 2)
+        return out
+    rows, *weights = (np.concatenate([p[k] for p in places]) for k in range(3))
+    first = np.repeat(np.arange(n) * BINS, [len(p[0]) for p in places])
+    for lo in range(0, len(rows), ROWS_AT_ONCE):
+        part = slice(lo, lo + ROWS_AT_ONCE)
+        low, g, h = first[part], weights[0][part], weights[1][part]
+        start, stop = int(low[0]), int(low[-1]) + BINS  # rows stand in the order of their nodes
+        low = low - start
+        nodes = slice(start // BINS, stop // BINS)
+        columns = np.ascontiguousarray(cells[rows[part]].T[used])
+        for j, column in enumerate(columns):
+            index = low + column
+            out[nodes, 0, j] += np.bincount(index, g, stop - start).reshape(-1, BINS)
+            out[nodes, 1, j] += np.bincount(index, h, stop - start).reshape(-1, BINS)
+    return out
 
 
-def best_splits(sums: np.ndarray, masks: np.ndarray, step: np.ndarray) -> list[tuple | None]:
+def best_splits(sums: np.ndarray, used: np.ndarray, step: float) -> list[tuple | None]:
     """(feature, cut, left value, right value) of each node, None where no split
     gains; ties go to the first feature and cut."""
-    total = sums[:, :1].sum(2, keepdims=True)  # any feature's bins add up to the node
-    left = sums.cumsum(2)[:, :, :-1]
-    right = total - left
-    score = lambda s: (s[..., 0] / UNIT) ** 2 / (s[..., 1] / UNIT + PENALTY)
-    gain = score(left) + score(right) - score(total)
-    gain[(left[..., 1] < LEAST_WEIGHT * UNIT) | (right[..., 1] < LEAST_WEIGHT * UNIT) | ~masks[:, :, None]] = -np.inf
+    g, h = sums[:, 0] / UNIT, sums[:, 1] / UNIT
+    whole_g, whole_h = g[:, :1].sum(2, keepdims=True), h[:, :1].sum(2, keepdims=True)  # any feature's bins add up to the node
+    left_g, left_h = g.cumsum(2)[:, :, :-1], h.cumsum(2)[:, :, :-1]
+    right_g, right_h = whole_g - left_g, whole_h - left_h
+    score = lambda a, b: a ** 2 / (b + PENALTY)
+    gain = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)
+    gain[(left_h < LEAST_WEIGHT) | (right_h < LEAST_WEIGHT)] = -np.inf
     flat = gain.reshape(len(sums), -1)
     best = flat.argmax(1)
-    leaf = lambda s, eta: -eta * (s[0] / UNIT) / (s[1] / UNIT + PENALTY)
+    leaf = lambda a, b: float(-step * a / (b + PENALTY))
     out: list[tuple | None] = []
     for i, b in enumerate(best):
         j, cut = divmod(int(b), BINS - 1)
-        out.append((j, cut, float(leaf(left[i, j, cut], step[i])), float(leaf(right[i, j, cut], step[i]))) if flat[i, b] > 1e-9 else None)
+        out.append((int(used[j]), cut, leaf(left_g[i, j, cut], left_h[i, j, cut]), leaf(right_g[i, j, cut], right_h[i, j, cut])) if flat[i, b] > 1e-9 else None)
     return out
 
 
@@ -214,28 +224,47 @@ def grow(plan: Plan, cells: np.ndarray, label: np.ndarray, fold: np.ndarray, key
     """Margins and trees of one classifier over a table held in one task."""
     margins, forest, d = np.zeros((len(cells), classes)), [], cells.shape[1]
     for turn in range(plan.rounds):
-        g, h = whole_gradients(margins, label)
-        use = np.nonzero(learns(plan, turn, key, fold))[0]
-        trees, mask = Trees(classes), allowed(plan, turn, d)
-        own = {(c, 0): use for c in range(classes)}
+        g, h = (np.ascontiguousarray(v.T) for v in whole_gradients(margins, label))
+        learned = learns(plan, turn, key, fold)
+        trees, used = Trees(classes), np.nonzero(allowed(plan, turn, d))[0]
+        own = {(c, 0): np.nonzero(learned)[0] for c in range(classes)}
+        place = lambda k: (own[k], g[k[0]][own[k]], h[k[0]][own[k]])  # noqa: E731, B023
+        before: dict[tuple[int, int], np.ndarray] = {}  # sums of the parents, by their left child
         for _ in range(plan.depth):
             # a node that cannot give two children of the least weight needs no histogram
-            trees.open = [(c, n) for c, n in trees.open if h[own[c, n], c].sum() >= 2 * LEAST_WEIGHT * UNIT]
+            trees.open = [(c, n) for c, n in trees.open if h[c][own[c, n]].sum() >= 2 * LEAST_WEIGHT * UNIT]
             if not trees.open:
                 break
             at = trees.open
-            sums = histograms(cells, [(own[k], g[own[k], k[0]], h[own[k], k[0]]) for k in at])
-            found = {k: s for k, s in zip(at, best_splits(sums, np.broadcast_to(mask, (len(at), d)), np.full(len(at), plan.step)), strict=True) if s}
+            sums = level_sums(cells, at, own, place, before, used)
+            found = {k: s for k, s in zip(at, best_splits(sums, used, plan.step), strict=True) if s}
             trees.split(found)
+            before = {(k[0], trees.child[k[0]][k[1]]): s for k, s in zip(at, sums, strict=True) if k in found}
             for (c, n), (j, cut, *_) in found.items():
-                rows, child = own[c, n], trees.child[c][n]
+                rows, child = own.pop((c, n)), trees.child[c][n]
                 right = cells[rows, j] > cut
                 own[c, child], own[c, child + 1] = rows[~right], rows[right]
-        margins += trees.output(cells)
+        unseen = np.nonzero(~learned)[0]
+        if len(unseen):
+            margins[unseen] += trees.output(cells[unseen])
+        for (c, n), rows in own.items():  # rows that were learned from stand at their leaves
+            margins[rows, c] += trees.value[c][n]
         forest.append(trees)
     return margins, forest
 
 
+def level_sums(cells: np.ndarray, at: list[tuple[int, int]], own: dict, place, before: dict, used: np.ndarray) -> np.ndarray:
+    """Sums of the nodes ``at``.  Of two neighbours the one with fewer rows is
+    added up, the other is what is left of their parent (whole numbers: exactly)."""
+    left = [(c, n if (c, n) in before else n - 1) for c, n in at]
+    counted = {k if k not in before or len(own[k]) <= len(own[k[0], k[1] + 1]) else (k[0], k[1] + 1)
+               for k in left if k in before} | {k for k in at if not before}
+    # a node whose neighbour is not asked for is added up itself if it has fewer rows
+    order = {k: i for i, k in enumerate(sorted(counted))}
+    direct = histograms(cells, [place(k) for k in order], used)
+    return np.stack([direct[order[k]] if k in order else before[first] - direct[order[first[0], 2 * first[1] + 1 - k[1]]] for k, first in zip(at, left, strict=True)])
+
+
 def by_classifier(rows: DataFrame, plans: Sequence[Plan], classes: int, keep_trees: bool) -> tuple[DataFrame, DataFrame]:
     """Every classifier in one task over the broadcast table."""
     spark = rows.sparkSession
@@ -328,12 +357,12 @@ def _level(state: DataFrame, read, plans: Sequence[Plan], growing: dict[int, Tre
             cells, label, fold, key, margins = read(b)
             for k, trees in growing.items():
                 g, h = whole_gradients(margins[:, k], label)
-                use = learns(plans[k], turn, key, fold)
+                use, used = learns(plans[k], turn, key, fold), np.nonzero(allowed(plans[k], turn, d))[0]
                 for c in sorted({c for c, _ in trees.open}):
                     node = np.where(use, trees.walk(cells, c), -1)
                     names = [n for q, n in trees.open if q == c]
                     own = [np.nonzero(node == n)[0] for n in names]
-                    for n, s in zip(names, histograms(cells, [(o, g[o, c], h[o, c]) for o in own]), strict=True):
+                    for n, s in zip(names, histograms(cells, [(o, g[o, c], h[o, c]) for o in own], used), strict=True):
                         sums[k, c, n] = sums[k, c, n] + s if (k, c, n) in sums else s
         if sums:
             at = list(sums)
@@ -342,8 +371,9 @@ def _level(state: DataFrame, read, plans: Sequence[Plan], growing: dict[int, Tre
 
     def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, c, n = (v.as_py() for v in key)
-        total = sum(np.frombuffer(s, np.float64).reshape(1, d, BINS, 2) for part in parts for s in part.column("sums").to_pylist())
-        split = best_splits(total, allowed(plans[k], turn, d)[None], np.array([plans[k].step]))[0]
+        used = np.nonzero(allowed(plans[k], turn, d))[0]
+        total = sum(np.frombuffer(s, np.float64).reshape(1, 2, len(used), BINS) for part in parts for s in part.column("sums").to_pylist())
+        split = best_splits(total, used, plans[k].step)[0]
         if split:
             yield pa.RecordBatch.from_pylist([{"plan": k, "cls": c, "node": n, "feature": split[0], "cut": split[1], "low": split[2], "high": split[3]}],
                                              pa.schema([(x, pa.int32()) for x in ("plan", "cls", "node", "feature", "cut")] + [("low", pa.float64()), ("high", pa.float64())]))
