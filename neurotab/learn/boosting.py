@@ -42,13 +42,18 @@ UNIT = float(1 << 20)
 PENALTY, LEAST_WEIGHT = 1.0, 1.0
 ACCURACY = 2000  # of the quantiles
 ROWS_AT_ONCE = 1 << 15
+LOOKED_AT = 10_000
 TREES = "plan int, round int, cls int, feature array<int>, cut array<int>, child array<int>, value array<double>"
 
 
 @dataclass(frozen=True)
 class Plan:
     """One classifier: ``rows`` is the share of rows, ``features`` the share of
-    features ("all" or "sqrt") of a tree; ``leave_out`` a fold it must not see."""
+    features ("all" or "sqrt") of a tree; ``leave_out`` a fold it must not see.
+    With ``against`` it is a binary classifier of that class against the rest,
+    one tree a round, grown as Spark's ``GBTClassifier`` does: the first tree on
+    the labels -1 and 1 at full weight, the others on the residuals of its log
+    loss, splits by variance, leaves the mean."""
 
     rounds: int = 300
     depth: int = 6
@@ -57,6 +62,14 @@ class Plan:
     features: str = "all"
     seed: int = config.SEED
     leave_out: int | None = None
+    against: int | None = None
+
+    def step_of(self, turn: int) -> float:
+        return 1.0 if self.against is not None and turn == 0 else self.step
+
+    @property
+    def penalty(self) -> float:
+        return PENALTY if self.against is None else 0.0
 
 
 # ---------------------------------------------------------------- binning
@@ -69,6 +82,33 @@ def quantile_cuts(data: DataFrame, bins: int = BINS, col: str = "features") -> l
     return [sorted(set(r["cuts"] or [])) for r in rows]
 
 
+def middle_cuts(data: DataFrame, bins: int = BINS, col: str = "features") -> list[list[float]]:
+    """Cuts half way between values, where Spark's trees cut a table whose rows
+    they all look at (no more than ``LOOKED_AT``): a feature's rows in strides."""
+    def cut(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, n = (np.concatenate(v) for v in zip(*[(p.column("x").to_numpy(), p.column("n").to_numpy()) for p in parts], strict=True))
+        order = np.argsort(x)
+        x, n = x[order], n[order]
+        middles, seen = (x[:-1] + x[1:]) / 2, np.cumsum(n)
+        chosen = []
+        if len(middles) < bins:
+            chosen = middles.tolist()
+        else:
+            stride = target = seen[-1] / bins
+            for i, m in enumerate(middles):
+                if abs(seen[i] - target) < abs(seen[i + 1] - target):
+                    chosen.append(float(m))
+                    target += stride
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([chosen], pa.list_(pa.float64()))], ["j", "cuts"])
+
+    values = data.select(F.posexplode(col).alias("j", "x"))
+    found = values.where("x is not null and not isnan(x)").groupBy("j", (F.col("x") + 0.0).alias("x")).agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("j").applyInArrow(cut, "j int, cuts array<double>").collect()
+    known = {r["j"]: r["cuts"] for r in found}
+    width = data.agg(F.max(F.size(col))).first()[0] or 0
+    return [known.get(j, []) for j in range(width)]
+
+
 def bin_matrix(x: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
     out = np.zeros(x.shape, np.uint8)
     for j, c in enumerate(cuts):
@@ -110,6 +150,15 @@ def whole_gradients(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray,
     return np.rint(g * UNIT), np.rint(2 * p * (1 - p) * UNIT)
 
 
+def gradients(plan: Plan, turn: int, margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``whole_gradients``, or residuals and row counts of a class against the rest."""
+    if plan.against is None:
+        return whole_gradients(margins, label)
+    y = np.where(label == plan.against, 1.0, -1.0)[:, None]
+    rest = y if turn == 0 else 4 * y / (1 + np.exp(np.minimum(2 * y * margins, 700)))
+    return np.rint(-rest * UNIT), np.full(rest.shape, UNIT)
+
+
 def mixed(key: np.ndarray, salt: int) -> np.ndarray:
     h = key.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -148,6 +197,9 @@ class Trees:
         for c, node in self.open:
             if (c, node) in found:
                 feature, cut, *values = found[c, node]
+                if feature < 0:  # a root that stays a leaf
+                    self.value[c][node] = values[0]
+                    continue
                 self.feature[c][node], self.cut[c][node], self.child[c][node] = feature, cut, len(self.child[c])
                 for side in values:
                     after.append((c, len(self.child[c])))
@@ -198,19 +250,22 @@ def histograms(cells: np.ndarray, places: list[tuple[np.ndarray, np.ndarray, np.
     return out
 
 
-def best_splits(sums: np.ndarray, used: np.ndarray, step: float) -> list[tuple | None]:
+def best_splits(sums: np.ndarray, used: np.ndarray, step: float, penalty: float = PENALTY) -> list[tuple | None]:
     """(feature, cut, left value, right value) of each node, None where no split
     gains; ties go to the first feature and cut."""
+    if not len(used):
+        return [None] * len(sums)
     g, h = sums[:, 0] / UNIT, sums[:, 1] / UNIT
     whole_g, whole_h = g[:, :1].sum(2, keepdims=True), h[:, :1].sum(2, keepdims=True)  # any feature's bins add up to the node
     left_g, left_h = g.cumsum(2)[:, :, :-1], h.cumsum(2)[:, :, :-1]
     right_g, right_h = whole_g - left_g, whole_h - left_h
-    score = lambda a, b: a ** 2 / (b + PENALTY)
-    gain = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)
+    score = lambda a, b: a ** 2 / (b + penalty)
+    with np.errstate(divide="ignore", invalid="ignore"):  # sides without rows are ruled out below
+        gain = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)
     gain[(left_h < LEAST_WEIGHT) | (right_h < LEAST_WEIGHT)] = -np.inf
     flat = gain.reshape(len(sums), -1)
     best = flat.argmax(1)
-    leaf = lambda a, b: float(-step * a / (b + PENALTY))
+    leaf = lambda a, b: float(-step * a / (b + penalty))
     out: list[tuple | None] = []
     for i, b in enumerate(best):
         j, cut = divmod(int(b), BINS - 1)
@@ -224,12 +279,14 @@ def grow(plan: Plan, cells: np.ndarray, label: np.ndarray, fold: np.ndarray, key
     """Margins and trees of one classifier over a table held in one task."""
     margins, forest, d = np.zeros((len(cells), classes)), [], cells.shape[1]
     for turn in range(plan.rounds):
-        g, h = (np.ascontiguousarray(v.T) for v in whole_gradients(margins, label))
-        learned = learns(plan, turn, key, fold)
+        g, h = (np.ascontiguousarray(v.T) for v in gradients(plan, turn, margins, label))
+        learned, step = learns(plan, turn, key, fold), plan.step_of(turn)
         trees, used = Trees(classes), np.nonzero(allowed(plan, turn, d))[0]
         own = {(c, 0): np.nonzero(learned)[0] for c in range(classes)}
         place = lambda k: (own[k], g[k[0]][own[k]], h[k[0]][own[k]])  # noqa: E731, B023
         before: dict[tuple[int, int], np.ndarray] = {}  # sums of the parents, by their left child
+        if plan.against is not None and learned.any():
+            trees.value[0][0] = float(-step * (g[0][learned].sum() / UNIT) / (h[0][learned].sum() / UNIT))
         for _ in range(plan.depth):
             # a node that cannot give two children of the least weight needs no histogram
             trees.open = [(c, n) for c, n in trees.open if h[c][own[c, n]].sum() >= 2 * LEAST_WEIGHT * UNIT]
@@ -237,7 +294,7 @@ def grow(plan: Plan, cells: np.ndarray, label: np.ndarray, fold: np.ndarray, key
                 break
             at = trees.open
             sums = level_sums(cells, at, own, place, before, used)
-            found = {k: s for k, s in zip(at, best_splits(sums, used, plan.step), strict=True) if s}
+            found = {k: s for k, s in zip(at, best_splits(sums, used, step, plan.penalty), strict=True) if s}
             trees.split(found)
             before = {(k[0], trees.child[k[0]][k[1]]): s for k, s in zip(at, sums, strict=True) if k in found}
             for (c, n), (j, cut, *_) in found.items():
@@ -356,7 +413,7 @@ def _level(state: DataFrame, read, plans: Sequence[Plan], growing: dict[int, Tre
         for b in batches:
             cells, label, fold, key, margins = read(b)
             for k, trees in growing.items():
-                g, h = whole_gradients(margins[:, k], label)
+                g, h = gradients(plans[k], turn, margins[:, k], label)
                 use, used = learns(plans[k], turn, key, fold), np.nonzero(allowed(plans[k], turn, d))[0]
                 for c in sorted({c for c, _ in trees.open}):
                     node = np.where(use, trees.walk(cells, c), -1)
@@ -373,7 +430,11 @@ def _level(state: DataFrame, read, plans: Sequence[Plan], growing: dict[int, Tre
         k, c, n = (v.as_py() for v in key)
         used = np.nonzero(allowed(plans[k], turn, d))[0]
         total = sum(np.frombuffer(s, np.float64).reshape(1, 2, len(used), BINS) for part in parts for s in part.column("sums").to_pylist())
-        split = best_splits(total, used, plans[k].step)[0]
+        plan = plans[k]
+        split = best_splits(total, used, plan.step_of(turn), plan.penalty)[0]
+        whole = total[0, :, 0].sum(1) / UNIT if len(used) else np.zeros(2)
+        if not split and n == 0 and plan.against is not None and whole[1]:
+            split = -1, 0, float(-plan.step_of(turn) * whole[0] / whole[1]), 0.0
         if split:
             yield pa.RecordBatch.from_pylist([{"plan": k, "cls": c, "node": n, "feature": split[0], "cut": split[1], "low": split[2], "high": split[3]}],
                                              pa.schema([(x, pa.int32()) for x in ("plan", "cls", "node", "feature", "cut")] + [("low", pa.float64()), ("high", pa.float64())]))
@@ -387,7 +448,8 @@ def boost(data: DataFrame, plans: Sequence[Plan], fold_col: str | None = None, c
           in_task_cells: int = IN_TASK_CELLS) -> tuple[list[list[float]], DataFrame, DataFrame]:
     """Fit all ``plans`` on (id, label, features[, fold]).  Returns the cuts, the
     trees (plan, round, cls, nodes) and the margins of left-out rows (plan, id, margins)."""
-    cuts = quantile_cuts(data)
+    as_spark = all(q.against is not None for q in plans) and data.count() <= LOOKED_AT
+    cuts = (middle_cuts if as_spark else quantile_cuts)(data)
     rows = binned(data, cuts, fold_col)
     d = len(cuts)
     if rows.count() * max(d, 1) <= in_task_cells:

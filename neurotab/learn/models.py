@@ -154,25 +154,42 @@ def fit_random_forest(train: DataFrame, trees: int = 300, depth: int = 10, seed:
 
 def fit_gbt_ovr(train: DataFrame, iters: int = 200, depth: int = 6, step: float = 0.05, subsample: float = 1.0,
                 feature_subset: str = "all", seed: int = config.SEED, name: str = "gbt", k: int = K) -> Scorer:
-    """One binary boosted-tree model per class (Spark's GBT is binary), fitted
-    in parallel by ``OneVsRest``; per-class positive probabilities
-    sigmoid(2 * margin) are normalised to sum to one."""
+    """One binary boosted-tree model per class (Spark's GBT is binary); per-class
+    positive probabilities sigmoid(2 * margin) are normalised to sum to one.  The
+    trees are those of Spark's ``GBTClassifier`` (its losses, weights, variance
+    splits and 32 quantile bins) on the histograms of ``learn.boosting``, all
+    classes together: Spark starts a job a level, round and class.  Features
+    drawn anew at each node are left to Spark, in ``OneVsRest``."""
+    if feature_subset == "all":
+        plans = [Plan(iters, depth, step, rows=subsample, seed=seed, against=c) for c in range(k)]
+        cuts, trees, _ = boost(train, plans, classes=1)
+        one_forest = trees.drop("cls").withColumnRenamed("plan", "cls")
+        return scorer_of("boosted_bins", name, {"cuts": cuts, "k": k}, one_forest)
     g = GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
                       featureSubsetStrategy=feature_subset, seed=seed)
     ovr = OneVsRest(classifier=g, featuresCol="fv", labelCol="label", parallelism=k)
     return scorer_of("boosted", name, {}, _fit_cached(ovr, _vec(train)))
 
 
+def _one_against_rest(margins: str) -> F.Column:
+    q = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    tot = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(q, lambda v: v / tot)
+
+
 @kind("boosted")
 def _score_boosted(name: str, params: dict, model, members):
     def score(df: DataFrame) -> DataFrame:
         raw = model.transform(_vec(df)).select("id", vector_to_array("rawPrediction").alias("_r"))
-        q = F.transform("_r", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        tot = F.aggregate(q, F.lit(0.0), lambda a, b: a + b)
-        return _out(raw, name, F.transform(q, lambda v: v / tot))
+        return _out(raw, name, _one_against_rest("_r"))
     return score
 
 
+@kind("boosted_bins")
+def _score_boosted_bins(name: str, params: dict, trees, members):
+    return lambda df: _out(forest_margins(df, params["cuts"], trees, params["k"]), name, _one_against_rest("margins"))
+
+
 def _softmax(arr: F.Column) -> F.Column:
     mx = F.array_max(arr)
     e = F.transform(arr, lambda v: F.exp(v - mx))
