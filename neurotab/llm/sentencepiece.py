@@ -53,8 +53,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG_UNIT = 60
 UNITS_A_BUCKET = 250_000
-BATCH_CHARS = 3_000_000
-SEEN_UNITS = 500_000
+BATCH_CHARS = 1_000_000
+# units that a worker holds before it passes them on, and those it cuts at once
+SEEN_UNITS = 250_000
+CUT_UNITS = 25_000
 # no piece holds a tab or line break, and none goes on after a word into a space
 UNIT = re.compile(f"{MARK}+[^{MARK}\t-\r]*|[^{MARK}\t-\r]+|[\t-\r]")
 CONTROL = re.compile("([\t-\r])")
@@ -352,9 +354,10 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
 
     shared = spark.sparkContext.broadcast(pieces)  # of the model's size
 
-    def parts(seen: set[str]) -> pa.RecordBatch:
-        cut = shared.value.cut
-        return as_batch({"unit": list({x for x in cut([unit_of(k) for k in seen])[0] if len(x) <= LONG_UNIT})}, one)
+    def parts(seen: set[str]) -> Iterator[pa.RecordBatch]:
+        cut, rest = shared.value.cut, iter(seen)
+        while some := list(islice(rest, CUT_UNITS)):
+            yield as_batch({"unit": list({x for x in cut([unit_of(k) for k in some])[0] if len(x) <= LONG_UNIT})}, one)
 
     def collect(batches):
         seen: set[str] = set()
@@ -362,9 +365,9 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
             for t in batch.column(0):
                 seen.update(keys(t.as_py()))
                 if len(seen) >= SEEN_UNITS:
-                    yield parts(seen)
-                    seen = set()
-        yield parts(seen)
+                    yield from parts(seen)
+                    seen.clear()
+        yield from parts(seen)
 
     words = write_scratch(docs.select(text).mapInArrow(collect, "unit string").distinct(), "sp-units")
     n = words.count()

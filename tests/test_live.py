@@ -88,3 +88,37 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
         got[r["rec"]].append(r["values"])
     for k, x in signals.items():
         np.testing.assert_array_equal(got[k], whole(x, 32))
+
+
+def test_a_bucket_of_signals_tells_what_each_does():
+    """All signals of a bucket together, with repeats, missing values, gaps and a
+    restart, as ``Signal`` one by one; and in one filter pass a batch."""
+    for size, sections in ((4, BAND), (3, [])):
+        alone, state, want, got = {}, None, [], []
+        for _ in range(6):
+            n = int(RNG.integers(0, 500))
+            names, idx, values = np.array([f"s{k}" for k in RNG.integers(0, 7, n)], object), RNG.integers(0, 30, n), RNG.normal(size=n)
+            values[RNG.random(n) < 0.1] = np.nan
+            for s in sorted(set(names)):
+                rows = sorted(zip(idx[names == s].tolist(), values[names == s].tolist()), key=lambda r: (r[0], np.isnan(r[1]), r[1]))
+                signal = live.Signal(sections, size, alone.get(s))
+                want += [(s, e, v) for e, v, _ in signal.take((i, None if np.isnan(v) else v) for i, v in rows)]
+                alone[s] = signal.state()
+            bucket = live.Bucket(sections, size, state)
+            got += [(bucket.names[k], int(e), v.tolist()) for k, e, v in zip(*bucket.take(names, idx, values))]
+            state = bucket.state()
+        assert sorted(got) == sorted(want) and len(got) > 20
+
+
+def test_calls_do_not_grow_with_the_signals(spark, tmp_path):
+    """Signals share states; keys of any kind come back, null included."""
+    rows = [(k if k else None, "a\"b", i, float(i * k)) for k in range(60) for i in range(8)]
+    schema = "rec long, `the channel` string, sample_idx long, value double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = live.live_epochs(stream, ["rec", "the channel"], [], 4, buckets=3)
+    q = out.writeStream.format("memory").queryName("few_states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(p.stateOperators[0].numRowsUpdated for p in q.recentProgress) <= 3
+    got = {(r["rec"], r["epoch_id"]): r["values"] for r in spark.table("few_states").collect()}
+    assert got == {(k or None, e): [float(i * k) for i in range(4 * e, 4 * e + 4)] for k in range(60) for e in range(2)}
