@@ -346,18 +346,20 @@ def load(folder: str, name: str, kind) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+def cut_units(pieces: Pieces, seen: set[str], at_once: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The parts of units, distinct among those cut at once."""
+    rest, one = iter(seen), pa.schema([("unit", pa.string())])
+    while some := list(islice(rest, at_once or CUT_UNITS)):
+        yield as_batch({"unit": list({x for x in pieces.cut([unit_of(k) for k in some])[0] if len(x) <= LONG_UNIT})}, one)
+
+
 def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fold=merge_fold) -> dict:
     """Encode every distinct unit of ``docs`` and write the arrays; returns
     their place."""
     spark, pieces = docs.sparkSession, pieces_of(model_file)
-    one = pa.schema([("unit", pa.string())])
-
     shared = spark.sparkContext.broadcast(pieces)  # of the model's size
 
-    def parts(seen: set[str]) -> Iterator[pa.RecordBatch]:
-        cut, rest = shared.value.cut, iter(seen)
-        while some := list(islice(rest, CUT_UNITS)):
-            yield as_batch({"unit": list({x for x in cut([unit_of(k) for k in some])[0] if len(x) <= LONG_UNIT})}, one)
+    at_once = CUT_UNITS
 
     def collect(batches):
         seen: set[str] = set()
@@ -365,9 +367,9 @@ def build(docs: DataFrame, text: str = "text", model_file: str = MODEL_FILE, fol
             for t in batch.column(0):
                 seen.update(keys(t.as_py()))
                 if len(seen) >= SEEN_UNITS:
-                    yield from parts(seen)
+                    yield from cut_units(shared.value, seen, at_once)
                     seen.clear()
-        yield from parts(seen)
+        yield from cut_units(shared.value, seen, at_once)
 
     words = write_scratch(docs.select(text).mapInArrow(collect, "unit string").distinct(), "sp-units")
     n = words.count()
