@@ -18,6 +18,17 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- helpers
 
+# cells of one matrix: a batch of many rows is worked on some rows at a time, so
+# that a worker's memory does not grow with the batch
+STACK_CELLS = 1 << 18
+
+
+def _some(places, cells: int):
+    """Stretches of ``places`` whose rows have so many cells each."""
+    step = max(1, STACK_CELLS // max(1, cells))
+    return (places[at:at + step] for at in range(0, len(places), step))
+
+
 def _by_length(series: pd.Series, fn) -> pd.Series:
     """Apply ``fn(matrix) -> list of 1-D arrays`` to groups of equal-length rows."""
     out = [None] * len(series)
@@ -28,10 +39,10 @@ def _by_length(series: pd.Series, fn) -> pd.Series:
             for i in idx:
                 out[i] = None if series.iloc[i] is None else np.zeros(0)
             continue
-        mat = np.vstack([np.asarray(series.iloc[i], dtype=np.float64) for i in idx])
-        res = fn(mat)
-        for j, i in enumerate(idx):
-            out[i] = res[j]
+        for some in _some(idx, int(n)):
+            res = fn(np.vstack([np.asarray(series.iloc[i], dtype=np.float64) for i in some]))
+            for j, i in enumerate(some):
+                out[i] = np.array(res[j])  # not a view that holds the whole matrix
     return pd.Series(out, dtype=object)
 
 
@@ -221,13 +232,13 @@ def zero_phase(sections, signals: list[np.ndarray]) -> list[np.ndarray]:
     pad, zi = padding(sections), cascade_zi(sections)
     out = [np.array(x, dtype=np.float64) for x in signals]
     which = [i for i, x in enumerate(out) if len(x) > pad]
-    if which:
-        rows = [odd_extension(out[i], pad) for i in which]
+    for some in _some(which, max((len(out[i]) + 2 * pad for i in which), default=1)):
+        rows = [odd_extension(out[i], pad) for i in some]
         for _ in range(2):  # forward, then backward over the reversed result
             rows, _ = cascade(sections, rows, np.array([zi * r[0] for r in rows]))
             rows = [r[::-1] for r in rows]
-        for i, r in zip(which, rows, strict=True):
-            out[i] = np.ascontiguousarray(r[pad:len(r) - pad])
+        for i, r in zip(some, rows, strict=True):
+            out[i] = r[pad:len(r) - pad].copy()
     return out
 
 
@@ -285,10 +296,6 @@ def approx_entropy_1d(x: np.ndarray, order: int = 2) -> float:
     return float(template_entropies(np.asarray(x, dtype=np.float64)[None, :], order)[1][0])
 
 
-# cells of one matrix of equal-length rows
-STACK_CELLS = 1 << 20
-
-
 def _entropy_udf(which: int):
     @F.pandas_udf(T.DoubleType())
     def kernel(values: pd.Series) -> pd.Series:
@@ -297,9 +304,7 @@ def _entropy_udf(which: int):
         lengths = np.array([len(v) for v in arrays])
         for n in np.unique(lengths):
             places = np.nonzero(lengths == n)[0]
-            step = max(1, STACK_CELLS // max(1, int(n)))
-            for at in range(0, len(places), step):
-                some = places[at:at + step]
+            for some in _some(places, int(n)):
                 out[some] = template_entropies(np.stack([arrays[i] for i in some]))[which]
         return pd.Series(out)
     return kernel
@@ -340,13 +345,14 @@ def wavelet_udf(low: list, high: list, level: int):
             if levels < 1:
                 continue
             places = np.nonzero(lengths == n)[0]
-            cur, bands = np.stack([arrays[i] for i in places]), []
-            for _ in range(levels):
-                cur, detail = wavelet_level(cur, lo, hi)
-                bands.insert(0, detail)
-            bands.insert(0, cur)
-            for k, i in enumerate(places):
-                out[i] = [b[k] for b in bands]
+            for some in _some(places, int(n)):
+                cur, bands = np.stack([arrays[i] for i in some]), []
+                for _ in range(levels):
+                    cur, detail = wavelet_level(cur, lo, hi)
+                    bands.insert(0, detail)
+                bands.insert(0, cur)
+                for k, i in enumerate(some):
+                    out[i] = [b[k] for b in bands]
         return pd.Series(out)
     return kernel
 
