@@ -122,11 +122,12 @@ def features_of(column: pa.Array, d: int) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in row] for row in lists], np.float64).reshape(len(lists), d)
 
 
-def binned(data: DataFrame, cuts: list[list[float]], fold_col: str | None) -> DataFrame:
-    """(id, key, label, fold, bins), written once."""
+def binned(data: DataFrame, cuts: list[list[float]], fold_col: str | None, key: F.Column | None = None) -> DataFrame:
+    """(id, key, label, fold, bins), written once; ``key`` is a hash of the id unless given."""
     d, kind = len(cuts), data.schema["id"].dataType.simpleString()
     fold = F.col(fold_col).cast("int") if fold_col else F.lit(None).cast("int")
-    rows = data.select("id", F.xxhash64("id").alias("key"), F.col("label").cast("int").alias("label"), fold.alias("fold"), "features")
+    key = F.xxhash64("id") if key is None else key
+    rows = data.select("id", key.alias("key"), F.col("label").cast("int").alias("label"), fold.alias("fold"), "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from neurotab import config
 from neurotab.learn.boosting import Plan, boost, forest_margins
+from neurotab.learn.forest import Bagging, fits_in_task, forest_shares, grow_forests
 
 K = 3
 
@@ -88,11 +89,11 @@ def load_scorer(spark, path: str) -> Scorer:
     return scorer_of(facts["kind"], facts["name"], facts["params"], stage, members)
 
 
-def _out(df: DataFrame, name: str, prob: F.Column, id_col: str = "id", k: int = K) -> DataFrame:
-    p = df.select(id_col, prob.alias("_p"))
+def _out(df: DataFrame, name: str, prob: F.Column, id_col: str = "id", k: int = K, keep: Sequence[str] = ()) -> DataFrame:
+    p = df.select(id_col, prob.alias("_p"), *keep)
     return p.select(id_col, F.lit(name).alias("model"),
                     (F.array_position("_p", F.array_max("_p")) - 1).cast("int").alias("prediction"),
-                    *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(k)])
+                    *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(k)], *keep)
 
 
 # ---------------------------------------------------------------- scaling (population std)
@@ -148,10 +149,31 @@ def _score_probability(name: str, params: dict, model, members):
 
 def fit_random_forest(train: DataFrame, trees: int = 300, depth: int = 10, seed: int = config.SEED,
                       name: str = "random_forest") -> Scorer:
+    """Random forest, a square root of the features drawn at each node.  The trees
+    are those of Spark's ``RandomForestClassifier``, grown whole in tasks
+    (``learn.forest``); a table too large to broadcast is left to Spark's."""
+    if fits_in_task(train):
+        cuts, classes, grown, _ = grow_forests(train, [Bagging(trees, depth, seed)])
+        return scorer_of("bagged", name, {"cuts": cuts, "classes": classes}, grown.drop("plan"))
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
     return scorer_of("probability", name, {}, _fit_cached(rf, _vec(train)))
 
 
+@kind("bagged")
+def _score_bagged(name: str, params: dict, trees, members):
+    return lambda df: _out(forest_shares(df, params["cuts"], params["classes"], trees), name, F.col("shares"))
+
+
+def forest_out_of_fold(data: DataFrame, fold_col: str, folds: list, trees: int = 300, depth: int = 10, seed: int = config.SEED) -> DataFrame | None:
+    """(id, shares, fold) of every row by the forest that left its fold out; the
+    trees of all folds grow side by side.  None for a table that is left to Spark."""
+    if not fits_in_task(data):
+        return None
+    _, _, _, held = grow_forests(data, [Bagging(trees, depth, seed, int(f)) for f in folds], fold_col, keep_trees=False)
+    number = F.get(F.array(*[F.lit(f) for f in folds]), F.col("plan"))
+    return held.select("id", "shares", number.alias(fold_col))
+
+
 def fit_gbt_ovr(train: DataFrame, iters: int = 200, depth: int = 6, step: float = 0.05, subsample: float = 1.0,
                 feature_subset: str = "all", seed: int = config.SEED, name: str = "gbt", k: int = K) -> Scorer:
     """One binary boosted-tree model per class (Spark's GBT is binary); per-class
@@ -375,16 +397,20 @@ BASE_MODELS: dict[str, Callable[[DataFrame], Scorer]] = {
     "gbt": fit_boosted,
 }
 
-# (data, fold column, folds) -> (id, margins): all folds in the same passes
-OUT_OF_FOLD: dict[Callable, Callable[[DataFrame, str, list], DataFrame]] = {fit_svm_rff: svm_out_of_fold, fit_boosted: boosted_out_of_fold}
+# (data, fold column, folds) -> (id, margins) or (id, shares, fold): all folds in the same passes
+OUT_OF_FOLD: dict[Callable, Callable[[DataFrame, str, list], DataFrame | None]] = {
+    fit_svm_rff: svm_out_of_fold, fit_boosted: boosted_out_of_fold, fit_random_forest: forest_out_of_fold}
 
 
 def out_of_fold_scores(fit: Callable, data: DataFrame, fold_col: str, folds: list, name: str) -> DataFrame | None:
-    """(id, model, prediction, p0..) of the folds' left-out rows, for models that
-    fit all folds together; None for the others."""
-    if fit not in OUT_OF_FOLD:
+    """(id, model, prediction, p0..[, fold]) of the folds' left-out rows, for models
+    that fit all folds together; None for the others."""
+    held = OUT_OF_FOLD[fit](data, fold_col, folds) if fit in OUT_OF_FOLD else None
+    if held is None:
         return None
-    return _out(OUT_OF_FOLD[fit](data, fold_col, folds), name, _softmax(F.col("margins")))
+    if "shares" in held.columns:
+        return _out(held, name, F.col("shares"), keep=[fold_col])
+    return _out(held, name, _softmax(F.col("margins")))
 
 
 @kind("stacking")

@@ -35,22 +35,27 @@ def folds_of(data: DataFrame, fold_col: str = "fold") -> list:
     return sorted(r[0] for r in data.select(fold_col).distinct().collect())
 
 
+def fit_all(data: DataFrame, fits: dict[str, FitFn]) -> dict[str, md.Scorer]:
+    """Every model fitted on ``data``; the fits are independent Spark jobs,
+    submitted from a driver thread each."""
+    with ThreadPoolExecutor(max_workers=max(1, len(fits))) as pool:
+        return dict(zip(fits, pool.map(lambda n: fits[n](data), fits), strict=True))
+
+
 def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
                     k: int | None = None, progress: Progress = None, parallelism: int = 4) -> DataFrame:
     """Out-of-fold probabilities of every base model: for each fold, fit on the
     other folds and score this one.  Models that fit all folds in the same passes
-    do so; the fits of the others are independent Spark jobs, submitted from
-    ``parallelism`` driver threads.  Output (id, model, prediction, p0..p2, fold)."""
+    do so; these and the fits of the others are independent Spark jobs, submitted
+    from ``parallelism`` driver threads.  Output (id, model, prediction, p0..p2, fold)."""
     folds = folds_of(data, fold_col)[:k]
-    parts = []
-    alone = {}
-    for name, fit in fits.items():
-        whole = md.out_of_fold_scores(fit, data, fold_col, folds, name)
+
+    def together(name: str) -> DataFrame | None:
+        whole = md.out_of_fold_scores(fits[name], data, fold_col, folds, name)
         if whole is None:
-            alone[name] = fit
-            continue
-        parts.append(whole.join(data.select("id", fold_col), "id"))
+            return None
         _report(progress, len(folds), {"stage": "oof", "model": name})
+        return whole if fold_col in whole.columns else whole.join(data.select("id", fold_col), "id")
 
     def one(job: tuple) -> DataFrame:
         f, name = job
@@ -60,7 +65,9 @@ def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fo
         return out
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts += pool.map(one, [(f, name) for f in folds for name in alone])
+        wholes = dict(zip(fits, pool.map(together, fits), strict=True))
+        parts = [w for w in wholes.values() if w is not None]
+        parts += pool.map(one, [(f, name) for f in folds for name, w in wholes.items() if w is None])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -76,8 +83,7 @@ def fit_stacking(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold"
     oof = oof_predictions(data, fits, fold_col, k)
     meta_x = md.meta_features(oof, names).join(data.select("id", "label"), "id")
     meta = md.fit_logreg(meta_x, name="stacking")
-    with ThreadPoolExecutor(max_workers=len(names)) as pool:
-        full = dict(zip(names, pool.map(lambda n: fits[n](data), names), strict=True))
+    full = fit_all(data, {n: fits[n] for n in names})
     return md.scorer_of("stacking", "stacking", {"names": names}, members=[*[full[n] for n in names], meta])
 
 

@@ -93,7 +93,8 @@ from neurotab.learn import validation as va  # noqa: E402
 
 
 def _split(spark, sf_dir):
-    data = _feat_folds(spark, sf_dir).select("id", "label", "features", "fold")
+    """Training folds, fold 0 and all rows, written once: a fit reads them many times."""
+    data = cut_lineage(_feat_folds(spark, sf_dir).select("id", "label", "features", "fold"))
     return data.where("fold != 0"), data.where("fold = 0"), data
 
 
@@ -150,8 +151,8 @@ def q_base_model_scores(spark, sf_dir):
     """All base models fitted on the training folds, scored on fold 0, long form."""
     train, valid, _ = _split(spark, sf_dir)
     out = None
-    for name, fit in md.BASE_MODELS.items():
-        s = fit(train).score(valid).withColumn("model", F.lit(name))
+    for name, scorer in va.fit_all(train, md.BASE_MODELS).items():
+        s = scorer.score(valid).withColumn("model", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return rounded(md.score_long(out))
 
@@ -166,7 +167,7 @@ def q_oof_predictions(spark, sf_dir):
 def q_ml_stacking(spark, sf_dir):
     train, valid, _ = _split(spark, sf_dir)
     folds = stratified_folds(train.select("id", "label"), out="inner_fold").select("id", "inner_fold")
-    inner = train.join(folds, "id")
+    inner = cut_lineage(train.join(folds, "id"))
     return _scored(va.fit_stacking(inner, md.BASE_MODELS, fold_col="inner_fold"), valid)
 
 
