@@ -42,6 +42,19 @@ def fit_all(data: DataFrame, fits: dict[str, FitFn]) -> dict[str, md.Scorer]:
         return dict(zip(fits, pool.map(lambda n: fits[n](data), fits), strict=True))
 
 
+def fit_and_score(train: DataFrame, valid: DataFrame, fits: dict[str, FitFn]) -> DataFrame:
+    """Scores of ``valid`` by every model fitted on ``train``.  All fits run from
+    driver threads; a model is scored, and its scores written, while others are
+    still fitted, so that a fit of few tasks does not hold the cluster up."""
+    out = None
+    with ThreadPoolExecutor(max_workers=max(1, len(fits))) as pool:
+        fitted = {name: pool.submit(fit, train) for name, fit in fits.items()}
+        for name, scorer in fitted.items():
+            s = cut_lineage(scorer.result().score(valid).withColumn("model", F.lit(name)))
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
 def oof_predictions(data: DataFrame, fits: dict[str, FitFn], fold_col: str = "fold",
                     k: int | None = None, progress: Progress = None, parallelism: int = 4) -> DataFrame:
     """Out-of-fold probabilities of every base model: for each fold, fit on the

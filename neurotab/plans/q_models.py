@@ -150,11 +150,7 @@ def q_ml_mlp(spark, sf_dir):
 def q_base_model_scores(spark, sf_dir):
     """All base models fitted on the training folds, scored on fold 0, long form."""
     train, valid, _ = _split(spark, sf_dir)
-    out = None
-    for name, scorer in va.fit_all(train, md.BASE_MODELS).items():
-        s = scorer.score(valid).withColumn("model", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return rounded(md.score_long(out))
+    return rounded(md.score_long(va.fit_and_score(train, valid, md.BASE_MODELS)))
 
 
 @register("oof_predictions")
