@@ -10,7 +10,10 @@ scored until the next bound falls below the query's k-th score; equal bounds
 are still scored, since a tie may hold a smaller id.
 
 Query groups of ``GROUP`` vectors meet every shard through an equi-join on the
-shard number, so a task holds one shard and one group at a time.  A first round
+shard number, so a task holds one shard and one group at a time.  The join is
+always a shuffle: the groups are copied for every shard, which the planner does
+not count when it takes them to be small enough to send through the driver.  A
+shard is dealt to ``SLOTS`` keys, each for a part of the groups.  A first round
 against one shard gives each query a k-th score to prune with everywhere else.
 
 Defined results: vectors that are null or hold null or non-finite components
@@ -35,6 +38,8 @@ from neurotab.llm.common import as_batch, map_batches, write_scratch
 SHARD = 8192
 BLOCK = 128
 GROUP = 512
+AHEAD = 8  # blocks of a query that are scored before its bounds are looked at again
+SLOTS = 4
 SCALE = 64
 
 
@@ -112,33 +117,41 @@ def search(query: np.ndarray, query_ids: np.ndarray, kth: np.ndarray, docs: np.n
     best = np.full((len(query), k), np.iinfo(np.int64).min)
     best_ids = np.full((len(query), k), -1, np.int64)
     kth = kth.copy()
-    for r in range(len(starts)):
-        block = order[:, r]
-        alive = np.nonzero(bounds[np.arange(len(query)), block] >= kth)[0]
-        if not len(alive):
+    for lo in range(0, len(starts), AHEAD):
+        ahead = order[:, lo:lo + AHEAD]
+        row, place = np.nonzero(np.take_along_axis(bounds, ahead, 1) >= kth[:, None])
+        if not len(row):
             break
-        by_block = alive[np.argsort(block[alive], kind="stable")]
+        block = ahead[row, place]
+        by_block = np.argsort(block, kind="stable")
+        hits = []
         for some in np.split(by_block, np.nonzero(np.diff(block[by_block]))[0] + 1):
-            s = starts[block[some[0]]]
-            scores = (query[some] @ docs[s:s + BLOCK].T).astype(np.int64)
-            own = ids[None, s:s + BLOCK] == query_ids[some][:, None]
-            scores[own] = np.iinfo(np.int64).min
-            all_scores = np.concatenate([best[some], scores], axis=1)
-            all_ids = np.concatenate([best_ids[some], np.where(own, -1, np.broadcast_to(ids[s:s + BLOCK], scores.shape))], axis=1)
-            place = np.lexsort((all_ids, -all_scores.astype(np.float64) if kind is not np.int64 else ~all_scores), axis=-1)[:, :k]
-            best[some] = np.take_along_axis(all_scores, place, 1)
-            best_ids[some] = np.take_along_axis(all_ids, place, 1)
-            kth[some] = np.maximum(kth[some], best[some, k - 1])
+            s, some = starts[block[some[0]]], row[some]
+            scores = query[some] @ docs[s:s + BLOCK].T
+            # what is below the k-th score changes nothing
+            r, c = np.nonzero((scores >= kth[some, None]) & (ids[None, s:s + BLOCK] != query_ids[some, None]))
+            hits.append((some[r], scores[r, c].astype(np.int64), ids[s + c]))
+        rows, scores, found = (np.concatenate(x) for x in zip(*hits, strict=True))
+        hit = np.unique(rows)
+        rows, scores, found = (np.concatenate(x) for x in ((np.repeat(hit, k), rows), (best[hit].ravel(), scores), (best_ids[hit].ravel(), found)))
+        place = np.lexsort((found, ~scores, rows))
+        rank = np.arange(len(rows)) - np.searchsorted(rows[place], rows[place])
+        place, rank = place[rank < k], rank[rank < k]
+        best[rows[place], rank], best_ids[rows[place], rank] = scores[place], found[place]
+        kth[hit] = np.maximum(kth[hit], best[hit, k - 1])
     return best, best_ids
 
 
 def meet(groups: DataFrame, shards: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of query groups (shard, query_ids, queries, kth)
+    """(query_id, vec_id, score) of query groups (grp, shard, query_ids, queries, kth)
     joined to their shards."""
-    pairs = groups.join(shards, "shard").select("query_ids", "queries", "kth", "ids", "body")
+    dealt = shards.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))))
+    pairs = groups.withColumn("slot", F.pmod("grp", F.lit(SLOTS))).hint("merge").join(dealt.hint("merge"), ["shard", "slot"])
+    pairs = pairs.select("query_ids", "queries", "kth", "ids", "body")
 
     def run(batch: pa.RecordBatch):
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
             query_ids, ids = (np.frombuffer(row[c], np.int64) for c in ("query_ids", "ids"))
             best, found = search(unpack(row["queries"]), query_ids, np.frombuffer(row["kth"], np.int64), unpack(row["body"]), ids, k)
             q, place = np.nonzero(found >= 0) if (found >= 0).all() else np.nonzero(best > np.iinfo(np.int64).min)

@@ -219,3 +219,16 @@ def test_unit_names_stand_for_units():
     for t in texts:
         assert [unit_of(k) for k in keys(t)] == units(t), t
         assert all(key_of(unit_of(k)) == k for k in keys(t))
+
+
+def test_groups_are_not_sent_through_the_driver(spark):
+    """A few groups on disk are many once they are copied for every shard."""
+    import numpy as np
+
+    body, one = topk_search.pack(np.ones((1, 2), np.int64)), np.array([7]).tobytes()
+    groups = spark.createDataFrame([(0, bytearray(one), bytearray(body), bytearray(np.array([-9]).tobytes()))], "grp long, query_ids binary, queries binary, kth binary")
+    shards = spark.createDataFrame([(s, bytearray(np.array([s]).tobytes()), bytearray(body)) for s in range(3)], "shard long, ids binary, body binary")
+    met = topk_search.meet(groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))), shards, 1)
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in met.collect()) == [(7, s, 2) for s in range(3)]
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
