@@ -42,6 +42,10 @@ UNIT = float(1 << 20)
 PENALTY, LEAST_WEIGHT = 1.0, 1.0
 ACCURACY = 2000  # of the quantiles
 ROWS_AT_ONCE = 1 << 15
+COLUMN_AT_ONCE, TABLE_AT_ONCE, NODES_AT_ONCE, WALKED_AT_ONCE = 1 << 17, 1 << 15, 16, 1 << 13
+CODES, PARTS, PAIRED = BINS * BINS, 8, 800  # codes of two features; parts of a table at most; rows a part from which a node is added up by pairs
+APART = 2.25  # times the largest sum of g that h is scaled by: over 2, so that rounding tells h
+MOST = 85  # rows of one code whose sums of g and h fit into one number, whatever they are
 LOOKED_AT = 10_000
 TREES = "plan int, round int, cls int, feature array<int>, cut array<int>, child array<int>, value array<double>"
 
@@ -140,15 +144,16 @@ def binned(data: DataFrame, cuts: list[list[float]], fold_col: str | None, key:
 # ---------------------------------------------------------------- one round
 
 def shares(margins: np.ndarray) -> np.ndarray:
-    e = np.exp(margins - margins.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    m = np.ascontiguousarray(margins.T)  # a few classes: column by column
+    e = np.exp(m - m.max(0))
+    return (e / e.sum(0)).T
 
 
 def whole_gradients(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the softmax loss, in whole units."""
-    p = shares(margins)
-    g = p - (label[:, None] == np.arange(margins.shape[1]))
-    return np.rint(g * UNIT), np.rint(2 * p * (1 - p) * UNIT)
+    p = shares(margins).T
+    g = p - (label == np.arange(margins.shape[1])[:, None])
+    return np.rint(g * UNIT).T, np.rint(2 * p * (1 - p) * UNIT).T
 
 
 def gradients(plan: Plan, turn: int, margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +218,19 @@ class Trees:
     def walk(self, cells: np.ndarray, c: int) -> np.ndarray:
         """The node that each row has come to in the tree of class ``c``."""
         feature, cut, child = (np.array(v[c]) for v in (self.feature, self.cut, self.child))
-        node = np.zeros(len(cells), np.int64)
-        while True:
-            at = np.nonzero(child[node] > 0)[0]
-            if not len(at):
-                return node
-            own = node[at]
-            node[at] = child[own] + (cells[at, feature[own]] > cut[own])
+        level = [0] * len(child)
+        for own, first in enumerate(self.child[c]):
+            if first:
+                level[first] = level[first + 1] = level[own] + 1
+        leaf = child == 0  # its rows stay
+        child[leaf], cut[leaf] = np.nonzero(leaf)[0], BINS
+        node, flat, d = np.zeros(len(cells), np.int64), np.ravel(cells), cells.shape[1]
+        for lo in range(0, len(cells), WALKED_AT_ONCE):
+            own = node[lo:lo + WALKED_AT_ONCE]
+            first = np.arange(lo, lo + len(own)) * d
+            for _ in range(max(level)):
+                own[:] = child.take(own) + (flat.take(first + feature.take(own)) > cut.take(own))
+        return node
 
     def output(self, cells: np.ndarray) -> np.ndarray:
         return np.stack([np.array(v)[self.walk(cells, c)] for c, v in enumerate(self.value)], 1)
@@ -228,9 +239,131 @@ class Trees:
         return [(plan, turn, c, self.feature[c], self.cut[c], self.child[c], [float(v) for v in self.value[c]]) for c in range(len(self.value))]
 
 
-def histograms(cells: np.ndarray, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray) -> np.ndarray:
+class Columns:
+    """A table that many histograms are taken of in one task.
+
+    * Features are taken in pairs: sums by the joint code of two bins, of which
+      the sums by either bin are the margins.
+    * A row's g and h are added up as one number, h * scale + g, where the sums of
+      both are sure to fit: in the codes of a pair by the most rows that any code
+      has in a part of the table (1 to ``PARTS`` parts, until most pairs fit), in a small node by its own sums.  Others are added
+      up one after the other.
+
+    Sums are of whole numbers below 2^53, so all ways give the same."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.features = np.ascontiguousarray(cells.T)
+        self.used: np.ndarray | None = None
+
+    def pair_up(self, used: np.ndarray) -> None:
+        """Joint codes of the features ``used``, unless they are those of before."""
+        if self.used is not None and np.array_equal(used, self.used):
+            return
+        self.used, n = used, self.features.shape[1]
+        self.pairs = [(j, j + 1 if j + 1 < len(used) else None) for j in range(0, len(used), 2)]
+        self.codes = [np.left_shift(self.features[used[a]], 5, dtype=np.uint16) + (0 if b is None else self.features[used[b]]) for a, b in self.pairs]
+        part = np.arange(n) * PARTS // max(n, 1)
+        counts = np.stack([np.bincount(part * CODES + c, minlength=PARTS * CODES).reshape(PARTS, CODES) for c in self.codes])
+        for parts in (1, 2, 4, PARTS):
+            self.most = counts.reshape(len(self.pairs), parts, PARTS // parts, CODES).sum(2).max((1, 2))
+            if (self.most <= MOST).mean() >= 0.75:
+                break
+        else:
+            parts, self.most = 1, counts.sum(1).max(1)
+        self.parts, self.part = parts, part * parts // PARTS * CODES
+
+    def histograms(self, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(places), 2, len(used), BINS))
+        if not places or not len(used):
+            return out
+        self.pair_up(used)
+        large = [i for i, p in enumerate(places) if len(p[0]) >= PAIRED * self.parts]
+        small = [i for i, p in enumerate(places) if len(p[0]) < PAIRED * self.parts]
+        whole = np.array([[np.abs(places[i][1]).sum(), places[i][2].sum()] for i in small]).reshape(-1, 2)
+        scale = np.ceil(APART * whole[:, 0] + 1)
+        fits = whole[:, 1] * scale + whole[:, 0] < 2.0 ** 53
+        for some, how in ((large, self.paired), ([i for i, f in zip(small, fits, strict=True) if f], lambda x: self.single(x, scale[fits])),
+                          ([i for i, f in zip(small, fits, strict=True) if not f], self.single)):
+            if some:
+                out[some] = how([places[i] for i in some])
+        return out
+
+    def paired(self, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Sums of large nodes by the codes of pairs."""
+        n, wide = len(places), self.parts * CODES
+        out = np.zeros((n, 2, len(self.used), BINS))
+        if all(p[0] is places[0][0] for p in places):  # the roots: the same rows, other weights
+            rows, first, weights = places[0][0], np.zeros(len(places[0][0]), np.int64), [p[1:] for p in places]
+        else:
+            rows, *w = (np.concatenate([p[k] for p in places]) for k in range(3))
+            first, weights = np.repeat(np.arange(n) * wide, [len(p[0]) for p in places]), [w]
+        first = first + self.part.take(rows)
+        most_g, most_h = (max(float(np.abs(w[k]).max()) for w in weights) for k in range(2))
+        # one factor for all pairs that fit, unless it is too much for one of them
+        fits = self.most * (most_h * np.ceil(APART * self.most * most_g + 1) + most_g) < 2.0 ** 53
+        joint = np.ceil(APART * self.most[fits].max(initial=0) * most_g + 1)
+        fits &= self.most * (most_h * joint + most_g) < 2.0 ** 53
+        packed, ones = [w[1] * joint + w[0] for w in weights], np.ones(BINS)
+        for lo in range(0, len(rows), COLUMN_AT_ONCE):
+            part = slice(lo, lo + COLUMN_AT_ONCE)
+            own, low = rows[part], first[part]
+            start, stop = int(low[0]) // wide, int(low[-1]) // wide + 1
+            low, size = low - start * wide, (stop - start) * wide
+            some = max(1, TABLE_AT_ONCE // (size * len(weights)))  # pairs whose tables are split up together
+            for fit in (True, False):
+                chosen = np.nonzero(fits == fit)[0]
+                for pairs in np.split(chosen, range(some, len(chosen), some)) if len(chosen) else []:
+                    sums = np.empty((2, len(weights), len(pairs), size))
+                    for k, pair in enumerate(pairs):
+                        index = low + self.codes[pair].take(own)
+                        for i, w in enumerate(weights):
+                            for x in (1,) if fit else (0, 1):
+                                sums[x, i, k] = np.bincount(index, (packed[i] if fit else w[x])[part], size)
+                    if fit:
+                        both = sums[1].copy()
+                        np.rint(both * (1 / joint), out=sums[1])
+                        np.subtract(both, sums[1] * joint, out=sums[0])
+                    shape = 2, len(weights), len(pairs), stop - start
+                    left = (sums.reshape(-1, BINS) @ ones).reshape(*shape, self.parts, BINS).sum(4)
+                    right = sums.reshape(*shape, -1, BINS).sum(4)
+                    for k, pair in enumerate(pairs):
+                        for j, x in zip(self.pairs[pair], (left, right), strict=True):
+                            if j is not None and len(weights) == 1:
+                                out[start:stop, :, j] += x[:, 0, k].swapaxes(0, 1)
+                            elif j is not None:
+                                out[:, :, j] += x[:, :, k, 0].swapaxes(0, 1)
+        return out
+
+    def single(self, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray | None = None) -> np.ndarray:
+        """Sums of small nodes by feature; with ``scale`` g and h of a node as one number."""
+        n, lens = len(places), [len(p[0]) for p in places]
+        rows, *weights = (np.concatenate([p[k] for p in places]) for k in range(3))
+        if scale is not None:
+            weights = [weights[1] * np.repeat(scale, lens) + weights[0]]
+        first = np.repeat(np.arange(n) * BINS, lens)
+        out = np.zeros((n, 2, len(self.used), BINS))
+        for lo in range(0, len(rows), COLUMN_AT_ONCE):
+            part = slice(lo, lo + COLUMN_AT_ONCE)
+            own, low = rows[part], first[part]
+            start, stop = int(low[0]), int(low[-1]) + BINS
+            low = low - start
+            nodes = slice(start // BINS, stop // BINS)
+            for j, f in enumerate(self.used):
+                index = low + self.features[f].take(own)
+                for k, w in enumerate(weights):
+                    out[nodes, k, j] += np.bincount(index, w[part], stop - start).reshape(-1, BINS)
+        if scale is not None:
+            both, scale = out[:, 0].copy(), scale[:, None, None]
+            np.rint(both / scale, out=out[:, 1])
+            np.subtract(both, out[:, 1] * scale, out=out[:, 0])
+        return out
+
+
+def histograms(cells: np.ndarray | Columns, places: list[tuple[np.ndarray, np.ndarray, np.ndarray]], used: np.ndarray) -> np.ndarray:
     """(node, [g, h], feature of ``used``, bin) sums; ``places`` has rows, g and h
     of each node.  A feature's cells are added up for all nodes at once, some rows at a time."""
+    if isinstance(cells, Columns):
+        return cells.histograms(places, used)
     n = len(places)
     out = np.zeros((n, 2, len(used), BINS))
     if not places:
@@ -256,20 +389,30 @@ def best_splits(sums: np.ndarray, used: np.ndarray, step: float, penalty: float
     gains; ties go to the first feature and cut."""
     if not len(used):
         return [None] * len(sums)
-    g, h = sums[:, 0] / UNIT, sums[:, 1] / UNIT
-    whole_g, whole_h = g[:, :1].sum(2, keepdims=True), h[:, :1].sum(2, keepdims=True)  # any feature's bins add up to the node
-    left_g, left_h = g.cumsum(2)[:, :, :-1], h.cumsum(2)[:, :, :-1]
+    if len(sums) > NODES_AT_ONCE:  # what is worked on stays in the cache
+        return [x for lo in range(0, len(sums), NODES_AT_ONCE) for x in best_splits(sums[lo:lo + NODES_AT_ONCE], used, step, penalty)]
+    left_g, left_h = sums[:, 0].cumsum(2), sums[:, 1].cumsum(2)
+    left_g *= 1 / UNIT
+    left_h *= 1 / UNIT
+    whole_g, whole_h = left_g[:, :1, -1:].copy(), left_h[:, :1, -1:].copy()  # any feature's bins add up to the node
     right_g, right_h = whole_g - left_g, whole_h - left_h
-    score = lambda a, b: a ** 2 / (b + penalty)
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        squares = a ** 2
+        squares /= b + penalty
+        return squares
+
     with np.errstate(divide="ignore", invalid="ignore"):  # sides without rows are ruled out below
-        gain = score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)
+        gain = score(left_g, left_h)
+        gain += score(right_g, right_h)
+        gain -= score(whole_g, whole_h)
     gain[(left_h < LEAST_WEIGHT) | (right_h < LEAST_WEIGHT)] = -np.inf
     flat = gain.reshape(len(sums), -1)
     best = flat.argmax(1)
     leaf = lambda a, b: float(-step * a / (b + penalty))
     out: list[tuple | None] = []
     for i, b in enumerate(best):
-        j, cut = divmod(int(b), BINS - 1)
+        j, cut = divmod(int(b), BINS)  # above the last bin there are no rows
         out.append((int(used[j]), cut, leaf(left_g[i, j, cut], left_h[i, j, cut]), leaf(right_g[i, j, cut], right_h[i, j, cut])) if flat[i, b] > 1e-9 else None)
     return out
 
@@ -278,40 +421,49 @@ def best_splits(sums: np.ndarray, used: np.ndarray, step: float, penalty: float
 
 def grow(plan: Plan, cells: np.ndarray, label: np.ndarray, fold: np.ndarray, key: np.ndarray, classes: int) -> tuple[np.ndarray, list[Trees]]:
     """Margins and trees of one classifier over a table held in one task."""
-    margins, forest, d = np.zeros((len(cells), classes)), [], cells.shape[1]
+    held = fold == plan.leave_out if plan.leave_out is not None else np.zeros(len(cells), bool)
+    left_out, cells, label, fold, key = cells[held], cells[~held], label[~held], fold[~held], key[~held]
+    margins, left_margins, forest, d = np.zeros((classes, len(cells))), np.zeros((classes, len(left_out))), [], cells.shape[1]
+    table = Columns(cells)
     for turn in range(plan.rounds):
-        g, h = (np.ascontiguousarray(v.T) for v in gradients(plan, turn, margins, label))
+        g, h = (np.ascontiguousarray(v.T) for v in gradients(plan, turn, margins.T, label))
         learned, step = learns(plan, turn, key, fold), plan.step_of(turn)
         trees, used = Trees(classes), np.nonzero(allowed(plan, turn, d))[0]
-        own = {(c, 0): np.nonzero(learned)[0] for c in range(classes)}
-        place = lambda k: (own[k], g[k[0]][own[k]], h[k[0]][own[k]])  # noqa: E731, B023
+        own = dict.fromkeys([(c, 0) for c in range(classes)], np.nonzero(learned)[0])
+        weight: dict[tuple[int, int], np.ndarray] = {}  # h of the rows of a node
+        place = lambda k: (own[k], g[k[0]].take(own[k]), weight[k])  # noqa: E731, B023
         before: dict[tuple[int, int], np.ndarray] = {}  # sums of the parents, by their left child
         if plan.against is not None and learned.any():
             trees.value[0][0] = float(-step * (g[0][learned].sum() / UNIT) / (h[0][learned].sum() / UNIT))
         for _ in range(plan.depth):
             # a node that cannot give two children of the least weight needs no histogram
-            trees.open = [(c, n) for c, n in trees.open if h[c][own[c, n]].sum() >= 2 * LEAST_WEIGHT * UNIT]
+            weight = {k: h[k[0]].take(own[k]) for k in trees.open}
+            trees.open = [k for k in trees.open if weight[k].sum() >= 2 * LEAST_WEIGHT * UNIT]
             if not trees.open:
                 break
             at = trees.open
-            sums = level_sums(cells, at, own, place, before, used)
+            sums = level_sums(table, at, own, place, before, used)
             found = {k: s for k, s in zip(at, best_splits(sums, used, step, plan.penalty), strict=True) if s}
             trees.split(found)
             before = {(k[0], trees.child[k[0]][k[1]]): s for k, s in zip(at, sums, strict=True) if k in found}
             for (c, n), (j, cut, *_) in found.items():
                 rows, child = own.pop((c, n)), trees.child[c][n]
-                right = cells[rows, j] > cut
+                right = table.features[j].take(rows) > cut
                 own[c, child], own[c, child + 1] = rows[~right], rows[right]
-        unseen = np.nonzero(~learned)[0]
+        unseen, added = np.nonzero(~learned)[0], np.empty_like(margins)
         if len(unseen):
-            margins[unseen] += trees.output(cells[unseen])
+            added[:, unseen] = trees.output(cells[unseen]).T
         for (c, n), rows in own.items():  # rows that were learned from stand at their leaves
-            margins[rows, c] += trees.value[c][n]
+            added[c][rows] = trees.value[c][n]
+        margins += added
+        left_margins += trees.output(left_out).T
         forest.append(trees)
-    return margins, forest
+    whole = np.zeros((len(held), classes))
+    whole[~held], whole[held] = margins.T, left_margins.T
+    return whole, forest
 
 
-def level_sums(cells: np.ndarray, at: list[tuple[int, int]], own: dict, place, before: dict, used: np.ndarray) -> np.ndarray:
+def level_sums(cells: np.ndarray | Columns, at: list[tuple[int, int]], own: dict, place, before: dict, used: np.ndarray) -> np.ndarray:
     """Sums of the nodes ``at``.  Of two neighbours the one with fewer rows is
     added up, the other is what is left of their parent (whole numbers: exactly)."""
     left = [(c, n if (c, n) in before else n - 1) for c, n in at]
